@@ -1,0 +1,31 @@
+"""Size checks that gate broadcast hints and driver-side dimension lists."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A dimension broadcast to every executor must stay small whatever the data
+# size: this many rows is far below the default broadcast threshold in bytes.
+MAX_BROADCAST_ROWS = 100_000
+# Values used as pivot columns or an exploded constant array.
+MAX_DIMENSION_VALUES = 10_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df`` unchanged.
+
+    One cheap count job buys a proven bound; above it the join falls back to
+    whatever Catalyst/AQE choose (a shuffle join).
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
+
+
+def small_distinct(df: DataFrame, col: str, max_values: int = MAX_DIMENSION_VALUES) -> list:
+    """Sorted distinct values of a dimension column, refusing an unbounded list."""
+    vals = [r[0] for r in df.select(col).distinct().limit(max_values + 1).collect()]
+    if len(vals) > max_values:
+        raise ValueError(f"{col} has more than {max_values} distinct values; "
+                         "it is not a dimension and cannot be pivoted or expanded")
+    return sorted(v for v in vals if v is not None)
