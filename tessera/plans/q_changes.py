@@ -1 +1,465 @@
-"""Registered queries."""
+"""Registered change queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions import scalar as sx
+from tessera.operators import access as acc
+from tessera.operators import changes as ch
+from tessera.plans.fixtures import Workspace, duckdb_ctes
+from tessera.plans.registry import register
+
+NOW = "2024-01-15 00:00:00"
+CALLER = 0            # platform admin
+APP = "view"
+OWNER = 6             # app_admin of `view`
+MEMBER = 0            # member of `view`
+
+
+def _now():
+    return F.expr(f"TIMESTAMP_NTZ '{NOW}'")
+
+
+def _batch(ws: Workspace):
+    """Grant batch: every account that has signed in gets `view` as app_admin."""
+    return (ws.fx_accounts.filter(F.col("last_sign_in_at").isNotNull())
+            .select("user_id", F.lit(APP).alias("app"), F.lit("app_admin").alias("role"),
+                    F.lit(CALLER).cast("bigint").alias("granted_by")))
+
+
+_BATCH_SQL = f"""
+, batch as (select user_id, '{APP}' as app, 'app_admin' as role, cast({CALLER} as bigint) as granted_by
+            from fx_accounts where last_sign_in_at is not null)"""
+
+
+@register("s9_apply_defaults", duckdb_ctes("fx_accounts") + f"""
+select user_id, '{APP}' as app, 'member' as role, timestamp '{NOW}' as granted_at,
+       cast({CALLER} as bigint) as granted_by
+from fx_accounts where last_sign_in_at is not null""")
+def s9_apply_defaults(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    b = _batch(ws).select("user_id", "app")
+    return ch.apply_defaults(b, ch.grant_defaults(_now(), CALLER)).select(
+        "user_id", "app", "role", "granted_at", "granted_by")
+
+
+_UPSERT_SQL = duckdb_ctes("fx_accounts", "fx_grants") + _BATCH_SQL + """
+select coalesce(g.user_id, b.user_id) as user_id, coalesce(g.app, b.app) as app,
+       case when g.user_id is null then b.role when b.user_id is null then g.role else b.role end as role,
+       case when g.user_id is null then timestamp '{now}' else g.granted_at end as granted_at,
+       case when g.user_id is null then b.granted_by when b.user_id is null then g.granted_by
+            else {conflict_by} end as granted_by
+from fx_grants g full outer join batch b on g.user_id = b.user_id and g.app = b.app"""
+
+
+@register("m1_upsert_role_only", _UPSERT_SQL.format(now=NOW, conflict_by="g.granted_by"))
+def m1_upsert_role_only(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    return ch.upsert_grants(ws.fx_grants, _batch(ws), "role_only", now=_now(), caller=CALLER)
+
+
+@register("m2_upsert_merge_all", _UPSERT_SQL.format(now=NOW, conflict_by="b.granted_by"))
+def m2_upsert_merge_all(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    return ch.upsert_grants(ws.fx_grants, _batch(ws), "merge_all", now=_now(), caller=CALLER)
+
+
+@register("m3_revoke", duckdb_ctes("fx_grants", "fx_revocations") + """
+select g.* from fx_grants g
+where not exists (select 1 from fx_revocations r where r.user_id = g.user_id and r.app = g.app)""")
+def m3_revoke(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    return ch.revoke(ws.fx_grants, ws.fx_revocations)
+
+
+@register("m3_revoke_report", duckdb_ctes("fx_grants", "fx_revocations") + """
+select distinct r.user_id, r.app,
+       exists (select 1 from fx_grants g where g.user_id = r.user_id and g.app = r.app) as removed
+from fx_revocations r""")
+def m3_revoke_report(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    return ch.revoke_report(ws.fx_grants, ws.fx_revocations)
+
+
+def _decisions(ws: Workspace, caller=CALLER):
+    return ch.validate_invites(ws.fx_requests, sx.as_invitations(ws.fx_accounts), ws.fx_grants,
+                               caller, _now())
+
+
+_INVITE_CTES = ("fx_requests", "fx_accounts", "fx_grants")
+_VALIDATE_SQL = """
+, admin as (select exists (select 1 from fx_grants where user_id = {caller} and app = 'platform'
+                           and role = 'app_admin') as ok),
+  r0 as (select r.*, lower(trim(r.target_email)) as email_clean,
+                r.grants is null or ltrim(r.grants) like '[%' as is_array
+         from fx_requests r),
+  el0 as (select r0.request_id, x.i,
+                 json_extract(coalesce(r0.grants, '[]'), '$[' || x.i || ']')::varchar as v
+          from r0, (select unnest(range(cast(json_array_length(coalesce(r0.grants, '[]')) as bigint))) as i) x
+          where r0.is_array),
+  el as (select *, json_extract_string(v, '$.app') as app, json_extract_string(v, '$.role') as role from el0),
+  el2 as (select request_id, i,
+                 case when app is null or role is null then 'missing_field'
+                      when role not in ('member', 'app_admin') then 'unknown_role'
+                      when app = 'platform' then 'platform' end as code,
+                 case when app is null or role is null then 'each grant needs an app and a role, got ' || v
+                      when role not in ('member', 'app_admin') then 'unknown role ' || role
+                      when app = 'platform' then 'platform admin cannot be granted by invitation — invite them first, then promote them from the grid'
+                 end as reason
+          from el),
+  firstbad as (select request_id, arg_min(code, i) as ecode, arg_min(reason, i) as ereason
+               from el2 where code is not null group by request_id),
+  acct as (select distinct lower(email) as email_clean from fx_accounts),
+  pre as (
+    select r0.request_id, r0.email_clean, r0.grants,
+      case when not (select ok from admin) then 'not_admin'
+           when r0.email_clean is null or not regexp_matches(r0.email_clean, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$') then 'bad_email'
+           when not r0.is_array then 'not_array'
+           when fb.ecode is not null then fb.ecode
+           when a.email_clean is not null then 'exists'
+           when count(*) over (partition by r0.email_clean) > 1 then 'duplicate' end as reason_code,
+      case when not (select ok from admin) then 'not authorised to invite users'
+           when r0.email_clean is null or not regexp_matches(r0.email_clean, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$') then 'not an email address: ' || r0.target_email
+           when not r0.is_array then 'grants must be a json array of {{app, role}}'
+           when fb.ecode is not null then fb.ereason
+           when a.email_clean is not null then r0.email_clean || ' already has an account — set their access from the grid instead'
+           when count(*) over (partition by r0.email_clean) > 1 then 'the same address appears more than once in this batch' end as reason
+    from r0 left join firstbad fb on fb.request_id = r0.request_id
+            left join acct a on a.email_clean = r0.email_clean),
+  recent as (select count(*) as n from fx_accounts where created_at > timestamp '{now}' - interval 1 hour),
+  ranked as (select request_id, row_number() over (order by request_id) as rk from pre where reason_code is null),
+  fin as (select pre.*, reason_code is null and coalesce(rk, 11) > greatest(10 - (select n from recent), 0) as over_cap
+          from pre left join ranked using (request_id))
+select request_id, email_clean as email, grants,
+       case when over_cap then 'rate_cap' else reason_code end as reason_code,
+       case when over_cap then 'too many invitations in the last hour (limit 10) — wait, or send it from the dashboard'
+            else reason end as reason,
+       reason_code is null and not over_cap as accepted
+from fin"""
+
+
+@register("m4_validate_invites", duckdb_ctes(*_INVITE_CTES) + _VALIDATE_SQL.format(caller=CALLER, now=NOW))
+def m4_validate_invites(spark, sf_dir):
+    return _decisions(Workspace(spark, sf_dir))
+
+
+@register("m4_validate_invites_not_admin",
+          duckdb_ctes(*_INVITE_CTES) + _VALIDATE_SQL.format(caller=OWNER, now=NOW))
+def m4_validate_invites_not_admin(spark, sf_dir):
+    return _decisions(Workspace(spark, sf_dir), caller=OWNER)
+
+
+_APPLY_SQL = _VALIDATE_SQL.replace("\nselect request_id, email_clean as email, grants,", """
+, decided as (select request_id, email_clean as email, grants,""", 1) + """
+  ), ok as (select d.*, (select max(user_id) from fx_accounts)
+                        + row_number() over (order by request_id) as user_id
+           from decided d where accepted),
+  ng as (select ok.user_id, unnest(from_json(coalesce(ok.grants, '[]'),
+                                             '[{{"app":"VARCHAR","role":"VARCHAR"}}]')) as g from ok)
+"""
+
+
+@register("m5_apply_invites_report", duckdb_ctes(*_INVITE_CTES) + _APPLY_SQL.format(caller=CALLER, now=NOW) + """
+select ok.user_id, ok.email, cast((select count(*) from ng where ng.user_id = ok.user_id) as integer) as granted
+from ok""")
+def m5_apply_invites_report(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    report, _, _ = ch.apply_invites(_decisions(ws), ws.fx_accounts, ws.fx_grants, CALLER, _now())
+    return report
+
+
+@register("m5_apply_invites_grants", duckdb_ctes(*_INVITE_CTES) + _APPLY_SQL.format(caller=CALLER, now=NOW) + f"""
+, nb as (select user_id, g.app as app, g.role as role, cast({CALLER} as bigint) as granted_by from ng)
+select coalesce(o.user_id, b.user_id) as user_id, coalesce(o.app, b.app) as app,
+       case when o.user_id is null then b.role when b.user_id is null then o.role else b.role end as role,
+       case when o.user_id is null then timestamp '{NOW}' else o.granted_at end as granted_at,
+       case when o.user_id is null then b.granted_by else o.granted_by end as granted_by
+from fx_grants o full outer join nb b on o.user_id = b.user_id and o.app = b.app""")
+def m5_apply_invites_grants(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    _, _, table = ch.apply_invites(_decisions(ws), ws.fx_accounts, ws.fx_grants, CALLER, _now())
+    return table
+
+
+def _targets(ws: Workspace, spark):
+    edge = spark.createDataFrame([(None,), (-1,)], "target_id bigint")
+    return (ws.fx_sessions.select(F.col("user_id").alias("target_id")).distinct().unionByName(edge))
+
+
+_TARGETS_SQL = """
+, targets as (select distinct user_id as target_id from fx_sessions
+              union all select cast(null as bigint) union all select cast(-1 as bigint))"""
+
+_DELETE_BODY = _TARGETS_SQL + """
+, admin as (select exists (select 1 from fx_grants where user_id = {caller} and app = 'platform'
+                           and role = 'app_admin') as ok),
+  padm as (select distinct user_id from fx_grants where app = 'platform' and role = 'app_admin'),
+  dec as (
+select t.target_id, a.email,
+       case when not (select ok from admin) then 'not_admin'
+            when t.target_id is null then 'no_id'
+            when t.target_id = {caller} then 'self'
+            when a.user_id is null then 'missing'
+            when p.user_id is not null then 'admin' end as reason_code,
+       case when not (select ok from admin) then 'not authorised to delete accounts'
+            when t.target_id is null then 'no account given'
+            when t.target_id = {caller} then 'you cannot delete the account you are signed in as'
+            when a.user_id is null then 'no account with that id — reload the page before trying again'
+            when p.user_id is not null then a.email || ' administers access rights — remove that first, then delete the account'
+       end as reason
+from targets t left join fx_accounts a on a.user_id = t.target_id
+left join padm p on p.user_id = t.target_id)"""
+
+
+def _delete_sql(caller, *extra):
+    return duckdb_ctes("fx_sessions", "fx_accounts", "fx_grants", *extra) + _DELETE_BODY.format(caller=caller)
+
+
+@register("m6_delete_decisions", _delete_sql(CALLER) + """
+select *, reason_code is null as accepted from dec""")
+def m6_delete_decisions(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    return ch.delete_decisions(_targets(ws, spark), ws.fx_accounts, ws.fx_grants, CALLER)
+
+
+def _accepted_targets(ws, spark):
+    d = ch.delete_decisions(_targets(ws, spark), ws.fx_accounts, ws.fx_grants, CALLER)
+    return d.filter("accepted").select("target_id")
+
+
+@register("m7_clear_attribution", duckdb_ctes("fx_grants") + f"""
+, t as (select distinct user_id as target_id from fx_grants
+        where app = 'platform' and role = 'app_admin' and user_id <> {CALLER})
+select g.user_id, g.app, g.role, g.granted_at,
+       case when t.target_id is not null and g.user_id <> t.target_id then null else g.granted_by end as granted_by
+from fx_grants g left join t on g.granted_by = t.target_id""")
+def m7_clear_attribution(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    t = acc.platform_admins(ws.fx_grants).filter(F.col("user_id") != CALLER) \
+        .select(F.col("user_id").alias("target_id"))
+    return ch.clear_attribution(ws.fx_grants, t)
+
+
+@register("m8_cascade_delete", _delete_sql(CALLER, "fx_personal") + """
+, acc_t as (select target_id from dec where reason_code is null)
+select p.* from fx_personal p
+where not exists (select 1 from acc_t where acc_t.target_id = p.owner_id)""")
+def m8_cascade_delete(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    return ch.cascade_delete(ws.fx_personal, "owner_id", "c", _accepted_targets(ws, spark))
+
+
+@register("m8_set_null", _delete_sql(CALLER, "fx_personal") + """
+, acc_t as (select target_id from dec where reason_code is null)
+select p.row_id, p.app,
+       case when exists (select 1 from acc_t where acc_t.target_id = p.owner_id) then null else p.owner_id end as owner_id,
+       p.value
+from fx_personal p""")
+def m8_set_null(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    return ch.cascade_delete(ws.fx_personal, "owner_id", "n", _accepted_targets(ws, spark))
+
+
+@register("m8_blocking_targets", duckdb_ctes("fx_grants", "fx_sessions") + """
+select distinct s.user_id as target_id from fx_sessions s
+where exists (select 1 from fx_grants g where g.granted_by = s.user_id)""")
+def m8_blocking_targets(spark, sf_dir):
+    """Targets a no-action key on grants.granted_by would block (before M7 clears it)."""
+    ws = Workspace(spark, sf_dir)
+    t = ws.fx_sessions.select(F.col("user_id").alias("target_id"))
+    return ch.blocking_targets(ws.fx_grants, "granted_by", t)
+
+
+@register("m9_end_sessions_report", duckdb_ctes("fx_sessions", "fx_revocations") + """
+, t as (select distinct user_id from fx_revocations)
+select t.user_id,
+       (select count(*) from fx_sessions s where s.user_id = t.user_id) as sessions_ended,
+       (select count(*) from fx_sessions s where s.user_id_text = cast(t.user_id as varchar)) as tokens_revoked
+from t""")
+def m9_end_sessions_report(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    s = ws.fx_sessions
+    report, _, _ = ch.end_sessions(s, s.select("session_id", "user_id_text"),
+                                   ws.fx_revocations.select(F.col("user_id").alias("target_id")))
+    return report
+
+
+@register("m9_remaining_sessions", duckdb_ctes("fx_sessions", "fx_revocations") + """
+select s.* from fx_sessions s where s.user_id not in (select user_id from fx_revocations)""")
+def m9_remaining_sessions(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    s = ws.fx_sessions
+    _, rest, _ = ch.end_sessions(s, s.select("session_id", "user_id_text"),
+                                 ws.fx_revocations.select(F.col("user_id").alias("target_id")))
+    return rest
+
+
+def _changes(ws: Workspace):
+    g = ws.fx_grants
+    flips = g.select(F.concat(F.lit("g:"), F.col("user_id").cast("string"), F.lit(":"), "app").alias("change_id"),
+                     "user_id", "app",
+                     F.when(F.col("role") == "member", F.lit("app_admin")).alias("role"))
+    revs = ws.fx_revocations.select(
+        F.concat(F.lit("r:"), F.col("user_id").cast("string"), F.lit(":"), "app").alias("change_id"),
+        "user_id", "app", F.lit(None).cast("string").alias("role"))
+    promos = ws.fx_accounts.filter(F.col("last_sign_in_at").isNull()).select(
+        F.concat(F.lit("p:"), F.col("user_id").cast("string")).alias("change_id"),
+        "user_id", F.lit(acc.PLATFORM).alias("app"), F.lit(acc.ADMIN).alias("role"))
+    return flips.unionByName(revs).unionByName(promos)
+
+
+@register("m10_decide_changes", duckdb_ctes("fx_grants", "fx_revocations", "fx_accounts") + f"""
+, changes as (
+  select 'g:' || cast(user_id as varchar) || ':' || app as change_id, user_id, app,
+         case when role = 'member' then 'app_admin' end as role from fx_grants
+  union all
+  select 'r:' || cast(user_id as varchar) || ':' || app, user_id, app, cast(null as varchar) from fx_revocations
+  union all
+  select 'p:' || cast(user_id as varchar), user_id, 'platform', 'app_admin' from fx_accounts
+  where last_sign_in_at is null),
+  j as (select c.*, g.role as current_role from changes c
+        left join fx_grants g on g.user_id = c.user_id and g.app = c.app),
+  o as (select *, case when role is not distinct from current_role then 'no-op'
+                       when user_id = {CALLER} and app = 'platform' and role is null then 'refused'
+                       when app = 'platform' and role = 'app_admin' and user_id <> {CALLER} then 'needs_confirmation'
+                       else 'apply' end as outcome from j)
+select change_id, user_id, app, role, current_role, outcome,
+       outcome = 'apply' and role is null and user_id <> {CALLER} as end_sessions
+from o""")
+def m10_decide_changes(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    return ch.decide_changes(_changes(ws), ws.fx_grants, CALLER)
+
+
+def _probe_rows(ws: Workspace):
+    """Rows caller 6 inserts into the `view` table: their own `signup` rows, re-keyed."""
+    return (ws.fx_personal.filter((F.col("app") == "signup") & (F.col("owner_id") == OWNER))
+            .select((F.col("row_id") + 1_000_000_000).alias("row_id"), F.lit(APP).alias("app"),
+                    "owner_id", "value"))
+
+
+@register("m11_governed_insert", duckdb_ctes("fx_personal") + f"""
+select * from fx_personal where app = '{APP}'
+union all
+select row_id + 1000000000, '{APP}', owner_id, value from fx_personal
+where app = 'signup' and owner_id = {OWNER}""")
+def m11_governed_insert(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    base = ws.fx_personal.filter(F.col("app") == APP)
+    return ch.governed_insert(base, _probe_rows(ws), ws.fx_grants, "personal", APP, OWNER, "owner_id")
+
+
+@register("m11_insert_violations", duckdb_ctes("fx_personal", "fx_grants") + f"""
+select row_id + 1000000000 as row_id, '{APP}' as app, owner_id, value from fx_personal
+where app = 'signup' and owner_id = {OWNER}
+  and not (exists (select 1 from fx_grants where user_id = {MEMBER} and app = '{APP}')
+           and owner_id is not distinct from {MEMBER})""")
+def m11_insert_violations(spark, sf_dir):
+    """Caller 0 trying to insert caller 6's rows: every one would be refused."""
+    ws = Workspace(spark, sf_dir)
+    return ch.governed_insert_violations(_probe_rows(ws), ws.fx_grants, "personal", APP, MEMBER, "owner_id")
+
+
+_UPD_WHERE = "value > 10"
+
+
+@register("m12_governed_update", duckdb_ctes("fx_personal", "fx_grants") + f"""
+select row_id, app, owner_id,
+       case when value > 10 and exists (select 1 from fx_grants where user_id = {MEMBER} and app = '{APP}')
+                 and owner_id is not distinct from {MEMBER} then value * 2 else value end as value
+from fx_personal where app = '{APP}'""")
+def m12_governed_update(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    base = ws.fx_personal.filter(F.col("app") == APP)
+    out, _ = ch.governed_update(base, ws.fx_grants, "personal", APP, MEMBER, F.expr(_UPD_WHERE),
+                                {"value": F.col("value") * 2}, "owner_id")
+    return out
+
+
+@register("m12_update_affected", duckdb_ctes("fx_personal", "fx_grants") + f"""
+select count(*) as affected from fx_personal
+where app = '{APP}' and value > 10 and owner_id = {MEMBER}
+  and exists (select 1 from fx_grants where user_id = {MEMBER} and app = '{APP}')""")
+def m12_update_affected(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    base = ws.fx_personal.filter(F.col("app") == APP)
+    _, n = ch.governed_update(base, ws.fx_grants, "personal", APP, MEMBER, F.expr(_UPD_WHERE),
+                              {"value": F.col("value") * 2}, "owner_id")
+    return n
+
+
+_DEL_SQL = duckdb_ctes("fx_personal", "fx_grants", "fx_policies") + f"""
+select count(*) as affected from fx_personal
+where app = '{APP}' and value > 10
+  and exists (select 1 from fx_grants where user_id = {OWNER} and app = '{APP}')
+  and owner_id = {OWNER}
+  and exists (select 1 from fx_policies where tablename = '{{table}}' and upper(cmd) in ('DELETE', 'ALL'))"""
+
+
+@register("m12_delete_blocked", _DEL_SQL.replace("{table}", "rel_2"))
+def m12_delete_blocked(spark, sf_dir):
+    """Table rel_2 has only a SELECT policy: the delete affects nothing."""
+    ws = Workspace(spark, sf_dir)
+    base = ws.fx_personal.filter(F.col("app") == APP)
+    _, n = ch.governed_delete(base, ws.fx_grants, "personal", APP, OWNER, F.expr(_UPD_WHERE),
+                              "owner_id", ws.fx_policies, "rel_2")
+    return n
+
+
+@register("m12_delete_allowed", _DEL_SQL.replace("{table}", "rel_1"))
+def m12_delete_allowed(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    base = ws.fx_personal.filter(F.col("app") == APP)
+    _, n = ch.governed_delete(base, ws.fx_grants, "personal", APP, OWNER, F.expr(_UPD_WHERE),
+                              "owner_id", ws.fx_policies, "rel_1")
+    return n
+
+
+@register("m14_mark_instead_of_delete", duckdb_ctes("fx_claims") + """
+select id, person, service, service_date, tax_year, amount_submitted, amount_paid, insurer,
+       case when flag_status = 'suspected' then 'duplicate' else status end as status,
+       flag_status, note, created_at
+from fx_claims""")
+def m14_mark_instead_of_delete(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    c = ws.fx_claims
+    return ch.mark_instead_of_delete(c, c.filter(F.col("flag_status") == "suspected"), "id", "duplicate")
+
+
+@register("m15_backfill_owner", duckdb_ctes("fx_personal") + f"""
+select row_id, app, coalesce(owner_id, {CALLER}) as owner_id, value from fx_personal""")
+def m15_backfill_owner(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    return ch.backfill_owner(ws.fx_personal, "owner_id", CALLER)
+
+
+def _new_verdicts(ws: Workspace):
+    m = ws.fx_matches
+    rescored = m.filter(F.col("user_id") == 1).select(
+        "posting_id", "user_id", ((F.col("score") + 7) % 101).alias("score"))
+    fresh = ws.documents.filter(F.col("doc_id") % 3 == 0).select(
+        F.col("doc_id").alias("posting_id"), F.lit(2).cast("bigint").alias("user_id"),
+        (F.col("doc_id") % 101).alias("score"))
+    return rescored.unionByName(fresh)
+
+
+@register("m16_upsert_verdicts", duckdb_ctes("fx_matches") + """
+, nv as (select posting_id, user_id, (score + 7) % 101 as score from fx_matches where user_id = 1
+         union all select doc_id, 2, doc_id % 101 from documents where doc_id % 3 = 0)
+select coalesce(m.posting_id, n.posting_id) as posting_id, coalesce(m.user_id, n.user_id) as user_id,
+       case when n.posting_id is null then m.score else n.score end as score
+from fx_matches m full outer join nv n on m.posting_id = n.posting_id and m.user_id = n.user_id""")
+def m16_upsert_verdicts(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    return ch.upsert(ws.fx_matches, _new_verdicts(ws), ("posting_id", "user_id"), ["score"], what="verdict")
+
+
+@register("m17_dismiss", duckdb_ctes("fx_dismissed", "fx_matches") + """
+select distinct posting_id, user_id from (
+  select posting_id, user_id from fx_dismissed
+  union all select posting_id, user_id from fx_matches where score < 5)""")
+def m17_dismiss(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    new = ws.fx_matches.filter(F.col("score") < 5).select("posting_id", "user_id")
+    return ch.dismiss(ws.fx_dismissed, new)
