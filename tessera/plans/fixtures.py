@@ -162,13 +162,21 @@ class Workspace:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
+        self._fx: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        # one DataFrame per table and query: lazy, so nothing is cached but
+        # the file listing, and the next Workspace reads the files again
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._tables[name]
 
     def fx(self, name: str) -> DataFrame:
-        sql = FIXTURES[name]
-        return self.spark.sql(sql, **{t: self.table(t) for t in base_tables_of(sql)})
+        if name not in self._fx:
+            sql = FIXTURES[name]
+            self._fx[name] = self.spark.sql(sql, **{t: self.table(t) for t in base_tables_of(sql)})
+        return self._fx[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("fx_"):

@@ -284,3 +284,25 @@ def a10_probe(spark, sf_dir):
     ws = Workspace(spark, sf_dir)
     probes = spark.createDataFrame(PROBES, "seq int, label string, caller bigint, expect string")
     return acc.probe(_personal(ws), ws.fx_grants, probes, APP, "owner_id")
+
+
+# §2.12: the same decisions as native SQL functions over a session variable
+
+@register("sql_governed_personal",
+          duckdb_ctes("fx_grants", "fx_personal") + _PERSONAL_SQL.format(caller=ADMIN_CALLER, app=APP))
+def sql_governed_personal(spark, sf_dir):
+    from tessera.functions import sql as fsql
+    ws = Workspace(spark, sf_dir)
+    fsql.register_access_functions(spark, ws.fx_grants, ws.fx_accounts)
+    fsql.set_caller(spark, ADMIN_CALLER)
+    return spark.sql(f"""SELECT * FROM {{p}} WHERE app = '{APP}' AND has_app_access('{APP}')
+                         AND (app_role('{APP}') = 'app_admin' OR owner_id = caller)""", p=ws.fx_personal)
+
+
+@register("sql_list_app_users", duckdb_ctes("fx_accounts", "fx_grants") + _LIST_SQL.format(caller=MEMBER_CALLER))
+def sql_list_app_users(spark, sf_dir):
+    from tessera.functions import sql as fsql
+    ws = Workspace(spark, sf_dir)
+    fsql.register_access_functions(spark, ws.fx_grants, ws.fx_accounts)
+    fsql.set_caller(spark, MEMBER_CALLER)
+    return spark.sql("SELECT * FROM list_app_users()")
