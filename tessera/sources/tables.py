@@ -70,7 +70,7 @@ def export_pages(df: DataFrame, key: str, path: str, size: int = PAGE_SIZE) -> N
     numbered = page_numbers(df, key, size)
     pages = (numbered.groupBy("_page")
              .agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("_k"),
-                                                       F.to_json(F.struct(*cols)).alias("_j")))).alias("_rows"))
+                                                       F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("_j")))).alias("_rows"))
              .select("_page", F.concat(F.lit("["), F.array_join(F.transform("_rows", lambda r: r["_j"]), ","),
                                        F.lit("]")).alias("value")))
     pages.repartition("_page").write.mode("errorifexists").partitionBy("_page").text(path)
