@@ -179,9 +179,10 @@ def validate_invites(requests: DataFrame, accounts: DataFrame, grants: DataFrame
                            is_array.alias("_is_array"))
     existing = accounts.select(F.lower("email").alias("email_clean")).distinct() \
         .withColumn("_exists", F.lit(True))
-    j = base.join(existing, "email_clean", "left")
-    dup = F.count(F.lit(1)).over(Window.partitionBy("email_clean"))
-    j = j.withColumn("_dups", dup)
+    # duplicates by a partial aggregate joined back on the address (AQE can
+    # split a skewed join partition; it cannot split a window partition)
+    dups = base.groupBy("email_clean").agg(F.count(F.lit(1)).alias("_dups"))
+    j = base.join(existing, "email_clean", "left").join(dups, "email_clean", "left")
     admin = acc.is_platform_admin(grants, caller)
     code = (F.when(~admin, F.lit("not_admin"))
             .when(F.col("email_clean").isNull() | ~sx.is_email("email_clean"), F.lit("bad_email"))
