@@ -97,20 +97,31 @@ def json_array_type_ok(c) -> Column:
     return F.substring(F.ltrim(F.regexp_replace(_c(c), r"^\s+", "")), 1, 1) == F.lit("[")
 
 
-def link_params(url) -> Column:
-    """Map of link parameters, from the fragment first then the query.
-
-    ``+`` decodes to a space, as in form encoding.
-    """
-    u = _c(url)
-
-    def to_map(part):
-        return F.transform_values(
-            F.str_to_map(F.coalesce(part, F.lit("")), F.lit("&"), F.lit("=")),
-            lambda k, v: F.url_decode(v))
-    frag = F.parse_url(u, F.lit("REF"))
-    query = F.parse_url(u, F.lit("QUERY"))
-    return F.map_concat(to_map(query), to_map(frag))
+def _param_pairs(part: Column, priority: int) -> Column:
+    """(priority, pos, key, value) structs of one `a=b&c=d` part, decoded
+    as form parameters (`+` is a space; a key without `=` has value '')."""
+    items = F.filter(F.split(F.coalesce(part, F.lit("")), "&"), lambda x: x != "")
+    return F.transform(items, lambda kv, i: F.struct(
+        F.lit(priority).alias("priority"), i.alias("pos"),
+        F.url_decode(F.split(kv, "=", 2)[0]).alias("key"),
+        F.url_decode(F.coalesce(F.try_element_at(F.split(kv, "=", 2), F.lit(2)), F.lit(""))).alias("value")))
+
+
+def link_params(df: DataFrame, id_col: str, url_col: str) -> DataFrame:
+    """(id, key, value) for every parameter of a link; a parameter in the
+    fragment wins over the same one in the query, and the first occurrence
+    within a part wins. Each link's parameters are grouped on their own."""
+    u = F.col(url_col)
+    pairs = F.concat(_param_pairs(F.parse_url(u, F.lit("REF")), 0),
+                     _param_pairs(F.parse_url(u, F.lit("QUERY")), 1))
+    ex = df.select(id_col, F.explode(pairs).alias("p")).select(id_col, "p.*")
+    return (ex.groupBy(id_col, "key")
+            .agg(F.min_by("value", F.struct("priority", "pos")).alias("value")))
+
+
+def invite_link(base: str, redirect_col) -> Column:
+    """`base?redirect_to=<url-encoded target>`."""
+    return F.concat(F.lit(base + "?redirect_to="), F.url_encode(_c(redirect_col)))
 
 
 def checksum_line(cols: list[str], ts_cols: tuple[str, ...] = (), guard_all: bool = True) -> Column:

@@ -115,3 +115,31 @@ from fx_requests r""")
 def a8_flatten_apps(spark, sf_dir):
     ws = Workspace(spark, sf_dir)
     return rp.flatten_apps(ws.fx_requests, ws.fx_app_catalog)
+
+
+@register("link_params", """
+, parts as (select page_id,
+                   regexp_extract(url, '#(.*)$', 1) as frag,
+                   regexp_extract(url, '^[^#?]*[?]([^#]*)', 1) as q from pages),
+  items as (select page_id, 0 as priority, unnest(string_split(frag, '&')) as kv,
+                   unnest(generate_series(1, len(string_split(frag, '&')))) as pos from parts
+            union all
+            select page_id, 1, unnest(string_split(q, '&')), unnest(generate_series(1, len(string_split(q, '&'))))
+            from parts),
+  kv as (select page_id, priority, pos,
+                url_decode(replace(split_part(kv, '=', 1), '+', ' ')) as key,
+                url_decode(replace(case when strpos(kv, '=') > 0 then substr(kv, strpos(kv, '=') + 1) else '' end,
+                                   '+', ' ')) as value
+         from items where kv <> '')
+select page_id, key, arg_min(value, priority * 1000000 + pos) as value from kv group by page_id, key""".replace(
+    "\n, parts as", "WITH parts as", 1))
+def link_params(spark, sf_dir):
+    """Link parameters as the invitation landing page reads them (R)."""
+    return sx.link_params(Workspace(spark, sf_dir).pages, "page_id", "url")
+
+
+@register("invite_links", """
+select page_id, 'https://auth.example.com/invite?redirect_to=' || url_encode(url) as link from pages""")
+def invite_links(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    return ws.pages.select("page_id", sx.invite_link("https://auth.example.com/invite", "url").alias("link"))
