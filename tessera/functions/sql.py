@@ -8,7 +8,11 @@ temp views and creates, as temporary SQL functions (no Python involved):
 * ``list_app_users()`` — a table function: all accounts for a platform
   admin, an empty set for anyone else.
 
-Policies can then be written as plain SQL, e.g.
+Spark treats a function argument as an outer reference, so a call in a
+WHERE clause is decorrelated into a broadcast join with the caller's own
+grants: at most one row per app, whatever the size of the governed table.
+(The DataFrame operators in ``tessera.operators.access`` plan the same
+decision as a subquery evaluated once.) Policies can then be written as plain SQL, e.g.
 ``SELECT * FROM t WHERE has_app_access('view') AND (app_role('view') =
 'app_admin' OR owner_id = caller)``. A DataFrame binds the variable's value
 when it is created (analysis time), so set the caller first. The functions
@@ -29,12 +33,12 @@ def register_access_functions(spark: SparkSession, grants: DataFrame, accounts:
     grants.createOrReplaceTempView(GRANTS_VIEW)
     spark.sql(f"DECLARE OR REPLACE VARIABLE caller {user_type} DEFAULT NULL")
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION has_app_access(app_name STRING) RETURNS BOOLEAN
-        RETURN EXISTS (SELECT 1 FROM {GRANTS_VIEW} WHERE user_id = caller AND app = app_name)""")
+        RETURN (SELECT count(1) > 0 FROM {GRANTS_VIEW} WHERE user_id = caller AND app = app_name)""")
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION app_role(app_name STRING) RETURNS STRING
         RETURN (SELECT role FROM {GRANTS_VIEW} WHERE user_id = caller AND app = app_name)""")
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION is_platform_admin() RETURNS BOOLEAN
-        RETURN EXISTS (SELECT 1 FROM {GRANTS_VIEW}
-                       WHERE user_id = caller AND app = 'platform' AND role = 'app_admin')""")
+        RETURN (SELECT count(1) > 0 FROM {GRANTS_VIEW}
+                WHERE user_id = caller AND app = 'platform' AND role = 'app_admin')""")
     if accounts is not None:
         accounts.createOrReplaceTempView(ACCOUNTS_VIEW)
         ts = dict(accounts.dtypes).get("created_at", "timestamp_ntz")

@@ -1,6 +1,9 @@
 """Derived views over the driver's tables (FIXTURES.md §3).
 
-Each view is SQL in the common subset of Spark SQL and DuckDB. Base tables are
+Each view is SQL in the common subset of Spark SQL and DuckDB (fx_matches
+writes FIXTURES.md's `(doc_id + user_id) % 3 = 0` as the equivalent equality
+`doc_id % 3 = (3 - user_id % 3) % 3`, valid for the non-negative ids, so it
+plans as a hash join instead of a nested loop). Base tables are
 written as ``{name}`` placeholders: Spark binds them to DataFrames through
 ``spark.sql(text, name=df)``, DuckDB to its registered views. Literal braces
 are doubled, as in ``str.format``.
@@ -128,7 +131,7 @@ group by o_orderpriority""",
 select d.doc_id as posting_id, u.user_id, (d.doc_id * 31 + u.user_id * 17) % 101 as score
 from {documents} d
 join (select distinct user_id from {events} where user_id < 10) u
-  on (d.doc_id + u.user_id) % 3 = 0""",
+  on d.doc_id % 3 = (3 - u.user_id % 3) % 3""",
     "fx_dismissed": """
 select distinct (event_id % 200) as posting_id, user_id
 from {events} where event_type = 'error' and user_id < 10""",
