@@ -136,21 +136,18 @@ def revoke_report(grants: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 # M4
-def _entry_reason(e: Column) -> Column:
+def _entry_check(e: Column) -> Column:
+    """(code, reason) of the first rule one grant entry breaks, or nulls."""
     app = F.get_json_object(e, "$.app")
     role = F.get_json_object(e, "$.role")
-    return (F.when(app.isNull() | role.isNull(),
-                   F.concat(F.lit(INVITE_REASONS["missing_field"]), e))
-            .when(~role.isin(*acc.ROLES), F.concat(F.lit(INVITE_REASONS["unknown_role"]), role))
-            .when(app == acc.PLATFORM, F.lit(INVITE_REASONS["platform"])))
-
-
-def _entry_code(e: Column) -> Column:
-    app = F.get_json_object(e, "$.app")
-    role = F.get_json_object(e, "$.role")
-    return (F.when(app.isNull() | role.isNull(), F.lit("missing_field"))
-            .when(~role.isin(*acc.ROLES), F.lit("unknown_role"))
-            .when(app == acc.PLATFORM, F.lit("platform")))
+    parsed = F.struct(e.alias("raw"), app.alias("app"), role.alias("role"))
+    return F.transform(F.array(parsed), lambda p: F.struct(
+        F.when(p["app"].isNull() | p["role"].isNull(), F.lit("missing_field"))
+        .when(~p["role"].isin(*acc.ROLES), F.lit("unknown_role"))
+        .when(p["app"] == acc.PLATFORM, F.lit("platform")).alias("code"),
+        F.when(p["app"].isNull() | p["role"].isNull(), F.concat(F.lit(INVITE_REASONS["missing_field"]), p["raw"]))
+        .when(~p["role"].isin(*acc.ROLES), F.concat(F.lit(INVITE_REASONS["unknown_role"]), p["role"]))
+        .when(p["app"] == acc.PLATFORM, F.lit(INVITE_REASONS["platform"])).alias("reason")))[0]
 
 
 def validate_invites(requests: DataFrame, accounts: DataFrame, grants: DataFrame, caller,
@@ -163,47 +160,45 @@ def validate_invites(requests: DataFrame, accounts: DataFrame, grants: DataFrame
     not an array (null means none); the first bad entry (missing app or role,
     unknown role, ``platform``); an account exists; duplicate address in the
     batch; the hourly cap. Entries are checked in-row with higher-order array
-    functions. The cap counts invitations in the hour before ``now`` plus the
-    earlier accepted requests of the batch (by ``key``): at most
-    ``cap - recent`` requests can pass, found with a distributed top-k.
+    functions (each entry parsed once). The cap counts invitations in the
+    hour before ``now`` plus the earlier accepted requests of the batch (by
+    ``key``): at most ``cap - recent`` requests can pass, found with a
+    distributed top-k.
     """
-    email = sx.normalize_email(email_col)
     raw = F.col(grants_col)
     is_array = raw.isNull() | sx.json_array_type_ok(raw)
     elems = F.from_json(F.coalesce(raw, F.lit("[]")), "array<string>")
-    codes = F.filter(F.transform(elems, _entry_code), lambda c: c.isNotNull())
-    reasons = F.filter(F.transform(elems, _entry_reason), lambda c: c.isNotNull())
-    base = requests.select(key, email_col, grants_col, email.alias("email_clean"),
-                           F.when(is_array, F.try_element_at(codes, F.lit(1))).alias("_ecode"),
-                           F.when(is_array, F.try_element_at(reasons, F.lit(1))).alias("_ereason"),
-                           is_array.alias("_is_array"))
+    bad = F.filter(F.transform(elems, _entry_check), lambda c: c["code"].isNotNull())
+    base = (requests.select(key, email_col, grants_col, sx.normalize_email(email_col).alias("email_clean"),
+                            is_array.alias("_is_array"))
+            .withColumn("_bad", F.when(F.col("_is_array"), F.try_element_at(bad, F.lit(1)))))
     existing = accounts.select(F.lower("email").alias("email_clean")).distinct() \
         .withColumn("_exists", F.lit(True))
     # duplicates by a partial aggregate joined back on the address (AQE can
     # split a skewed join partition; it cannot split a window partition)
     dups = base.groupBy("email_clean").agg(F.count(F.lit(1)).alias("_dups"))
     j = base.join(existing, "email_clean", "left").join(dups, "email_clean", "left")
-    admin = acc.is_platform_admin(grants, caller)
-    code = (F.when(~admin, F.lit("not_admin"))
-            .when(F.col("email_clean").isNull() | ~sx.is_email("email_clean"), F.lit("bad_email"))
+    j = j.withColumn("_admin", acc.is_platform_admin(grants, caller)).withColumn(
+        "_email_ok", F.coalesce(sx.is_email("email_clean"), F.lit(False)))
+    code = (F.when(~F.col("_admin"), F.lit("not_admin"))
+            .when(~F.col("_email_ok"), F.lit("bad_email"))
             .when(~F.col("_is_array"), F.lit("not_array"))
-            .when(F.col("_ecode").isNotNull(), F.col("_ecode"))
+            .when(F.col("_bad").isNotNull(), F.col("_bad.code"))
             .when(F.col("_exists"), F.lit("exists"))
             .when(F.col("_dups") > 1, F.lit("duplicate")))
-    reason = (F.when(~admin, F.lit(INVITE_REASONS["not_admin"]))
-              .when(F.col("email_clean").isNull() | ~sx.is_email("email_clean"),
-                    F.concat(F.lit(INVITE_REASONS["bad_email"]), F.col(email_col)))
-              .when(~F.col("_is_array"), F.lit(INVITE_REASONS["not_array"]))
-              .when(F.col("_ecode").isNotNull(), F.col("_ereason"))
-              .when(F.col("_exists"), F.concat(F.col("email_clean"), F.lit(INVITE_REASONS["exists"])))
-              .when(F.col("_dups") > 1, F.lit(INVITE_REASONS["duplicate"])))
-    pre = j.select(key, email_col, grants_col, "email_clean", code.alias("reason_code"), reason.alias("reason"))
+    pre = j.select(key, email_col, grants_col, "email_clean", "_bad", code.alias("reason_code"))
+    reason = (F.when(F.col("reason_code") == "not_admin", F.lit(INVITE_REASONS["not_admin"]))
+              .when(F.col("reason_code") == "bad_email", F.concat(F.lit(INVITE_REASONS["bad_email"]), F.col(email_col)))
+              .when(F.col("reason_code") == "not_array", F.lit(INVITE_REASONS["not_array"]))
+              .when(F.col("reason_code") == "exists",
+                    F.concat(F.col("email_clean"), F.lit(INVITE_REASONS["exists"])))
+              .when(F.col("reason_code") == "duplicate", F.lit(INVITE_REASONS["duplicate"]))
+              .when(F.col("reason_code").isNotNull(), F.col("_bad.reason")))
     recent = accounts.filter(F.col(invited_col) > now - F.expr("INTERVAL 1 HOUR")).select(
         F.count(F.lit(1))).scalar()
     room = F.greatest(F.lit(cap) - recent, F.lit(0))
     # the first `room` passing requests by key: a top-k of at most `cap` rows
-    passing = pre.filter(F.col("reason_code").isNull())
-    firsts = (passing.select(key).orderBy(key).limit(cap)
+    firsts = (pre.filter(F.col("reason_code").isNull()).select(key).orderBy(key).limit(cap)
               .withColumn("_rank", F.row_number().over(Window.orderBy(key))))
     res = pre.join(F.broadcast(firsts), key, "left")
     over_cap = F.col("reason_code").isNull() & (F.coalesce(F.col("_rank"), F.lit(cap + 1)) > room)
@@ -211,7 +206,7 @@ def validate_invites(requests: DataFrame, accounts: DataFrame, grants: DataFrame
     return res.select(
         key, F.col("email_clean").alias("email"), grants_col,
         F.when(over_cap, F.lit("rate_cap")).otherwise(F.col("reason_code")).alias("reason_code"),
-        F.when(over_cap, F.lit(cap_msg)).otherwise(F.col("reason")).alias("reason"),
+        F.when(over_cap, F.lit(cap_msg)).otherwise(reason).alias("reason"),
         (F.col("reason_code").isNull() & ~over_cap).alias("accepted"))
 
 
