@@ -50,5 +50,4 @@ def register_access_functions(spark: SparkSession, grants: DataFrame, accounts:
 
 def set_caller(spark: SparkSession, caller) -> None:
     """Sign in as ``caller`` (None: nobody) for DataFrames created from now on."""
-    value = "NULL" if caller is None else (str(int(caller)) if isinstance(caller, int) else f"'{caller}'")
-    spark.sql(f"SET VARIABLE caller = {value}")
+    spark.sql("SET VARIABLE caller = :c", args={"c": caller})

@@ -211,10 +211,20 @@ def erasure_impact(targets: DataFrame, tables: list[tuple[str, DataFrame, str, s
 
 # U3
 def row_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows lost (in a, not b) or added (in b, not a), multiplicity kept."""
-    lost = a.exceptAll(b).withColumn("side", F.lit("lost"))
-    added = b.exceptAll(a).withColumn("side", F.lit("added"))
-    return lost.unionByName(added)
+    """Rows lost (in a, not b) or added (in b, not a), multiplicity kept.
+
+    One pass: rows are tagged +1 (a) / -1 (b), grouped on every column
+    (nulls group together, as in EXCEPT ALL) with map-side partial sums, and
+    a net count other than zero is expanded back into that many rows. Two
+    ``exceptAll`` calls would scan and shuffle both copies twice.
+    """
+    cols = a.columns
+    tagged = (a.select(*cols, F.lit(1).alias("_n"))
+              .unionByName(b.select(*cols, F.lit(-1).alias("_n"))))
+    net = tagged.groupBy(*cols).agg(F.sum("_n").alias("_n")).filter(F.col("_n") != 0)
+    return (net.withColumn("side", F.when(F.col("_n") > 0, F.lit("lost")).otherwise(F.lit("added")))
+            .withColumn("_k", F.explode(F.array_repeat(F.lit(1), F.abs(F.col("_n")).cast("int"))))
+            .drop("_n", "_k"))
 
 
 # M13
