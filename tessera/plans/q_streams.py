@@ -164,7 +164,7 @@ def t1_governed_stream(spark, sf_dir):
     personal.write.parquet(f"{base}/in")
     src = st.file_stream(spark, f"{base}/in", personal.schema)
     st.governed_stream(src, f"{base}/grants", APP, "owner_id", f"{base}/out", f"{base}/ckpt")
-    return spark.read.schema(personal.schema).parquet(f"{base}/out")
+    return spark.read.parquet(f"{base}/out").select(*personal.columns)
 
 
 @register("t2_stream_rate_cap", _FOLD_SQL)

@@ -41,14 +41,16 @@ def governed_stream(events: DataFrame, grants_root: str, app: str, owner_col: st
                     checkpoint: str) -> None:
     """Rows of ``app`` whose owner holds a grant on it *at the time of the
     micro-batch*: grants are re-read from the newest published version for
-    every batch, so a revocation applies from the next batch on."""
+    every batch, so a revocation applies from the next batch on. Each batch
+    overwrites its own ``out/epoch=<id>`` directory, so a replay after a
+    failure cannot duplicate rows."""
     spark = events.sparkSession
 
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
         grants = pub.read_published(spark, grants_root, "grants")  # fresh each batch
         allowed = grants.filter(F.col("app") == app).select(F.col("user_id").alias(owner_col))
         (batch.filter(F.col("app") == app).join(allowed, owner_col, "left_semi")
-         .write.mode("append").parquet(out))
+         .write.mode("overwrite").parquet(f"{out}/epoch={epoch_id}"))
 
     q = (events.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
@@ -62,7 +64,9 @@ def stream_rate_cap(requests: DataFrame, key: str = "inviter", ts_col: str = "at
 
     State per key is the accepted times of the last hour (at most ``cap``
     values); the watermark of one hour bounds how late an attempt may be.
-    Within a micro-batch a key's attempts are decided in time order.
+    Within a micro-batch a key's attempts are decided in time order; the rows
+    one key brings in one micro-batch are bounded by the trigger size
+    (maxFilesPerTrigger / maxBytesPerTrigger), not by the stream's history.
     """
     ev = requests.withColumn("_ts", F.col(ts_col).cast("timestamp")).withWatermark("_ts", "1 hour")
     key_type = requests.schema[key].dataType.simpleString()
@@ -104,33 +108,41 @@ def stream_stale_token(access: DataFrame, revocations: DataFrame, ttl_seconds: i
 # T4
 def stream_current_grants(changes: DataFrame, root: str, checkpoint: str, key=("user_id", "app"),
                           ts_col: str = "changed_at") -> None:
-    """Maintain the current grants from a change log: each micro-batch is
-    merged with the published state by W3's rule (latest change wins, a
-    change older than the stored time is ignored) and a new version is
-    published."""
-    spark = changes.sparkSession
-
+    """Maintain current grants from a change stream.
+
+    Each micro-batch reduces its changes to the latest per key (``max_by``, a
+    partial aggregate) and writes only those rows to ``root/log/epoch=<id>``;
+    overwriting that one directory makes a replayed batch idempotent. The
+    current state is W3's rule over the log (latest change wins, so a late
+    change older than the stored one is ignored); ``compact`` folds the log
+    into a published snapshot. A batch never rewrites the whole state.
+    """
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
-        latest = batch.groupBy(*key).agg(F.max_by(F.struct("action", "role", ts_col, "change_id"),
+        latest = batch.groupBy(*key).agg(F.max_by(F.struct("change_id", "action", "role", ts_col),
                                                   F.struct(ts_col, "change_id")).alias("_l"))
-        new = latest.select(*key, "_l.action", "_l.role", F.col(f"_l.{ts_col}").alias("_t"))
-        m = pub.current_manifest(spark, root)
-        if m and "state" in m["tables"]:
-            cur = spark.read.parquet(m["tables"]["state"])
-        else:
-            cur = spark.createDataFrame([], new.schema)
-        j = cur.alias("c").join(new.alias("n"), list(key), "full_outer")
-        take_new = F.col("n._t").isNotNull() & (F.col("c._t").isNull() | (F.col("n._t") > F.col("c._t")))
-        state = j.select(*key, *[F.when(take_new, F.col(f"n.{c}")).otherwise(F.col(f"c.{c}")).alias(c)
-                                 for c in ("action", "role", "_t")])
-        pub.publish({"state": state}, root)
+        (latest.select(*key, "_l.*").write.mode("overwrite")
+         .parquet(f"{root}/log/epoch={epoch_id}"))
 
     q = (changes.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
-def current_from_state(spark: SparkSession, root: str, key=("user_id", "app")) -> DataFrame:
-    """Readable current grants from T4's published state."""
-    s = pub.read_published(spark, root, "state")
-    return s.filter(F.col("action") != "revoke").select(*key, "role", F.col("_t").alias("granted_at"))
+def current_from_state(spark: SparkSession, root: str, key=("user_id", "app"),
+                       ts_col: str = "changed_at") -> DataFrame:
+    """Current grants: the latest logged change per key, revocations removed
+    (the snapshot from ``compact``, if any, plus the log)."""
+    log = spark.read.parquet(f"{root}/log").drop("epoch")
+    m = pub.current_manifest(spark, f"{root}/snapshot")
+    if m and "state" in m["tables"]:
+        log = spark.read.parquet(m["tables"]["state"]).unionByName(log)
+    return hi.current_grants(log, key=key, ts_col=ts_col)
+
+
+def compact(spark: SparkSession, root: str, key=("user_id", "app"), ts_col: str = "changed_at") -> None:
+    """Publish the latest change per key as a snapshot (the log can then be
+    pruned); revocations are kept so an older late change stays ignored."""
+    log = spark.read.parquet(f"{root}/log").drop("epoch")
+    latest = log.groupBy(*key).agg(F.max_by(F.struct("change_id", "action", "role", ts_col),
+                                            F.struct(ts_col, "change_id")).alias("_l")).select(*key, "_l.*")
+    pub.publish({"state": latest}, f"{root}/snapshot")
