@@ -124,12 +124,20 @@ def invite_link(base: str, redirect_col) -> Column:
     return F.concat(F.lit(base + "?redirect_to="), F.url_encode(_c(redirect_col)))
 
 
-def checksum_line(cols: list[str], ts_cols: tuple[str, ...] = (), guard_all: bool = True) -> Column:
-    """One row as text: fields joined by '|', nulls as ~NULL~, timestamps
-    as `yyyy-MM-dd HH:mm:ss.SSSSSS` in UTC (the session zone)."""
+def checksum_line(cols: list[str], ts_cols: tuple[str, ...] = (), guard=None) -> Column:
+    """One row as text: fields joined by '|', nulls as ~NULL~, timestamps as
+    `yyyy-MM-dd HH:mm:ss.SSSSSS` in UTC (the session zone).
+
+    ``guard`` lists the columns whose null is written as ~NULL~ (default:
+    all). Passing the original digest's list (insurer, flag_status, note)
+    reproduces it exactly: a null in an unguarded column nulls the whole
+    line, and the aggregate then skips that row.
+    """
+    guarded = set(cols if guard is None else guard)
     parts = []
     for c in cols:
         v = (F.date_format(F.col(c), "yyyy-MM-dd HH:mm:ss.SSSSSS") if c in ts_cols
              else F.col(c).cast("string"))
-        parts.append(F.coalesce(v, F.lit(NULL_MARK)) if guard_all else v)
-    return F.concat_ws("|", *parts) if guard_all else F.concat(*sum(([p, F.lit("|")] for p in parts), [])[:-1])
+        parts.append(F.coalesce(v, F.lit(NULL_MARK)) if c in guarded else v)
+    seps = [F.lit("|")] * (len(parts) - 1)
+    return F.concat(*[x for pair in zip(parts, seps + [None]) for x in pair if x is not None])

@@ -313,22 +313,38 @@ def blocking_targets(df: DataFrame, col: str, targets: DataFrame, target_col: st
 
 
 # M9
+SIGN_OUT_REASONS = {
+    "not_admin": "not authorised to sign other people out",
+    "no_id": "no account given",
+}
+
+
 def end_sessions(sessions: DataFrame, tokens: DataFrame, targets: DataFrame,
-                 target_col: str = "target_id", token_user_col: str = "user_id_text"):
+                 target_col: str = "target_id", token_user_col: str = "user_id_text",
+                 grants: DataFrame | None = None, caller=None):
     """Remove the targets' sessions and refresh tokens (token user id is text).
 
-    Returns (report, remaining_sessions, remaining_tokens); the report has one
-    row per target with both counts, zero being normal.
+    With ``grants``, the caller must be a platform admin (else every target is
+    refused and nothing is removed); a null target is refused. Returns
+    (report, remaining_sessions, remaining_tokens); the report has one row per
+    target with both counts, zero being normal.
     """
-    t = targets.select(F.col(target_col).alias("user_id")).filter(F.col("user_id").isNotNull()).distinct()
+    t_all = targets.select(F.col(target_col).alias("user_id")).distinct()
+    admin = acc.is_platform_admin(grants, caller) if grants is not None else F.lit(True)
+    code = (F.when(~admin, F.lit("not_admin"))
+            .when(F.col("user_id").isNull(), F.lit("no_id")))
+    decided = t_all.withColumn("reason_code", code)
+    t = decided.filter(F.col("reason_code").isNull()).select("user_id")
     tt = t.select(F.col("user_id").cast("string").alias(token_user_col))
     s_cnt = sessions.join(t, "user_id", "left_semi").groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions_ended"))
     k_cnt = (tokens.join(tt, token_user_col, "left_semi").groupBy(token_user_col)
              .agg(F.count(F.lit(1)).alias("tokens_revoked")))
-    report = (t.join(s_cnt, "user_id", "left")
+    reason = F.coalesce(*[F.when(F.col("reason_code") == k, F.lit(v)) for k, v in SIGN_OUT_REASONS.items()])
+    report = (decided.join(s_cnt, "user_id", "left")
               .join(k_cnt, F.col("user_id").cast("string") == F.col(token_user_col), "left")
               .select("user_id", F.coalesce("sessions_ended", F.lit(0)).alias("sessions_ended"),
-                      F.coalesce("tokens_revoked", F.lit(0)).alias("tokens_revoked")))
+                      F.coalesce("tokens_revoked", F.lit(0)).alias("tokens_revoked"),
+                      "reason_code", reason.alias("reason")))
     return report, sessions.join(t, "user_id", "left_anti"), tokens.join(tt, token_user_col, "left_anti")
 
 

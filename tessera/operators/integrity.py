@@ -102,7 +102,8 @@ def bucket_of(key: Column, buckets: int = CHECKSUM_BUCKETS) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint"), F.lit(buckets))
 
 
-def bucket_checksums(df: DataFrame, cols, key: str, ts_cols=(), buckets: int = CHECKSUM_BUCKETS) -> DataFrame:
+def bucket_checksums(df: DataFrame, cols, key: str, ts_cols=(), buckets: int = CHECKSUM_BUCKETS,
+                     guard=None) -> DataFrame:
     """(bucket, rows, digest) per hash bucket of the key.
 
     Each row's text is the reference line format (fields joined by '|',
@@ -111,20 +112,21 @@ def bucket_checksums(df: DataFrame, cols, key: str, ts_cols=(), buckets: int = C
     independent of row order and partitioning, and a bucket is one
     partial aggregate, so the work is fully parallel and never gathers rows.
     """
-    line = sx.checksum_line(list(cols), tuple(ts_cols))
+    line = sx.checksum_line(list(cols), tuple(ts_cols), guard)
     return (df.select(bucket_of(F.col(key), buckets).alias("bucket"), row_hash(line).alias("_h"))
             .groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.sum("_h").cast("string").alias("digest")))
 
 
-def table_checksum(df: DataFrame, cols, key: str, ts_cols=()) -> DataFrame:
+def table_checksum(df: DataFrame, cols, key: str, ts_cols=(), guard=None) -> DataFrame:
     """One row (rows, digest): the multiset digest of the whole table."""
-    line = sx.checksum_line(list(cols), tuple(ts_cols))
+    line = sx.checksum_line(list(cols), tuple(ts_cols), guard)
     return df.select(row_hash(line).alias("_h")).agg(
         F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("_h"), F.lit(0)).cast("decimal(38,0)")
         .cast("string").alias("digest"))
 
 
-def exact_checksum(df: DataFrame, cols, key: str, ts_cols=(), max_rows: int = EXACT_CHECKSUM_MAX_ROWS) -> str:
+def exact_checksum(df: DataFrame, cols, key: str, ts_cols=(), max_rows: int = EXACT_CHECKSUM_MAX_ROWS,
+                   guard=None) -> str:
     """The single-stream digest: md5 of all lines ordered by the key text,
     joined by newlines. It is sequential by nature, so it is offered only for
     tables of at most ``max_rows`` rows (checked first); use
@@ -132,7 +134,7 @@ def exact_checksum(df: DataFrame, cols, key: str, ts_cols=(), max_rows: int = EX
     n = df.limit(max_rows + 1).count()
     if n > max_rows:
         raise ValueError(f"exact checksum refused above {max_rows} rows; use table_checksum")
-    line = sx.checksum_line(list(cols), tuple(ts_cols))
+    line = sx.checksum_line(list(cols), tuple(ts_cols), guard)
     r = (df.select(F.col(key).cast("string").alias("_k"), line.alias("_l"))
          .agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_k", "_l"))),
                                              lambda s: s["_l"]), "\n")).alias("d"))
@@ -142,11 +144,11 @@ def exact_checksum(df: DataFrame, cols, key: str, ts_cols=(), max_rows: int = EX
 
 # A4
 def compare_checksums(a: DataFrame, b: DataFrame, cols, key: str, ts_cols=(),
-                      buckets: int = CHECKSUM_BUCKETS) -> DataFrame:
+                      buckets: int = CHECKSUM_BUCKETS, guard=None) -> DataFrame:
     """Buckets whose (rows, digest) differ between two copies."""
-    ca = bucket_checksums(a, cols, key, ts_cols, buckets).select(
+    ca = bucket_checksums(a, cols, key, ts_cols, buckets, guard).select(
         "bucket", F.col("rows").alias("rows_a"), F.col("digest").alias("digest_a"))
-    cb = bucket_checksums(b, cols, key, ts_cols, buckets).select(
+    cb = bucket_checksums(b, cols, key, ts_cols, buckets, guard).select(
         "bucket", F.col("rows").alias("rows_b"), F.col("digest").alias("digest_b"))
     return (ca.join(cb, "bucket", "full_outer")
             .filter(~(F.col("rows_a").eqNullSafe(F.col("rows_b")) & F.col("digest_a").eqNullSafe(F.col("digest_b")))))

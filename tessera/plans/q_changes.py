@@ -271,27 +271,53 @@ def m8_blocking_targets(spark, sf_dir):
     return ch.blocking_targets(ws.fx_grants, "granted_by", t)
 
 
-@register("m9_end_sessions_report", duckdb_ctes("fx_sessions", "fx_revocations") + """
-, t as (select distinct user_id from fx_revocations)
-select t.user_id,
-       (select count(*) from fx_sessions s where s.user_id = t.user_id) as sessions_ended,
-       (select count(*) from fx_sessions s where s.user_id_text = cast(t.user_id as varchar)) as tokens_revoked
-from t""")
+_SIGN_OUT_SQL = duckdb_ctes("fx_sessions", "fx_revocations", "fx_grants") + """
+, admin as (select exists (select 1 from fx_grants where user_id = {caller} and app = 'platform'
+                           and role = 'app_admin') as ok),
+  t as (select distinct user_id from fx_revocations union all select cast(null as bigint)),
+  d as (select user_id, case when not (select ok from admin) then 'not_admin'
+                             when user_id is null then 'no_id' end as reason_code from t)"""
+
+
+@register("m9_end_sessions_report", _SIGN_OUT_SQL.format(caller=CALLER) + """
+select d.user_id,
+       case when reason_code is null then (select count(*) from fx_sessions s where s.user_id = d.user_id)
+            else 0 end as sessions_ended,
+       case when reason_code is null then (select count(*) from fx_sessions s
+                                           where s.user_id_text = cast(d.user_id as varchar)) else 0 end as tokens_revoked,
+       reason_code,
+       case reason_code when 'not_admin' then 'not authorised to sign other people out'
+                        when 'no_id' then 'no account given' end as reason
+from d""")
 def m9_end_sessions_report(spark, sf_dir):
     ws = Workspace(spark, sf_dir)
-    s = ws.fx_sessions
-    report, _, _ = ch.end_sessions(s, s.select("session_id", "user_id_text"),
-                                   ws.fx_revocations.select(F.col("user_id").alias("target_id")))
+    report, _, _ = ch.end_sessions(*_sign_out_inputs(ws, spark), grants=ws.fx_grants, caller=CALLER)
     return report
 
 
+@register("m9_end_sessions_not_admin", _SIGN_OUT_SQL.format(caller=OWNER) + """
+select d.user_id, 0 as sessions_ended, 0 as tokens_revoked, reason_code,
+       case reason_code when 'not_admin' then 'not authorised to sign other people out'
+                        when 'no_id' then 'no account given' end as reason
+from d""")
+def m9_end_sessions_not_admin(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    report, _, _ = ch.end_sessions(*_sign_out_inputs(ws, spark), grants=ws.fx_grants, caller=OWNER)
+    return report
+
+
+def _sign_out_inputs(ws: Workspace, spark):
+    s = ws.fx_sessions
+    t = ws.fx_revocations.select(F.col("user_id").alias("target_id")).unionByName(
+        spark.createDataFrame([(None,)], "target_id bigint"))
+    return s, s.select("session_id", "user_id_text"), t
+
+
 @register("m9_remaining_sessions", duckdb_ctes("fx_sessions", "fx_revocations") + """
 select s.* from fx_sessions s where s.user_id not in (select user_id from fx_revocations)""")
 def m9_remaining_sessions(spark, sf_dir):
     ws = Workspace(spark, sf_dir)
-    s = ws.fx_sessions
-    _, rest, _ = ch.end_sessions(s, s.select("session_id", "user_id_text"),
-                                 ws.fx_revocations.select(F.col("user_id").alias("target_id")))
+    _, rest, _ = ch.end_sessions(*_sign_out_inputs(ws, spark), grants=ws.fx_grants, caller=CALLER)
     return rest
 
 

@@ -170,6 +170,17 @@ def test_end_sessions_counts_zero_is_normal(spark):
     assert rest.count() == 1 and rest_k.count() == 0
 
 
+def test_end_sessions_guards(spark):
+    s = spark.createDataFrame([(1, 5)], "session_id int, user_id bigint")
+    k = spark.createDataFrame([(1, "5")], "token_id int, user_id_text string")
+    t = spark.createDataFrame([(5,), (None,)], "target_id bigint")
+    g = spark.createDataFrame([(1, "platform", "app_admin", T0, None)], GRANT_SCHEMA)
+    rep, rest, _ = ch.end_sessions(s, k, t, grants=g, caller=2)
+    assert {r.reason_code for r in rep.collect()} == {"not_admin"} and rest.count() == 1
+    rep, rest, _ = ch.end_sessions(s, k, t, grants=g, caller=1)
+    assert {r.user_id: r.reason_code for r in rep.collect()} == {5: None, None: "no_id"} and rest.count() == 0
+
+
 def test_decide_changes(spark):
     g = spark.createDataFrame([(1, "platform", "app_admin", T0, None), (2, "crm", "member", T0, 1)], GRANT_SCHEMA)
     changes = spark.createDataFrame([("a", 1, "platform", None), ("b", 2, "platform", "app_admin"),

@@ -83,6 +83,16 @@ def test_exact_checksum_is_md5_of_ordered_lines(spark):
         ig.exact_checksum(claims(spark), COLS, "id", ("created_at",), max_rows=1)
 
 
+def test_compatible_guard_drops_rows_with_null_status(spark):
+    rows = CLAIMS + [("c", "p3", "s", dt.date(2025, 1, 1), 2025, "3.00", "0.00", None, None, None, None,
+                      dt.datetime(2025, 1, 2))]
+    guard = ("insurer", "flag_status", "note")
+    with_null = ig.exact_checksum(claims(spark, rows), COLS, "id", ("created_at",), guard=guard)
+    without = ig.exact_checksum(claims(spark), COLS, "id", ("created_at",), guard=guard)
+    assert with_null == without
+    assert ig.exact_checksum(claims(spark, rows), COLS, "id", ("created_at",)) != without
+
+
 def test_checksum_independent_of_order_and_partitioning(spark, ws):
     c = ws.fx_claims
     a = ig.table_checksum(c, COLS, "id", ("created_at",)).first()
