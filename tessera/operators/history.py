@@ -101,26 +101,44 @@ def fold_rate_cap(times_us, cap: int = HOURLY_CAP, window_us: int = HOUR_SECONDS
 
 
 def rate_cap_history(requests: DataFrame, key: str = "inviter", ts_col: str = "attempted_at",
-                     id_col: str = "attempt_id", cap: int = HOURLY_CAP) -> DataFrame:
+                     id_col: str = "attempt_id", cap: int = HOURLY_CAP, chunk_hours: int = 24) -> DataFrame:
     """Accepted/refused for every attempt over history, per ``key``.
 
     Refused attempts create nothing, so each decision depends on earlier
-    accepted ones. Work is split where no state can survive: at gaps of an
-    hour or more, a key's history starts over (a "run"). A run whose trailing
-    counts never exceed the cap is accepted outright in SQL (the W2 screen);
-    only dense runs are folded, by a streaming ``mapInPandas`` over rows
-    range-sorted by (key, run, time): memory holds at most ``cap`` times, no
-    group is ever collected.
+    accepted ones. Work is split where no state can survive: an attempt with
+    no other attempt of its key in the hour before it starts a fresh "run".
+    Everything up to the fold is computed in (key, day) chunks, so a hot key
+    is never sorted as one history:
+
+    1. trailing-hour counts per chunk (W2, with context rows);
+    2. a count of 1 marks a run start; inside a chunk a row's run is the
+       latest start so far, and a row before the chunk's first start takes
+       the last start of earlier chunks (a running max over the small
+       per-(key, chunk) table);
+    3. a run whose counts never exceed ``cap`` is accepted outright in SQL;
+       only dense runs are folded, by a streaming ``mapInPandas`` over rows
+       sorted by (key, run, time) whose memory holds at most ``cap`` times.
+
+    A key with no hour-long pause is one run, and its fold one sequential
+    task: the rule itself is sequential there.
     """
+    chunk_us = chunk_hours * HOUR_SECONDS * 1_000_000
     t = F.unix_micros(F.col(ts_col).cast("timestamp"))
-    w = Window.partitionBy(key).orderBy(ts_col, id_col)
-    runs = (requests.select(key, id_col, ts_col, t.alias("_t"))
-            .withColumn("_gap", (F.col("_t") - F.lag("_t").over(w)) >= HOUR_SECONDS * 1_000_000)
-            .withColumn("_run", F.sum(F.when(F.col("_gap"), 1).otherwise(0)).over(
-                w.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
-    runs = runs.withColumn("_trail", _trailing_count([key, "_run"], ts_col))
-    dense = runs.groupBy(key, "_run").agg(F.max("_trail").alias("_mx")).filter(F.col("_mx") > cap)
-    marked = runs.join(dense.select(key, "_run", F.lit(True).alias("_dense")), [key, "_run"], "left")
+    base = requests.select(key, id_col, ts_col)
+    rows = (trailing_hour_counts(base, key, ts_col, chunk_hours)
+            .withColumn("_t", t).withColumn("_chunk", F.floor(F.col("_t") / chunk_us).cast("long"))
+            .withColumn("_start", F.when(F.col("trailing_count") == 1, F.col("_t"))))
+    wc = (Window.partitionBy(key, "_chunk").orderBy("_t", id_col)
+          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("_local", F.max("_start").over(wc))
+    per_chunk = rows.groupBy(key, "_chunk").agg(F.max("_start").alias("_last"))
+    wk = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per_chunk.select(key, "_chunk", F.max("_last").over(wk).alias("_carry"))
+    runs = (rows.join(carry, [key, "_chunk"], "left")
+            .withColumn("_run", F.coalesce("_local", "_carry", F.lit(-1).cast("long"))))
+    dense = (runs.groupBy(key, "_run").agg(F.max("trailing_count").alias("_mx"))
+             .filter(F.col("_mx") > cap).select(key, "_run", F.lit(True).alias("_dense")))
+    marked = runs.join(dense, [key, "_run"], "left")
     easy = marked.filter(F.col("_dense").isNull()).select(key, id_col, ts_col, F.lit(True).alias("accepted"))
     hard = marked.filter(F.col("_dense").isNotNull()).select(key, "_run", id_col, ts_col, "_t")
     key_type = requests.schema[key].dataType.simpleString()
@@ -131,9 +149,8 @@ def rate_cap_history(requests: DataFrame, key: str = "inviter", ts_col: str = "a
     def fold(batches):
         cur, st = None, None
         for pdf in batches:
-            keys = list(zip(pdf[key], pdf["_run"]))
             dec = []
-            for i, (k, tt) in enumerate(zip(keys, pdf["_t"])):
+            for k, tt in zip(zip(pdf[key], pdf["_run"]), pdf["_t"]):
                 if k != cur:
                     cur, st = k, deque()
                 ok, st = fold_rate_cap([tt], cap, state=st)

@@ -174,7 +174,7 @@ def test_rate_cap_fold_matches_brute_force(spark):
         t += dt.timedelta(seconds=rnd.choice([5, 60, 200, 400, 4000]))
         rows.append((i, i % 3, t))
     df = spark.createDataFrame(rows, "attempt_id bigint, inviter bigint, attempted_at timestamp_ntz")
-    got = {r.attempt_id: r.accepted for r in hi.rate_cap_history(df).collect()}
+    got = {r.attempt_id: r.accepted for r in hi.rate_cap_history(df, chunk_hours=1).collect()}
     for inv in range(3):
         mine = [(r[0], r[2]) for r in rows if r[1] == inv]
         want = brute_force_fold([(x[1] - dt.datetime(2024, 1, 1)).total_seconds() for x in mine])

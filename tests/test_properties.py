@@ -63,7 +63,7 @@ def test_trailing_counts_and_history_match_brute_force(spark, attempts, chunk_ho
     rows = [(i, k, T0 + dt.timedelta(seconds=s)) for i, (k, s) in enumerate(attempts)]
     df = spark.createDataFrame(rows, "attempt_id bigint, inviter bigint, attempted_at timestamp_ntz")
     trail = {r.attempt_id: r.trailing_count for r in hi.trailing_hour_counts(df, chunk_hours=chunk_hours).collect()}
-    hist = {r.attempt_id: r.accepted for r in hi.rate_cap_history(df, cap=3).collect()}
+    hist = {r.attempt_id: r.accepted for r in hi.rate_cap_history(df, cap=3, chunk_hours=chunk_hours).collect()}
     for k in (0, 1):
         mine = sorted((t, i) for i, kk, t in rows if kk == k)
         for t, i in mine:
