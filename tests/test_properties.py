@@ -72,15 +72,16 @@ def test_trailing_counts_and_history_match_brute_force(spark, attempts, chunk_ho
         assert [hist[i] for _, i in mine] == brute_fold(secs, 3, 3600)
 
 
-@SPARK
-@given(st.sets(st.tuples(st.integers(0, 29), st.integers(1, 3)), max_size=40), st.integers(1, 8))
-def test_budgeted_candidates_match_brute_force(spark, verdicts, cap):
+@settings(max_examples=20, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.sets(st.tuples(st.integers(0, 29), st.integers(1, 3)), max_size=60), st.integers(1, 8),
+       st.integers(1, 12))
+def test_budgeted_candidates_match_brute_force(spark, verdicts, cap, chunk):
     postings = spark.range(30).withColumnRenamed("id", "posting_id")
     users_df = spark.createDataFrame([(1,), (2,), (3,)], "user_id bigint")
     matches = spark.createDataFrame(sorted(verdicts) or [(0, 99)], "posting_id bigint, user_id bigint") \
         .withColumn("score", F.lit(1))
     got = {(r.user_id, r.user_rank): r.posting_id
-           for r in mt.budgeted_candidates(postings, users_df, matches, cap).collect()}
+           for r in mt.budgeted_candidates(postings, users_df, matches, cap, chunk=chunk).collect()}
     want = {}
     for u in (1, 2, 3):
         free = [p for p in range(30) if (p, u) not in verdicts][:cap]
