@@ -25,8 +25,20 @@ def _trailing_count(partition_cols, ts_col: str) -> Column:
                   f"range between {TRAILING_HOUR} preceding and current row)")
 
 
-def _epoch_s(c: Column) -> Column:
-    return F.unix_micros(c.cast("timestamp")) / 1_000_000
+def _micros(df: DataFrame, col: str) -> Column:
+    """Microseconds since the epoch, independent of the session time zone.
+
+    A TIMESTAMP_NTZ is measured from the NTZ epoch directly: casting it to
+    TIMESTAMP would pass through the session zone and, under daylight saving,
+    move or merge wall-clock times around the switch.
+    """
+    if df.schema[col].dataType.typeName() == "timestamp_ntz":
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', `{col}`)")
+    return F.unix_micros(F.col(col))
+
+
+def _epoch_s(df: DataFrame, col: str) -> Column:
+    return _micros(df, col) / 1_000_000
 
 
 # J13
@@ -41,9 +53,9 @@ def stale_token_exposure(access: DataFrame, revocations: DataFrame, ttl_seconds:
     accesses are thus spread over their buckets instead of meeting every
     revocation of that user; the exact interval test runs after the join.
     """
-    b = F.floor(_epoch_s(F.col(ts_col)) / ttl_seconds).cast("long")
+    b = F.floor(_epoch_s(access, ts_col) / ttl_seconds).cast("long")
     a = access.withColumn("_b", b)
-    start = F.floor(_epoch_s(F.col(revoked_col)) / ttl_seconds).cast("long")
+    start = F.floor(_epoch_s(revocations, revoked_col) / ttl_seconds).cast("long")
     r = (revocations.select(F.col("user_id").alias("_ru"), F.col("app").alias("revoked_app"), revoked_col,
                             F.explode(F.sequence(start, start + 1)).alias("_b")))
     j = a.join(r, (a["user_id"] == r["_ru"]) & (a["_b"] == r["_b"]))
@@ -63,7 +75,7 @@ def trailing_hour_counts(requests: DataFrame, key: str = "inviter", ts_col: str
     hour as context rows, which feed the counts but are not emitted.
     """
     chunk_s = chunk_hours * HOUR_SECONDS
-    t = _epoch_s(F.col(ts_col))
+    t = _epoch_s(requests, ts_col)
     chunk = F.floor(t / chunk_s).cast("long")
     base = requests.withColumn("_chunk", chunk).withColumn("_ctx", F.lit(False))
     # a row within the last hour of its chunk also serves the next chunk
@@ -123,7 +135,7 @@ def rate_cap_history(requests: DataFrame, key: str = "inviter", ts_col: str = "a
     task: the rule itself is sequential there.
     """
     chunk_us = chunk_hours * HOUR_SECONDS * 1_000_000
-    t = F.unix_micros(F.col(ts_col).cast("timestamp"))
+    t = _micros(requests, ts_col)
     base = requests.select(key, id_col, ts_col)
     rows = (trailing_hour_counts(base, key, ts_col, chunk_hours)
             .withColumn("_t", t).withColumn("_chunk", F.floor(F.col("_t") / chunk_us).cast("long"))

@@ -215,3 +215,18 @@ def test_response_classes(spark):
     got = [r.outcome for r in hi.classify_responses(log).collect()]
     assert got == ["ok", "rate_limited", "already_exists", "server_error", "other", "ok",
                    "blocked_by_reference", "bad_key"]
+
+
+def test_time_operators_ignore_the_session_zone(spark):
+    rows = [(1, 0, dt.datetime(2024, 3, 10, 1, 30)), (2, 0, dt.datetime(2024, 3, 10, 2, 20)),
+            (3, 0, dt.datetime(2024, 3, 10, 2, 40)), (4, 0, dt.datetime(2024, 3, 10, 3, 35))]
+    df = spark.createDataFrame(rows, "attempt_id bigint, inviter bigint, attempted_at timestamp_ntz")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")  # clocks jump at 02:00
+        dst = sorted((r.attempt_id, r.trailing_count) for r in hi.trailing_hour_counts(df, chunk_hours=1).collect())
+        dst_cap = sorted((r.attempt_id, r.accepted) for r in hi.rate_cap_history(df, cap=1, chunk_hours=1).collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert dst == [(1, 1), (2, 2), (3, 2), (4, 1)]
+    assert dst_cap == sorted((r.attempt_id, r.accepted) for r in hi.rate_cap_history(df, cap=1, chunk_hours=1).collect())
