@@ -32,9 +32,13 @@ def _micros(df: DataFrame, col: str) -> Column:
     TIMESTAMP would pass through the session zone and, under daylight saving,
     move or merge wall-clock times around the switch.
     """
+    c = F.col(col)
     if df.schema[col].dataType.typeName() == "timestamp_ntz":
-        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', `{col}`)")
-    return F.unix_micros(F.col(col))
+        # field extraction from a local date-time involves no zone at all
+        return (F.unix_date(c.cast("date")).cast("long") * 86_400_000_000
+                + F.hour(c).cast("long") * 3_600_000_000 + F.minute(c).cast("long") * 60_000_000
+                + (F.expr(f"extract(SECOND FROM `{col}`)") * 1_000_000).cast("long"))
+    return F.unix_micros(c)
 
 
 def _epoch_s(df: DataFrame, col: str) -> Column:
