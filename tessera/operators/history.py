@@ -25,7 +25,7 @@ def _trailing_count(partition_cols, ts_col: str) -> Column:
                   f"range between {TRAILING_HOUR} preceding and current row)")
 
 
-def _micros(df: DataFrame, col: str) -> Column:
+def epoch_micros(df: DataFrame, col: str) -> Column:
     """Microseconds since the epoch, independent of the session time zone.
 
     A TIMESTAMP_NTZ is measured from the NTZ epoch directly: casting it to
@@ -41,8 +41,13 @@ def _micros(df: DataFrame, col: str) -> Column:
     return F.unix_micros(c)
 
 
+def event_time(df: DataFrame, col: str) -> Column:
+    """A TIMESTAMP for watermarks: the NTZ wall clock read as UTC, zone-free."""
+    return F.timestamp_micros(epoch_micros(df, col))
+
+
 def _epoch_s(df: DataFrame, col: str) -> Column:
-    return _micros(df, col) / 1_000_000
+    return epoch_micros(df, col) / 1_000_000
 
 
 # J13
@@ -139,7 +144,7 @@ def rate_cap_history(requests: DataFrame, key: str = "inviter", ts_col: str = "a
     task: the rule itself is sequential there.
     """
     chunk_us = chunk_hours * HOUR_SECONDS * 1_000_000
-    t = _micros(requests, ts_col)
+    t = epoch_micros(requests, ts_col)
     base = requests.select(key, id_col, ts_col)
     rows = (trailing_hour_counts(base, key, ts_col, chunk_hours)
             .withColumn("_t", t).withColumn("_chunk", F.floor(F.col("_t") / chunk_us).cast("long"))

@@ -67,42 +67,42 @@ def stream_rate_cap(requests: DataFrame, key: str = "inviter", ts_col: str = "at
     Within a micro-batch a key's attempts are decided in time order; the rows
     one key brings in one micro-batch are bounded by the trigger size
     (maxFilesPerTrigger / maxBytesPerTrigger), not by the stream's history.
+    Event time is derived from the NTZ wall clock without the session zone.
     """
-    ev = requests.withColumn("_ts", F.col(ts_col).cast("timestamp")).withWatermark("_ts", "1 hour")
+    ev = (requests.withColumn("_ts", hi.event_time(requests, ts_col))
+          .withColumn("_us", hi.epoch_micros(requests, ts_col)).withWatermark("_ts", "1 hour"))
     key_type = requests.schema[key].dataType.simpleString()
     id_type = requests.schema[id_col].dataType.simpleString()
-    out_schema = f"{key} {key_type}, {id_col} {id_type}, _ts timestamp, accepted boolean"
+    ts_type = requests.schema[ts_col].dataType.simpleString()
+    out_schema = f"{key} {key_type}, {id_col} {id_type}, {ts_col} {ts_type}, accepted boolean"
 
     def decide(k, pdfs, state):
         acc = deque(state.get[0]) if state.exists else deque()
         parts = [p for p in pdfs]
-        pdf = pd.concat(parts) if parts else pd.DataFrame(columns=[id_col, "_ts"])
-        pdf = pdf.sort_values(["_ts", id_col])
-        times = (pd.to_datetime(pdf["_ts"]).astype("int64") // 1000).tolist()
-        dec, acc = hi.fold_rate_cap(times, cap, state=acc)
+        pdf = pd.concat(parts) if parts else pd.DataFrame(columns=[id_col, ts_col, "_us"])
+        pdf = pdf.sort_values(["_us", id_col])
+        dec, acc = hi.fold_rate_cap(pdf["_us"].tolist(), cap, state=acc)
         state.update((list(acc),))
         yield pd.DataFrame({key: [k[0]] * len(pdf), id_col: pdf[id_col].tolist(),
-                            "_ts": pdf["_ts"].tolist(), "accepted": dec})
+                            ts_col: pdf[ts_col].tolist(), "accepted": dec})
 
-    return (ev.groupBy(key).applyInPandasWithState(
+    return ev.groupBy(key).applyInPandasWithState(
         decide, out_schema, "times array<long>", "append", GroupStateTimeout.NoTimeout)
-        .withColumn(ts_col, F.col("_ts").cast("timestamp_ntz")).drop("_ts"))
 
 
 # T3
 def stream_stale_token(access: DataFrame, revocations: DataFrame, ttl_seconds: int = hi.HOUR_SECONDS,
                        ts_col: str = "ts", revoked_col: str = "revoked_at") -> DataFrame:
     """J13 continuously: a stream-stream interval join, watermarks on both
-    sides bound the state to the token lifetime."""
-    a = access.withColumn("_ats", F.col(ts_col).cast("timestamp")).withWatermark("_ats", f"{ttl_seconds} seconds")
-    r = (revocations.select(F.col("user_id").alias("_ru"), F.col("app").alias("revoked_app"),
-                            F.col(revoked_col).cast("timestamp").alias("_rts"))
+    sides bound the state to the token lifetime. Event times are derived
+    from the NTZ wall clocks without the session zone; output keeps them."""
+    a = access.withColumn("_ats", hi.event_time(access, ts_col)).withWatermark("_ats", f"{ttl_seconds} seconds")
+    r = (revocations.select(F.col("user_id").alias("_ru"), F.col("app").alias("revoked_app"), revoked_col,
+                            hi.event_time(revocations, revoked_col).alias("_rts"))
          .withWatermark("_rts", f"{ttl_seconds} seconds"))
     cond = ((a["user_id"] == r["_ru"]) & (a["_ats"] > r["_rts"])
             & (a["_ats"] <= r["_rts"] + F.expr(f"INTERVAL {ttl_seconds} SECONDS")))
-    return (a.join(r, cond, "inner")
-            .withColumn(revoked_col, F.col("_rts").cast("timestamp_ntz"))
-            .drop("_ats", "_rts", "_ru"))
+    return a.join(r, cond, "inner").drop("_ats", "_rts", "_ru")
 
 
 # T4
