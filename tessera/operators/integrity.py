@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar as sx
+from tessera.plans.sizing import bounded_broadcast
 
 # Buckets of the distributed checksum. Fixed, so digests of two copies are
 # always comparable; each bucket is a sum, so a bucket never holds rows.
@@ -62,9 +63,11 @@ def vocabulary_profile(df: DataFrame, cols, known: DataFrame) -> DataFrame:
     counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     k = known.select(F.col("column").alias("_c"), F.col("value").alias("_v")).distinct() \
         .withColumn("_k", F.lit(True))
-    # the vocabulary is a handful of literals: broadcast, null-safe (null can be a listed value)
+    # a vocabulary is a handful of values: broadcast after a size check;
+    # null-safe, since null can be a listed value
+    k = bounded_broadcast(k)
     cond = (counts["column"] == k["_c"]) & counts["value"].eqNullSafe(k["_v"])
-    return (counts.join(F.broadcast(k), cond, "left")
+    return (counts.join(k, cond, "left")
             .select("column", "value", "n", F.coalesce("_k", F.lit(False)).alias("listed")))
 
 
