@@ -42,7 +42,7 @@ def _exported(spark, ws: Workspace):
 def s2_read_paged_json(spark, sf_dir):
     ws = Workspace(spark, sf_dir)
     path = _exported(spark, ws)
-    return tb.read_paged_json(spark, path, _claims_schema(ws)).drop("_page_file")
+    return tb.read_pages(spark, path, _claims_schema(ws)).drop("_page")
 
 
 @register("s2_page_report", duckdb_ctes("fx_claims") + f"""
@@ -51,9 +51,7 @@ select page, count(*) as rows from (
 group by page""")
 def s2_page_report(spark, sf_dir):
     ws = Workspace(spark, sf_dir)
-    pages = tb.read_paged_json(spark, _exported(spark, ws), _claims_schema(ws))
-    rep = tb.page_report(pages)
-    return rep.select(F.regexp_extract("_page_file", r"_page=(\d+)", 1).cast("bigint").alias("page"), "rows")
+    return tb.page_sizes(spark, _exported(spark, ws)).select("page", F.col("rows").cast("bigint").alias("rows"))
 
 
 @register("s3_import_into_empty", duckdb_ctes("fx_claims") + """

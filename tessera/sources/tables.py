@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from tessera.session import checkpoint_dir
 
@@ -47,7 +47,10 @@ def page_numbers(df: DataFrame, key: str, size: int = PAGE_SIZE, partitions: int
     which are joined back by broadcast (one row per partition: bounded by
     the partition count). A distributed zipWithIndex.
     """
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    spark = df.sparkSession
+    # as many ranges as the cluster's shuffle width: each range is one sort
+    n = partitions or max(spark.sparkContext.defaultParallelism,
+                          int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = df.repartitionByRange(n, key).withColumn("_pid", F.spark_partition_id())
     local = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_pid").orderBy(key)) - 1)
     # Range bounds come from a sample: materialise once (reliable checkpoint in
@@ -62,22 +65,53 @@ def page_numbers(df: DataFrame, key: str, size: int = PAGE_SIZE, partitions: int
             .drop("_pid", "_i", "_off"))
 
 
-def export_pages(df: DataFrame, key: str, path: str, size: int = PAGE_SIZE) -> None:
-    """Write ``df`` as JSON-array pages of ``size`` rows ordered by ``key``:
-    one text file per page under ``path/_page=<n>/``. A page is one group
-    of at most ``size`` rows."""
+def export_pages(df: DataFrame, key: str, path: str, size: int = PAGE_SIZE, files: int | None = None) -> None:
+    """Write ``df`` as pages of ``size`` rows ordered by ``key``, one page per
+    line: ``{"page": n, "rows": [...]}`` (JSON Lines; null fields kept).
+
+    A page is one group of at most ``size`` rows. Pages are range-partitioned
+    by number into ``files`` files (default: the shuffle partition count)
+    and sorted within each, so the files hold consecutive pages in order and
+    their number does not grow with the row count.
+    """
     cols = df.columns
     numbered = page_numbers(df, key, size)
+    row_json = F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
     pages = (numbered.groupBy("_page")
-             .agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("_k"),
-                                                       F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("_j")))).alias("_rows"))
-             .select("_page", F.concat(F.lit("["), F.array_join(F.transform("_rows", lambda r: r["_j"]), ","),
-                                       F.lit("]")).alias("value")))
-    pages.repartition("_page").write.mode("errorifexists").partitionBy("_page").text(path)
+             .agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("_k"), row_json.alias("_j")))).alias("_rows"))
+             .select("_page", F.concat(F.lit('{"page":'), F.col("_page").cast("string"), F.lit(',"rows":['),
+                                       F.array_join(F.transform("_rows", lambda r: r["_j"]), ","),
+                                       F.lit("]}")).alias("value")))
+    n = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (pages.repartitionByRange(n, "_page").sortWithinPartitions("_page").select("value")
+     .write.mode("errorifexists").text(path))
+
+
+def read_pages(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Rows of pages written by ``export_pages``, with their ``_page`` number.
+
+    A line whose ``rows`` is not a JSON array is an error (checked on the
+    text first, as a lone object would otherwise parse as one row).
+    """
+    bad = (spark.read.text(path)
+           .filter(~F.coalesce(F.ltrim(F.get_json_object("value", "$.rows")).startswith("["), F.lit(False)))
+           .limit(1).collect())
+    if bad:
+        raise ValueError(f"unexpected page (rows is not a JSON array): {bad[0]['value'][:200]}")
+    env = StructType([StructField("page", LongType()), StructField("rows", ArrayType(schema))])
+    pages = spark.read.schema(env).option("mode", "FAILFAST").json(path)
+    return pages.select(F.col("page").alias("_page"), F.explode("rows").alias("_r")).select("_page", "_r.*")
+
+
+def page_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """(page, rows) for exported pages, without parsing the rows."""
+    return spark.read.text(path).select(F.get_json_object("value", "$.page").cast("long").alias("page"),
+                                        F.json_array_length(F.get_json_object("value", "$.rows")).alias("rows"))
 
 
 def read_paged_json(spark: SparkSession, path: str, schema: StructType | str, check: bool = True) -> DataFrame:
-    """Union of JSON-array pages, with a ``_page_file`` column.
+    """Union of page files that each hold one JSON array (as a paging REST
+    client saves them), with a ``_page_file`` column.
 
     A page that is not a JSON array is an error (a lone object would parse
     as one row, so the first non-blank character of every file is checked
@@ -101,10 +135,15 @@ def page_report(pages: DataFrame) -> DataFrame:
 
 
 def columns_seen(spark: SparkSession, path: str) -> list[str]:
-    """Keys of the first element of the first page (the reference reads the
-    column names from the first row only)."""
-    first = (spark.read.text(path, wholetext=True).orderBy(F.input_file_name()).limit(1)
-             .select(F.json_object_keys(F.get_json_object("value", "$[0]")).alias("k")).collect())
+    """Keys of the first row of the first page (column names are read from
+    the first row only). Works for both page layouts."""
+    txt = spark.read.text(path, wholetext=True).select(F.ltrim("value").alias("v"), F.input_file_name().alias("f"))
+    first_row = F.when(F.col("v").startswith("["), F.get_json_object("v", "$[0]")) \
+        .otherwise(F.get_json_object(F.substring_index("v", "\n", 1), "$.rows[0]"))
+    first = (txt.select(F.when(F.col("v").startswith("["), F.lit(-1))
+                        .otherwise(F.get_json_object(F.substring_index("v", "\n", 1), "$.page").cast("long"))
+                        .alias("p"), "f", first_row.alias("r"))
+             .orderBy("p", "f").limit(1).select(F.json_object_keys("r").alias("k")).collect())
     return sorted(first[0]["k"]) if first and first[0]["k"] else []
 
 

@@ -128,14 +128,30 @@ def test_exact_size_page_then_short_page(spark):
 def test_paged_json_round_trip_and_refusal(spark, ws, tmp_path):
     c = ws.fx_claims
     path = str(tmp_path / "pages")
-    tb.export_pages(c, "id", path, 1000)
-    back = tb.read_paged_json(spark, path, c.schema).drop("_page_file")
-    assert back.exceptAll(c).count() == 0 and c.exceptAll(back).count() == 0
+    tb.export_pages(c, "id", path, 400, files=3)
+    back = tb.read_pages(spark, path, c.schema)
+    assert back.drop("_page").exceptAll(c).count() == 0 and c.exceptAll(back.drop("_page")).count() == 0
+    sizes = sorted((r.page, r.rows) for r in tb.page_sizes(spark, path).collect())
+    assert sizes == [(0, 400), (1, 400), (2, 400), (3, 300)]
+    assert back.filter("_page = 0").agg(F.max("id")).first()[0] < back.filter("_page = 1").agg(F.min("id")).first()[0]
     assert tb.columns_seen(spark, path) == sorted(c.columns)
-    bad = str(tmp_path / "bad")
-    spark.createDataFrame([('{"id": "1"}',)], "value string").write.text(bad)
+    bad_line = str(tmp_path / "bad_line")
+    spark.createDataFrame([('{"page": 0, "rows": {"id": "1"}}',)], "value string").write.text(bad_line)
     with pytest.raises(ValueError):
-        tb.read_paged_json(spark, bad, c.schema)
+        tb.read_pages(spark, bad_line, c.schema)
+    # one JSON array per file, as a paging client saves responses; a page may span lines
+    files = tmp_path / "files"
+    files.mkdir()
+    (files / "p0.json").write_text('[{"id": "1", "person": "p"},\n {"id": "2", "person": null}]')
+    (files / "p1.json").write_text('[{"id": "3", "person": "q"}]')
+    schema = "id string, person string"
+    got = tb.read_paged_json(spark, str(files), schema)
+    assert sorted(r.id for r in got.collect()) == ["1", "2", "3"]
+    assert sorted(r.rows for r in tb.page_report(got).collect()) == [1, 2]
+    assert tb.columns_seen(spark, str(files)) == ["id", "person"]
+    (files / "p2.json").write_text('{"id": "4"}')
+    with pytest.raises(ValueError):
+        tb.read_paged_json(spark, str(files), schema)
 
 
 def test_publish_is_all_or_nothing_and_import_refuses_twice(spark, ws, tmp_path):
