@@ -172,8 +172,11 @@ def validate_invites(requests: DataFrame, accounts: DataFrame, grants: DataFrame
     base = (requests.select(key, email_col, grants_col, sx.normalize_email(email_col).alias("email_clean"),
                             is_array.alias("_is_array"))
             .withColumn("_bad", F.when(F.col("_is_array"), F.try_element_at(bad, F.lit(1)))))
-    existing = accounts.select(F.lower("email").alias("email_clean")).distinct() \
-        .withColumn("_exists", F.lit(True))
+    # accounts are reduced to the batch's addresses first (a semi join whose
+    # small side AQE can broadcast), so a large accounts table is scanned, not shuffled
+    existing = (accounts.select(F.lower("email").alias("email_clean"))
+                .join(base.select("email_clean").distinct(), "email_clean", "left_semi")
+                .distinct().withColumn("_exists", F.lit(True)))
     # duplicates by a partial aggregate joined back on the address (AQE can
     # split a skewed join partition; it cannot split a window partition)
     dups = base.groupBy("email_clean").agg(F.count(F.lit(1)).alias("_dups"))
@@ -251,9 +254,13 @@ def delete_decisions(targets: DataFrame, accounts: DataFrame, grants: DataFrame,
     id; self; no such account; target administers access. All judged against
     the state before the batch."""
     admin = acc.is_platform_admin(grants, caller)
-    acct = accounts.select(F.col("user_id").alias(target_col), "email", F.lit(True).alias("_found"))
-    padm = acc.platform_admins(grants).select(F.col("user_id").alias(target_col),
-                                              F.lit(True).alias("_is_admin"))
+    # accounts and admins are reduced to the batch's ids first (semi joins
+    # whose small side AQE can broadcast) before the outer joins
+    ids = targets.select(target_col).filter(F.col(target_col).isNotNull()).distinct()
+    acct = (accounts.select(F.col("user_id").alias(target_col), "email", F.lit(True).alias("_found"))
+            .join(ids, target_col, "left_semi"))
+    padm = (acc.platform_admins(grants).select(F.col("user_id").alias(target_col), F.lit(True).alias("_is_admin"))
+            .join(ids, target_col, "left_semi"))
     j = targets.select(target_col).join(acct, target_col, "left").join(padm, target_col, "left")
     t = F.col(target_col)
     code = (F.when(~admin, F.lit("not_admin"))

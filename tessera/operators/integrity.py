@@ -171,8 +171,9 @@ def suspected_duplicates(df: DataFrame, keys) -> DataFrame:
 # J5
 def new_emails_only(requests: DataFrame, accounts: DataFrame, email_col: str = "target_email") -> DataFrame:
     """Requests whose normalised address is not an account's (lower-case) address."""
-    acct = accounts.select(F.lower("email").alias("_e")).distinct()
     r = requests.withColumn("_e", sx.normalize_email(email_col))
+    # accounts reduced to the requested addresses first (broadcastable semi join)
+    acct = accounts.select(F.lower("email").alias("_e")).join(r.select("_e").distinct(), "_e", "left_semi")
     return r.join(acct, "_e", "left_anti").drop("_e")
 
 
