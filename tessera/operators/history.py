@@ -170,12 +170,16 @@ def rate_cap_history(requests: DataFrame, key: str = "inviter", ts_col: str = "a
     def fold(batches):
         cur, st = None, None
         for pdf in batches:
+            # rows arrive sorted by (key, run, time): fold each contiguous
+            # (key, run) segment in one call, carrying state across batches
+            group = (pdf[key].ne(pdf[key].shift()) | pdf["_run"].ne(pdf["_run"].shift())).cumsum()
             dec = []
-            for k, tt in zip(zip(pdf[key], pdf["_run"]), pdf["_t"]):
+            for _, seg in pdf.groupby(group, sort=False):
+                k = (seg[key].iat[0], seg["_run"].iat[0])
                 if k != cur:
                     cur, st = k, deque()
-                ok, st = fold_rate_cap([tt], cap, state=st)
-                dec.append(ok[0])
+                ok, st = fold_rate_cap(seg["_t"].tolist(), cap, state=st)
+                dec.extend(ok)
             yield pd.DataFrame({key: pdf[key], id_col: pdf[id_col], ts_col: pdf[ts_col], "accepted": dec})
 
     folded = (hard.repartition(key, "_run").sortWithinPartitions(key, "_run", "_t", id_col)
