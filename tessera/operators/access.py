@@ -173,16 +173,20 @@ def platform_admin_flags(callers: DataFrame, grants: DataFrame) -> DataFrame:
 
 # A10
 def visibility(df: DataFrame, grants: DataFrame, callers: DataFrame, app: str,
-               owner_col: str = "user_id", shape: str = "personal") -> DataFrame:
+               owner_col: str = "user_id", shape: str = "personal", few_callers: bool = False) -> DataFrame:
     """Rows of ``df`` each caller would read, set-based.
 
     Totals and per-owner counts are aggregated first (partial aggregation on
     the map side), then joined to the callers' grants: the cost is one pass
     over ``df`` however many callers there are, and nothing pairs callers with
-    rows.
+    rows. With ``few_callers`` (a probe), rows are first semi-joined to the
+    callers (a broadcastable small side) so only their owners are counted.
     """
     total = df.select(F.count(F.lit(1))).scalar()
-    own = (df.filter(F.col(owner_col).isNotNull())
+    owned = df
+    if few_callers:
+        owned = df.join(callers.select(F.col("user_id").alias(owner_col)).distinct(), owner_col, "left_semi")
+    own = (owned.filter(F.col(owner_col).isNotNull())
            .groupBy(F.col(owner_col).alias("user_id"))
            .agg(F.count(F.lit(1)).alias("own_rows")))
     acc = access_by_caller(callers, grants, app)
@@ -209,7 +213,7 @@ def probe(df: DataFrame, grants: DataFrame, probes: DataFrame, app: str,
     """
     p = probes.withColumnRenamed("caller", "user_id")
     vis = visibility(df, grants, p.select("user_id").filter(F.col("user_id").isNotNull()).distinct(),
-                     app, owner_col, shape)
+                     app, owner_col, shape, few_callers=True)
     j = p.join(vis, "user_id", "left").withColumn("t_all", df.select(F.count(F.lit(1))).scalar())
     got = F.coalesce("visible_rows", F.lit(0)).cast("bigint")
     want = (F.when(F.col("expect") == "all", F.col("t_all"))
