@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalar as sx
 from tessera.operators import access as acc
+from tessera.sources.tables import page_numbers
 
 GRANT_KEY = ("user_id", "app")
 
@@ -220,16 +221,18 @@ def apply_invites(decisions: DataFrame, accounts: DataFrame, grants: DataFrame,
     """Accounts and grants for accepted invitations, and the report
     {user_id, email, granted}.
 
-    The accepted set is bounded by the hourly cap. New ids come from
-    ``new_id`` (default: the next integers after the largest existing id, in
-    request order); write the result once (publish) so ids are fixed.
+    New ids come from ``new_id`` (default: the next integers after the
+    largest existing id, in request order, numbered by the distributed
+    ``page_numbers`` so no single task sees the whole accepted set); write
+    the result once (publish) so ids are fixed.
     Returns (report, new_accounts, new_grants_table).
     """
     ok = decisions.filter("accepted")
     if new_id is None:
         top = accounts.select(F.max("user_id")).scalar()
-        new_id = top + F.row_number().over(Window.orderBy(key))
-    ok = ok.withColumn("user_id", new_id)
+        ok = page_numbers(ok, key, size=1).withColumn("user_id", top + F.col("_page") + 1).drop("_page")
+    else:
+        ok = ok.withColumn("user_id", new_id)
     elems = F.from_json(F.coalesce(F.col(grants_col), F.lit("[]")), acc_schema())
     ex = ok.select("user_id", F.explode(elems).alias("g"))
     new_grants = ex.select("user_id", F.col("g.app").alias("app"), F.col("g.role").alias("role"),
