@@ -140,16 +140,15 @@ def a15_response_counts(spark, sf_dir):
 
 def _stage_files(df, path: str, ts_col: str, pieces: int = 4):
     """Write ``df`` as ``pieces`` files in time order, one write each, so a
-    file stream with maxFilesPerTrigger=1 receives them in that order."""
-    bounds = df.select(F.min(ts_col).alias("lo"), F.max(ts_col).alias("hi")).first()
-    lo, hi_ = bounds["lo"], bounds["hi"]
-    step = (hi_ - lo) / pieces
+    file stream with maxFilesPerTrigger=1 receives them in that order.
+    Pieces are cut on zone-free epoch microseconds (no datetime literals)."""
+    us = hi.epoch_micros(df, ts_col)
+    lo, top = df.select(F.min(us), F.max(us)).first()
+    step = (top - lo) / pieces
     for i in range(pieces):
-        a = lo + step * i
-        b = hi_ if i == pieces - 1 else lo + step * (i + 1)
-        cond = (F.col(ts_col) >= F.lit(a).cast(df.schema[ts_col].dataType))
-        cond = cond & ((F.col(ts_col) <= F.lit(b).cast(df.schema[ts_col].dataType)) if i == pieces - 1
-                       else (F.col(ts_col) < F.lit(b).cast(df.schema[ts_col].dataType)))
+        start = lo + int(step * i)
+        cond = us >= start if i else us >= lo
+        cond = cond & (us <= top if i == pieces - 1 else us < lo + int(step * (i + 1)))
         df.filter(cond).coalesce(1).write.mode("append").parquet(path)
 
 
