@@ -37,3 +37,19 @@ def test_query_matches_oracle(spark, con, name):
     o_cols, o_rows = [d[0] for d in res.description], res.fetchall()
     assert sorted(s_cols) == sorted(o_cols)
     assert rows_of(s_cols, s_rows) == rows_of(o_cols, o_rows)
+
+
+@pytest.mark.parametrize("name", ["j13_stale_token_exposure", "w2_trailing_hour_counts", "a9_rate_cap_history",
+                                  "f14_expiring_sessions", "a3_table_checksum", "s7_export_account_list"])
+def test_time_queries_do_not_depend_on_the_session_zone(spark, name):
+    def run():
+        df = QUERIES[name](spark, SMALL)
+        return rows_of(df.columns, [tuple(r) for r in df.collect()])
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    utc = run()
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        other = run()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert utc == other
