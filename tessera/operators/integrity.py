@@ -23,34 +23,35 @@ def check_constraints(df: DataFrame, pk=(), not_null=(), domains: dict | None =
     """Violations as (constraint, key, column, value).
 
     ``key`` identifies the offending row by ``key_cols`` (default: the pk).
-
     Duplicate keys come from a partially aggregated count (one row per
-    offending key, with its multiplicity); nulls and out-of-domain values
-    are plain filters. Everything is unioned, one scan per check.
+    offending key, with its multiplicity). Every row-level rule (not null,
+    domain) is evaluated in one pass: each row yields an array of its
+    violations, filtered and exploded, so the table is read once for all
+    rules rather than once per rule.
     """
-    parts = []
     key_cols = tuple(key_cols) if key_cols else tuple(pk)
     keytext = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit(sx.NULL_MARK)) for k in key_cols]) \
         if key_cols else F.lit(None).cast("string")
+    not_null = tuple(not_null) + tuple(k for k in pk if k not in not_null)
+
+    def violation(kind, col, value):
+        return F.struct(F.lit(kind).alias("constraint"), F.lit(col).alias("column"),
+                        value.cast("string").alias("value"))
+    checks = [F.when(F.col(c).isNull(), violation("not_null", c, F.lit(None))) for c in not_null]
+    checks += [F.when(F.col(c).isNotNull() & ~F.col(c).isin(*allowed), violation("domain", c, F.col(c)))
+               for c, allowed in (domains or {}).items()]
+    out = None
+    if checks:
+        out = (df.select(keytext.alias("key"),
+                         F.explode(F.filter(F.array(*checks), lambda v: v.isNotNull())).alias("_v"))
+               .select("_v.constraint", "key", "_v.column", "_v.value"))
     if pk:
         dup = (df.groupBy(*pk).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
                .select(F.lit("duplicate_key").alias("constraint"), keytext.alias("key"),
                        F.lit(",".join(pk)).alias("column"), F.col("_n").cast("string").alias("value")))
-        parts.append(dup)
-        for k in pk:
-            if k not in not_null:
-                not_null = tuple(not_null) + (k,)
-    for c in not_null:
-        parts.append(df.filter(F.col(c).isNull()).select(
-            F.lit("not_null").alias("constraint"), keytext.alias("key"), F.lit(c).alias("column"),
-            F.lit(None).cast("string").alias("value")))
-    for c, allowed in (domains or {}).items():
-        parts.append(df.filter(F.col(c).isNotNull() & ~F.col(c).isin(*allowed)).select(
-            F.lit("domain").alias("constraint"), keytext.alias("key"), F.lit(c).alias("column"),
-            F.col(c).cast("string").alias("value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        out = dup if out is None else dup.unionByName(out)
+    if out is None:
+        raise ValueError("no constraint to check")
     return out
 
 

@@ -246,3 +246,13 @@ def test_time_operators_ignore_the_session_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert dst == [(1, 1), (2, 2), (3, 2), (4, 2)]
     assert dst_cap == sorted((r.attempt_id, r.accepted) for r in hi.rate_cap_history(df, cap=1, chunk_hours=1).collect())
+
+
+def test_check_constraints_reports_every_kind_in_one_table(spark):
+    df = spark.createDataFrame([(1, "crm", "member"), (1, "crm", "owner"), (2, None, "app_admin"), (3, "x", None)],
+                               "user_id bigint, app string, role string")
+    got = sorted((r.constraint, r.key, r.column, r.value) for r in
+                 ig.check_constraints(df, pk=("user_id", "app"), not_null=("role",),
+                                      domains={"role": ("member", "app_admin")}).collect())
+    assert got == [("domain", "1|crm", "role", "owner"), ("duplicate_key", "1|crm", "user_id,app", "2"),
+                   ("not_null", "2|~NULL~", "app", None), ("not_null", "3|x", "role", None)]
