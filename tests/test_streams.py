@@ -76,3 +76,22 @@ def test_stream_current_grants_ignores_late_older_changes(spark, tmp_path):
     st.stream_current_grants(src, f"{tmp_path}/state", f"{tmp_path}/ckpt")
     got = sorted((r.user_id, r.role) for r in st.current_from_state(spark, f"{tmp_path}/state").collect())
     assert got == [(1, "app_admin"), (2, "member")]
+
+
+def test_compacted_state_and_later_changes_agree(spark, tmp_path):
+    schema = "change_id bigint, user_id bigint, app string, changed_at timestamp_ntz, action string, role string"
+    first = spark.createDataFrame([(1, 1, "crm", T0 + dt.timedelta(days=2), "grant", "member"),
+                                   (2, 2, "crm", T0, "grant", "member")], schema)
+    first.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    src = st.file_stream(spark, f"{tmp_path}/in", first.schema)
+    st.stream_current_grants(src, f"{tmp_path}/state", f"{tmp_path}/ckpt")
+    st.compact(spark, f"{tmp_path}/state")
+    later = spark.createDataFrame([(3, 1, "crm", T0 + dt.timedelta(days=1), "revoke", "member"),
+                                   (4, 2, "crm", T0 + dt.timedelta(days=3), "grant", "app_admin")], schema)
+    later.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    src = st.file_stream(spark, f"{tmp_path}/in", first.schema)
+    st.stream_current_grants(src, f"{tmp_path}/state", f"{tmp_path}/ckpt")
+    got = sorted((r.user_id, r.role) for r in st.current_from_state(spark, f"{tmp_path}/state").collect())
+    assert got == [(1, "member"), (2, "app_admin")]
+    batch = sorted((r.user_id, r.role) for r in hi.current_grants(first.unionByName(later)).collect())
+    assert got == batch
