@@ -21,6 +21,13 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def ordered(*cols) -> list[Column]:
+    """Sort keys with the null position stated: ascending names sort nulls
+    last (the SQL convention of the original queries; Spark's default is
+    first). Pass a Column for anything else, e.g. ``desc_nulls_first()``."""
+    return [F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in cols]
+
+
 def normalize_email(c) -> Column:
     """lower(trim(x)): strips spaces only, a newline survives."""
     return F.lower(F.trim(_c(c)))

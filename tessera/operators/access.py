@@ -140,7 +140,7 @@ def list_accounts(accounts: DataFrame, grants: DataFrame, caller) -> DataFrame:
 def own_grants(grants: DataFrame, caller) -> DataFrame:
     """The caller's own app/role rows, even for an admin, by app."""
     return (grants.filter(F.col("user_id") == _caller(caller))
-            .select("app", "role").orderBy("app"))
+            .select("app", "role").orderBy(F.col("app").asc_nulls_last()))
 
 
 def platform_admins(grants: DataFrame) -> DataFrame:

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import scalar as sx
+
 # Option values that make a view defer to its caller, the
 # owner-column names checked by J9, and the text per foreign-key action.
 INVOKER_ON = ("true", "on")
@@ -50,7 +52,7 @@ def tables_without_rls(relations: DataFrame) -> DataFrame:
     """Plain tables with row security off (partitioned `p` tables are not
     checked, as in the original audit)."""
     return (relations.filter((F.col("relkind") == "r") & ~F.col("relrowsecurity"))
-            .select(F.col("relname").alias("table_without_rls")).orderBy(1))
+            .select(F.col("relname").alias("table_without_rls")).orderBy(*sx.ordered("table_without_rls")))
 
 
 # C2
@@ -68,14 +70,14 @@ def open_policies(policies: DataFrame, strict: bool = False) -> DataFrame:
         cond = cond | (w == "true") | (F.coalesce(q, F.lit("true")) == "true")
     return (policies.filter(cond)
             .select("tablename", "policyname", "cmd", F.coalesce(q, w).alias("expr"))
-            .orderBy("tablename", "policyname"))
+            .orderBy(*sx.ordered("tablename", "policyname")))
 
 
 # C3
 def bypassing_views(relations: DataFrame) -> DataFrame:
     return (relations.filter(F.col("relkind").isin("v", "m") & bypasses(F.col("security_invoker")))
             .select(F.col("relname").alias("view_bypassing_rls"), _opt(relations, "owner").alias("owner"))
-            .orderBy(1))
+            .orderBy(*sx.ordered("view_bypassing_rls")))
 
 
 # C4
@@ -86,7 +88,7 @@ def anon_unprotected(relations: DataFrame) -> DataFrame:
     return (relations.filter(F.col("anon_can_read") & (rls_off | view_open))
             .select(F.col("relname").alias("unprotected_and_readable_by_anon"),
                     F.when(F.col("relkind") == "r", F.lit(WHY_RLS_OFF)).otherwise(F.lit(WHY_VIEW)).alias("why"))
-            .orderBy(1))
+            .orderBy(*sx.ordered("unprotected_and_readable_by_anon")))
 
 
 def with_proconfig(functions: DataFrame) -> DataFrame:
@@ -106,7 +108,7 @@ def unsafe_definer_functions(functions: DataFrame) -> DataFrame:
     return (f.filter(F.col("prosecdef") & (F.col("anon_execute") | ~pinned))
             .select(F.col("proname").alias("definer_function"), _opt(f, "args").alias("args"),
                     F.when(F.col("anon_execute"), F.lit(WHY_ANON)).otherwise(F.lit(WHY_PATH)).alias("why"))
-            .orderBy(1))
+            .orderBy(*sx.ordered("definer_function")))
 
 
 # C6
@@ -115,7 +117,7 @@ def definer_listing(functions: DataFrame) -> DataFrame:
     return (f.filter(F.col("prosecdef"))
             .select("proname", _opt(f, "args").alias("args"),
                     F.array_join("proconfig", ", ").alias("config"))
-            .orderBy("proname"))
+            .orderBy(*sx.ordered("proname")))
 
 
 def unexpected_definers(functions: DataFrame, expected: DataFrame) -> DataFrame:
@@ -128,14 +130,14 @@ def view_listing(relations: DataFrame) -> DataFrame:
     return (relations.filter(F.col("relkind").isin("v", "m"))
             .select("relname", F.coalesce("security_invoker", F.lit("NOT SET")).alias("invoker"),
                     "anon_can_read", _opt(relations, "owner").alias("owner"))
-            .orderBy(1))
+            .orderBy(*sx.ordered("relname")))
 
 
 # C8
 def policy_listing(policies: DataFrame) -> DataFrame:
     return (policies.select(_opt(policies, "schemaname").alias("schemaname"), "tablename",
                             "policyname", "cmd", _opt(policies, "roles").alias("roles"))
-            .orderBy("tablename", "policyname"))
+            .orderBy(*sx.ordered("tablename", "policyname")))
 
 
 # C9
@@ -190,7 +192,7 @@ def fk_effects(fks: DataFrame, columns: DataFrame, target: str) -> DataFrame:
     return (ex.join(columns.select("conrelid", "attnum", "attname"), ["conrelid", "attnum"])
             .select(F.col("conrelid").alias("referencing_table"), F.col("attname").alias("column_name"),
                     action.alias("what_happens"))
-            .orderBy(1, 2))
+            .orderBy(*sx.ordered("referencing_table", "column_name")))
 
 
 # J9
@@ -206,4 +208,4 @@ def unlinked_owner_columns(columns: DataFrame, fks: DataFrame, relations: DataFr
                .select("conrelid", F.explode("conkey").alias("attnum")).distinct())
     return (cols.join(covered, ["conrelid", "attnum"], "left_anti")
             .select(F.col("conrelid").alias("table_name"), F.col("attname").alias("column_name"))
-            .orderBy(1, 2))
+            .orderBy(*sx.ordered("table_name", "column_name")))

@@ -202,8 +202,8 @@ def validate_invites(requests: DataFrame, accounts: DataFrame, grants: DataFrame
         F.count(F.lit(1))).scalar()
     room = F.greatest(F.lit(cap) - recent, F.lit(0))
     # the first `room` passing requests by key: a top-k of at most `cap` rows
-    firsts = (pre.filter(F.col("reason_code").isNull()).select(key).orderBy(key).limit(cap)
-              .withColumn("_rank", F.row_number().over(Window.orderBy(key))))
+    firsts = (pre.filter(F.col("reason_code").isNull()).select(key).orderBy(F.col(key).asc_nulls_last()).limit(cap)
+              .withColumn("_rank", F.row_number().over(Window.orderBy(F.col(key).asc_nulls_last()))))
     res = pre.join(F.broadcast(firsts), key, "left")
     over_cap = F.col("reason_code").isNull() & (F.coalesce(F.col("_rank"), F.lit(cap + 1)) > room)
     cap_msg = INVITE_REASONS["rate_cap"].format(cap=cap)

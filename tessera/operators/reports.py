@@ -19,7 +19,7 @@ def who_reaches_what(grants: DataFrame, accounts: DataFrame) -> DataFrame:
     """email, app, role, granted_at by app then email."""
     return (grants.join(accounts.select("user_id", "email"), "user_id")
             .select("email", "app", "role", "granted_at")
-            .orderBy("app", "email"))
+            .orderBy(*sx.ordered("app", "email")))
 
 
 # J3
@@ -108,7 +108,7 @@ def invite_report(accounts: DataFrame, grants: DataFrame) -> DataFrame:
                     _sorted_agg_text(F.col("_g"), lambda s: F.concat(s["app"], F.lit(":"), s["role"]), ", "))
     return (j.select("email", "invited_at", F.col("confirmed_at").isNotNull().alias("accepted"),
                      access.alias("access"))
-            .orderBy(F.col("invited_at").desc_nulls_first(), "email"))
+            .orderBy(*sx.ordered(F.col("invited_at").desc_nulls_first(), "email")))
 
 
 GRANT_LIST_SCHEMA = "array<struct<app:string,role:string>>"

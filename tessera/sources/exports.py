@@ -39,7 +39,7 @@ def write_lines(df: DataFrame, path: str) -> None:
 # S8
 def export_counts(counts: DataFrame, path: str) -> None:
     """Counts as CSV (exact counts from A1, not statistics estimates)."""
-    counts.orderBy("tbl").write.mode("errorifexists").option("header", True).csv(path)
+    counts.orderBy(F.col("tbl").asc_nulls_last()).write.mode("errorifexists").option("header", True).csv(path)
 
 
 def schema_inventory(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:

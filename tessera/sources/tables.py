@@ -36,7 +36,7 @@ def page(df: DataFrame, key: str, size: int = PAGE_SIZE, after=None) -> DataFram
     """
     if after is not None:
         df = df.filter(F.col(key) > F.lit(after))
-    return df.orderBy(key).limit(size)
+    return df.orderBy(F.col(key).asc_nulls_last()).limit(size)
 
 
 def page_numbers(df: DataFrame, key: str, size: int = PAGE_SIZE, partitions: int | None = None) -> DataFrame:
