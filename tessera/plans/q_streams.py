@@ -171,7 +171,7 @@ def t2_stream_rate_cap(spark, sf_dir):
     ws = Workspace(spark, sf_dir)
     base = pub.scratch_path(spark, "t2")
     att = ws.fx_invite_attempts
-    _stage_files(att, f"{base}/in", "attempted_at")
+    _stage_files(att, f"{base}/in", "attempted_at", pieces=2)  # two micro-batches: state carries over
     src = st.file_stream(spark, f"{base}/in", att.schema, max_files_per_trigger=1)
     st.run_to_parquet(st.stream_rate_cap(src), f"{base}/out", f"{base}/ckpt")
     return spark.read.parquet(f"{base}/out").select("inviter", "attempt_id", "attempted_at", "accepted")
