@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.access import platform_admins
+from tessera.session import checkpoint_dir
 
 HOUR_SECONDS = 3600
 HOURLY_CAP = 10
@@ -152,6 +153,10 @@ def rate_cap_history(requests: DataFrame, key: str = "inviter", ts_col: str = "a
     wc = (Window.partitionBy(key, "_chunk").orderBy("_t", id_col)
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rows = rows.withColumn("_local", F.max("_start").over(wc))
+    # three branches read these rows (carry, run ids, dense screen): materialise
+    # the chunked windows once, with a reliable checkpoint in the shared folder
+    checkpoint_dir(requests.sparkSession)
+    rows = rows.checkpoint(eager=True)
     per_chunk = rows.groupBy(key, "_chunk").agg(F.max("_start").alias("_last"))
     wk = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = per_chunk.select(key, "_chunk", F.max("_last").over(wk).alias("_carry"))
