@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalar as sx
 from tessera.operators import access as acc
+from tessera.session import checkpoint_dir
 from tessera.sources.tables import page_numbers
 
 GRANT_KEY = ("user_id", "app")
@@ -191,6 +192,10 @@ def validate_invites(requests: DataFrame, accounts: DataFrame, grants: DataFrame
             .when(F.col("_exists"), F.lit("exists"))
             .when(F.col("_dups") > 1, F.lit("duplicate")))
     pre = j.select(key, email_col, grants_col, "email_clean", "_bad", code.alias("reason_code"))
+    # the decisions feed both the output and the cap's top-k: materialise once
+    # (reliable checkpoint in the shared folder) instead of parsing twice
+    checkpoint_dir(requests.sparkSession)
+    pre = pre.checkpoint(eager=True)
     reason = (F.when(F.col("reason_code") == "not_admin", F.lit(INVITE_REASONS["not_admin"]))
               .when(F.col("reason_code") == "bad_email", F.concat(F.lit(INVITE_REASONS["bad_email"]), F.col(email_col)))
               .when(F.col("reason_code") == "not_array", F.lit(INVITE_REASONS["not_array"]))
