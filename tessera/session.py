@@ -46,10 +46,15 @@ def get_session(app_name: str = "tessera", master: str | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    The cluster sets it; only when it is unset (local tests) do we create one.
+    The cluster sets it, in the session or in the context's configuration. Where it is
+    unset, a local master gets a folder of its own and any other master is an error:
+    executors on other machines would not see a folder of the driver.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tessera-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

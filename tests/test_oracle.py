@@ -6,10 +6,10 @@ import pytest
 import __spark_entry__ as E
 from conftest import SMALL
 from tessera.plans.fixtures import BASE_TABLES
+from tessera.plans.registry import ORACLE, QUERIES, load_all
 from tools.oracle_check import rows_of
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+load_all()
 
 
 @pytest.fixture(scope="module")
