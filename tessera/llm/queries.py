@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import quality, simhash
+from tessera.llm import mixing, packing, quality, simhash
 from tessera.llm.common import documents
 
+TOKENIZER = "byte_bpe_50k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -30,6 +33,48 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+@query("op4_best_fit_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 ids that hold every document."""
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), capacity=2048, end_id=0)
+
+
+OP5_SQL = r"""
+with d as (select doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+                                                  lambda x: x <> '')) as size from documents),
+s as (select source, sum(size)::bigint as source_size from d group by source),
+r as (select *, row_number() over (order by source nulls last) as place from s),
+w as (select *, case (place - 1) % 3 when 0 then 5 when 1 then 2 else 1 end as weight, 2 * source_size as most,
+             1.5::double * sum(source_size) over () as budget from r),
+l as (select *, (budget - coalesce(sum(most) over (order by most::double / weight, place
+                       rows between unbounded preceding and 1 preceding), 0))
+               / sum(weight) over (order by most::double / weight, place rows between current row and unbounded following)
+               as level from w),
+f as (select *, (select level from l where most::double / weight > level order by most::double / weight, place limit 1) as free
+      from l),
+t as (select *, case when free is null or most <= weight * free then most::double else weight * free end as target from f),
+q as (select d.doc_id, d.size, t.source_size, t.place, t.target, e.epoch, md5('mix-' || d.doc_id) as ord,
+             sum(d.size) over (partition by t.place, e.epoch order by md5('mix-' || d.doc_id) rows unbounded preceding)
+             + e.epoch * t.source_size as through
+      from d join t on d.source is not distinct from t.source, (select unnest([0, 1]) as epoch) e),
+h as (select *, greatest(0, least(size, floor(target)::bigint - (through - size)))::bigint as head from q where size > 0),
+p as (select *, 0 as part, head as words, (through - size + head) / target as time from h where head > 0
+      union all select *, 1, size - head, through / target from h where head < size),
+g as (select doc_id, words, (select floor(1.5 * sum(size))::bigint from d)
+             - coalesce(sum(words) over (order by time, place, epoch, ord, part
+                        rows between unbounded preceding and 1 preceding), 0) as room from p),
+k as (select doc_id, sum(greatest(0, least(words, room)))::bigint as taken from g group by doc_id)
+select d.doc_id, d.size, t.source_size, t.target, coalesce(k.taken, 0) as taken
+from d join t on d.source is not distinct from t.source left join k on k.doc_id = d.doc_id
+"""
+
+
+@query("op5_mixing_sources", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix of all sources takes."""
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 OP9_SQL = r"""
 with d as (select doc_id, coalesce(text, '') as text from documents),
 w as (select doc_id, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as words,
