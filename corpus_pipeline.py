@@ -7,9 +7,10 @@ so a lost executor costs at most one stage's work.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import quality, simhash
+from tessera.llm import mixing, packing, quality, sanitise, simhash
 from tessera.llm.common import documents, table_of
 
 
@@ -23,9 +24,27 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return simhash.keep_one(docs, shingle=3, radius=2)
 
 
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data and the terms that disclose it replaced in their texts."""
+    return sanitise.sanitised(docs)
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix: repeated where taken more than once, cut where taken in part."""
+    return mixing.mixed_documents(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of at most 2048 ids."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
+
+
 STAGES = [
     ("quality rules", quality_rules),
     ("SimHash near-dedup", simhash_near_dedup),
+    ("PII", pii),
+    ("mixing sources to target weights", mixing_sources),
+    ("best-fit packing", best_fit_packing),
 ]
 
 # SQL has no XXH64, so it can't say which documents the second stage keeps

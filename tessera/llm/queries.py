@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, packing, quality, simhash
+from tessera.llm import mixing, packing, quality, sanitise, simhash
 from tessera.llm.common import documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -75,6 +75,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op8_pii_sanitisation")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and disclosing terms of every document, as spans."""
+    return sanitise.report(sanitise.find(documents(spark, sf_dir)))
+
+
 OP9_SQL = r"""
 with d as (select doc_id, coalesce(text, '') as text from documents),
 w as (select doc_id, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as words,
