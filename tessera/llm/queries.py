@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, packing, quality, sanitise, simhash
+from tessera.llm import mixing, packing, quality, sanitise, sharding, simhash, warc
 from tessera.llm.common import documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -75,6 +75,29 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+OP6_SQL = r"""
+with recursive names as (select i, 'shard-' || lpad(i::varchar, 2, '0') as name from (select unnest(range(0, 16)) as i)),
+prefs as (select list(('0x' || substr(md5(name || '/offset'), 1, 15))::bigint % 4099 order by i) as offsets,
+                 list(('0x' || substr(md5(name || '/step'), 1, 15))::bigint % 4098 + 1 order by i) as steps from names),
+turns as (select 0::bigint as turn, offsets, steps, list_transform(range(0, 4099), lambda x: -1::bigint) as owner from prefs
+          union all
+          select turn + 1, offsets, steps, owner[1:slot] || [(turn % 16)::bigint] || owner[slot + 2:]
+          from (select *, (offsets[turn % 16 + 1] + steps[turn % 16 + 1] * list_filter(range(0, 4099), lambda j:
+                          owner[(offsets[turn % 16 + 1] + j * steps[turn % 16 + 1]) % 4099 + 1] < 0)[1]) % 4099 as slot
+                from turns where turn < 4099)),
+slots as (select unnest(range(0, 4099)) as slot, unnest(owner) as i from turns where turn = 4099),
+d as (select doc_id, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint % 4099 as slot from documents)
+select d.doc_id, d.slot::int as slot, n.name as shard from d join slots s on s.slot = d.slot join names n on n.i = s.i
+"""
+
+
+@query("op6_sharding", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document among sixteen."""
+    shards = [f"shard-{i:02d}" for i in range(sharding.SHARDS)]
+    return sharding.placed(documents(spark, sf_dir), "doc_id", shards, sharding.SLOTS).select("doc_id", "slot", "shard")
+
+
 @query("op8_pii_sanitisation")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data and disclosing terms of every document, as spans."""
@@ -112,3 +135,20 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("failure_bits").bitwiseAND(F.lit(quality.mask_of(quality.BASE))).alias("base_bits"),
                        quality.kept_under().alias("kept"), "failure_bits").select(
         "doc_id", *quality.MEASURES[:5], (F.col("base_bits") != 0).alias("base_failed"), "kept", "failure_bits")
+
+
+OP10_SQL = """
+with p as (select page_id, sha256(coalesce(html, '')) as payload_digest,
+                  octet_length(encode(coalesce(html, '')))::bigint as payload_bytes from pages),
+f as (select *, min(page_id) over (partition by payload_digest) as least from p)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 100 and page_id is distinct from least then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 100 and page_id is distinct from least then least end as refers_to
+from f
+"""
+
+
+@query("op10_warc", OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of an archive, read back from the archives."""
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
