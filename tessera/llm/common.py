@@ -18,7 +18,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
 # text handled by one vectorised step inside a task; longer texts form a step of their own
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def lower_ascii(c: Column) -> Column:

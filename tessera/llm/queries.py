@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, packing, quality, sanitise, sharding, simhash, warc
+from tessera.llm import mixing, packing, quality, sanitise, sharding, simhash, tokenfile, warc
 from tessera.llm.common import documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -98,6 +98,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placed(documents(spark, sf_dir), "doc_id", shards, sharding.SLOTS).select("doc_id", "slot", "shard")
 
 
+@query("op7_token_files")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document, written to compressed files and read back."""
+    return tokenfile.round_trip(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), end_id=2)
+
+
 @query("op8_pii_sanitisation")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data and disclosing terms of every document, as spans."""
