@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, packing, quality, sanitise, sharding, simhash, tokenfile, warc
+from tessera.llm import mixing, neighbours, packing, quality, sanitise, sharding, simhash, tokenfile, warc
 from tessera.llm.common import documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -33,6 +33,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+@query("op3_nearest_neighbours")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of all vectors for each whose vec_id is divisible by 20."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 @query("op4_best_fit_packing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 ids that hold every document."""
