@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, neighbours, packing, quality, sanitise, sharding, simhash, tokenfile, warc
+from tessera.llm import lm, mixing, neighbours, packing, quality, sanitise, sharding, simhash, tokenfile, warc
 from tessera.llm.common import documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -26,6 +26,12 @@ def query(name: str, oracle: str | None = None):
     return deco
 
 
+@query("op1_lm_scoring")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base and model log-probability of every document."""
+    return lm.scored(documents(spark, sf_dir))
+
+
 @query("op2_simhash_near_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document: 3-word shingles, 2 bits."""
