@@ -100,8 +100,21 @@ def rows_with_json_key(df: DataFrame, col: str, key: str) -> DataFrame:
 
 
 def json_array_type_ok(c) -> Column:
-    """A JSON text is an array: first non-blank character is '['. Null stays null."""
-    return F.substring(F.ltrim(F.regexp_replace(_c(c), r"^\s+", "")), 1, 1) == F.lit("[")
+    """A JSON text is a whole, well-formed array. Null stays null; malformed text is false."""
+    c = _c(c)
+    opens = F.substring(F.regexp_replace(c, r"^\s+", ""), 1, 1) == F.lit("[")
+    return opens & F.try_parse_json(c).isNotNull() & F.from_json(c, "array<string>").isNotNull()
+
+
+def grant_entries(c) -> Column:
+    """The entries (raw, app, role) of a JSON grant list; null for null or for anything but an array.
+
+    An entry that is no object, or lacks a field, has null fields.
+    """
+    c = _c(c)
+    raw = F.when(json_array_type_ok(c), F.from_json(c, "array<string>"))
+    return F.transform(raw, lambda e: F.struct(e.alias("raw"), F.get_json_object(e, "$.app").alias("app"),
+                                               F.get_json_object(e, "$.role").alias("role")))
 
 
 def _param_pairs(part: Column, priority: int) -> Column:

@@ -33,6 +33,7 @@ INVITE_REASONS = {
     "exists": " already has an account — set their access from the grid instead",
     "rate_cap": "too many invitations in the last hour (limit {cap}) — wait, or send it from the dashboard",
     "duplicate": "the same address appears more than once in this batch",
+    "repeated_app": "a request may name each app once",
 }
 DELETE_REASONS = {
     "not_admin": "not authorised to delete accounts",
@@ -138,18 +139,15 @@ def revoke_report(grants: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 # M4
-def _entry_check(e: Column) -> Column:
+def _entry_check(p: Column) -> Column:
     """(code, reason) of the first rule one grant entry breaks, or nulls."""
-    app = F.get_json_object(e, "$.app")
-    role = F.get_json_object(e, "$.role")
-    parsed = F.struct(e.alias("raw"), app.alias("app"), role.alias("role"))
-    return F.transform(F.array(parsed), lambda p: F.struct(
+    return F.struct(
         F.when(p["app"].isNull() | p["role"].isNull(), F.lit("missing_field"))
         .when(~p["role"].isin(*acc.ROLES), F.lit("unknown_role"))
         .when(p["app"] == acc.PLATFORM, F.lit("platform")).alias("code"),
         F.when(p["app"].isNull() | p["role"].isNull(), F.concat(F.lit(INVITE_REASONS["missing_field"]), p["raw"]))
         .when(~p["role"].isin(*acc.ROLES), F.concat(F.lit(INVITE_REASONS["unknown_role"]), p["role"]))
-        .when(p["app"] == acc.PLATFORM, F.lit(INVITE_REASONS["platform"])).alias("reason")))[0]
+        .when(p["app"] == acc.PLATFORM, F.lit(INVITE_REASONS["platform"])).alias("reason"))
 
 
 def validate_invites(requests: DataFrame, accounts: DataFrame, grants: DataFrame, caller,
@@ -159,21 +157,24 @@ def validate_invites(requests: DataFrame, accounts: DataFrame, grants: DataFrame
     """Outcome per invitation request; the first failing rule is reported.
 
     Rules in order: caller is not a platform admin; not an address; grants
-    not an array (null means none); the first bad entry (missing app or role,
-    unknown role, ``platform``); an account exists; duplicate address in the
-    batch; the hourly cap. Entries are checked in-row with higher-order array
+    not a well-formed array (null means none); the first bad entry (missing app
+    or role, unknown role, ``platform``); an account exists; duplicate address in
+    the batch; an app named twice in the request; the hourly cap. Each refuses
+    its own request only. Entries are checked in-row with higher-order array
     functions (each entry parsed once). The cap counts invitations in the
     hour before ``now`` plus the earlier accepted requests of the batch (by
     ``key``): at most ``cap - recent`` requests can pass, found with a
     distributed top-k.
     """
     raw = F.col(grants_col)
-    is_array = raw.isNull() | sx.json_array_type_ok(raw)
-    elems = F.from_json(F.coalesce(raw, F.lit("[]")), "array<string>")
-    bad = F.filter(F.transform(elems, _entry_check), lambda c: c["code"].isNotNull())
+    entries = F.col("_entries")
+    apps = F.transform(entries, lambda e: e["app"])
+    bad = F.filter(F.transform(entries, _entry_check), lambda c: c["code"].isNotNull())
     base = (requests.select(key, email_col, grants_col, sx.normalize_email(email_col).alias("email_clean"),
-                            is_array.alias("_is_array"))
-            .withColumn("_bad", F.when(F.col("_is_array"), F.try_element_at(bad, F.lit(1)))))
+                            sx.grant_entries(raw).alias("_entries"))
+            .withColumn("_is_array", raw.isNull() | entries.isNotNull())
+            .withColumn("_bad", F.try_element_at(bad, F.lit(1)))
+            .withColumn("_twice", F.size(F.array_distinct(apps)) < F.size(apps)).drop("_entries"))
     # accounts are reduced to the batch's addresses first (a semi join whose
     # small side AQE can broadcast), so a large accounts table is scanned, not shuffled
     existing = (accounts.select(F.lower("email").alias("email_clean"))
@@ -190,7 +191,8 @@ def validate_invites(requests: DataFrame, accounts: DataFrame, grants: DataFrame
             .when(~F.col("_is_array"), F.lit("not_array"))
             .when(F.col("_bad").isNotNull(), F.col("_bad.code"))
             .when(F.col("_exists"), F.lit("exists"))
-            .when(F.col("_dups") > 1, F.lit("duplicate")))
+            .when(F.col("_dups") > 1, F.lit("duplicate"))
+            .when(F.col("_twice"), F.lit("repeated_app")))
     pre = j.select(key, email_col, grants_col, "email_clean", "_bad", code.alias("reason_code"))
     # the decisions feed both the output and the cap's top-k: materialise once
     # (reliable checkpoint in the shared folder) instead of parsing twice
@@ -201,7 +203,9 @@ def validate_invites(requests: DataFrame, accounts: DataFrame, grants: DataFrame
               .when(F.col("reason_code") == "not_array", F.lit(INVITE_REASONS["not_array"]))
               .when(F.col("reason_code") == "exists",
                     F.concat(F.col("email_clean"), F.lit(INVITE_REASONS["exists"])))
-              .when(F.col("reason_code") == "duplicate", F.lit(INVITE_REASONS["duplicate"]))
+              .when(F.col("reason_code").isin("duplicate", "repeated_app"),
+                    F.when(F.col("reason_code") == "duplicate", F.lit(INVITE_REASONS["duplicate"]))
+                    .otherwise(F.lit(INVITE_REASONS["repeated_app"])))
               .when(F.col("reason_code").isNotNull(), F.col("_bad.reason")))
     recent = accounts.filter(F.col(invited_col) > now - F.expr("INTERVAL 1 HOUR")).select(
         F.count(F.lit(1))).scalar()
@@ -238,8 +242,7 @@ def apply_invites(decisions: DataFrame, accounts: DataFrame, grants: DataFrame,
         ok = page_numbers(ok, key, size=1).withColumn("user_id", top + F.col("_page") + 1).drop("_page")
     else:
         ok = ok.withColumn("user_id", new_id)
-    elems = F.from_json(F.coalesce(F.col(grants_col), F.lit("[]")), acc_schema())
-    ex = ok.select("user_id", F.explode(elems).alias("g"))
+    ex = ok.select("user_id", F.explode(sx.grant_entries(grants_col)).alias("g"))
     new_grants = ex.select("user_id", F.col("g.app").alias("app"), F.col("g.role").alias("role"),
                            F.lit(caller).cast("bigint").alias("granted_by"))
     table = upsert_grants(grants, new_grants, "role_only", now=now, caller=caller)
@@ -251,21 +254,17 @@ def apply_invites(decisions: DataFrame, accounts: DataFrame, grants: DataFrame,
     return report, new_accounts, table
 
 
-def acc_schema() -> str:
-    return "array<struct<app:string,role:string>>"
-
-
 # M6
 def delete_decisions(targets: DataFrame, accounts: DataFrame, grants: DataFrame, caller,
                      target_col: str = "target_id") -> DataFrame:
     """Outcome per deletion target, first refusal wins: caller not admin; null
-    id; self; no such account; target administers access. All judged against
-    the state before the batch."""
+    id; self; no such account (one without an email counts as none); target
+    administers access. All judged against the state before the batch."""
     admin = acc.is_platform_admin(grants, caller)
     # accounts and admins are reduced to the batch's ids first (semi joins
     # whose small side AQE can broadcast) before the outer joins
     ids = targets.select(target_col).filter(F.col(target_col).isNotNull()).distinct()
-    acct = (accounts.select(F.col("user_id").alias(target_col), "email", F.lit(True).alias("_found"))
+    acct = (accounts.select(F.col("user_id").alias(target_col), "email")
             .join(ids, target_col, "left_semi"))
     padm = (acc.platform_admins(grants).select(F.col("user_id").alias(target_col), F.lit(True).alias("_is_admin"))
             .join(ids, target_col, "left_semi"))
@@ -274,12 +273,12 @@ def delete_decisions(targets: DataFrame, accounts: DataFrame, grants: DataFrame,
     code = (F.when(~admin, F.lit("not_admin"))
             .when(t.isNull(), F.lit("no_id"))
             .when(t == F.lit(caller), F.lit("self"))
-            .when(F.col("_found").isNull(), F.lit("missing"))
+            .when(F.col("email").isNull(), F.lit("missing"))
             .when(F.col("_is_admin"), F.lit("admin")))
     reason = (F.when(~admin, F.lit(DELETE_REASONS["not_admin"]))
               .when(t.isNull(), F.lit(DELETE_REASONS["no_id"]))
               .when(t == F.lit(caller), F.lit(DELETE_REASONS["self"]))
-              .when(F.col("_found").isNull(), F.lit(DELETE_REASONS["missing"]))
+              .when(F.col("email").isNull(), F.lit(DELETE_REASONS["missing"]))
               .when(F.col("_is_admin"), F.concat(F.col("email"), F.lit(DELETE_REASONS["admin"]))))
     return j.select(target_col, "email", code.alias("reason_code"), reason.alias("reason"),
                     code.isNull().alias("accepted"))
@@ -367,16 +366,21 @@ def end_sessions(sessions: DataFrame, tokens: DataFrame, targets: DataFrame,
 def decide_changes(changes: DataFrame, grants: DataFrame, caller, key: str = "change_id") -> DataFrame:
     """Outcome per requested role change (role null = revoke).
 
-    no-op when the role is already the requested one (the grid offers no
-    action there); refused when the caller removes their own platform
-    admin; needs_confirmation when promoting someone else to platform admin;
-    else apply. ``end_sessions`` is true iff revoking someone else.
+    not_admin for every change of a caller who is no platform admin; duplicate for
+    each of several changes to one (user, app); no-op when the role is already the
+    requested one (the grid offers no action there); refused when the caller removes
+    their own platform admin; needs_confirmation when promoting someone else to
+    platform admin; else apply. ``end_sessions`` is true iff revoking someone else.
     """
     cur = grants.select("user_id", "app", F.col("role").alias("current_role"))
-    j = changes.join(cur, ["user_id", "app"], "left")
+    times = changes.groupBy("user_id", "app").agg(F.count(F.lit(1)).alias("_times"))
+    j = changes.join(times, ["user_id", "app"], "left").join(cur, ["user_id", "app"], "left")
+    j = j.withColumn("_admin", acc.is_platform_admin(grants, caller))
     is_self = F.col("user_id") == F.lit(caller)
     same = F.col("role").eqNullSafe(F.col("current_role"))
-    outcome = (F.when(same, F.lit("no-op"))
+    outcome = (F.when(~F.col("_admin"), F.lit("not_admin"))
+               .when(F.col("_times") > 1, F.lit("duplicate"))
+               .when(same, F.lit("no-op"))
                .when(is_self & (F.col("app") == acc.PLATFORM) & F.col("role").isNull(), F.lit("refused"))
                .when((F.col("app") == acc.PLATFORM) & (F.col("role") == acc.ADMIN) & ~is_self,
                      F.lit("needs_confirmation"))
@@ -386,56 +390,71 @@ def decide_changes(changes: DataFrame, grants: DataFrame, caller, key: str = "ch
                     ends.alias("end_sessions"))
 
 
+# Write checks are filters that raise: a filter on a refused row can't be pruned away, whatever
+# columns are read and however the rows are counted.
+def _require(df: DataFrame, ok: Column, message: str) -> DataFrame:
+    return df.filter(F.when(F.coalesce(ok, F.lit(False)), F.lit(True))
+                     .otherwise(F.raise_error(F.lit(message)).cast("boolean")))
+
+
+def _may_write(grants: DataFrame, shape: str, app: str, caller, owner: Column) -> Column:
+    gate = acc.has_app_access(grants, caller, app)
+    return gate if shape == "shared" else gate & owner.eqNullSafe(F.lit(caller))
+
+
+WRITE_REFUSED = "new row violates row-level security policy"
+
+
 # M11
 def governed_insert(df: DataFrame, rows: DataFrame, grants: DataFrame, shape: str, app: str, caller,
                     owner_col: str = "user_id") -> DataFrame:
     """``df`` plus ``rows``; any row failing the write check fails the whole
     job (nothing is written), as a policy WITH CHECK violation raises."""
-    gate = acc.has_app_access(grants, caller, app)
-    ok = gate if shape == "shared" else gate & F.col(owner_col).eqNullSafe(F.lit(caller))
-    msg = "new row violates row-level security policy"
-    checked = rows.select(*[F.when(ok, F.col(c)).otherwise(F.raise_error(F.lit(msg)).cast(rows.schema[c].dataType))
-                            .alias(c) if i == 0 else F.col(c) for i, c in enumerate(rows.columns)])
-    return df.unionByName(checked)
+    return df.unionByName(_require(rows, _may_write(grants, shape, app, caller, F.col(owner_col)), WRITE_REFUSED))
 
 
 def governed_insert_violations(rows: DataFrame, grants: DataFrame, shape: str, app: str, caller,
                                owner_col: str = "user_id") -> DataFrame:
     """The rows that would make ``governed_insert`` fail."""
-    gate = acc.has_app_access(grants, caller, app)
-    ok = gate if shape == "shared" else gate & F.col(owner_col).eqNullSafe(F.lit(caller))
-    return rows.filter(~ok)
+    return rows.filter(~_may_write(grants, shape, app, caller, F.col(owner_col)))
 
 
 # M12
+def _updated(df: DataFrame, grants: DataFrame, shape: str, app: str, caller, where: Column, set_values: dict,
+             policies: DataFrame, table: str, owner_col: str) -> tuple[DataFrame, Column]:
+    """Rows as they would be after the update, with ``_hit`` on the changed ones, and the new-row check."""
+    ok = _may_write(grants, shape, app, caller, F.col(owner_col)) & _verb_exists(policies, table, "UPDATE")
+    flagged = df.withColumn("_hit", F.coalesce(where & ok, F.lit(False)))
+    new = flagged.select(*[F.when(F.col("_hit"), set_values[c]).otherwise(F.col(c)).cast(df.schema[c].dataType)
+                           .alias(c) if c in set_values else F.col(c) for c in df.columns], "_hit")
+    return new, ~F.col("_hit") | _may_write(grants, shape, app, caller, F.col(owner_col))
+
+
 def governed_update(df: DataFrame, grants: DataFrame, shape: str, app: str, caller, where: Column,
-                    set_values: dict, owner_col: str = "user_id", policies: DataFrame | None = None,
-                    table: str | None = None):
+                    set_values: dict, policies: DataFrame, table: str, owner_col: str = "user_id"):
     """UPDATE ... WHERE under the write policy: rows out of reach are skipped
-    silently. With ``policies``, a table with no UPDATE policy changes nothing.
-    Returns (new_df, affected_count_column_df)."""
-    gate = acc.has_app_access(grants, caller, app)
-    ok = gate if shape == "shared" else gate & F.col(owner_col).eqNullSafe(F.lit(caller))
-    if policies is not None:
-        ok = ok & _verb_exists(policies, table, "UPDATE")
-    hit = F.coalesce(where & ok, F.lit(False))
-    flagged = df.withColumn("_hit", hit)
-    out = flagged.select(*[F.when(F.col("_hit"), set_values[c]).otherwise(F.col(c)).cast(df.schema[c].dataType)
-                           .alias(c) if c in set_values else F.col(c) for c in df.columns])
-    affected = flagged.agg(F.count(F.when(F.col("_hit"), 1)).alias("affected"))
-    return out, affected
+    silently, a table with no UPDATE policy changes nothing, and a new row that
+    the policy wouldn't let the caller write (one given to another owner) fails
+    the job. Returns (new_df, affected_count_column_df)."""
+    new, allowed = _updated(df, grants, shape, app, caller, where, set_values, policies, table, owner_col)
+    checked = _require(new, allowed, WRITE_REFUSED)
+    return checked.drop("_hit"), checked.agg(F.count(F.when(F.col("_hit"), 1)).alias("affected"))
+
+
+def governed_update_violations(df: DataFrame, grants: DataFrame, shape: str, app: str, caller, where: Column,
+                               set_values: dict, policies: DataFrame, table: str,
+                               owner_col: str = "user_id") -> DataFrame:
+    """The new rows that would make ``governed_update`` fail."""
+    new, allowed = _updated(df, grants, shape, app, caller, where, set_values, policies, table, owner_col)
+    return new.filter(~F.coalesce(allowed, F.lit(False))).drop("_hit")
 
 
 def governed_delete(df: DataFrame, grants: DataFrame, shape: str, app: str, caller, where: Column,
-                    owner_col: str = "user_id", policies: DataFrame | None = None, table: str | None = None):
+                    policies: DataFrame, table: str, owner_col: str = "user_id"):
     """DELETE ... WHERE under the policy; without a DELETE policy nothing goes.
     Returns (new_df, affected_count_df)."""
-    gate = acc.has_app_access(grants, caller, app)
-    ok = gate if shape == "shared" else gate & F.col(owner_col).eqNullSafe(F.lit(caller))
-    if policies is not None:
-        ok = ok & _verb_exists(policies, table, "DELETE")
-    hit = F.coalesce(where & ok, F.lit(False))
-    flagged = df.withColumn("_hit", hit)
+    ok = _may_write(grants, shape, app, caller, F.col(owner_col)) & _verb_exists(policies, table, "DELETE")
+    flagged = df.withColumn("_hit", F.coalesce(where & ok, F.lit(False)))
     return (flagged.filter(~F.col("_hit")).drop("_hit"),
             flagged.agg(F.count(F.when(F.col("_hit"), 1)).alias("affected")))
 
@@ -460,9 +479,8 @@ def backfill_owner(df: DataFrame, owner_col: str, owner) -> DataFrame:
     """Fill null owners before the personal shape applies; the job fails if
     any owner is still null afterwards (a null ``owner``)."""
     filled = F.coalesce(F.col(owner_col), F.lit(owner).cast(df.schema[owner_col].dataType))
-    guarded = F.when(filled.isNull(), F.raise_error(F.lit(f"{owner_col} still null after backfill"))
-                     .cast(df.schema[owner_col].dataType)).otherwise(filled)
-    return df.select(*[guarded.alias(c) if c == owner_col else F.col(c) for c in df.columns])
+    return _require(df.withColumn(owner_col, filled), F.col(owner_col).isNotNull(),
+                    f"{owner_col} still null after backfill")
 
 
 # M17

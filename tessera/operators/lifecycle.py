@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import access as acc
 from tessera.operators import changes as ch
 from tessera.sources import publish as pub
 
@@ -42,15 +43,18 @@ def commit_grant_changes(changes: DataFrame, grants: DataFrame, sessions: DataFr
     """Apply the changes M10 allows (a role sets or merges the grant, a null
     role revokes it), end the sessions of people whose access was revoked by
     someone else, publish grants, sessions and tokens together; returns the
-    outcomes. A batch may change each (user, app) once."""
+    outcomes. A batch may change each (user, app) once: several changes to one
+    are all refused. For a caller who is no platform admin nothing is published."""
     outcomes = ch.decide_changes(changes, grants, caller, key)
+    if not changes.sparkSession.range(1).select(acc.is_platform_admin(grants, caller)).first()[0]:
+        return outcomes
     todo = outcomes.filter(F.col("outcome") == "apply")
     upserts = todo.filter(F.col("role").isNotNull()).select(
         "user_id", "app", "role", F.lit(caller).cast(grants.schema["granted_by"].dataType).alias("granted_by"))
     revokes = todo.filter(F.col("role").isNull()).select("user_id", "app")
     new_grants = ch.upsert_grants(ch.revoke(grants, revokes), upserts, "merge_all", now=now, caller=caller)
     targets = todo.filter("end_sessions").select(F.col("user_id").alias("target_id")).distinct()
-    _, rest_sessions, rest_tokens = ch.end_sessions(sessions, tokens, targets)
+    _, rest_sessions, rest_tokens = ch.end_sessions(sessions, tokens, targets, grants=grants, caller=caller)
     pub.publish({"grants": new_grants, "sessions": rest_sessions, "tokens": rest_tokens}, root)
     return outcomes
 
@@ -92,6 +96,7 @@ def commit_deletions(targets: DataFrame, accounts: DataFrame, grants: DataFrame,
         tables[name] = ch.cascade_delete(df, col, action, accepted, target_col,
                                          default[0] if default else None)
     if sessions is not None and tokens is not None:
-        _, tables["sessions"], tables["tokens"] = ch.end_sessions(sessions, tokens, accepted, target_col)
+        _, tables["sessions"], tables["tokens"] = ch.end_sessions(sessions, tokens, accepted, target_col,
+                                                                      grants=grants, caller=caller)
     pub.publish(tables, root)
     return decisions

@@ -111,28 +111,28 @@ def invite_report(accounts: DataFrame, grants: DataFrame) -> DataFrame:
             .orderBy(*sx.ordered(F.col("invited_at").desc_nulls_first(), "email")))
 
 
-GRANT_LIST_SCHEMA = "array<struct<app:string,role:string>>"
-
-
 # A8
 def flatten_apps(requests: DataFrame, catalog: DataFrame, key: str = "request_id",
                  grants_col: str = "grants") -> DataFrame:
     """Per request: ``apps`` JSON array of {name,url,role} and ``app_list``
-    lines `name — url`, both ordered by name. No apps gives `[]` and a null list.
+    lines `name — url`, both ordered by name. No apps gives `[]` and a null list;
+    a list that is no well-formed array gives null for both.
 
     The grant list is exploded, resolved against the catalog by a join, and
     regrouped per request; each group holds one request's few grants.
     """
-    parsed = requests.select(key, F.from_json(grants_col, GRANT_LIST_SCHEMA).alias("_arr"))
-    ex = parsed.select(key, F.explode_outer("_arr").alias("_g"))
-    res = resolve_apps(ex.select(key, F.col("_g.app").alias("app"), F.col("_g.role").alias("role")),
+    parsed = requests.select(key, sx.grant_entries(grants_col).alias("_arr"), F.col(grants_col).alias("_text"))
+    parsed = parsed.withColumn("_malformed", F.col("_text").isNotNull() & F.col("_arr").isNull())
+    ex = parsed.select(key, "_malformed", F.explode_outer("_arr").alias("_g"))
+    res = resolve_apps(ex.select(key, "_malformed", F.col("_g.app").alias("app"), F.col("_g.role").alias("role")),
                        catalog)
     res = res.withColumn("_item", F.when(F.col("app").isNotNull() | F.col("role").isNotNull(),
                                          F.struct(F.col("app_name").alias("name"),
                                                   F.col("app_url").alias("url"), "role")))
-    agg = res.groupBy(key).agg(F.sort_array(F.collect_list("_item")).alias("_items"))
+    agg = res.groupBy(key).agg(F.sort_array(F.collect_list("_item")).alias("_items"),
+                               F.bool_or("_malformed").alias("_malformed"))
     apps_json = F.to_json("_items", {"ignoreNullFields": "false"})
     lines = _sorted_agg_text(F.col("_items"),
                              lambda s: F.concat(s["name"], F.coalesce(F.concat(F.lit(LINE_DASH), s["url"]), F.lit(""))),
                              "\n")
-    return agg.select(key, apps_json.alias("apps"), lines.alias("app_list"))
+    return agg.select(key, F.when(~F.col("_malformed"), apps_json).alias("apps"), lines.alias("app_list"))

@@ -1,9 +1,6 @@
 """Derived views over the driver's tables (FIXTURES.md §3).
 
-Each view is SQL in the common subset of Spark SQL and DuckDB (fx_matches
-writes FIXTURES.md's `(doc_id + user_id) % 3 = 0` as the equivalent equality
-`doc_id % 3 = (3 - user_id % 3) % 3`, valid for the non-negative ids, so it
-plans as a hash join instead of a nested loop). Base tables are
+Each view is SQL in the common subset of Spark SQL and DuckDB. Base tables are
 written as ``{name}`` placeholders: Spark binds them to DataFrames through
 ``spark.sql(text, name=df)``, DuckDB to its registered views. Literal braces
 are doubled, as in ``str.format``.
@@ -79,11 +76,15 @@ select c_custkey as request_id,
        case c_custkey % 7 when 0 then 'not-an-address'
             when 1 then concat('user', cast(c_custkey as string), '@example.com')
             else concat(' New', cast(c_custkey as string), '@Example.com ') end as target_email,
-       case c_custkey % 7 when 2 then '[{{"app":"platform","role":"app_admin"}}]'
+       case c_custkey % 43 when 10 then '[oops' when 11 then '[{{"app":"view","role":"member"}}'
+            when 12 then '[1]' when 13 then '{{"app":"view","role":"member"}}'
+            when 20 then '[{{"app":"view","role":"member"}},{{"app":"view","role":"app_admin"}}]'
+            when 21 then null
+            else case c_custkey % 7 when 2 then '[{{"app":"platform","role":"app_admin"}}]'
             when 3 then '[{{"app":"click","role":"owner"}}]'
             when 4 then '[{{"app":"click"}}]'
             when 5 then '[]'
-            else '[{{"app":"view","role":"member"}},{{"app":"error","role":"app_admin"}}]' end as grants
+            else '[{{"app":"view","role":"member"}},{{"app":"error","role":"app_admin"}}]' end end as grants
 from {customer}""",
     "fx_relations": """
 select p_partkey as oid, concat('rel_', cast(p_partkey as string)) as relname,
@@ -128,15 +129,15 @@ select o_orderpriority as tbl, count(*) as n
 from {orders} where o_orderkey % 1000 <> 7 and o_orderpriority <> '5-LOW'
 group by o_orderpriority""",
     "fx_matches": """
-select d.doc_id as posting_id, u.user_id, (d.doc_id * 31 + u.user_id * 17) % 101 as score
-from {documents} d
-join (select distinct user_id from {events} where user_id < 10) u
-  on d.doc_id % 3 = (3 - u.user_id % 3) % 3""",
+select posting_id, user_id, (posting_id * 31 + user_id * 17) % 101 as score
+from (select distinct e.event_id % (select count(*) from {documents}) as posting_id, e.user_id
+      from {events} e join {customer} c on c.c_custkey = e.user_id) v""",
     "fx_dismissed": """
-select distinct (event_id % 200) as posting_id, user_id
-from {events} where event_type = 'error' and user_id < 10""",
+select distinct event_id % (select count(*) from {documents}) as posting_id, user_id
+from {events} where event_type = 'error'""",
     "fx_invite_attempts": """
-select event_id as attempt_id, user_id % 2 as inviter, ts as attempted_at from {events}""",
+select event_id as attempt_id, case when user_id % 3 = 0 then 0 else user_id end as inviter, ts as attempted_at
+from {events}""",
     "fx_responses": """
 select event_id as response_id,
        case event_id % 2 when 0 then 'invite' else 'delete' end as op,

@@ -92,12 +92,12 @@ _VALIDATE_SQL = """
 , admin as (select exists (select 1 from fx_grants where user_id = {caller} and app = 'platform'
                            and role = 'app_admin') as ok),
   r0 as (select r.*, lower(trim(r.target_email)) as email_clean,
-                r.grants is null or ltrim(r.grants) like '[%' as is_array
+                r.grants is null or coalesce(json_type(case when json_valid(r.grants) then r.grants end), '') = 'ARRAY'
+                as is_array
          from fx_requests r),
-  el0 as (select r0.request_id, x.i,
-                 json_extract(coalesce(r0.grants, '[]'), '$[' || x.i || ']')::varchar as v
-          from r0, (select unnest(range(cast(json_array_length(coalesce(r0.grants, '[]')) as bigint))) as i) x
-          where r0.is_array),
+  ls as (select request_id, case when is_array then coalesce(grants, '[]') else '[]' end as list from r0),
+  el0 as (select ls.request_id, x.i, json_extract(ls.list, '$[' || x.i || ']')::varchar as v
+          from ls, (select unnest(range(cast(json_array_length(ls.list) as bigint))) as i) x),
   el as (select *, json_extract_string(v, '$.app') as app, json_extract_string(v, '$.role') as role from el0),
   el2 as (select request_id, i,
                  case when app is null or role is null then 'missing_field'
@@ -110,6 +110,7 @@ _VALIDATE_SQL = """
           from el),
   firstbad as (select request_id, arg_min(code, i) as ecode, arg_min(reason, i) as ereason
                from el2 where code is not null group by request_id),
+  twice as (select distinct request_id from el group by request_id, app having count(*) > 1),
   acct as (select distinct lower(email) as email_clean from fx_accounts),
   pre as (
     select r0.request_id, r0.email_clean, r0.grants,
@@ -118,13 +119,15 @@ _VALIDATE_SQL = """
            when not r0.is_array then 'not_array'
            when fb.ecode is not null then fb.ecode
            when a.email_clean is not null then 'exists'
-           when count(*) over (partition by r0.email_clean) > 1 then 'duplicate' end as reason_code,
+           when count(*) over (partition by r0.email_clean) > 1 then 'duplicate'
+           when r0.request_id in (select request_id from twice) then 'repeated_app' end as reason_code,
       case when not (select ok from admin) then 'not authorised to invite users'
            when r0.email_clean is null or not regexp_matches(r0.email_clean, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$') then 'not an email address: ' || r0.target_email
            when not r0.is_array then 'grants must be a json array of {{app, role}}'
            when fb.ecode is not null then fb.ereason
            when a.email_clean is not null then r0.email_clean || ' already has an account — set their access from the grid instead'
-           when count(*) over (partition by r0.email_clean) > 1 then 'the same address appears more than once in this batch' end as reason
+           when count(*) over (partition by r0.email_clean) > 1 then 'the same address appears more than once in this batch'
+           when r0.request_id in (select request_id from twice) then 'a request may name each app once' end as reason
     from r0 left join firstbad fb on fb.request_id = r0.request_id
             left join acct a on a.email_clean = r0.email_clean),
   recent as (select count(*) as n from fx_accounts where created_at > timestamp '{now}' - interval 1 hour),
@@ -200,15 +203,16 @@ select t.target_id, a.email,
        case when not (select ok from admin) then 'not_admin'
             when t.target_id is null then 'no_id'
             when t.target_id = {caller} then 'self'
-            when a.user_id is null then 'missing'
+            when a.email is null then 'missing'
             when p.user_id is not null then 'admin' end as reason_code,
        case when not (select ok from admin) then 'not authorised to delete accounts'
             when t.target_id is null then 'no account given'
             when t.target_id = {caller} then 'you cannot delete the account you are signed in as'
-            when a.user_id is null then 'no account with that id — reload the page before trying again'
+            when a.email is null then 'no account with that id — reload the page before trying again'
             when p.user_id is not null then a.email || ' administers access rights — remove that first, then delete the account'
        end as reason
-from targets t left join fx_accounts a on a.user_id = t.target_id
+from targets t left join (select user_id, case when user_id % 37 <> 5 then email end as email from fx_accounts) a
+  on a.user_id = t.target_id
 left join padm p on p.user_id = t.target_id)"""
 
 
@@ -220,11 +224,16 @@ def _delete_sql(caller, *extra):
 select *, reason_code is null as accepted from dec""")
 def m6_delete_decisions(spark, sf_dir):
     ws = Workspace(spark, sf_dir)
-    return ch.delete_decisions(_targets(ws, spark), ws.fx_accounts, ws.fx_grants, CALLER)
+    return ch.delete_decisions(_targets(ws, spark), _accounts(ws), ws.fx_grants, CALLER)
+
+
+def _accounts(ws: Workspace):
+    """Accounts of which some have no email."""
+    return ws.fx_accounts.withColumn("email", F.when(F.col("user_id") % 37 != 5, F.col("email")))
 
 
 def _accepted_targets(ws, spark):
-    d = ch.delete_decisions(_targets(ws, spark), ws.fx_accounts, ws.fx_grants, CALLER)
+    d = ch.delete_decisions(_targets(ws, spark), _accounts(ws), ws.fx_grants, CALLER)
     return d.filter("accepted").select("target_id")
 
 
@@ -335,7 +344,7 @@ def _changes(ws: Workspace):
     return flips.unionByName(revs).unionByName(promos)
 
 
-@register("m10_decide_changes", duckdb_ctes("fx_grants", "fx_revocations", "fx_accounts") + f"""
+_CHANGES_SQL = duckdb_ctes("fx_grants", "fx_revocations", "fx_accounts") + """
 , changes as (
   select 'g:' || cast(user_id as varchar) || ':' || app as change_id, user_id, app,
          case when role = 'member' then 'app_admin' end as role from fx_grants
@@ -344,20 +353,33 @@ def _changes(ws: Workspace):
   union all
   select 'p:' || cast(user_id as varchar), user_id, 'platform', 'app_admin' from fx_accounts
   where last_sign_in_at is null),
-  j as (select c.*, g.role as current_role from changes c
-        left join fx_grants g on g.user_id = c.user_id and g.app = c.app),
-  o as (select *, case when role is not distinct from current_role then 'no-op'
-                       when user_id = {CALLER} and app = 'platform' and role is null then 'refused'
-                       when app = 'platform' and role = 'app_admin' and user_id <> {CALLER} then 'needs_confirmation'
+  admin as (select count(*) > 0 as ok from fx_grants where user_id = {caller} and app = 'platform' and role = 'app_admin'),
+  j as (select c.*, g.role as current_role, count(*) over (partition by c.user_id, c.app) as times
+        from changes c left join fx_grants g on g.user_id = c.user_id and g.app = c.app),
+  o as (select *, case when not (select ok from admin) then 'not_admin'
+                       when times > 1 then 'duplicate'
+                       when role is not distinct from current_role then 'no-op'
+                       when user_id = {caller} and app = 'platform' and role is null then 'refused'
+                       when app = 'platform' and role = 'app_admin' and user_id <> {caller} then 'needs_confirmation'
                        else 'apply' end as outcome from j)
 select change_id, user_id, app, role, current_role, outcome,
-       outcome = 'apply' and role is null and user_id <> {CALLER} as end_sessions
-from o""")
+       outcome = 'apply' and role is null and user_id <> {caller} as end_sessions
+from o"""
+
+
+@register("m10_decide_changes", _CHANGES_SQL.format(caller=CALLER))
 def m10_decide_changes(spark, sf_dir):
+    """Some (user, app) are both changed and revoked: all of those are duplicates."""
     ws = Workspace(spark, sf_dir)
     return ch.decide_changes(_changes(ws), ws.fx_grants, CALLER)
 
 
+@register("m10_decide_changes_not_admin", _CHANGES_SQL.format(caller=OWNER))
+def m10_decide_changes_not_admin(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    return ch.decide_changes(_changes(ws), ws.fx_grants, OWNER)
+
+
 def _probe_rows(ws: Workspace):
     """Rows caller 6 inserts into the `view` table: their own `signup` rows, re-keyed."""
     return (ws.fx_personal.filter((F.col("app") == "signup") & (F.col("owner_id") == OWNER))
@@ -399,7 +421,7 @@ def m12_governed_update(spark, sf_dir):
     ws = Workspace(spark, sf_dir)
     base = ws.fx_personal.filter(F.col("app") == APP)
     out, _ = ch.governed_update(base, ws.fx_grants, "personal", APP, MEMBER, F.expr(_UPD_WHERE),
-                                {"value": F.col("value") * 2}, "owner_id")
+                                {"value": F.col("value") * 2}, ws.fx_policies, "rel_1", "owner_id")
     return out
 
 
@@ -411,10 +433,33 @@ def m12_update_affected(spark, sf_dir):
     ws = Workspace(spark, sf_dir)
     base = ws.fx_personal.filter(F.col("app") == APP)
     _, n = ch.governed_update(base, ws.fx_grants, "personal", APP, MEMBER, F.expr(_UPD_WHERE),
-                              {"value": F.col("value") * 2}, "owner_id")
+                              {"value": F.col("value") * 2}, ws.fx_policies, "rel_1", "owner_id")
     return n
 
 
+@register("m12_update_violations", duckdb_ctes("fx_personal", "fx_grants") + f"""
+select row_id, app, cast({OWNER} as bigint) as owner_id, value from fx_personal
+where app = '{APP}' and value > 10 and owner_id = {MEMBER}
+  and exists (select 1 from fx_grants where user_id = {MEMBER} and app = '{APP}')""")
+def m12_update_violations(spark, sf_dir):
+    """Caller 0 giving their rows to caller 6: every new row would be refused."""
+    ws = Workspace(spark, sf_dir)
+    base = ws.fx_personal.filter(F.col("app") == APP)
+    return ch.governed_update_violations(base, ws.fx_grants, "personal", APP, MEMBER, F.expr(_UPD_WHERE),
+                                         {"owner_id": F.lit(OWNER)}, ws.fx_policies, "rel_1", "owner_id")
+
+
+@register("m12_update_no_policy", duckdb_ctes("fx_personal") + f"""
+select row_id, app, owner_id, value from fx_personal where app = '{APP}'""")
+def m12_update_no_policy(spark, sf_dir):
+    """Table rel_2 has only a SELECT policy: the update changes nothing."""
+    ws = Workspace(spark, sf_dir)
+    base = ws.fx_personal.filter(F.col("app") == APP)
+    out, _ = ch.governed_update(base, ws.fx_grants, "personal", APP, MEMBER, F.expr(_UPD_WHERE),
+                                {"value": F.col("value") * 2}, ws.fx_policies, "rel_2", "owner_id")
+    return out
+
+
 _DEL_SQL = duckdb_ctes("fx_personal", "fx_grants", "fx_policies") + f"""
 select count(*) as affected from fx_personal
 where app = '{APP}' and value > 10
@@ -429,7 +474,7 @@ def m12_delete_blocked(spark, sf_dir):
     ws = Workspace(spark, sf_dir)
     base = ws.fx_personal.filter(F.col("app") == APP)
     _, n = ch.governed_delete(base, ws.fx_grants, "personal", APP, OWNER, F.expr(_UPD_WHERE),
-                              "owner_id", ws.fx_policies, "rel_2")
+                              ws.fx_policies, "rel_2", "owner_id")
     return n
 
 
@@ -438,7 +483,7 @@ def m12_delete_allowed(spark, sf_dir):
     ws = Workspace(spark, sf_dir)
     base = ws.fx_personal.filter(F.col("app") == APP)
     _, n = ch.governed_delete(base, ws.fx_grants, "personal", APP, OWNER, F.expr(_UPD_WHERE),
-                              "owner_id", ws.fx_policies, "rel_1")
+                              ws.fx_policies, "rel_1", "owner_id")
     return n
 
 

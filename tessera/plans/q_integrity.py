@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import scalar as sx
 from tessera.operators import changes as ch
 from tessera.operators import integrity as ig
 from tessera.plans.fixtures import BASE_TABLES, Workspace, duckdb_ctes
@@ -55,9 +56,10 @@ def s10_check_grants(spark, sf_dir):
 
 
 @register("s10_check_request_grants", duckdb_ctes("fx_requests") + """
-, ex as (select request_id, unnest(from_json(grants, '[{"app":"VARCHAR","role":"VARCHAR"}]')) as g
-         from fx_requests),
-  e as (select request_id, g.app as app, g.role as role from ex)
+, ls as (select request_id, grants, coalesce(json_type(case when json_valid(grants) then grants end), '') = 'ARRAY' as well
+         from fx_requests where grants is not null),
+  ex as (select request_id, unnest(json_extract(grants, '$[*]')) as g from ls where well),
+  e as (select request_id, json_extract_string(g, '$.app') as app, json_extract_string(g, '$.role') as role from ex)
 select 'not_null' as "constraint", cast(request_id as varchar) as key, 'role' as "column",
        cast(null as varchar) as value
 from e where role is null
@@ -65,13 +67,18 @@ union all
 select 'not_null', cast(request_id as varchar), 'app', null from e where app is null
 union all
 select 'domain', cast(request_id as varchar), 'role', role from e
-where role is not null and role not in ('member', 'app_admin')""")
+where role is not null and role not in ('member', 'app_admin')
+union all
+select 'not_null', cast(request_id as varchar), 'grant_list', null from ls where not well""")
 def s10_check_request_grants(spark, sf_dir):
+    """Entries against their rules; a list that is no well-formed array is a missing list."""
     ws = Workspace(spark, sf_dir)
-    e = (ws.fx_requests.select("request_id", F.explode(F.from_json("grants", ch.acc_schema())).alias("g"))
-         .select("request_id", "g.app", "g.role"))
+    given = ws.fx_requests.filter(F.col("grants").isNotNull()).select(
+        "request_id", sx.grant_entries("grants").alias("grant_list"))
+    e = given.select("request_id", F.explode("grant_list").alias("g")).select("request_id", "g.app", "g.role")
     return ig.check_constraints(e, key_cols=("request_id",), not_null=("role", "app"),
-                                domains={"role": ("member", "app_admin")})
+                                domains={"role": ("member", "app_admin")}).unionByName(
+        ig.check_constraints(given, key_cols=("request_id",), not_null=("grant_list",)))
 
 
 @register("s10_duplicate_line_keys", duckdb_ctes("fx_claim_lines") + """

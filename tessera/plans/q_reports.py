@@ -101,17 +101,19 @@ def a7_invite_report(spark, sf_dir):
 
 
 @register("a8_flatten_apps", duckdb_ctes("fx_requests", "fx_app_catalog") + """
-, ex as (select r.request_id, unnest(from_json(r.grants, '[{"app":"VARCHAR","role":"VARCHAR"}]')) as g
-         from fx_requests r),
-  res as (select ex.request_id, coalesce(c.name, ex.g.app) as name, c.url as url, ex.g.role as role
-          from ex left join fx_app_catalog c on c.app = ex.g.app)
+, ls as (select request_id, grants, grants is null or coalesce(
+              json_type(case when json_valid(grants) then grants end), '') = 'ARRAY' as well from fx_requests),
+  ex as (select request_id, unnest(json_extract(grants, '$[*]')) as g from ls where well and grants is not null),
+  res as (select ex.request_id, coalesce(c.name, ex.app) as name, c.url as url, ex.role as role
+          from (select request_id, json_extract_string(g, '$.app') as app, json_extract_string(g, '$.role') as role from ex) ex
+          left join fx_app_catalog c on c.app = ex.app where ex.app is not null or ex.role is not null)
 select r.request_id,
-       coalesce((select to_json(list({'name': res.name, 'url': res.url, 'role': res.role}
+       case when r.well then coalesce((select to_json(list({'name': res.name, 'url': res.url, 'role': res.role}
                                     order by res.name, res.url, res.role))
-                 from res where res.request_id = r.request_id)::varchar, '[]') as apps,
+                 from res where res.request_id = r.request_id)::varchar, '[]') end as apps,
        (select string_agg(res.name || coalesce(' — ' || res.url, ''), chr(10) order by res.name, res.url, res.role)
         from res where res.request_id = r.request_id) as app_list
-from fx_requests r""")
+from ls r""")
 def a8_flatten_apps(spark, sf_dir):
     ws = Workspace(spark, sf_dir)
     return rp.flatten_apps(ws.fx_requests, ws.fx_app_catalog)

@@ -80,8 +80,9 @@ def a9_rate_cap_hit(spark, sf_dir):
 
 
 _FOLD_SQL = """WITH RECURSIVE
- base as (select user_id % 2 as inviter, event_id as attempt_id, ts as attempted_at,
-                 row_number() over (partition by user_id % 2 order by ts, event_id) as rn from events),
+ base as (select case when user_id % 3 = 0 then 0 else user_id end as inviter, event_id as attempt_id, ts as attempted_at,
+                 row_number() over (partition by case when user_id % 3 = 0 then 0 else user_id end order by ts, event_id)
+                 as rn from events),
  r(inviter, rn, attempt_id, attempted_at, accepted, st) as (
    select inviter, rn, attempt_id, attempted_at, true, [attempted_at] from base where rn = 1
    union all

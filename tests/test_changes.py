@@ -184,11 +184,14 @@ def test_end_sessions_guards(spark):
 def test_decide_changes(spark):
     g = spark.createDataFrame([(1, "platform", "app_admin", T0, None), (2, "crm", "member", T0, 1)], GRANT_SCHEMA)
     changes = spark.createDataFrame([("a", 1, "platform", None), ("b", 2, "platform", "app_admin"),
-                                     ("c", 2, "crm", "member"), ("d", 2, "crm", None), ("e", 1, "crm", None)],
+                                     ("c", 2, "crm", None), ("e", 1, "crm", None), ("f", 3, "crm", "member"),
+                                     ("g", 3, "crm", None), ("h", 4, "crm", "member")],
                                     "change_id string, user_id bigint, app string, role string")
     got = {r.change_id: (r.outcome, r.end_sessions) for r in ch.decide_changes(changes, g, 1).collect()}
-    assert got == {"a": ("refused", False), "b": ("needs_confirmation", False), "c": ("no-op", False),
-                   "d": ("apply", True), "e": ("no-op", False)}
+    assert got == {"a": ("refused", False), "b": ("needs_confirmation", False), "c": ("apply", True),
+                   "e": ("no-op", False), "f": ("duplicate", False), "g": ("duplicate", False), "h": ("apply", False)}
+    others = {(r.outcome, r.end_sessions) for r in ch.decide_changes(changes, g, 2).collect()}
+    assert others == {("not_admin", False)}
 
 
 def test_governed_insert_raises_and_writes_nothing(spark):
@@ -197,26 +200,68 @@ def test_governed_insert_raises_and_writes_nothing(spark):
     ok = spark.createDataFrame([(2, 1)], "row_id bigint, user_id bigint")
     bad = spark.createDataFrame([(3, 2)], "row_id bigint, user_id bigint")
     assert ch.governed_insert(base, ok, g, "personal", "crm", 1).count() == 2
-    with pytest.raises(ERRORS):
-        ch.governed_insert(base, ok.unionByName(bad), g, "personal", "crm", 1).collect()
+    refused = ch.governed_insert(base, ok.unionByName(bad), g, "personal", "crm", 1)
+    for read in (refused.collect, refused.count, refused.select("user_id").collect):
+        with pytest.raises(ERRORS):
+            read()
     assert ch.governed_insert_violations(bad, g, "personal", "crm", 1).count() == 1
 
 
 def test_governed_update_and_delete_skip_silently(spark):
     g = spark.createDataFrame([(1, "crm", "member", T0, None)], GRANT_SCHEMA)
     df = spark.createDataFrame([(1, 1, 5.0), (2, 2, 5.0)], "row_id bigint, user_id bigint, v double")
-    out, n = ch.governed_update(df, g, "personal", "crm", 1, F.lit(True), {"v": F.col("v") + 1})
+    pol = spark.createDataFrame([("t", "SELECT"), ("u", "UPDATE")], "tablename string, cmd string")
+    args = (df, g, "personal", "crm", 1, F.lit(True))
+    out, n = ch.governed_update(*args, {"v": F.col("v") + 1}, pol, "u")
     assert {r.row_id: r.v for r in out.collect()} == {1: 6.0, 2: 5.0} and n.first().affected == 1
-    pol = spark.createDataFrame([("t", "SELECT")], "tablename string, cmd string")
-    rest, n = ch.governed_delete(df, g, "personal", "crm", 1, F.lit(True), policies=pol, table="t")
+    out, n = ch.governed_update(*args, {"v": F.col("v") + 1}, pol, "t")
+    assert {r.row_id: r.v for r in out.collect()} == {1: 5.0, 2: 5.0} and n.first().affected == 0
+    rest, n = ch.governed_delete(*args, pol, "t")
     assert rest.count() == 2 and n.first().affected == 0
 
 
+def test_governed_update_cannot_give_rows_away(spark):
+    g = spark.createDataFrame([(1, "crm", "member", T0, None)], GRANT_SCHEMA)
+    df = spark.createDataFrame([(1, 1, 5.0), (2, 2, 5.0)], "row_id bigint, user_id bigint, v double")
+    pol = spark.createDataFrame([("u", "ALL")], "tablename string, cmd string")
+    args = (df, g, "personal", "crm", 1, F.lit(True), {"user_id": F.lit(2)}, pol, "u")
+    out, n = ch.governed_update(*args)
+    for read in (out.count, n.collect, out.select("v").collect):
+        with pytest.raises(ERRORS):
+            read()
+    assert [r.row_id for r in ch.governed_update_violations(*args).collect()] == [1]
+
+
 def test_backfill_owner_fails_if_still_null(spark):
     df = spark.createDataFrame([(1, None), (2, 3)], "id int, owner bigint")
     assert [r.owner for r in ch.backfill_owner(df, "owner", 9).orderBy("id").collect()] == [9, 3]
-    with pytest.raises(ERRORS):
-        ch.backfill_owner(df, "owner", None).collect()
+    for read in (lambda d: d.collect(), lambda d: d.count(), lambda d: d.select("id").collect()):
+        with pytest.raises(ERRORS):
+            read(ch.backfill_owner(df, "owner", None))
+
+
+def test_malformed_and_repeating_grant_lists_refuse_their_own_request(spark, grants):
+    accounts = spark.createDataFrame([(9, "a@x.io", T0, None, None)], "user_id bigint, email string, "
+                                     "created_at timestamp_ntz, last_sign_in_at timestamp_ntz, invited_at timestamp_ntz")
+    lists = {1: "[oops", 2: '[{"app":"crm","role":"member"}', 3: "[1]", 4: '{"app":"crm","role":"member"}',
+             5: '[{"app":"crm","role":"member"},{"app":"crm","role":"app_admin"}]', 6: None, 7: ' [{"app":"crm","role":"member"}]',
+             8: "", 9: "null"}
+    req = spark.createDataFrame([(k, f"n{k}@x.io", v) for k, v in lists.items()],
+                                "request_id bigint, target_email string, grants string")
+    dec = ch.validate_invites(req, accounts, grants, 1, now())
+    assert {r.request_id: r.reason_code for r in dec.collect()} == {
+        1: "not_array", 2: "not_array", 3: "missing_field", 4: "not_array", 5: "repeated_app", 6: None, 7: None,
+        8: "not_array", 9: "not_array"}
+    report, new, table = ch.apply_invites(dec, accounts, grants, 1, now())
+    assert {(r.email, r.granted) for r in report.collect()} == {("n6@x.io", 0), ("n7@x.io", 1)}
+    assert table.count() == 4 and new.count() == 2
+
+
+def test_an_account_without_an_email_is_missing(spark, grants):
+    accounts = spark.createDataFrame([(1, "a@x.io"), (2, None), (3, "c@x.io")], "user_id bigint, email string")
+    t = spark.createDataFrame([(2,), (3,), (9,)], "target_id bigint")
+    got = {r.target_id: r.reason_code for r in ch.delete_decisions(t, accounts, grants, 1).collect()}
+    assert got == {2: "missing", 3: None, 9: "missing"}
 
 
 def test_verdicts_keyed_by_posting_and_user(spark):

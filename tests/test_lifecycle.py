@@ -57,6 +57,16 @@ def test_grant_changes_revoke_end_sessions_and_keep_refusals(spark, tmp_path):
     assert sorted(r.user_id for r in pub.read_published(spark, root, "sessions").collect()) == [1, 3]
 
 
+def test_grant_changes_of_a_caller_without_admin_publish_nothing(spark, tmp_path):
+    _, grants, sessions = base(spark)
+    changes = spark.createDataFrame([("a", 1, "platform", None), ("b", 2, "crm", "app_admin")],
+                                    "change_id string, user_id bigint, app string, role string")
+    root = str(tmp_path / "tables")
+    out = lc.commit_grant_changes(changes, grants, sessions, sessions.select("session_id", "user_id_text"), 2, now(), root)
+    assert {r.outcome for r in out.collect()} == {"not_admin"}
+    assert not (tmp_path / "tables").exists()
+
+
 def test_deletions_cascade_clear_attribution_and_respect_blocking_keys(spark, tmp_path):
     accounts, grants, sessions = base(spark)
     personal = spark.createDataFrame([(1, 3), (2, 2), (3, None)], "row_id int, owner bigint")
