@@ -10,7 +10,7 @@ import numpy as np
 
 # fixed values: the white space of the byte-level pattern (Unicode White_Space)
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_200_000  # about 200 bytes each
 CACHE_CHARS = 64
 
 
@@ -46,10 +46,10 @@ class Encoder:
         return [np.array(e.ids, dtype="<u4").tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str], found: dict[str, bytes], step: int = 2000) -> None:
+    def _learn(self, chunks: set[str], found: dict[str, bytes], step: int = 2000) -> None:
         """Encode chunks joined by newlines, which the pattern keeps as tokens of their own."""
         words = [c for c in chunks if self._word.fullmatch(c)] if self.newline is not None else []
-        rest = list(set(chunks).difference(words))
+        rest = list(chunks.difference(words))
         for i in range(0, len(words), step):
             part = words[i:i + step]
             ids = self._ids("\n".join(part))
@@ -67,19 +67,20 @@ class Encoder:
         if not self.by_chunk:
             return self._one_by_one(texts)
         cut = [self._chunk.findall(t) for t in texts]
-        missing = set().union(*cut).difference(self.known) if cut else set()
+        got = [list(map(self.known.get, c)) for c in cut]
+        gaps = [[i for i, v in enumerate(g) if v is None] if None in g else () for g in got]
+        missing = {c[i] for c, gap in zip(cut, gaps) for i in gap}
         if missing:
-            if len(self.known) + len(missing) > CACHE_ENTRIES:
-                self.known = {}
-                missing = set().union(*cut)
             found: dict[str, bytes] = {}
-            self._learn(sorted(missing), found)
-            self.known.update(found)
-        out = [b"".join(map(self.known.__getitem__, c)) for c in cut]
-        long = [c for c in missing if len(c) > CACHE_CHARS]
-        for c in long:
-            del self.known[c]
-        return out
+            self._learn(missing, found)
+            for c, g, gap in zip(cut, got, gaps):
+                for i in gap:
+                    g[i] = found[c[i]]
+            if len(self.known) + len(found) > CACHE_ENTRIES:
+                self.known = {}
+            self.known.update(found if max(map(len, missing)) <= CACHE_CHARS else
+                              {c: v for c, v in found.items() if len(c) <= CACHE_CHARS})
+        return list(map(b"".join, got))
 
 
 def encoder(path: str) -> Encoder:
