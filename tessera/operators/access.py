@@ -104,20 +104,22 @@ VERBS = ("SELECT", "INSERT", "UPDATE", "DELETE")
 def allowed_verbs(relations: DataFrame, policies: DataFrame) -> DataFrame:
     """(relname, verb, allowed) per relation: a verb with no policy reaches no rows.
 
-    A policy with cmd ``ALL`` covers every verb. Policies are aggregated to one
+    A policy with cmd ``ALL`` covers every verb; names meet within a schema where
+    both snapshots have ``schemaname``. Policies are aggregated to one
     row per (table, verb) before the join, so a table with many policies does
     not multiply rows.
     """
     verbs = F.array(*[F.lit(v) for v in VERBS])
+    scope = ["schemaname"] if "schemaname" in relations.columns and "schemaname" in policies.columns else []
     pol = (policies
-           .select(F.col("tablename").alias("relname"),
+           .select(*scope, F.col("tablename").alias("relname"),
                    F.explode(F.when(F.upper("cmd") == "ALL", verbs)
                              .otherwise(F.array(F.upper("cmd")))).alias("verb"))
            .distinct()
            .withColumn("allowed", F.lit(True)))
-    rel = relations.select("relname", F.explode(verbs).alias("verb"))
-    return (rel.join(pol, ["relname", "verb"], "left")
-            .select("relname", "verb", F.coalesce("allowed", F.lit(False)).alias("allowed")))
+    rel = relations.select(*scope, "relname", F.explode(verbs).alias("verb"))
+    return (rel.join(pol, [*scope, "relname", "verb"], "left")
+            .select(*scope, "relname", "verb", F.coalesce("allowed", F.lit(False)).alias("allowed")))
 
 
 def verb_gate(df: DataFrame, policies: DataFrame, table: str, verb: str) -> DataFrame:

@@ -5,13 +5,16 @@ Inputs are exported snapshot tables, so any warehouse can be audited:
 * relations: relname, relkind (r, p, v, m), relrowsecurity, security_invoker
   (option text or null), anon_can_read, optionally owner
 * policies: tablename, policyname, cmd, qual, with_check, optionally roles
-* functions: proname, prosecdef, anon_execute, proconfig (array) or
-  proconfig_csv (comma list), optionally args
+* functions: proname, prosecdef, anon_execute, proconfig (array), optionally args
 * foreign keys: conrelid, confrelid, conkey (array) or conkey_csv, confdeltype
 * columns: conrelid, attnum, attname
 
+All may have ``schemaname``; the checks then look at one schema (``public``
+unless told otherwise, None for all) and names meet only within a schema.
+
 Each check is a filter/projection: one scan of the snapshot, no shuffle
-except the anti/semi joins of C5/J9, which run on keys.
+except the anti/semi joins of C6/J9, which run on keys. Listings sort once, at
+the end; the combined audit doesn't sort.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar as sx
+from tessera.session import checkpoint_dir
 
 # Option values that make a view defer to its caller, the
 # owner-column names checked by J9, and the text per foreign-key action.
@@ -32,6 +36,7 @@ FK_ACTION_TEXT = {
     "r": "RESTRICT — the deletion FAILS while rows exist",
     "a": "NO ACTION — the deletion FAILS while rows exist",
 }
+PUBLIC = "public"
 WHY_RLS_OFF = "table with RLS disabled"
 WHY_VIEW = "view without security_invoker"
 WHY_ANON = "callable by anon"
@@ -47,132 +52,152 @@ def bypasses(rel_invoker: Column) -> Column:
     return ~F.coalesce(rel_invoker, F.lit("false")).isin(*INVOKER_ON)
 
 
+def scoped(df: DataFrame, schema: str | None) -> DataFrame:
+    """The rows of one schema; all rows of a snapshot without schemas or for None."""
+    return df if schema is None or "schemaname" not in df.columns else df.filter(F.col("schemaname") == schema)
+
+
+def _schema_key(*dfs: DataFrame) -> list[str]:
+    return ["schemaname"] if all("schemaname" in d.columns for d in dfs) else []
+
+
 # C1
-def tables_without_rls(relations: DataFrame) -> DataFrame:
+def _rls_off(relations: DataFrame) -> DataFrame:
+    return relations.filter((F.col("relkind") == "r") & ~F.col("relrowsecurity")).select(
+        F.col("relname").alias("table_without_rls"))
+
+
+def tables_without_rls(relations: DataFrame, schema: str | None = PUBLIC) -> DataFrame:
     """Plain tables with row security off (partitioned `p` tables are not
     checked, as in the original audit)."""
-    return (relations.filter((F.col("relkind") == "r") & ~F.col("relrowsecurity"))
-            .select(F.col("relname").alias("table_without_rls")).orderBy(*sx.ordered("table_without_rls")))
+    return _rls_off(scoped(relations, schema)).orderBy(*sx.ordered("table_without_rls"))
 
 
 # C2
-def open_policies(policies: DataFrame, strict: bool = False) -> DataFrame:
+def _open_policies(policies: DataFrame, strict: bool = False) -> DataFrame:
+    q, w = F.col("qual"), F.col("with_check")
+    cond = ((F.coalesce(q, w, F.lit("true")) == "true")
+            | F.concat(F.coalesce(q, F.lit("")), F.coalesce(w, F.lit(""))).contains("auth.role()"))
+    if strict:
+        cond = cond | (w == "true") | (F.coalesce(q, F.lit("true")) == "true")
+    return policies.filter(cond).select("tablename", "policyname", "cmd", F.coalesce(q, w).alias("expr"))
+
+
+def open_policies(policies: DataFrame, strict: bool = False, schema: str | None = PUBLIC) -> DataFrame:
     """Policies open to every signed-in account.
 
     Default: both expressions absent or the effective one literally `true`,
     or either mentions `auth.role()`. ``strict`` also flags a policy whose
     with_check alone is `true` behind a restricted qual.
     """
-    q, w = F.col("qual"), F.col("with_check")
-    cond = ((F.coalesce(q, w, F.lit("true")) == "true")
-            | F.concat(F.coalesce(q, F.lit("")), F.coalesce(w, F.lit(""))).contains("auth.role()"))
-    if strict:
-        cond = cond | (w == "true") | (F.coalesce(q, F.lit("true")) == "true")
-    return (policies.filter(cond)
-            .select("tablename", "policyname", "cmd", F.coalesce(q, w).alias("expr"))
-            .orderBy(*sx.ordered("tablename", "policyname")))
+    return _open_policies(scoped(policies, schema), strict).orderBy(*sx.ordered("tablename", "policyname"))
 
 
 # C3
-def bypassing_views(relations: DataFrame) -> DataFrame:
+def _bypassing(relations: DataFrame) -> DataFrame:
     return (relations.filter(F.col("relkind").isin("v", "m") & bypasses(F.col("security_invoker")))
-            .select(F.col("relname").alias("view_bypassing_rls"), _opt(relations, "owner").alias("owner"))
-            .orderBy(*sx.ordered("view_bypassing_rls")))
+            .select(F.col("relname").alias("view_bypassing_rls"), _opt(relations, "owner").alias("owner")))
+
+
+def bypassing_views(relations: DataFrame, schema: str | None = PUBLIC) -> DataFrame:
+    return _bypassing(scoped(relations, schema)).orderBy(*sx.ordered("view_bypassing_rls"))
 
 
 # C4
-def anon_unprotected(relations: DataFrame) -> DataFrame:
-    """Readable by anon with nothing behind the grant, and why."""
+def _anon_unprotected(relations: DataFrame) -> DataFrame:
     rls_off = (F.col("relkind") == "r") & ~F.col("relrowsecurity")
     view_open = F.col("relkind").isin("v", "m") & bypasses(F.col("security_invoker"))
     return (relations.filter(F.col("anon_can_read") & (rls_off | view_open))
             .select(F.col("relname").alias("unprotected_and_readable_by_anon"),
-                    F.when(F.col("relkind") == "r", F.lit(WHY_RLS_OFF)).otherwise(F.lit(WHY_VIEW)).alias("why"))
-            .orderBy(*sx.ordered("unprotected_and_readable_by_anon")))
+                    F.when(F.col("relkind") == "r", F.lit(WHY_RLS_OFF)).otherwise(F.lit(WHY_VIEW)).alias("why")))
 
 
-def with_proconfig(functions: DataFrame) -> DataFrame:
-    """Ensure an array ``proconfig`` column (from ``proconfig_csv`` if needed)."""
-    if "proconfig" in functions.columns:
-        return functions
-    return functions.withColumn("proconfig", F.split("proconfig_csv", ","))
+def anon_unprotected(relations: DataFrame, schema: str | None = PUBLIC) -> DataFrame:
+    """Readable by anon with nothing behind the grant, and why."""
+    return _anon_unprotected(scoped(relations, schema)).orderBy(*sx.ordered("unprotected_and_readable_by_anon"))
 
 
 # C5
-def unsafe_definer_functions(functions: DataFrame) -> DataFrame:
-    """Definer functions callable by anon or without a pinned search_path;
-    the anon reason wins when both apply."""
-    f = with_proconfig(functions)
+def _unsafe_definers(functions: DataFrame) -> DataFrame:
     pinned = F.exists(F.coalesce("proconfig", F.array().cast("array<string>")),
                       lambda c: c.startswith("search_path="))
-    return (f.filter(F.col("prosecdef") & (F.col("anon_execute") | ~pinned))
-            .select(F.col("proname").alias("definer_function"), _opt(f, "args").alias("args"),
-                    F.when(F.col("anon_execute"), F.lit(WHY_ANON)).otherwise(F.lit(WHY_PATH)).alias("why"))
-            .orderBy(*sx.ordered("definer_function")))
+    return (functions.filter(F.col("prosecdef") & (F.col("anon_execute") | ~pinned))
+            .select(F.col("proname").alias("definer_function"), _opt(functions, "args").alias("args"),
+                    F.when(F.col("anon_execute"), F.lit(WHY_ANON)).otherwise(F.lit(WHY_PATH)).alias("why")))
+
+
+def unsafe_definer_functions(functions: DataFrame, schema: str | None = PUBLIC) -> DataFrame:
+    """Definer functions callable by anon or without a pinned search_path;
+    the anon reason wins when both apply."""
+    return _unsafe_definers(scoped(functions, schema)).orderBy(*sx.ordered("definer_function"))
 
 
 # C6
-def definer_listing(functions: DataFrame) -> DataFrame:
-    f = with_proconfig(functions)
-    return (f.filter(F.col("prosecdef"))
-            .select("proname", _opt(f, "args").alias("args"),
-                    F.array_join("proconfig", ", ").alias("config"))
-            .orderBy(*sx.ordered("proname")))
+def _definers(functions: DataFrame) -> DataFrame:
+    return functions.filter(F.col("prosecdef")).select(
+        "proname", _opt(functions, "args").alias("args"), F.array_join("proconfig", ", ").alias("config"))
+
 
+def definer_listing(functions: DataFrame, schema: str | None = PUBLIC) -> DataFrame:
+    return _definers(scoped(functions, schema)).orderBy(*sx.ordered("proname"))
 
-def unexpected_definers(functions: DataFrame, expected: DataFrame) -> DataFrame:
+
+def unexpected_definers(functions: DataFrame, expected: DataFrame, schema: str | None = PUBLIC) -> DataFrame:
     """Definer functions not on the expected list (column ``proname``)."""
-    return definer_listing(functions).join(expected.select("proname"), "proname", "left_anti")
+    return (_definers(scoped(functions, schema)).join(expected.select("proname"), "proname", "left_anti")
+            .orderBy(*sx.ordered("proname")))
 
 
 # C7
-def view_listing(relations: DataFrame) -> DataFrame:
-    return (relations.filter(F.col("relkind").isin("v", "m"))
+def view_listing(relations: DataFrame, schema: str | None = PUBLIC) -> DataFrame:
+    rel = scoped(relations, schema)
+    return (rel.filter(F.col("relkind").isin("v", "m"))
             .select("relname", F.coalesce("security_invoker", F.lit("NOT SET")).alias("invoker"),
-                    "anon_can_read", _opt(relations, "owner").alias("owner"))
+                    "anon_can_read", _opt(rel, "owner").alias("owner"))
             .orderBy(*sx.ordered("relname")))
 
 
 # C8
 def policy_listing(policies: DataFrame) -> DataFrame:
+    """Policies of all schemas, with their schema."""
     return (policies.select(_opt(policies, "schemaname").alias("schemaname"), "tablename",
                             "policyname", "cmd", _opt(policies, "roles").alias("roles"))
-            .orderBy(*sx.ordered("tablename", "policyname")))
+            .orderBy(*sx.ordered("schemaname", "tablename", "policyname")))
 
 
 # C9
-def run_audit(relations: DataFrame, policies: DataFrame, functions: DataFrame) -> DataFrame:
+def run_audit(relations: DataFrame, policies: DataFrame, functions: DataFrame,
+              schema: str | None = PUBLIC) -> DataFrame:
     """All five checks as (check, object, reason); the audit passes when empty.
 
-    Checks are built independently: one that fails to analyse (say a missing
-    snapshot column) is reported as a row instead of hiding the others.
+    Each check runs by itself and its (few) findings are kept in the shared
+    checkpoint folder: one that fails, be it at analysis (a missing snapshot column) or
+    while it runs, is reported as a row and hides no other.
     """
+    rel, pol, fns = scoped(relations, schema), scoped(policies, schema), scoped(functions, schema)
     builders = [
-        ("tables_without_rls", lambda: tables_without_rls(relations)
+        ("tables_without_rls", lambda: _rls_off(rel)
          .select(F.col("table_without_rls").alias("object"), F.lit(WHY_RLS_OFF).alias("reason"))),
-        ("open_policies", lambda: open_policies(policies)
+        ("open_policies", lambda: _open_policies(pol)
          .select(F.concat_ws(".", "tablename", "policyname").alias("object"),
                  F.coalesce("expr", F.lit("true")).alias("reason"))),
-        ("bypassing_views", lambda: bypassing_views(relations)
+        ("bypassing_views", lambda: _bypassing(rel)
          .select(F.col("view_bypassing_rls").alias("object"), F.lit(WHY_VIEW).alias("reason"))),
-        ("anon_unprotected", lambda: anon_unprotected(relations)
+        ("anon_unprotected", lambda: _anon_unprotected(rel)
          .select(F.col("unprotected_and_readable_by_anon").alias("object"), F.col("why").alias("reason"))),
-        ("unsafe_definer_functions", lambda: unsafe_definer_functions(functions)
+        ("unsafe_definer_functions", lambda: _unsafe_definers(fns)
          .select(F.col("definer_function").alias("object"), F.col("why").alias("reason"))),
     ]
     spark = relations.sparkSession
-    parts = []
+    checkpoint_dir(spark)
+    out = None
     for name, build in builders:
         try:
-            part = build()
-            part.schema  # force analysis now
+            part = build().select(F.lit(name).alias("check"), "object", "reason").checkpoint(eager=True)
         except Exception as e:  # a broken check must not hide the others
-            part = spark.createDataFrame([(None, f"check failed: {type(e).__name__}")],
-                                         "object string, reason string")
-        parts.append(part.select(F.lit(name).alias("check"), "object", "reason"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+            part = spark.range(1).select(F.lit(name).alias("check"), F.lit(None).cast("string").alias("object"),
+                                         F.lit(f"check failed: {type(e).__name__}").alias("reason"))
+        out = part if out is None else out.unionByName(part)
     return out
 
 
@@ -185,27 +210,30 @@ def with_conkey(fks: DataFrame) -> DataFrame:
 # J8
 def fk_effects(fks: DataFrame, columns: DataFrame, target: str) -> DataFrame:
     """One row per foreign-key column pointing at ``target`` with what a
-    deletion there does to it."""
+    deletion there does to it, in every schema."""
     f = with_conkey(fks).filter(F.col("confrelid") == target)
-    ex = f.select("conrelid", "confdeltype", F.posexplode("conkey").alias("ord", "attnum"))
+    scope = _schema_key(fks, columns)
+    ex = f.select(*scope, "conrelid", "confdeltype", F.posexplode("conkey").alias("ord", "attnum"))
     action = F.coalesce(*[F.when(F.col("confdeltype") == k, F.lit(v)) for k, v in FK_ACTION_TEXT.items()])
-    return (ex.join(columns.select("conrelid", "attnum", "attname"), ["conrelid", "attnum"])
-            .select(F.col("conrelid").alias("referencing_table"), F.col("attname").alias("column_name"),
+    return (ex.join(columns.select(*scope, "conrelid", "attnum", "attname"), [*scope, "conrelid", "attnum"])
+            .select(*scope, F.col("conrelid").alias("referencing_table"), F.col("attname").alias("column_name"),
                     action.alias("what_happens"))
-            .orderBy(*sx.ordered("referencing_table", "column_name")))
+            .orderBy(*sx.ordered(*scope, "referencing_table", "column_name")))
 
 
 # J9
 def unlinked_owner_columns(columns: DataFrame, fks: DataFrame, relations: DataFrame | None,
-                           target: str) -> DataFrame:
+                           target: str, schema: str | None = PUBLIC) -> DataFrame:
     """Owner-like columns of plain tables that no foreign key to ``target`` covers:
     their rows would survive (orphaned) when the owner is deleted."""
-    cols = columns.filter(F.col("attname").isin(*OWNER_COLUMNS))
+    cols = scoped(columns, schema).filter(F.col("attname").isin(*OWNER_COLUMNS))
     if relations is not None:
-        plain = relations.filter(F.col("relkind") == "r").select(F.col("relname").alias("conrelid"))
-        cols = cols.join(plain, "conrelid", "left_semi")
+        scope = _schema_key(columns, relations)
+        plain = relations.filter(F.col("relkind") == "r").select(*scope, F.col("relname").alias("conrelid"))
+        cols = cols.join(plain, [*scope, "conrelid"], "left_semi")
+    scope = _schema_key(columns, fks)
     covered = (with_conkey(fks).filter(F.col("confrelid") == target)
-               .select("conrelid", F.explode("conkey").alias("attnum")).distinct())
-    return (cols.join(covered, ["conrelid", "attnum"], "left_anti")
+               .select(*scope, "conrelid", F.explode("conkey").alias("attnum")).distinct())
+    return (cols.join(covered, [*scope, "conrelid", "attnum"], "left_anti")
             .select(F.col("conrelid").alias("table_name"), F.col("attname").alias("column_name"))
             .orderBy(*sx.ordered("table_name", "column_name")))

@@ -86,15 +86,22 @@ select c_custkey as request_id,
             when 5 then '[]'
             else '[{{"app":"view","role":"member"}},{{"app":"error","role":"app_admin"}}]' end end as grants
 from {customer}""",
+    # every tenth name exists in a platform schema as well, with other properties
     "fx_relations": """
-select p_partkey as oid, concat('rel_', cast(p_partkey as string)) as relname,
+select p_partkey as oid, case when p_partkey % 17 = 3 then 'platform' else 'public' end as schemaname,
+       concat('rel_', cast(p_partkey as string)) as relname,
        case p_size % 3 when 0 then 'r' when 1 then 'v' else 'm' end as relkind,
        p_partkey % 13 <> 0 as relrowsecurity,
        case p_partkey % 5 when 0 then null when 1 then 'false' when 2 then 'on' else 'true' end as security_invoker,
        p_partkey % 4 = 0 as anon_can_read
-from {part}""",
+from {part}
+union all
+select p_partkey + 1000000000 as oid, 'auth' as schemaname, concat('rel_', cast(p_partkey as string)) as relname,
+       'r' as relkind, false as relrowsecurity, cast(null as string) as security_invoker, true as anon_can_read
+from {part} where p_partkey % 10 = 0""",
     "fx_policies": """
-select concat('rel_', cast(p_partkey as string)) as tablename,
+select case when p_partkey % 17 = 3 then 'platform' else 'public' end as schemaname,
+       concat('rel_', cast(p_partkey as string)) as tablename,
        concat('policy_', cast(p_partkey as string)) as policyname,
        case p_partkey % 2 when 0 then 'SELECT' else 'ALL' end as cmd,
        case p_partkey % 6 when 0 then null when 1 then 'true' when 2 then 'auth.role() = authenticated'
@@ -102,24 +109,31 @@ select concat('rel_', cast(p_partkey as string)) as tablename,
        case p_partkey % 5 when 0 then null when 1 then 'true' else 'has_app_access(view)' end as with_check
 from {part}""",
     "fx_functions": """
-select concat('fn_', cast(p_partkey as string)) as proname, p_partkey % 3 = 0 as prosecdef,
+select case when p_partkey % 11 = 5 then 'ext' else 'public' end as schemaname,
+       concat('fn_', cast(p_partkey as string)) as proname, p_partkey % 3 = 0 as prosecdef,
        p_partkey % 8 = 0 as anon_execute,
-       case p_partkey % 7 when 0 then null when 1 then 'work_mem=1MB'
-            else 'work_mem=1MB,search_path=public' end as proconfig_csv
+       split(case p_partkey % 7 when 0 then null when 1 then 'work_mem=1MB'
+                  else 'work_mem=1MB;search_path=public, pg_temp' end, ';') as proconfig
 from {part}""",
     "fx_foreign_keys": """
-select p_partkey as fk_id, concat('rel_', cast(p_partkey as string)) as conrelid,
+select p_partkey as fk_id, case when p_partkey % 17 = 3 then 'platform' else 'public' end as schemaname,
+       concat('rel_', cast(p_partkey as string)) as conrelid,
        case p_partkey % 2 when 0 then 'users' else 'other' end as confrelid,
        case p_partkey % 3 when 0 then '1' else '1,2' end as conkey_csv,
        case p_partkey % 5 when 0 then 'c' when 1 then 'n' when 2 then 'd' when 3 then 'r' else 'a' end as confdeltype
 from {part}""",
     "fx_columns": """
-select concat('rel_', cast(p_partkey as string)) as conrelid, 1 as attnum,
+select case when p_partkey % 17 = 3 then 'platform' else 'public' end as schemaname,
+       concat('rel_', cast(p_partkey as string)) as conrelid, 1 as attnum,
        case p_partkey % 4 when 0 then 'user_id' when 1 then 'owner_id' when 2 then 'created_by' else 'title' end as attname
 from {part}
 union all
-select concat('rel_', cast(p_partkey as string)) as conrelid, 2 as attnum, 'granted_by' as attname
-from {part} where p_partkey % 3 = 1""",
+select case when p_partkey % 17 = 3 then 'platform' else 'public' end as schemaname,
+       concat('rel_', cast(p_partkey as string)) as conrelid, 2 as attnum, 'granted_by' as attname
+from {part} where p_partkey % 3 = 1
+union all
+select 'auth' as schemaname, concat('rel_', cast(p_partkey as string)) as conrelid, 1 as attnum, 'owner_id' as attname
+from {part} where p_partkey % 10 = 0""",
     "fx_counts_old": """
 select o_orderpriority as tbl, count(*) as n
 from {orders}

@@ -154,8 +154,8 @@ def f8_writable_grants_refused(spark, sf_dir):
 
 
 @register("f9_allowed_verbs", duckdb_ctes("fx_relations", "fx_policies") + """
-select r.relname, v.verb,
-       exists (select 1 from fx_policies p where p.tablename = r.relname
+select r.schemaname, r.relname, v.verb,
+       exists (select 1 from fx_policies p where p.tablename = r.relname and p.schemaname = r.schemaname
                and (upper(p.cmd) = 'ALL' or upper(p.cmd) = v.verb)) as allowed
 from fx_relations r
 cross join (values ('SELECT'), ('INSERT'), ('UPDATE'), ('DELETE')) v(verb)""")
