@@ -28,8 +28,8 @@ from tessera.llm.common import table_of
 PROJECTIONS = 128
 ALPHA = 0.5
 SURE = 1.3
-WIDEN = 1.15
-BLOCK = 16_384
+START, WIDEN, REFINE = 0.25, 1.4, 1.08
+BLOCK = 32_768
 QUERY_BLOCK = 1024
 
 
@@ -44,62 +44,70 @@ def _enough(distance: float, m: int, need: int, sure: float) -> float:
 
 
 def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, norm: float, k: int,
-                 projections: int = PROJECTIONS, alpha: float = ALPHA, sure: float = SURE, widen: float = WIDEN,
+                 projections: int = PROJECTIONS, alpha: float = ALPHA, sure: float = SURE,
                  seed: int = 7) -> list[tuple[int, np.ndarray, np.ndarray, int]]:
-    """(query's place, places of its k best, their scores, number verified) for each query of the block."""
+    """(query's place, places of its k best, their scores, number verified) for each query of the block.
+
+    All queries widen their windows in step, each to a width of its own: by WIDEN until k are verified,
+    then by REFINE, but never beyond the width that its k-th best asks for, at which it ends.
+    """
     n, dim = vectors.shape
     rng = np.random.default_rng([seed, dim])
     lines = rng.standard_normal((dim + 1, projections))
     extra = np.sqrt(np.maximum(norm * norm - (vectors * vectors).sum(axis=1), 0))
     values = (vectors @ lines[:dim] + extra[:, None] * lines[dim]).T  # one row per projection
-    order = np.argsort(values, axis=1).astype(np.int32)
+    order = np.argsort(values, axis=1)
     values = np.take_along_axis(values, order, axis=1)
+    rows = list(order.astype(np.int32))
     scale = norm / np.sqrt((queries * queries).sum(axis=1))
-    centres = (queries * scale[:, None]) @ lines[:dim]
+    centres = np.ascontiguousarray(((queries * scale[:, None]) @ lines[:dim]).T)
     need = max(1, math.ceil(alpha * projections))
     unit = _enough(1.0, projections, need, sure)
-    widths = [0.35 * norm]
-    while widths[-1] < 8 * norm:
-        widths.append(widths[-1] * widen)
-    widths.append(math.inf)  # the last level reaches every vector
-    reach = np.array(widths)
-    lows = np.empty((len(queries), len(widths), projections), dtype=np.int32)
-    highs = np.empty_like(lows)
-    for j in range(projections):
-        lows[:, :, j] = np.searchsorted(values[j], centres[:, j, None] - reach)
-        highs[:, :, j] = np.searchsorted(values[j], centres[:, j, None] + reach, "right")
-    rows = list(order)
+    count = len(queries)
+    widths = np.full(count, START * norm)
+    asked = np.full(count, math.inf)  # the width at which a query may end
+    low = np.stack([np.searchsorted(v, c) for v, c in zip(values, centres)], axis=1)
+    high = low.copy()
+    hits = np.zeros((count, n), dtype=np.int16)
+    found = [np.zeros(0, dtype=np.int64)] * count
+    scores = [np.zeros(0)] * count
+    verified = np.zeros(count, dtype=np.int64)
+    active = np.arange(count)
+    while len(active):
+        reach = np.where(widths[active] < 40 * norm, widths[active], math.inf)  # then every vector is reached
+        new_low = np.stack([np.searchsorted(v, c[active] - reach) for v, c in zip(values, centres)], axis=1)
+        new_high = np.stack([np.searchsorted(v, c[active] + reach, "right") for v, c in zip(values, centres)], axis=1)
+        going = []
+        for i, qi in enumerate(active.tolist()):
+            fresh = [o[a:b] for o, a, b in zip(rows, new_low[i].tolist(), low[qi].tolist())]
+            fresh += [o[a:b] for o, a, b in zip(rows, high[qi].tolist(), new_high[i].tolist())]
+            low[qi], high[qi] = new_low[i], new_high[i]
+            more = np.bincount(np.concatenate(fresh), minlength=n)
+            before = hits[qi] >= need
+            hits[qi] += more.astype(np.int16)
+            new = np.flatnonzero((hits[qi] >= need) & ~before)
+            verified[qi] += len(new)
+            new = new[ids[new] != query_ids[qi]]
+            if len(new):
+                found[qi] = np.concatenate((found[qi], new))
+                scores[qi] = np.concatenate((scores[qi], vectors[new] @ queries[qi]))
+            s = scores[qi]
+            if len(s) >= k:
+                worst = np.partition(s, len(s) - k)[len(s) - k]
+                asked[qi] = unit * math.sqrt(max(0.0, 2 * norm * norm - 2 * scale[qi] * worst))
+            if widths[qi] < asked[qi] and math.isfinite(reach[i]):
+                going.append(qi)
+        active = np.array(going, dtype=np.int64)
+        step = np.where(np.isfinite(asked[active]), REFINE, WIDEN)
+        widths[active] = np.minimum(widths[active] * step, asked[active])
     out = []
-    for qi in range(len(queries)):
-        q = queries[qi]
-        hits = np.zeros(n, dtype=np.int32)
-        seen = np.zeros(n, dtype=bool)
-        own = ids == query_ids[qi]
-        found, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
-        left = right = None
-        for level, width in enumerate(widths):
-            low, high = lows[qi, level].tolist(), highs[qi, level].tolist()
-            if left is None:
-                fresh = [o[a:b] for o, a, b in zip(rows, low, high)]
-            else:
-                fresh = [o[a:b] for o, a, b in zip(rows, low, left)] + [o[a:b] for o, a, b in zip(rows, right, high)]
-            left, right = low, high
-            hits += np.bincount(np.concatenate(fresh), minlength=n)
-            new = np.flatnonzero((hits >= need) & ~seen)
-            seen[new] = True
-            new = new[~own[new]]
-            found, scores = np.concatenate((found, new)), np.concatenate((scores, vectors[new] @ q))
-            if len(found) >= k:
-                worst = np.partition(scores, len(scores) - k)[len(scores) - k]
-                distance = math.sqrt(max(0.0, 2 * norm * norm - 2 * scale[qi] * worst))
-                if width >= unit * distance:
-                    break
-        if len(found) > k:
-            near = scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - 1e-9 * norm * norm
-            found = found[near]
-        scores = (vectors[found] * q).sum(axis=1)  # the same sum wherever a vector lies
-        best = np.lexsort((ids[found], -scores))[:k]
-        out.append((qi, found[best], scores[best], int(seen.sum())))
+    for qi in range(count):
+        f, s = found[qi], scores[qi]
+        if len(f) > k:
+            f = f[s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-9 * norm * norm]
+        s = (vectors[f] * queries[qi]).sum(axis=1)  # the same sum wherever a vector lies
+        best = np.lexsort((ids[f], -s))[:k]
+        out.append((qi, f[best], s[best], int(verified[qi])))
     return out
 
 
