@@ -151,25 +151,26 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     A document taken in part ends with a copy cut after its last word taken (and ``n_chars``, where
     there is such a column, is that copy's). Wholly equal rows are taken together.
     """
-    keys = ["_id", "_row"]
+    keys = ["id", "row_hash"]
     taken = (mix(docs, weights, share, epochs).where("taken > 0")
-             .groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("row_hash").alias("_row"))
-             .agg(F.first("size").alias("_size"), F.sum("taken").alias("_taken")))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
-                              "_row": F.xxhash64(*docs.columns)}).dropDuplicates(keys)
-    copies = keyed.join(taken, keys).withColumn("_copy", F.explode(F.sequence(
-        F.lit(0), F.ceil(F.col("_taken") / F.col("_size")) - 1)))
-    copies = copies.withColumn("_words", F.least("_size", F.col("_taken") - F.col("_copy") * F.col("_size")))
+             .groupBy(F.coalesce("doc_id", F.lit(0)).alias("id"), "row_hash")
+             .agg(F.first("size").alias("size"), F.sum("taken").alias("taken")))
+    keyed = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
+                        F.xxhash64(*docs.columns).alias("row_hash")).dropDuplicates(keys)
+    copies = keyed.join(taken, keys).withColumn("copy", F.explode(F.sequence(
+        F.lit(0), (F.ceil(F.col("taken") / F.col("size")) - 1).cast("int"))))
+    copies = copies.select("doc", F.col("doc.text").alias("text"), "size",
+                           F.least("size", F.col("taken") - F.col("copy") * F.col("size")).alias("words"))
     names, at = docs.columns, docs.columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
-            cols = [b.column(n) for n in names]
-            part = [i for i, (w, n) in enumerate(zip(b.column("_words").to_pylist(), b.column("_size").to_pylist())) if w < n]
+            cols = b.column("doc").flatten()
+            part = [i for i, (w, n) in enumerate(zip(b.column("words").to_pylist(), b.column("size").to_pylist())) if w < n]
             if part:
                 texts = cols[at].to_pylist()
                 for i in part:
-                    texts[i] = first_words(texts[i], b.column("_words")[i].as_py())
+                    texts[i] = first_words(texts[i], b.column("words")[i].as_py())
                 cols[at] = pa.array(texts, cols[at].type)
                 if "n_chars" in names:
                     j = names.index("n_chars")
@@ -178,4 +179,4 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
                         chars[i] = len(texts[i])
                     cols[j] = pa.array(chars, cols[j].type)
             yield pa.RecordBatch.from_arrays(cols, names)
-    return copies.select(*names, "_size", "_words").mapInArrow(cut, docs.schema)
+    return copies.mapInArrow(cut, docs.schema)

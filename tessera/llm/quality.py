@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.llm.common import text_bytes, text_slices
 
@@ -150,15 +151,11 @@ def keep_passing(docs: DataFrame, policy: str = PRODUCTION) -> DataFrame:
     """
     chosen = [cond for name, cond in RULES if name in POLICIES[policy]]
     failed = F.expr(" or ".join(f"({c})" for c in chosen))
-    names = [f"_{m}" for m in MEASURES]
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
             m = measure(text_bytes(b))
-            yield pa.RecordBatch.from_arrays([pa.array(m[k]) for k in MEASURES] + b.columns,
-                                             names + b.schema.names)
-    from pyspark.sql.types import LongType, StructField, StructType
-    schema = StructType([StructField(k, LongType()) for k in names] + docs.schema.fields)
-    judged = docs.mapInArrow(fill, schema)
-    renamed = judged.select(F.struct(*docs.columns).alias("_row"), *[F.col(k).alias(m) for k, m in zip(names, MEASURES)])
-    return renamed.where(~failed).select("_row.*")
+            doc = pa.StructArray.from_arrays(b.columns, fields=list(b.schema))
+            yield pa.RecordBatch.from_arrays([doc, *[pa.array(m[k]) for k in MEASURES]], ["doc", *MEASURES])
+    schema = StructType([StructField("doc", docs.schema), *[StructField(k, LongType()) for k in MEASURES]])
+    return docs.mapInArrow(fill, schema).where(~failed).select("doc.*")

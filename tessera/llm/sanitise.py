@@ -31,6 +31,7 @@ KINDS: list[tuple[str, str]] = [
 TERM = r"\p{L}{3,}"
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 NEAR_CHARS = 100
+BLOCK = 256
 NEAR_WORDS = 5
 REMOVE, GENERALISE, SUPPORT = 0.9, 0.8, 2
 
@@ -48,15 +49,24 @@ _SPAN = ("struct<place:int,kind:string,start:bigint,stop:bigint,value:string,bef
 
 
 def _spans(place: int, kind: str, found: str, gaps: str, origin: str = "0L") -> str:
-    """SQL for the spans of matches ``found`` lying between ``gaps``; positions are code points."""
+    """SQL for the spans of matches ``found`` lying between ``gaps``; positions are code points.
+
+    Running positions are summed within blocks of BLOCK matches and then over blocks, so appending
+    to arrays costs little even for texts with very many matches.
+    """
+    none = f"cast(array() as array<{_SPAN}>)"
     start = f"acc.at + length({gaps}[i])"
-    stop = f"{start} + length({found}[i])"
-    return (f"case when size({found}) > 0 then aggregate(sequence(0, size({found}) - 1), "
-            f"struct({origin} as at, cast(array() as array<{_SPAN}>) as spans), "
-            f"(acc, i) -> struct({stop} as at, concat(acc.spans, array(struct({place} as place, '{kind}' as kind, "
-            f"{start} as start, {stop} as stop, {found}[i] as value, right({gaps}[i], {NEAR_CHARS}) as before, "
-            f"left({gaps}[i + 1], {NEAR_CHARS}) as after))) as spans), acc -> acc.spans) "
-            f"else cast(array() as array<{_SPAN}>) end")
+    block = (f"aggregate(sequence(b * {BLOCK}, least((b + 1) * {BLOCK}, size({found})) - 1), struct(0L as at, {none} as spans), "
+             f"(acc, i) -> struct({start} + length({found}[i]) as at, concat(acc.spans, array(struct({place} as place, "
+             f"'{kind}' as kind, {start} as start, {start} + length({found}[i]) as stop, {found}[i] as value, "
+             f"right({gaps}[i], {NEAR_CHARS}) as before, left({gaps}[i + 1], {NEAR_CHARS}) as after))) as spans))")
+    shifted = ("transform(x.spans, s -> struct(s.place as place, s.kind as kind, s.start + acc.at as start, s.stop + acc.at as stop, "
+               "s.value as value, s.before as before, s.after as after))")
+    return (f"case when size({found}) > 0 then flatten(aggregate("
+            f"transform(sequence(0, cast((size({found}) - 1) div {BLOCK} as int)), b -> {block}), "
+            f"struct({origin} as at, cast(array() as array<array<{_SPAN}>>) as parts), "
+            f"(acc, x) -> struct(acc.at + x.at as at, concat(acc.parts, array({shifted})) as parts), acc -> acc.parts)) "
+            f"else {none} end")
 
 
 def _located(df: DataFrame, text: str, pattern: str, found: str, gaps: str) -> DataFrame:
@@ -77,12 +87,12 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def _contexts(found: DataFrame) -> DataFrame:
-    """(row, entity, context, term, start, stop): words near each span that touch no base span.
+    """(row, entity, context, term, start, stop, capital): words near each span.
 
     Near means among the closest NEAR_WORDS whole words within NEAR_CHARS characters on either side,
     up to the next span of the same kind.
     """
-    spans = found.where(F.size("spans") > 0).select("row", "spans", F.inline("spans"))
+    spans = found.where(F.size("spans") > 0).select("row", F.inline("spans"))
     spans = spans.withColumn("entity", F.concat("kind", F.lit(":"), F.lower("value")))
     spans = spans.withColumn("context", F.xxhash64("before", "after"))
     for side in ("before", "after"):
@@ -94,8 +104,7 @@ def _contexts(found: DataFrame) -> DataFrame:
     spans = spans.withColumn("terms", F.expr(
         f"concat(slice(reverse(filter({before}, x -> x.start > origin or length(before) < {NEAR_CHARS})), 1, {NEAR_WORDS}), "
         f"slice(filter({after}, x -> x.stop < stop + {NEAR_CHARS}), 1, {NEAR_WORDS}))"))
-    near = spans.select("row", "entity", "context", F.explode(F.expr(
-        "filter(terms, t -> not exists(spans, s -> s.start < t.stop and t.start < s.stop))")).alias("t"))
+    near = spans.select("row", "entity", "context", F.explode("terms").alias("t"))
     return near.select("row", "entity", "context", F.lower("t.value").alias("term"), "t.start", "t.stop",
                        F.col("t.value").rlike(r"^\p{Lu}").alias("capital"))
 
@@ -123,8 +132,8 @@ def find(docs: DataFrame, remove: float = REMOVE, generalise: float = GENERALISE
     """(doc_id, text_hash, base, terms): the spans of every document.
 
     ``base`` is the array of base spans, ``terms`` that of disclosing words as (start, stop, label),
-    each within NEAR_WORDS of the entity it discloses, in that document; documents without base spans
-    have no terms. A null text is empty, a null doc_id stays null, repeated rows each keep
+    each within NEAR_WORDS of the entity it discloses, in that document, and outside base spans;
+    documents without base spans have no terms. A null text is empty, a null doc_id stays null, repeated rows each keep
     their row, an empty table gives no rows. Other columns of ``docs`` are ignored.
     """
     found = table_of(base_spans(docs).withColumn("row", F.monotonically_increasing_id()), "spans")
@@ -133,8 +142,9 @@ def find(docs: DataFrame, remove: float = REMOVE, generalise: float = GENERALISE
     label = F.when(F.col("ratio") >= remove, "[REMOVED]").when(F.col("capital"), "[NAME]").otherwise("[WORD]")
     spans = (near.join(told, ["entity", "term"]).groupBy("row", "start", "stop").agg(F.max("ratio").alias("ratio"), F.first("capital").alias("capital"))
              .groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "stop", label.alias("label")))).alias("terms")))
+    apart = F.expr("filter(terms, t -> not exists(spans, s -> s.start < t.stop and t.start < s.stop))")
     return found.join(spans, "row", "left").select("doc_id", "text_hash", F.col("spans").alias("base"), F.coalesce(
-        "terms", F.expr("cast(array() as array<struct<start:bigint,stop:bigint,label:string>>)")).alias("terms"))
+        apart, F.expr("cast(array() as array<struct<start:bigint,stop:bigint,label:string>>)")).alias("terms"))
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -156,18 +166,18 @@ def sanitised(docs: DataFrame, **thresholds) -> DataFrame:
     """
     label = "case x.kind " + " ".join(f"when '{k}' then '{v}'" for k, v in LABELS.items()) + " end"
     spans = find(docs, **thresholds).where((F.size("base") > 0) | (F.size("terms") > 0)).select(
-        F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("text_hash").alias("_hash"),
-        F.expr(f"array_sort(concat(transform(base, x -> struct(x.start as start, x.stop as stop, {label} as label)), terms))").alias("_spans"))
-    spans = spans.dropDuplicates(["_id", "_hash"])
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_hash": F.xxhash64("text")})
+        F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash",
+        F.expr(f"array_sort(concat(transform(base, x -> struct(x.start as start, x.stop as stop, {label} as label)), terms))").alias("spans"))
+    spans = spans.dropDuplicates(["id", "text_hash"])
+    keyed = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
+                        F.xxhash64("text").alias("text_hash"))
     # positions count code points from 0, substring() from 1
-    rewritten = ("aggregate(_spans, struct('' as done, 0L as at), (acc, s) -> case when s.start >= acc.at then "
-                 "struct(concat(acc.done, substring(text, cast(acc.at + 1 as int), cast(s.start - acc.at as int)), s.label) as done, s.stop as at) "
-                 "else struct(acc.done as done, greatest(acc.at, s.stop) as at) end, "
-                 "acc -> concat(acc.done, substring(text, cast(acc.at + 1 as int))))")
-    out = keyed.join(spans, ["_id", "_hash"], "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text"))
-                                                                  .otherwise(F.expr(rewritten)))
+    rewritten = ("aggregate(spans, struct('' as done, 0L as at), (acc, s) -> case when s.start >= acc.at then "
+                 "struct(concat(acc.done, substring(doc.text, cast(acc.at + 1 as int), cast(s.start - acc.at as int)), s.label) as done, "
+                 "s.stop as at) else struct(acc.done as done, greatest(acc.at, s.stop) as at) end, "
+                 "acc -> concat(acc.done, substring(doc.text, cast(acc.at + 1 as int))))")
+    changed = F.col("doc").withField("text", F.expr(rewritten))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars"))
-                             .otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        changed = changed.withField("n_chars", F.length(F.expr(rewritten)).cast(docs.schema["n_chars"].dataType))
+    return (keyed.join(spans, ["id", "text_hash"], "left")
+            .select(F.when(F.col("spans").isNull(), F.col("doc")).otherwise(changed).alias("doc")).select("doc.*"))

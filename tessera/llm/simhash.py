@@ -160,11 +160,9 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     wholly equal rows one stays. Only (doc_id, hashes) are grouped; the texts move once, to the
     join that picks the kept rows.
     """
-    null_last = [F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash"]
-    best = (near_duplicates(docs, shingle, radius).groupBy("label").agg(F.min(F.struct(*null_last)).alias("best"))
-            .select(F.col("best.no_id").alias("_no_id"), F.col("best.id").alias("_id"),
-                    F.col("best.text_hash").alias("_hash")))
-    key = ["_no_id", "_id", "_hash"]
-    keyed = docs.withColumns({"_no_id": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)),
-                              "_hash": text_hash()})
-    return keyed.join(best, key, "left_semi").dropDuplicates(key).drop(*key)
+    place = [F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash"]
+    best = (near_duplicates(docs, shingle, radius).groupBy("label").agg(F.min(F.struct(*place)).alias("best"))
+            .select("best.*"))
+    keyed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").isNull().alias("no_id"),
+                        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), text_hash().alias("text_hash"))
+    return keyed.join(best, best.columns, "left_semi").dropDuplicates(best.columns).select("doc.*")
