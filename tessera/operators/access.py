@@ -211,7 +211,9 @@ def probe(df: DataFrame, grants: DataFrame, probes: DataFrame, app: str,
     ``probes`` holds (seq, label, caller, expect) where expect is ``all``
     (every row), ``own`` (the caller's rows), ``none`` or a number. A caller
     expected to read rows who holds no grant and reads nothing is
-    ``inconclusive``: the impersonation, not the policy, failed.
+    ``inconclusive``: the impersonation, not the policy, failed. And where no
+    probe of the run reads any row, reading nothing proves nothing: every such row
+    is ``inconclusive`` too.
     """
     p = probes.withColumnRenamed("caller", "user_id")
     vis = visibility(df, grants, p.select("user_id").filter(F.col("user_id").isNotNull()).distinct(),
@@ -222,7 +224,9 @@ def probe(df: DataFrame, grants: DataFrame, probes: DataFrame, app: str,
             .when(F.col("expect") == "own", F.coalesce("own_rows", F.lit(0)))
             .when(F.col("expect") == "none", F.lit(0))
             .otherwise(F.col("expect").cast("bigint")))
-    verdict = (F.when(got == want, F.lit("pass"))
+    works = j.select(F.bool_or((got > 0) & (want > 0))).scalar()
+    verdict = (F.when((got == 0) & ~F.coalesce(works, F.lit(False)), F.lit("inconclusive"))
+               .when(got == want, F.lit("pass"))
                .when((want > 0) & (got == 0) & ~F.coalesce("has_access", F.lit(False)),
                      F.lit("inconclusive"))
                .otherwise(F.lit("fail")))

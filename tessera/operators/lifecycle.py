@@ -5,7 +5,9 @@ Every function decides with the operators of ``changes``, computes the new
 tables, and publishes them together under one manifest: readers see all of
 the change or none of it (the reference's account creation and grants were
 not atomic; these are). Decisions are judged against the state before the
-batch, and the decision table is returned as the report.
+batch, and the decision table is returned as the report. ``base_version`` is
+the published version that the given tables were read from: a newer one makes
+the change fail, instead of being undone by it.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ BLOCKED_REASON = " is still referenced under a restricting foreign key; nothing
 
 # §3.2 invitation: M4 -> M5 -> publish
 def commit_invitations(requests: DataFrame, accounts: DataFrame, grants: DataFrame, caller, now: Column,
-                       root: str, cap: int = ch.HOURLY_CAP) -> DataFrame:
+                       root: str, cap: int = ch.HOURLY_CAP, base_version: int | None = None) -> DataFrame:
     """Validate, create the accepted accounts and their grants, publish
     ``accounts`` and ``grants`` together; returns the decisions.
 
@@ -33,13 +35,14 @@ def commit_invitations(requests: DataFrame, accounts: DataFrame, grants: DataFra
     report, new_accounts, new_grants = ch.apply_invites(decisions, accounts, grants, caller, now)
     new_accounts = new_accounts.withColumn("invited_at", now.cast(accounts.schema["invited_at"].dataType))
     all_accounts = accounts.unionByName(new_accounts.select(*accounts.columns))
-    pub.publish({"accounts": all_accounts, "grants": new_grants}, root)
+    pub.publish({"accounts": all_accounts, "grants": new_grants}, root, base_version)
     return decisions.join(report.select("email", "user_id", "granted"), "email", "left")
 
 
 # §3.3 grant change: M10 -> M2/M3 -> M9 -> publish
 def commit_grant_changes(changes: DataFrame, grants: DataFrame, sessions: DataFrame, tokens: DataFrame,
-                         caller, now: Column, root: str, key: str = "change_id") -> DataFrame:
+                         caller, now: Column, root: str, key: str = "change_id",
+                         base_version: int | None = None) -> DataFrame:
     """Apply the changes M10 allows (a role sets or merges the grant, a null
     role revokes it), end the sessions of people whose access was revoked by
     someone else, publish grants, sessions and tokens together; returns the
@@ -55,7 +58,7 @@ def commit_grant_changes(changes: DataFrame, grants: DataFrame, sessions: DataFr
     new_grants = ch.upsert_grants(ch.revoke(grants, revokes), upserts, "merge_all", now=now, caller=caller)
     targets = todo.filter("end_sessions").select(F.col("user_id").alias("target_id")).distinct()
     _, rest_sessions, rest_tokens = ch.end_sessions(sessions, tokens, targets, grants=grants, caller=caller)
-    pub.publish({"grants": new_grants, "sessions": rest_sessions, "tokens": rest_tokens}, root)
+    pub.publish({"grants": new_grants, "sessions": rest_sessions, "tokens": rest_tokens}, root, base_version)
     return outcomes
 
 
@@ -63,7 +66,7 @@ def commit_grant_changes(changes: DataFrame, grants: DataFrame, sessions: DataFr
 def commit_deletions(targets: DataFrame, accounts: DataFrame, grants: DataFrame, caller, root: str,
                      owned: dict[str, tuple] | None = None,
                      sessions: DataFrame | None = None, tokens: DataFrame | None = None,
-                     target_col: str = "target_id") -> DataFrame:
+                     target_col: str = "target_id", base_version: int | None = None) -> DataFrame:
     """Delete the accounts M6 accepts: attribution cleared (M7), grants and
     ``owned`` tables handled by their foreign-key action (M8: name -> (df,
     owner column, action)), sessions and tokens ended (M9), everything
@@ -98,5 +101,5 @@ def commit_deletions(targets: DataFrame, accounts: DataFrame, grants: DataFrame,
     if sessions is not None and tokens is not None:
         _, tables["sessions"], tables["tokens"] = ch.end_sessions(sessions, tokens, accepted, target_col,
                                                                       grants=grants, caller=caller)
-    pub.publish(tables, root)
+    pub.publish(tables, root, base_version)
     return decisions

@@ -259,14 +259,11 @@ PROBES = [
 ]
 
 
-def _probe_values() -> str:
-    rows = ", ".join(f"({s}, '{l}', {('null' if c is None else c)}, '{e}')" for s, l, c, e in PROBES)
-    return f"(values {rows}) pr(seq, label, caller, expect)"
-
-
-@register("a10_probe", duckdb_ctes("fx_grants", "fx_personal") + f"""
+def _probe_sql(probes) -> str:
+    rows = ", ".join(f"({s}, '{l}', {('null' if c is None else c)}, '{e}')" for s, l, c, e in probes)
+    return duckdb_ctes("fx_grants", "fx_personal") + f"""
 , p as (select * from fx_personal where app = '{APP}'),
-  probes as (select * from {_probe_values()}),
+  probes as (select * from (values {rows}) pr(seq, label, caller, expect)),
   calc as (
     select pr.seq, pr.label, pr.expect,
            g.role is not null as has_access,
@@ -277,13 +274,27 @@ def _probe_values() -> str:
   w as (select *, case expect when 'all' then (select count(*) from p) when 'own' then own_rows
                               when 'none' then 0 else cast(expect as bigint) end as want from calc)
 select seq, label, cast(got as varchar) as result, want as expected,
-       case when got = want then 'pass'
+       case when got = 0 and not (select bool_or(got > 0 and want > 0) from w) then 'inconclusive'
+            when got = want then 'pass'
             when want > 0 and got = 0 and not has_access then 'inconclusive' else 'fail' end as verdict
-from w""")
-def a10_probe(spark, sf_dir):
+from w"""
+
+
+def _probe(spark, sf_dir, probes):
     ws = Workspace(spark, sf_dir)
-    probes = spark.createDataFrame(PROBES, "seq int, label string, caller bigint, expect string")
-    return acc.probe(_personal(ws), ws.fx_grants, probes, APP, "owner_id")
+    rows = spark.createDataFrame(probes, "seq int, label string, caller bigint, expect string")
+    return acc.probe(_personal(ws), ws.fx_grants, rows, APP, "owner_id")
+
+
+@register("a10_probe", _probe_sql(PROBES))
+def a10_probe(spark, sf_dir):
+    return _probe(spark, sf_dir, PROBES)
+
+
+@register("a10_probe_nothing_reads", _probe_sql(PROBES[2:]))
+def a10_probe_nothing_reads(spark, sf_dir):
+    """A run in which no caller reads a row: nothing it shows counts."""
+    return _probe(spark, sf_dir, PROBES[2:])
 
 
 # §2.12: the same decisions as native SQL functions over a session variable

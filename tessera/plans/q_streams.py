@@ -139,65 +139,93 @@ def a15_response_counts(spark, sf_dir):
 
 # Streams -------------------------------------------------------------------------
 
-def _stage_files(df, path: str, ts_col: str, pieces: int = 4):
-    """Write ``df`` as ``pieces`` files in time order, one write each, so a
-    file stream with maxFilesPerTrigger=1 receives them in that order.
-    Pieces are cut on zone-free epoch microseconds (no datetime literals)."""
+def _stage_files(df, path: str, ts_col: str, pieces: int = 4, mixed: bool = False):
+    """Write ``df`` in ``pieces`` folders in time order; a stream over ``path/*`` reads them
+    as files come. Pieces are cut on zone-free epoch microseconds (no datetime literals).
+    ``mixed`` swaps the halves of every half hour between neighbouring pieces' files."""
     us = hi.epoch_micros(df, ts_col)
     lo, top = df.select(F.min(us), F.max(us)).first()
-    step = (top - lo) / pieces
+    piece = F.least(F.floor((us - lo) * pieces / (top - lo + 1)), F.lit(pieces - 1))
+    if mixed:  # rows of 15 minutes in two change places with the piece before: late, but within the watermark
+        piece = F.greatest(F.lit(0), F.least(F.lit(pieces - 1), F.floor(
+            (us - lo + F.when(F.floor(us / 900_000_000) % 2 == 0, 900_000_000).otherwise(-900_000_000)) * pieces / (top - lo + 1))))
     for i in range(pieces):
-        start = lo + int(step * i)
-        cond = us >= start if i else us >= lo
-        cond = cond & (us <= top if i == pieces - 1 else us < lo + int(step * (i + 1)))
-        df.filter(cond).coalesce(1).write.mode("append").parquet(path)
+        df.filter(piece == i).write.mode("append").parquet(f"{path}/piece={i}")
+
+
+def _drain_pieces(spark, path: str, schema, pieces: int, run) -> None:
+    """Feed one staged piece after the other: each is at least one micro-batch of its own."""
+    for i in range(pieces):
+        pub.rename_into(spark, f"{path}/piece={i}", f"{path}-live")
+        run(st.file_stream(spark, f"{path}-live", schema))
 
 
 @register("t1_governed_stream", duckdb_ctes("fx_personal", "fx_grants") + f"""
 select p.* from fx_personal p
-where p.app = '{APP}' and exists (select 1 from fx_grants g where g.user_id = p.owner_id and g.app = '{APP}')""")
+where p.app = '{APP}' and exists (select 1 from fx_grants g where g.user_id = p.owner_id and g.app = '{APP}'
+                                  and (p.row_id % 2 = 0 or g.user_id % 2 = 1))""")
 def t1_governed_stream(spark, sf_dir):
+    """Two micro-batches; between them every user of even id loses their grant."""
     ws = Workspace(spark, sf_dir)
     base = pub.scratch_path(spark, "t1")
-    pub.publish({"grants": ws.fx_grants}, f"{base}/grants")
     personal = ws.fx_personal
-    personal.write.parquet(f"{base}/in")
-    src = st.file_stream(spark, f"{base}/in", personal.schema)
-    st.governed_stream(src, f"{base}/grants", APP, "owner_id", f"{base}/out", f"{base}/ckpt")
+    for odd, grants in ((0, ws.fx_grants), (1, ws.fx_grants.filter(F.col("user_id") % 2 == 1))):
+        pub.publish({"grants": grants}, f"{base}/grants")
+        personal.filter(F.col("row_id") % 2 == odd).write.mode("append").parquet(f"{base}/in")
+        src = st.file_stream(spark, f"{base}/in", personal.schema)
+        st.governed_stream(src, f"{base}/grants", APP, "owner_id", f"{base}/out", f"{base}/ckpt")
     return spark.read.parquet(f"{base}/out").select(*personal.columns)
 
 
 @register("t2_stream_rate_cap", _FOLD_SQL)
 def t2_stream_rate_cap(spark, sf_dir):
+    """Files out of order within the watermark; a last row far ahead lets every attempt be decided."""
     ws = Workspace(spark, sf_dir)
     base = pub.scratch_path(spark, "t2")
     att = ws.fx_invite_attempts
-    _stage_files(att, f"{base}/in", "attempted_at", pieces=2)  # two micro-batches: state carries over
-    src = st.file_stream(spark, f"{base}/in", att.schema, max_files_per_trigger=1)
-    st.run_to_parquet(st.stream_rate_cap(src), f"{base}/out", f"{base}/ckpt")
-    return spark.read.parquet(f"{base}/out").select("inviter", "attempt_id", "attempted_at", "accepted")
+    _stage_files(att, f"{base}/in", "attempted_at", pieces=3, mixed=True)
+    last = att.select(F.lit(-1).cast("long").alias("attempt_id"), F.lit(-1).cast(att.schema["inviter"].dataType).alias("inviter"),
+                      "attempted_at").agg(F.first("attempt_id").alias("attempt_id"), F.first("inviter").alias("inviter"),
+                                          (F.max("attempted_at") + F.expr("interval 3 hours")).alias("attempted_at"))
+    last.write.parquet(f"{base}/in/piece=3")
+    _drain_pieces(spark, f"{base}/in", att.schema, 4, lambda src: st.run_to_parquet(
+        st.stream_rate_cap(src), f"{base}/out", f"{base}/ckpt"))
+    return spark.read.parquet(f"{base}/out").filter("inviter >= 0").select("inviter", "attempt_id", "attempted_at", "accepted")
 
 
 @register("t3_stream_stale_token", _J13_SQL)
 def t3_stream_stale_token(spark, sf_dir):
+    """Three micro-batches: revocations of an earlier one meet accesses of a later one."""
     ws = Workspace(spark, sf_dir)
     base = pub.scratch_path(spark, "t3")
     acc, rev = _access(ws), ws.fx_revocations
-    acc.write.parquet(f"{base}/access")
-    rev.write.parquet(f"{base}/revocations")
-    a = st.file_stream(spark, f"{base}/access", acc.schema)
-    r = st.file_stream(spark, f"{base}/revocations", rev.schema)
-    st.run_to_parquet(st.stream_stale_token(a, r), f"{base}/out", f"{base}/ckpt")
+    us = hi.epoch_micros(acc, "ts")
+    lo, top = acc.select(F.min(us), F.max(us)).first()
+    pieces = 3
+    for i in range(pieces):
+        for df, col, name in ((acc, "ts", "access"), (rev, "revoked_at", "revocations")):
+            t = hi.epoch_micros(df, col)
+            piece = F.greatest(F.lit(0), F.least(F.floor((t - lo) * pieces / (top - lo + 1)), F.lit(pieces - 1)))
+            df.filter(piece == i).write.mode("append").parquet(f"{base}/{name}")
+        a = st.file_stream(spark, f"{base}/access", acc.schema)
+        r = st.file_stream(spark, f"{base}/revocations", rev.schema)
+        st.run_to_parquet(st.stream_stale_token(a, r), f"{base}/out", f"{base}/ckpt")
     return spark.read.parquet(f"{base}/out").select("event_id", "user_id", "event_type", "ts",
                                                     "revoked_app", "revoked_at")
 
 
 @register("t4_stream_current_grants", "WITH x AS (select 1)" + _W3_SQL)
 def t4_stream_current_grants(spark, sf_dir):
+    """Four micro-batches with two compactions between them, the second pruning the log."""
     ws = Workspace(spark, sf_dir)
     base = pub.scratch_path(spark, "t4")
     log = _change_log(ws)
     _stage_files(log, f"{base}/in", "changed_at")
-    src = st.file_stream(spark, f"{base}/in", log.schema, max_files_per_trigger=1)
-    st.stream_current_grants(src, f"{base}/state", f"{base}/ckpt")
+    fed = iter(range(4))
+
+    def run(src):
+        st.stream_current_grants(src, f"{base}/state", f"{base}/ckpt")
+        if next(fed) in (0, 2):
+            st.compact(spark, f"{base}/state", prune=True)
+    _drain_pieces(spark, f"{base}/in", log.schema, 4, run)
     return st.current_from_state(spark, f"{base}/state")

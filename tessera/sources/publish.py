@@ -15,7 +15,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.session import checkpoint_dir
@@ -49,8 +49,27 @@ def _manifest_versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(int(n[2:]) for n in names if n.startswith("v="))
 
 
+def rename_into(spark: SparkSession, folder: str, target: str) -> None:
+    """Move the data files of a folder into another, under names of their own."""
+    fs, p = _fs(spark, folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs.mkdirs(path(target))
+    for f in fs.listStatus(p):
+        name = f.getPath().getName()
+        if name.startswith("part-"):
+            fs.rename(f.getPath(), path(f"{target}/{uuid.uuid4().hex[:8]}-{name}"))
+
+
+class StaleVersion(RuntimeError):
+    """The tables were published anew after the version that a change was computed from."""
+
+
+class WrongCount(ValueError):
+    """A written table hasn't the number of rows it must have."""
+
+
 def current_manifest(spark: SparkSession, root: str) -> dict | None:
-    """The newest committed manifest: {table: data path}."""
+    """The newest committed manifest: {version, tables: {name: data path}, notes}."""
     for v in reversed(_manifest_versions(spark, root)):
         path = f"{root}/_manifests/v={v}"
         if exists(spark, f"{path}/_SUCCESS"):
@@ -59,27 +78,52 @@ def current_manifest(spark: SparkSession, root: str) -> dict | None:
     return None
 
 
-def publish(tables: dict[str, DataFrame], root: str, max_records_per_file: int | None = None) -> dict:
+def current_version(spark: SparkSession, root: str) -> int:
+    """The newest committed version, 0 before the first."""
+    return (current_manifest(spark, root) or {"version": 0})["version"]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def publish(tables: dict[str, DataFrame], root: str, base_version: int | None = None,
+            expected_rows: dict[str, int] | None = None, notes: dict | None = None) -> dict:
     """Write each table to a new version directory, then the manifest.
 
     Nothing is visible until the manifest job commits; the manifest keeps
-    the unchanged tables of the previous version.
+    the unchanged tables of the previous version. With ``base_version``, the version
+    that the change was computed from, a newer one refuses the change; two writers of
+    one version meet at the manifest's directory, which only one can create.
+    With ``expected_rows``, rows are counted as they are written, and a table
+    with another number refuses the whole change. ``notes`` are kept in the manifest;
+    ``rows`` in the result has the counted numbers.
     """
     spark = next(iter(tables.values())).sparkSession
-    prev = current_manifest(spark, root) or {}
-    version = (max(_manifest_versions(spark, root)) + 1) if _manifest_versions(spark, root) else 1
+    prev = current_manifest(spark, root) or {"version": 0}
+    if base_version is not None and prev["version"] != base_version:
+        raise StaleVersion(f"computed from version {base_version}; version {prev['version']} is published")
+    version = max([prev["version"], *_manifest_versions(spark, root)]) + 1
     paths = dict(prev.get("tables", {}))
+    written: dict[str, str] = {}
+    rows: dict[str, int] = {}
     for name, df in tables.items():
-        path = f"{root}/{name}/v={version}-{uuid.uuid4().hex[:8]}"
-        w = df.write.mode("errorifexists")
-        if max_records_per_file:
-            w = w.option("maxRecordsPerFile", max_records_per_file)
-        w.parquet(path)
-        paths[name] = path
-    manifest = {"version": version, "tables": paths}
-    (spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1)
+        written[name] = f"{root}/{name}/v={version}-{uuid.uuid4().hex[:8]}"
+        seen = Observation(f"publish-{uuid.uuid4().hex}")
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").parquet(written[name])
+        rows[name] = seen.get["rows"]
+    wrong = {n: (rows[n], want) for n, want in (expected_rows or {}).items() if rows[n] != want}
+    if wrong:
+        for path in written.values():
+            remove(spark, path)
+        raise WrongCount("nothing published: " + ", ".join(f"{n} has {got} rows, not {want}" for n, (got, want) in wrong.items()))
+    manifest = {"version": version, "tables": paths | written, "notes": notes or {}}
+    if base_version is not None and current_version(spark, root) != base_version:
+        raise StaleVersion(f"computed from version {base_version}; another was published meanwhile")
+    (spark.range(1).select(F.lit(json.dumps(manifest)).alias("value")).coalesce(1)
      .write.mode("errorifexists").text(f"{root}/_manifests/v={version}"))
-    return manifest
+    return manifest | {"rows": rows}
 
 
 def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -91,33 +135,30 @@ def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 # S3
-def import_into_empty(df: DataFrame, root: str, name: str, chunk: int = 1000) -> DataFrame:
-    """Refuse when the target already has rows; otherwise write in files of at
-    most ``chunk`` rows, publish, and verify the count afterwards.
+def import_into_empty(df: DataFrame, root: str, name: str, expected_rows: int | None = None) -> DataFrame:
+    """Refuse when the target already has rows; otherwise write, publish, and
+    verify the count afterwards. Files follow the input's partitions.
 
-    Returns one row (expected, written, ok).
+    Returns one row (expected, written, ok): the rows counted while they were
+    written and those that a reader of the published table finds.
     """
     spark = df.sparkSession
     m = current_manifest(spark, root)
-    if m and name in m["tables"]:
-        existing = spark.read.parquet(m["tables"][name]).limit(1).count()
-        if existing:
-            raise ValueError(f"target {name} already has rows — refusing to import on top of it")
-    publish({name: df}, root, max_records_per_file=chunk)
-    written = read_published(spark, root, name)
-    return spark.range(1).select(df.select(F.count(F.lit(1))).scalar().alias("expected"),
-                                 written.select(F.count(F.lit(1))).scalar().alias("written")) \
-        .withColumn("ok", F.col("expected") == F.col("written"))
+    if m and name in m["tables"] and spark.read.parquet(m["tables"][name]).limit(1).count():
+        raise ValueError(f"{name} has rows; an import needs an empty table")
+    done = publish({name: df}, root, base_version=m["version"] if m else 0,
+                   expected_rows=None if expected_rows is None else {name: expected_rows})
+    return (read_published(spark, root, name)
+            .agg(F.lit(done["rows"][name]).cast("long").alias("expected"), F.count(F.lit(1)).alias("written"))
+            .withColumn("ok", F.col("expected") == F.col("written")))
 
 
 # S4
 def guarded_copy(src: DataFrame, root: str, name: str, expected_rows: int) -> DataFrame:
     """Copy only if the source has exactly ``expected_rows`` rows and the target
-    is empty; values (nulls, ids) are written unchanged."""
-    n = src.count()
-    if n != expected_rows:
-        raise ValueError(f"source has {n} rows, expected {expected_rows}; nothing copied")
-    return import_into_empty(src, root, name)
+    is empty; values (nulls, ids) are written unchanged. The source is read once:
+    its rows are counted while they are written, before anything is visible."""
+    return import_into_empty(src, root, name, expected_rows)
 
 
 # S5

@@ -42,27 +42,28 @@ def page(df: DataFrame, key: str, size: int = PAGE_SIZE, after=None) -> DataFram
 def page_numbers(df: DataFrame, key: str, size: int = PAGE_SIZE, partitions: int | None = None) -> DataFrame:
     """Assign ``_page`` = rank-by-key // size without a single-partition window.
 
-    Rows are range-partitioned by the key; each partition numbers its rows
-    locally, per-partition counts (one small row each) give prefix offsets,
-    which are joined back by broadcast (one row per partition: bounded by
-    the partition count). A distributed zipWithIndex.
+    Rows are range-partitioned by the key and sorted within each range, where the low
+    bits of ``monotonically_increasing_id`` are a row's position and the high bits its
+    range. Per-range counts (one small row each) give prefix offsets, which are
+    joined back by broadcast (one row per range: bounded by the partition count).
+    A distributed zipWithIndex with one shuffle.
     """
     spark = df.sparkSession
     # as many ranges as the cluster's shuffle width: each range is one sort
     n = partitions or max(spark.sparkContext.defaultParallelism,
                           int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(n, key).withColumn("_pid", F.spark_partition_id())
-    local = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_pid").orderBy(key)) - 1)
+    mid = F.monotonically_increasing_id()
     # Range bounds come from a sample: materialise once (reliable checkpoint in
     # the shared checkpoint folder) so the counts and the rows agree.
-    checkpoint_dir(df.sparkSession)
-    local = local.checkpoint(eager=True)
+    checkpoint_dir(spark)
+    local = (df.repartitionByRange(n, key).sortWithinPartitions(key).withColumn("_mid", mid).checkpoint(eager=True)
+             .withColumn("_pid", F.shiftright("_mid", 33)).withColumn("_i", F.col("_mid") - F.shiftleft("_pid", 33)))
     counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
     offs = counts.withColumn("_off", F.coalesce(
         F.sum("_c").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return (local.join(F.broadcast(offs.select("_pid", "_off")), "_pid")
             .withColumn("_page", F.floor((F.col("_off") + F.col("_i")) / size).cast("long"))
-            .drop("_pid", "_i", "_off"))
+            .drop("_mid", "_pid", "_i", "_off"))
 
 
 def export_pages(df: DataFrame, key: str, path: str, size: int = PAGE_SIZE, files: int | None = None) -> None:

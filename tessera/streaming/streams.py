@@ -58,36 +58,54 @@ def governed_stream(events: DataFrame, grants_root: str, app: str, owner_col: st
 
 
 # T2
+LATE_SECONDS = 3600
+
+
 def stream_rate_cap(requests: DataFrame, key: str = "inviter", ts_col: str = "attempted_at",
-                    id_col: str = "attempt_id", cap: int = hi.HOURLY_CAP) -> DataFrame:
-    """Hourly cap decided as requests arrive, per ``key``.
-
-    State per key is the accepted times of the last hour (at most ``cap``
-    values); the watermark of one hour bounds how late an attempt may be.
-    Within a micro-batch a key's attempts are decided in time order; the rows
-    one key brings in one micro-batch are bounded by the trigger size
-    (maxFilesPerTrigger / maxBytesPerTrigger), not by the stream's history.
+                    id_col: str = "attempt_id", cap: int = hi.HOURLY_CAP, late_seconds: int = LATE_SECONDS) -> DataFrame:
+    """Hourly cap decided in event order, per ``key``.
+
+    Attempts wait in the key's state until the watermark has passed them, and are then decided in
+    order of (time, id); so files may arrive in any order within ``late_seconds``. An attempt
+    older than the watermark when it arrives is dropped, as its successors are decided. State
+    per key is the accepted times of the last hour (at most ``cap``) and the attempts of the
+    last ``late_seconds``; it goes when both have passed. A source that falls silent leaves its last
+    attempts waiting: a later row (of any key) moves the watermark on.
     Event time is derived from the NTZ wall clock without the session zone.
     """
     ev = (requests.withColumn("_ts", hi.event_time(requests, ts_col))
-          .withColumn("_us", hi.epoch_micros(requests, ts_col)).withWatermark("_ts", "1 hour"))
+          .withColumn("_us", hi.epoch_micros(requests, ts_col)).withWatermark("_ts", f"{late_seconds} seconds"))
     key_type = requests.schema[key].dataType.simpleString()
     id_type = requests.schema[id_col].dataType.simpleString()
-    ts_type = requests.schema[ts_col].dataType.simpleString()
-    out_schema = f"{key} {key_type}, {id_col} {id_type}, {ts_col} {ts_type}, accepted boolean"
+    out_schema = f"{key} {key_type}, {id_col} {id_type}, _us long, accepted boolean"
 
     def decide(k, pdfs, state):
-        acc = deque(state.get[0]) if state.exists else deque()
-        parts = [p for p in pdfs]
-        pdf = pd.concat(parts) if parts else pd.DataFrame(columns=[id_col, ts_col, "_us"])
-        pdf = pdf.sort_values(["_us", id_col])
-        dec, acc = hi.fold_rate_cap(pdf["_us"].tolist(), cap, state=acc)
-        state.update((list(acc),))
-        yield pd.DataFrame({key: [k[0]] * len(pdf), id_col: pdf[id_col].tolist(),
-                            ts_col: pdf[ts_col].tolist(), "accepted": dec})
-
-    return ev.groupBy(key).applyInPandasWithState(
-        decide, out_schema, "times array<long>", "append", GroupStateTimeout.NoTimeout)
+        times, waiting_us, waiting_id = state.get if state.exists else ([], [], [])
+        waiting = list(zip(waiting_us, waiting_id))
+        for pdf in pdfs:
+            waiting.extend(zip(pdf["_us"].tolist(), pdf[id_col].tolist()))
+        waiting.sort()
+        passed = state.getCurrentWatermarkMs() * 1000
+        n = sum(us < passed for us, _ in waiting)
+        ready, waiting = waiting[:n], waiting[n:]
+        decisions, kept = hi.fold_rate_cap([us for us, _ in ready], cap, state=deque(times))
+        kept = [t for t in kept if t > passed - hi.HOUR_SECONDS * 1_000_000]
+        if waiting or kept:
+            state.update((kept, [us for us, _ in waiting], [i for _, i in waiting]))
+            due = waiting[0][0] if waiting else kept[-1] + hi.HOUR_SECONDS * 1_000_000
+            state.setTimeoutTimestamp(max(due // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        if ready:
+            yield pd.DataFrame({key: [k[0]] * n, id_col: [i for _, i in ready], "_us": [us for us, _ in ready],
+                                "accepted": decisions})
+
+    out = ev.groupBy(key).applyInPandasWithState(
+        decide, out_schema, f"times array<long>, waiting_us array<long>, waiting_id array<{id_type}>", "append",
+        GroupStateTimeout.EventTimeTimeout)
+    moment = F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'") + F.make_dt_interval(
+        secs=(F.col("_us").cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)"))
+    return out.select(key, id_col, moment.cast(requests.schema[ts_col].dataType).alias(ts_col), "accepted")
 
 
 # T3
@@ -128,21 +146,49 @@ def stream_current_grants(changes: DataFrame, root: str, checkpoint: str, key=("
     q.awaitTermination()
 
 
+def _log_epochs(spark: SparkSession, root: str, after: int) -> list[int]:
+    """Finished epochs of the log beyond ``after``."""
+    found = [int(n[6:]) for n in pub.list_names(spark, f"{root}/log") if n.startswith("epoch=")]
+    return sorted(e for e in found if e > after and pub.exists(spark, f"{root}/log/epoch={e}/_SUCCESS"))
+
+
+def _folded(spark: SparkSession, root: str) -> tuple[DataFrame | None, int, int]:
+    """(snapshot and the log beyond it, the last epoch in it, the snapshot's version)."""
+    m = pub.current_manifest(spark, f"{root}/snapshot")
+    upto = m["notes"]["upto"] if m else -1
+    epochs = _log_epochs(spark, root, upto)
+    parts = [spark.read.parquet(m["tables"]["state"])] if m else []
+    if epochs:
+        parts.append(spark.read.parquet(*[f"{root}/log/epoch={e}" for e in epochs]))
+    df = parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0] if parts else None
+    return df, max([upto, *epochs]), m["version"] if m else 0
+
+
 def current_from_state(spark: SparkSession, root: str, key=("user_id", "app"),
                        ts_col: str = "changed_at") -> DataFrame:
-    """Current grants: the latest logged change per key, revocations removed
-    (the snapshot from ``compact``, if any, plus the log)."""
-    log = spark.read.parquet(f"{root}/log").drop("epoch")
-    m = pub.current_manifest(spark, f"{root}/snapshot")
-    if m and "state" in m["tables"]:
-        log = spark.read.parquet(m["tables"]["state"]).unionByName(log)
-    return hi.current_grants(log, key=key, ts_col=ts_col)
-
-
-def compact(spark: SparkSession, root: str, key=("user_id", "app"), ts_col: str = "changed_at") -> None:
-    """Publish the latest change per key as a snapshot (the log can then be
-    pruned); revocations are kept so an older late change stays ignored."""
-    log = spark.read.parquet(f"{root}/log").drop("epoch")
-    latest = log.groupBy(*key).agg(F.max_by(F.struct("change_id", "action", "role", ts_col),
-                                            F.struct(ts_col, "change_id")).alias("_l")).select(*key, "_l.*")
-    pub.publish({"state": latest}, f"{root}/snapshot")
+    """Current grants: the latest logged change per key, revocations removed, from
+    the snapshot of ``compact``, if any, and the epochs logged after it."""
+    df, _, _ = _folded(spark, root)
+    if df is None:
+        raise FileNotFoundError(f"no state under {root}")
+    return hi.current_grants(df, key=key, ts_col=ts_col)
+
+
+def compact(spark: SparkSession, root: str, key=("user_id", "app"), ts_col: str = "changed_at",
+            prune: bool = False) -> None:
+    """Publish the latest change per key of the snapshot and the log beyond it as the new
+    snapshot, which records the last epoch it holds; revocations are kept so an older late
+    change stays ignored. ``prune`` deletes the log that earlier snapshots hold: readers
+    that resolved the snapshot before this one still find the epochs they need.
+    """
+    before = pub.current_manifest(spark, f"{root}/snapshot")
+    df, upto, version = _folded(spark, root)
+    if df is None:
+        return
+    latest = df.groupBy(*key).agg(F.max_by(F.struct("change_id", "action", "role", ts_col),
+                                           F.struct(ts_col, "change_id")).alias("_l")).select(*key, "_l.*")
+    pub.publish({"state": latest}, f"{root}/snapshot", base_version=version, notes={"upto": upto})
+    if prune and before:
+        for e in _log_epochs(spark, root, -1):
+            if e <= before["notes"]["upto"]:
+                pub.remove(spark, f"{root}/log/epoch={e}")

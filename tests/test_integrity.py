@@ -171,6 +171,18 @@ def test_publish_is_all_or_nothing_and_import_refuses_twice(spark, ws, tmp_path)
         pub.import_into_empty(g, str(tmp_path / "imp"), "grants")
     with pytest.raises(ValueError):
         pub.guarded_copy(g, str(tmp_path / "cp"), "grants", g.count() + 1)
+    assert pub.current_manifest(spark, str(tmp_path / "cp")) is None and not list((tmp_path / "cp" / "grants").glob("v=*"))
+    assert pub.guarded_copy(g, str(tmp_path / "cp"), "grants", g.count()).first().ok
+
+
+def test_a_change_computed_from_an_older_version_is_refused(spark, ws, tmp_path):
+    root = str(tmp_path / "pub")
+    pub.publish({"grants": ws.fx_grants}, root, base_version=0)
+    base = pub.current_version(spark, root)
+    pub.publish({"grants": ws.fx_grants.limit(3)}, root, base_version=base)
+    with pytest.raises(pub.StaleVersion):
+        pub.publish({"grants": ws.fx_grants.limit(5)}, root, base_version=base)
+    assert pub.read_published(spark, root, "grants").count() == 3
 
 
 def brute_force_fold(times, cap=10, window=3600):
