@@ -76,12 +76,12 @@ def stale_token_exposure(access: DataFrame, revocations: DataFrame, ttl_seconds:
 
 # W2
 def trailing_hour_counts(requests: DataFrame, key: str = "inviter", ts_col: str = "attempted_at",
-                         chunk_hours: int = 24) -> DataFrame:
+                         chunk_hours: int = 1) -> DataFrame:
     """Attempts in the hour up to and including each one, per ``key``.
 
     A per-key window over all of history would put a hot key (one inviter
     with a third of all rows) in a single task. Rows are therefore windowed
-    in (key, day) chunks; each chunk also receives the previous chunk's last
+    in (key, hour) chunks; each chunk also receives the previous chunk's last
     hour as context rows, which feed the counts but are not emitted.
     """
     chunk_s = chunk_hours * HOUR_SECONDS
@@ -123,13 +123,13 @@ def fold_rate_cap(times_us, cap: int = HOURLY_CAP, window_us: int = HOUR_SECONDS
 
 
 def rate_cap_history(requests: DataFrame, key: str = "inviter", ts_col: str = "attempted_at",
-                     id_col: str = "attempt_id", cap: int = HOURLY_CAP, chunk_hours: int = 24) -> DataFrame:
+                     id_col: str = "attempt_id", cap: int = HOURLY_CAP, chunk_hours: int = 4) -> DataFrame:
     """Accepted/refused for every attempt over history, per ``key``.
 
     Refused attempts create nothing, so each decision depends on earlier
     accepted ones. Work is split where no state can survive: an attempt with
     no other attempt of its key in the hour before it starts a fresh "run".
-    Everything up to the fold is computed in (key, day) chunks, so a hot key
+    Everything up to the fold is computed in (key, few hours) chunks, so a hot key
     is never sorted as one history:
 
     1. trailing-hour counts per chunk (W2, with context rows);

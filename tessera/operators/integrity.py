@@ -8,13 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar as sx
-from tessera.plans.sizing import bounded_broadcast
+from tessera.session import checkpoint_dir
 
 # Buckets of the distributed checksum. Fixed, so digests of two copies are
 # always comparable; each bucket is a sum, so a bucket never holds rows.
 CHECKSUM_BUCKETS = 64
-# Above this many rows the exact single-stream digest is refused.
-EXACT_CHECKSUM_MAX_ROWS = 1_000_000
 
 
 # S10
@@ -64,9 +62,7 @@ def vocabulary_profile(df: DataFrame, cols, known: DataFrame) -> DataFrame:
     counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     k = known.select(F.col("column").alias("_c"), F.col("value").alias("_v")).distinct() \
         .withColumn("_k", F.lit(True))
-    # a vocabulary is a handful of values: broadcast after a size check;
     # null-safe, since null can be a listed value
-    k = bounded_broadcast(k)
     cond = (counts["column"] == k["_c"]) & counts["value"].eqNullSafe(k["_v"])
     return (counts.join(k, cond, "left")
             .select("column", "value", "n", F.coalesce("_k", F.lit(False)).alias("listed")))
@@ -97,9 +93,15 @@ def diff_verdict(diff: DataFrame) -> DataFrame:
 
 
 # A3
-def row_hash(line: Column) -> Column:
-    """60-bit integer from the row's md5, summed into order-free digests."""
-    return F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("decimal(38,0)")
+def digest_columns(line: Column) -> list[Column]:
+    """The two 64-bit halves of the row's md5, as numbers to be summed."""
+    h = F.md5(line)
+    return [F.conv(F.substring(h, 1 + 16 * i, 16), 16, 10).cast("decimal(38,0)").alias(f"_h{i}") for i in range(2)]
+
+
+def _digest() -> Column:
+    """The sums of both halves: an order-free digest of all 128 bits."""
+    return F.concat_ws(":", *[F.coalesce(F.sum(f"_h{i}"), F.lit(0)).cast("decimal(38,0)").cast("string") for i in range(2)])
 
 
 def bucket_of(key: Column, buckets: int = CHECKSUM_BUCKETS) -> Column:
@@ -111,39 +113,20 @@ def bucket_checksums(df: DataFrame, cols, key: str, ts_cols=(), buckets: int = C
     """(bucket, rows, digest) per hash bucket of the key.
 
     Each row's text is the reference line format (fields joined by '|',
-    nulls as ~NULL~, timestamps as UTC text with microseconds); its md5
-    becomes a number and a bucket's digest is their sum. Sums are
+    nulls as ~NULL~, timestamps as UTC text with microseconds); the halves of its
+    md5 become numbers and a bucket's digest is their sums. Sums are
     independent of row order and partitioning, and a bucket is one
     partial aggregate, so the work is fully parallel and never gathers rows.
     """
     line = sx.checksum_line(list(cols), tuple(ts_cols), guard)
-    return (df.select(bucket_of(F.col(key), buckets).alias("bucket"), row_hash(line).alias("_h"))
-            .groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.sum("_h").cast("string").alias("digest")))
+    return (df.select(bucket_of(F.col(key), buckets).alias("bucket"), *digest_columns(line))
+            .groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), _digest().alias("digest")))
 
 
 def table_checksum(df: DataFrame, cols, key: str, ts_cols=(), guard=None) -> DataFrame:
     """One row (rows, digest): the multiset digest of the whole table."""
     line = sx.checksum_line(list(cols), tuple(ts_cols), guard)
-    return df.select(row_hash(line).alias("_h")).agg(
-        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("_h"), F.lit(0)).cast("decimal(38,0)")
-        .cast("string").alias("digest"))
-
-
-def exact_checksum(df: DataFrame, cols, key: str, ts_cols=(), max_rows: int = EXACT_CHECKSUM_MAX_ROWS,
-                   guard=None) -> str:
-    """The single-stream digest: md5 of all lines ordered by the key text,
-    joined by newlines. It is sequential by nature, so it is offered only for
-    tables of at most ``max_rows`` rows (checked first); use
-    ``table_checksum`` beyond that. Never compare digests across the forms."""
-    n = df.limit(max_rows + 1).count()
-    if n > max_rows:
-        raise ValueError(f"exact checksum refused above {max_rows} rows; use table_checksum")
-    line = sx.checksum_line(list(cols), tuple(ts_cols), guard)
-    r = (df.select(F.col(key).cast("string").alias("_k"), line.alias("_l"))
-         .agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_k", "_l"))),
-                                             lambda s: s["_l"]), "\n")).alias("d"))
-         .collect())
-    return r[0]["d"]
+    return df.select(*digest_columns(line)).agg(F.count(F.lit(1)).alias("rows"), _digest().alias("digest"))
 
 
 # A4
@@ -202,27 +185,34 @@ def erasure_impact(targets: DataFrame, tables: list[tuple[str, DataFrame, str, s
     delete (c), null (n), reassign (d) or that would block it (r/a).
 
     ``tables`` is the foreign-key spec: (name, df, owner column, action).
-    Each table is semi-joined with the targets and counted.
+    The targets are kept once in the shared checkpoint folder; all keys of
+    one table are tested in one scan of it.
     """
     effect = {"c": "deleted", "n": "nulled", "d": "reassigned", "r": "blocks", "a": "blocks"}
-    t = targets.select(F.col(target_col)).filter(F.col(target_col).isNotNull()).distinct()
-    out = None
+    checkpoint_dir(targets.sparkSession)
+    t = targets.select(F.col(target_col).alias("_t")).filter(F.col("_t").isNotNull()).distinct().checkpoint(eager=True)
+    scans: dict[tuple[str, int], tuple[DataFrame, list]] = {}
     for name, df, col, action in tables:
-        hit = df.join(t.withColumnRenamed(target_col, col), col, "left_semi")
-        part = hit.agg(F.count(F.lit(1)).alias("rows")).select(
+        scans.setdefault((name, id(df)), (df, []))[1].append((col, action))
+    out = None
+    for (name, _), (df, keys) in scans.items():
+        hit = df.select(*dict.fromkeys(col for col, _ in keys))
+        for i, (col, _) in enumerate(keys):
+            hit = hit.join(t.select(F.col("_t").alias(f"_t{i}")), F.col(col) == F.col(f"_t{i}"), "left")
+        found = hit.agg(*[F.count(f"_t{i}").alias(f"_n{i}") for i in range(len(keys))])
+        part = found.select(F.inline(F.array(*[F.struct(
             F.lit(name).alias("tbl"), F.lit(col).alias("column"), F.lit(action).alias("action"),
-            F.lit(effect[action]).alias("effect"), "rows")
+            F.lit(effect[action]).alias("effect"), F.col(f"_n{i}").alias("rows")) for i, (col, action) in enumerate(keys)])))
         out = part if out is None else out.unionByName(part)
     return out
 
 
 # U3
 def row_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows lost (in a, not b) or added (in b, not a), multiplicity kept.
+    """Rows lost (in a, not b) or added (in b, not a), each once with its number ``n``.
 
-    One pass: rows are tagged +1 (a) / -1 (b), grouped on every column
-    (nulls group together, as in EXCEPT ALL) with map-side partial sums, and
-    a net count other than zero is expanded back into that many rows. Two
+    One pass: rows are tagged +1 (a) / -1 (b) and grouped on every column
+    (nulls group together, as in EXCEPT ALL) with map-side partial sums. Two
     ``exceptAll`` calls would scan and shuffle both copies twice.
     """
     cols = a.columns
@@ -230,8 +220,7 @@ def row_diff(a: DataFrame, b: DataFrame) -> DataFrame:
               .unionByName(b.select(*cols, F.lit(-1).alias("_n"))))
     net = tagged.groupBy(*cols).agg(F.sum("_n").alias("_n")).filter(F.col("_n") != 0)
     return (net.withColumn("side", F.when(F.col("_n") > 0, F.lit("lost")).otherwise(F.lit("added")))
-            .withColumn("_k", F.explode(F.array_repeat(F.lit(1), F.abs(F.col("_n")).cast("int"))))
-            .drop("_n", "_k"))
+            .withColumn("n", F.abs("_n")).drop("_n"))
 
 
 # M13

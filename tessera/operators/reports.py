@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalar as sx
 from tessera.operators.access import ADMIN, PLATFORM
-from tessera.plans.sizing import small_distinct
 
 UNLISTED_NOTE = "not listed in this page"
 LINE_DASH = " — "
@@ -56,22 +55,24 @@ def resolve_apps(df: DataFrame, catalog: DataFrame, app_col: str = "app") -> Dat
 
 
 # J2
-def access_grid(accounts: DataFrame, apps: DataFrame, grants: DataFrame, wide: bool = False) -> DataFrame:
-    """Every account with its role (or null) in every listed app.
+def access_grid(accounts: DataFrame, apps: DataFrame, grants: DataFrame) -> DataFrame:
+    """Every account with its roles in the listed apps, as a map app -> role.
 
-    The app list is a dimension: its ids are fetched once under a size bound
-    and expanded per account as a constant array, so there is no cartesian
-    join; the only shuffle is the join of accounts with grants on user_id.
-    ``wide`` pivots to one column per app (values given, so no extra job).
+    An app missing from the map is an empty cell of the grid, so the output grows with
+    accounts and grants and never with accounts times apps. One join of accounts
+    with their grants on user_id; the app list is a semi join.
     """
-    ids = small_distinct(apps, "app")
-    g = grants.filter(F.col("app").isin(ids)).select("user_id", "app", "role")
-    if wide:
-        piv = g.groupBy("user_id").pivot("app", ids).agg(F.first("role"))
-        return accounts.select("user_id", "email").join(piv, "user_id", "left")
-    long = accounts.select("user_id", "email",
-                           F.explode(F.array(*[F.lit(a) for a in ids])).alias("app"))
-    return long.join(g, ["user_id", "app"], "left").select("user_id", "email", "app", "role")
+    held = (grants.join(apps.select("app").distinct(), "app", "left_semi").groupBy("user_id")
+            .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("app", "role")))).alias("roles")))
+    none = F.create_map().cast("map<string,string>")
+    return accounts.select("user_id", "email").join(held, "user_id", "left").select(
+        "user_id", "email", F.coalesce("roles", none).alias("roles"))
+
+
+def access_columns(accounts: DataFrame, grants: DataFrame, apps: list[str]) -> DataFrame:
+    """Every account with one column per app asked for, holding its role or null."""
+    roles = grants.filter(F.col("app").isin(apps)).groupBy("user_id").pivot("app", apps).agg(F.first("role"))
+    return accounts.select("user_id", "email").join(roles, "user_id", "left")
 
 
 # A6

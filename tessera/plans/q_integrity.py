@@ -29,8 +29,9 @@ def _line_sql(alias: str = "") -> str:
     return "concat_ws('|', " + ", ".join(parts) + ")"
 
 
-def _hash_sql(line: str) -> str:
-    return f"('0x' || substr(md5({line}), 1, 15))::BIGINT"
+def _digest_sql(line: str) -> str:
+    halves = [f"cast(coalesce(sum(('0x' || substr(md5({line}), {at}, 16))::ubigint), 0) as varchar)" for at in (1, 17)]
+    return f"{halves[0]} || ':' || {halves[1]}"
 
 
 def _bucket_sql(key: str) -> str:
@@ -141,7 +142,7 @@ def a2_diff_verdict_same(spark, sf_dir):
 
 
 @register("a3_table_checksum", duckdb_ctes("fx_claims") + f"""
-select count(*) as rows, cast(coalesce(sum({_hash_sql(_line_sql())}), 0) as varchar) as digest from fx_claims""")
+select count(*) as rows, {_digest_sql(_line_sql())} as digest from fx_claims""")
 def a3_table_checksum(spark, sf_dir):
     ws = Workspace(spark, sf_dir)
     return ig.table_checksum(ws.fx_claims, CLAIM_COLS, "id", CLAIM_TS)
@@ -149,7 +150,7 @@ def a3_table_checksum(spark, sf_dir):
 
 @register("a3_bucket_checksums", duckdb_ctes("fx_claims") + f"""
 select {_bucket_sql('id')} as bucket, count(*) as rows,
-       cast(sum({_hash_sql(_line_sql())}) as varchar) as digest
+       {_digest_sql(_line_sql())} as digest
 from fx_claims group by 1""")
 def a3_bucket_checksums(spark, sf_dir):
     ws = Workspace(spark, sf_dir)
@@ -173,9 +174,9 @@ _COPY_SQL = """
 
 @register("a4_compare_checksums", duckdb_ctes("fx_claims") + _COPY_SQL + f"""
 , a as (select {_bucket_sql('id')} as bucket, count(*) as rows_a,
-               cast(sum({_hash_sql(_line_sql())}) as varchar) as digest_a from fx_claims group by 1),
+               {_digest_sql(_line_sql())} as digest_a from fx_claims group by 1),
   b as (select {_bucket_sql('id')} as bucket, count(*) as rows_b,
-               cast(sum({_hash_sql(_line_sql())}) as varchar) as digest_b from copy group by 1)
+               {_digest_sql(_line_sql())} as digest_b from copy group by 1)
 select coalesce(a.bucket, b.bucket) as bucket, rows_a, digest_a, rows_b, digest_b
 from a full outer join b on a.bucket = b.bucket
 where not (rows_a is not distinct from rows_b and digest_a is not distinct from digest_b)""")
@@ -281,9 +282,9 @@ def a11_erasure_impact(spark, sf_dir):
 
 
 @register("u3_row_diff", duckdb_ctes("fx_claims") + _COPY_SQL + """
-select *, 'lost' as side from (select * from fx_claims except all select * from copy)
+select *, 'lost' as side, count(*) as n from (select * from fx_claims except all select * from copy) group by all
 union all
-select *, 'added' as side from (select * from copy except all select * from fx_claims)""")
+select *, 'added' as side, count(*) as n from (select * from copy except all select * from fx_claims) group by all""")
 def u3_row_diff(spark, sf_dir):
     ws = Workspace(spark, sf_dir)
     return ig.row_diff(ws.fx_claims, _copy(ws))
@@ -298,7 +299,7 @@ def _with_probes(ws: Workspace):
 
 
 @register("m13_cleanup_probe", duckdb_ctes("fx_claims") + f"""
-, b as (select count(*) as rows_before, cast(coalesce(sum({_hash_sql(_line_sql())}), 0) as varchar) as digest_before
+, b as (select count(*) as rows_before, {_digest_sql(_line_sql())} as digest_before
         from fx_claims),
   p as (select count(*) as probe_rows from fx_claims where tax_year = 1995)
 select rows_before, digest_before, probe_rows, rows_before as rows_after, digest_before as digest_after,

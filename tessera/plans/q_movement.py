@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import scalar as sx
 from tessera.operators import access as acc
 from tessera.operators import integrity as ig
 from tessera.plans.fixtures import BASE_TABLES, Workspace, duckdb_ctes
@@ -54,6 +55,46 @@ def s2_page_report(spark, sf_dir):
     return tb.page_sizes(spark, _exported(spark, ws)).select("page", F.col("rows").cast("bigint").alias("rows"))
 
 
+def _array_pages(ws: Workspace, size: int):
+    """The claims as a paging client saves them: one file per page, each a JSON array."""
+    path = pub.scratch_path(ws.spark, "array-pages")
+    row = F.to_json(F.struct(*ws.fx_claims.columns), {"ignoreNullFields": "false"})
+    (tb.page_numbers(ws.fx_claims, "id", size).groupBy("_page")
+     .agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list(row)), ","), F.lit("]")).alias("value"))
+     .repartition("_page").write.partitionBy("_page").text(path))
+    return path
+
+
+@register("s2_read_array_pages", duckdb_ctes("fx_claims") + "select * from fx_claims")
+def s2_read_array_pages(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    pages = tb.read_paged_json(spark, _array_pages(ws, PAGE), _claims_schema(ws))
+    return pages.select(*ws.fx_claims.columns)
+
+
+@register("s2_array_page_report", duckdb_ctes("fx_claims") + f"""
+select rows, count(*) as pages from (
+  select count(*) as rows from (select (row_number() over (order by id) - 1) // {PAGE} as page from fx_claims) group by page)
+group by rows""")
+def s2_array_page_report(spark, sf_dir):
+    """How many pages hold how many rows, from the page files."""
+    ws = Workspace(spark, sf_dir)
+    report = tb.page_report(tb.read_paged_json(spark, _array_pages(ws, PAGE), _claims_schema(ws)))
+    return report.groupBy("rows").agg(F.count(F.lit(1)).alias("pages"))
+
+
+@register("o1_listing_order", duckdb_ctes("fx_accounts") + """
+select row_number() over (order by last_sign_in_at desc nulls first, email, user_id) as position, user_id, email from (
+  select user_id, case when user_id % 37 <> 5 then email end as email, last_sign_in_at from fx_accounts)""")
+def o1_listing_order(spark, sf_dir):
+    """The stated order (newest first, nulls first; then email, nulls last), as the rows come out of the sort."""
+    ws = Workspace(spark, sf_dir)
+    listed = (ws.fx_accounts.withColumn("email", F.when(F.col("user_id") % 37 != 5, F.col("email")))
+              .orderBy(*sx.ordered(F.col("last_sign_in_at").desc_nulls_first(), "email", "user_id")))
+    came = listed.select(F.monotonically_increasing_id().alias("came"), "user_id", "email")
+    return tb.page_numbers(came, "came", size=1).select((F.col("_page") + 1).alias("position"), "user_id", "email")
+
+
 @register("s3_import_into_empty", duckdb_ctes("fx_claims") + """
 select count(*) as expected, count(*) as written, true as ok from fx_claims""")
 def s3_import_into_empty(spark, sf_dir):

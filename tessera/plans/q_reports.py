@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tessera.functions import scalar as sx
 from tessera.operators import reports as rp
 from tessera.plans.fixtures import Workspace, duckdb_ctes
@@ -17,16 +19,15 @@ def j1_who_reaches_what(spark, sf_dir):
     return rp.who_reaches_what(ws.fx_grants, ws.fx_accounts)
 
 
-@register("j2_access_grid", duckdb_ctes("fx_accounts", "fx_grants", "fx_app_catalog") + """
-, apps as (select app from fx_app_catalog
-           union select distinct app from fx_grants where app <> 'platform')
-select a.user_id, a.email, p.app, g.role
-from fx_accounts a cross join apps p
-left join fx_grants g on g.user_id = a.user_id and g.app = p.app""")
+@register("j2_access_grid", duckdb_ctes("fx_accounts", "fx_grants") + """
+select a.user_id, a.email, '{' || coalesce(string_agg('"' || g.app || '":"' || g.role || '"', ',' order by g.app), '') || '}'
+       as roles
+from fx_accounts a left join fx_grants g on g.user_id = a.user_id and g.app <> 'platform'
+group by a.user_id, a.email""")
 def j2_access_grid(spark, sf_dir):
     ws = Workspace(spark, sf_dir)
     apps = rp.app_list(ws.fx_app_catalog, ws.fx_grants)
-    return rp.access_grid(ws.fx_accounts, apps, ws.fx_grants)
+    return rp.access_grid(ws.fx_accounts, apps, ws.fx_grants).withColumn("roles", F.to_json("roles"))
 
 
 @register("j2_access_grid_wide", duckdb_ctes("fx_accounts", "fx_grants") + """
@@ -40,8 +41,7 @@ from fx_accounts a left join fx_grants g on g.user_id = a.user_id
 group by a.user_id, a.email""")
 def j2_access_grid_wide(spark, sf_dir):
     ws = Workspace(spark, sf_dir)
-    apps = rp.app_list(ws.fx_app_catalog, ws.fx_grants)
-    return rp.access_grid(ws.fx_accounts, apps, ws.fx_grants, wide=True)
+    return rp.access_columns(ws.fx_accounts, ws.fx_grants, ["click", "error", "purchase", "signup", "view"])
 
 
 @register("j3_app_list", duckdb_ctes("fx_grants", "fx_app_catalog") + """

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import scalar as sx
 from tessera.operators import audit as au
 from tessera.operators import history as hi
 from tessera.operators import integrity as ig
@@ -74,23 +75,29 @@ def claims(spark, rows=CLAIMS):
             .withColumn("amount_paid", F.col("amount_paid").cast("decimal(10,2)")))
 
 
-def test_exact_checksum_is_md5_of_ordered_lines(spark):
+def exact_checksum(df, guard=None):
+    """The single-stream digest: md5 of all lines ordered by the key text."""
+    line = sx.checksum_line(list(COLS), ("created_at",), guard)
+    rows = sorted(tuple(r) for r in df.select(F.col("id").cast("string"), line).collect())
+    return hashlib.md5("\n".join(x for _, x in rows if x is not None).encode()).hexdigest()
+
+
+def test_checksum_lines(spark):
     lines = ["a|p2|s|2025-01-01|2025|2.50|0.00|ins|excluded|suspected|~NULL~|2025-01-02 03:04:05.000000",
              "b|p1|s|2025-01-01|2025|1.00|0.00|~NULL~|active|~NULL~|~NULL~|2025-01-02 03:04:05.000006"]
-    want = hashlib.md5("\n".join(lines).encode()).hexdigest()
-    assert ig.exact_checksum(claims(spark), COLS, "id", ("created_at",)) == want
-    with pytest.raises(ValueError):
-        ig.exact_checksum(claims(spark), COLS, "id", ("created_at",), max_rows=1)
+    assert exact_checksum(claims(spark)) == hashlib.md5("\n".join(lines).encode()).hexdigest()
+    digests = [hashlib.md5(x.encode()).hexdigest() for x in lines]
+    want = ":".join(str(sum(int(d[16 * i:16 * i + 16], 16) for d in digests)) for i in range(2))
+    assert ig.table_checksum(claims(spark), COLS, "id", ("created_at",)).first() == (2, want)
+    assert ig.table_checksum(claims(spark).limit(0), COLS, "id", ("created_at",)).first() == (0, "0:0")
 
 
 def test_compatible_guard_drops_rows_with_null_status(spark):
     rows = CLAIMS + [("c", "p3", "s", dt.date(2025, 1, 1), 2025, "3.00", "0.00", None, None, None, None,
                       dt.datetime(2025, 1, 2))]
     guard = ("insurer", "flag_status", "note")
-    with_null = ig.exact_checksum(claims(spark, rows), COLS, "id", ("created_at",), guard=guard)
-    without = ig.exact_checksum(claims(spark), COLS, "id", ("created_at",), guard=guard)
-    assert with_null == without
-    assert ig.exact_checksum(claims(spark, rows), COLS, "id", ("created_at",)) != without
+    assert exact_checksum(claims(spark, rows), guard) == exact_checksum(claims(spark), guard)
+    assert exact_checksum(claims(spark, rows)) != exact_checksum(claims(spark))
 
 
 def test_checksum_independent_of_order_and_partitioning(spark, ws):
@@ -107,7 +114,7 @@ def test_checksum_independent_of_order_and_partitioning(spark, ws):
 def test_row_diff_and_count_diff(spark):
     a = spark.createDataFrame([(1,), (2,), (2,)], "x int")
     b = spark.createDataFrame([(2,), (3,)], "x int")
-    assert sorted((r.x, r.side) for r in ig.row_diff(a, b).collect()) == [(1, "lost"), (2, "lost"), (3, "added")]
+    assert sorted((r.x, r.side, r.n) for r in ig.row_diff(a, b).collect()) == [(1, "lost", 1), (2, "lost", 1), (3, "added", 1)]
     old = spark.createDataFrame([("t1", 5), ("t2", 3)], "tbl string, n bigint")
     new = spark.createDataFrame([("t1", 5)], "tbl string, n bigint")
     assert ig.diff_verdict(ig.diff_counts(old, new)).first().verdict == "FAIL"
