@@ -216,11 +216,14 @@ def classify_responses(log: DataFrame, op_col: str = "op", status_col: str = "st
                        content_col: str = "content") -> DataFrame:
     """Outcome of each logged invite/delete call by the ordered rules.
 
-    A body that is not JSON gives an empty error code (parsed defensively).
+    A body that is not JSON gives an empty error code (parsed defensively). An
+    invitation answered with 200 but without the new account's id is an error.
     """
     st = F.col(status_col)
     code = F.coalesce(F.get_json_object(F.col(content_col), "$.error_code"), F.lit(""))
-    invite = (F.when(st == 200, F.lit("ok"))
+    made = F.get_json_object(F.col(content_col), "$.id").isNotNull()
+    invite = (F.when((st == 200) & made, F.lit("ok"))
+              .when(st == 200, F.lit("no_user_id"))
               .when((st == 429) | (code == "over_email_send_rate_limit"), F.lit("rate_limited"))
               .when((st == 422) | code.isin("email_exists", "user_already_exists"), F.lit("already_exists"))
               .when(st == 401, F.lit("bad_key"))

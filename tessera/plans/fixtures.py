@@ -157,8 +157,8 @@ select event_id as response_id,
        case event_id % 2 when 0 then 'invite' else 'delete' end as op,
        case event_id % 9 when 0 then 429 when 1 then 422 when 2 then 401 when 3 then 403
             when 4 then 500 when 5 then 409 when 6 then 404 when 7 then 418 else 200 end as status,
-       case event_id % 4 when 0 then '{{"error_code":"email_exists","msg":"m"}}'
-            when 1 then '{{"message":"other"}}' when 2 then 'not json' else null end as content
+       case event_id % 5 when 0 then '{{"error_code":"email_exists","msg":"m"}}'
+            when 1 then '{{"message":"other"}}' when 2 then 'not json' when 3 then '{{"id":"u1"}}' else null end as content
 from {events}""",
 }
 

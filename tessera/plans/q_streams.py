@@ -112,7 +112,9 @@ _A15_SQL = duckdb_ctes("fx_responses") + """
                   as error_code from fx_responses)
 select response_id, op, status, content, error_code,
        case when op = 'invite' then
-              case when status = 200 then 'ok'
+              case when status = 200 and (case when json_valid(content) then json_extract_string(content, '$.id') end) is not null
+                   then 'ok'
+                   when status = 200 then 'no_user_id'
                    when status = 429 or error_code = 'over_email_send_rate_limit' then 'rate_limited'
                    when status = 422 or error_code in ('email_exists', 'user_already_exists') then 'already_exists'
                    when status = 401 then 'bad_key'

@@ -243,12 +243,13 @@ def test_current_grants_latest_wins(spark):
 
 def test_response_classes(spark):
     log = spark.createDataFrame([
-        ("invite", 200, None), ("invite", 400, '{"error_code":"over_email_send_rate_limit"}'),
+        ("invite", 200, '{"id":"u1"}'), ("invite", 200, None), ("invite", 200, "not json"),
+        ("invite", 400, '{"error_code":"over_email_send_rate_limit"}'),
         ("invite", 400, '{"error_code":"user_already_exists"}'), ("invite", 502, "not json"),
         ("invite", 418, "not json"), ("delete", 404, None), ("delete", 409, None), ("delete", 401, None)],
         "op string, status int, content string")
     got = [r.outcome for r in hi.classify_responses(log).collect()]
-    assert got == ["ok", "rate_limited", "already_exists", "server_error", "other", "ok",
+    assert got == ["ok", "no_user_id", "no_user_id", "rate_limited", "already_exists", "server_error", "other", "ok",
                    "blocked_by_reference", "bad_key"]
 
 
