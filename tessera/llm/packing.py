@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table_of, text_slices
-from tessera.llm.tokens import encoder
+from tessera.llm.tokens import ENCODE_BYTES, encoder
 
 CAPACITY = 2048
 NEARLY = 0.995
@@ -79,8 +79,8 @@ def _tokenise_and_pack(tokenizer: str, capacity: int, end_id: int):
             cols = [[] for _ in range(5)]
             return out
 
-        for b in text_slices(batches):
-            encoded = enc.encode([t or "" for t in b.column("text").to_pylist()])
+        for b in text_slices(batches, limit=ENCODE_BYTES):
+            encoded = enc.encode(b.column("text"))
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), encoded):
                 ids += end
                 for k, (start, length) in enumerate(cut_points(len(ids) // 4, capacity)):

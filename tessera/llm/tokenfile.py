@@ -20,13 +20,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import qualified, scratch, table_of, text_slices
-from tessera.llm.tokens import encoder
+from tessera.llm.tokens import ENCODE_BYTES, encoder
 
 MAGIC = b"TRP1"
 FILE_IDS = 4 << 20
-ROUNDS = 3
+ROUNDS = 4
 MIN_PAIRS = 12
-RULES_A_ROUND = 5100
+RULES_A_ROUND = 7600
+LEAST_RULES = 512
 TABLE_BITS = 19
 
 
@@ -43,16 +44,17 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int, max_rules: int, rounds:
     rules = np.zeros((0, 2), dtype=np.uint32)
     for _ in range(rounds):
         room = min(RULES_A_ROUND, max_rules - len(rules))
-        if len(seq) < 2 or room <= 0:
+        if len(seq) < 2 or room < LEAST_RULES:  # a round reads all symbols: not for a few rules more
             break
         cell = ((seq[:-1] * np.uint32(2654435761)) ^ (seq[1:] * np.uint32(2246822519) + np.uint32(374761393)))
         cell = ((cell ^ (cell >> np.uint32(15))) >> np.uint32(32 - TABLE_BITS - 4) & np.uint32((1 << TABLE_BITS) - 1)).astype(np.int64)
-        inside = ~last[:-1]
-        count = np.bincount(cell[inside], minlength=1 << TABLE_BITS)
+        cell[last[:-1]] = 1 << TABLE_BITS  # pairs across documents share a cell that is never full
+        count = np.bincount(cell, minlength=(1 << TABLE_BITS) + 1)
+        count[-1] = 0
         order = np.bincount(np.minimum(count, 1 << 16))
         fuller = np.cumsum(order[::-1])[::-1]  # cells with at least so many pairs
         least = max(min_pairs, int(np.searchsorted(-fuller, -room)))
-        at = np.flatnonzero(inside & (count >= least)[cell])
+        at = np.flatnonzero((count >= least)[cell])
         if not len(at):
             break
         pair = seq[at].astype(np.int64) << 32 | seq[at + 1]
@@ -194,8 +196,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, fi
             return pa.RecordBatch.from_pylist([{"path": f"{where}/{name}", "part": part, "nth": nth, "docs": len(names),
                                                 "ids": size}], schema)
         schema = pa.schema([("path", pa.string()), ("part", pa.int64()), ("nth", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64())])
-        for b in text_slices(batches):
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.encode([t or "" for t in b.column("text").to_pylist()])):
+        for b in text_slices(batches, limit=ENCODE_BYTES):
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text"))):
                 names.append(doc_id)
                 held.append(ids + end)
                 size += len(ids) // 4 + 1

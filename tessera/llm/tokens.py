@@ -5,13 +5,23 @@ from __future__ import annotations
 import json
 import re
 import sys
+import threading
+import time
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # fixed values: the white space of the byte-level pattern (Unicode White_Space)
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# white space that isn't a lone blank or newline, or the mark that chunks are cut by
+_BLANK = "\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+_ODD = f"[{_BLANK}][{_BLANK}]|[^\\n \\PZ]|[\\t\\x0b-\\r\\x{{85}}\\x{{0}}]"
 CACHE_ENTRIES = 1_200_000  # about 200 bytes each
 CACHE_CHARS = 64
+ENCODE_BYTES = 8 << 20  # of text encoded at once: equal chunks are looked up once
+IDLE_SECONDS = 3  # after which a worker that encodes nothing gives its memory back
 
 
 class Encoder:
@@ -20,8 +30,8 @@ class Encoder:
     The byte-level pattern never joins characters across the start of a chunk as ``_chunk`` cuts
     them: a run of non-space characters with at most one space before it, or white space. So
     where the file has that pattern, a text's ids are its chunks' ids one after the other, and each
-    different chunk is encoded once per worker (up to a bound, after which the memory starts
-    anew). Files with another pattern are encoded text by text.
+    different chunk is encoded once per worker (up to a bound, beyond which the newest are
+    forgotten). Files with another pattern are encoded text by text.
     """
 
     def __init__(self, path: str):
@@ -34,10 +44,19 @@ class Encoder:
         self.by_chunk = (pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
                          and not spec.get("normalizer"))
         self._chunk = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-        self._word = re.compile(f" ?[^{_SPACE}]+")
         newline = self._ids("\n")
         self.newline = int(newline[0]) if len(newline) == 1 else None
         self.known: dict[str, bytes] = {}
+        self._lock, self._used = threading.Lock(), time.monotonic()
+        threading.Thread(target=self._forget, daemon=True).start()
+
+    def _forget(self) -> None:
+        """Workers outlive their tasks: those of later stages must not hold what this one learned."""
+        while True:
+            time.sleep(1)
+            with self._lock:
+                if len(self.known) > 1 and time.monotonic() - self._used > IDLE_SECONDS:
+                    self.known = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -46,41 +65,84 @@ class Encoder:
         return [np.array(e.ids, dtype="<u4").tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: set[str], found: dict[str, bytes], step: int = 2000) -> None:
-        """Encode chunks joined by newlines, which the pattern keeps as tokens of their own."""
-        words = [c for c in chunks if self._word.fullmatch(c)] if self.newline is not None else []
-        rest = list(chunks.difference(words))
-        for i in range(0, len(words), step):
-            part = words[i:i + step]
-            ids = self._ids("\n".join(part))
+    def _learn(self, chunks: list[str], step: int = 4000) -> list[bytes]:
+        """Encode different chunks joined by newlines, which the pattern keeps as tokens of their own."""
+        out: list[bytes] = []
+        for i in range(0, len(chunks), step):
+            part = chunks[i:i + step]
+            text = "\n".join(part)
+            # a chunk of white space would run into the newline beside it
+            if self.newline is None or any(map(str.isspace, part)):
+                plain = [c for c in part if not c.isspace()]
+                if self.newline is None or not plain:
+                    out.extend(self._one_by_one(part))
+                else:
+                    blank = [c for c in part if c.isspace()]
+                    known = dict(zip(blank, self._one_by_one(blank))) | dict(zip(plain, self._learn(plain, step)))
+                    out.extend(map(known.__getitem__, part))
+                continue
+            ids = self._ids(text)
             cut = np.flatnonzero(ids == self.newline)
             if len(cut) != len(part) - 1:
-                rest.extend(part)
+                out.extend(self._one_by_one(part))
                 continue
             data = ids.tobytes()
             starts, ends = [0, *((cut + 1) * 4).tolist()], [*(cut * 4).tolist(), len(data)]
-            found.update(zip(part, [data[s:e] for s, e in zip(starts, ends)]))
-        found.update(zip(rest, self._one_by_one(rest)))
+            out.extend([data[s:e] for s, e in zip(starts, ends)])
+        return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
+    def _ids_of_chunks(self, chunks: list[str]) -> list[bytes]:
+        """The ids of different chunks, from memory or encoded now."""
+        self.known.setdefault("", b"")
+        got = list(map(self.known.get, chunks))
+        gap = [i for i, v in enumerate(got) if v is None]
+        if gap:
+            new = [chunks[i] for i in gap]
+            ids = self._learn(new)
+            for i, v in zip(gap, ids):
+                got[i] = v
+            if len(self.known) + len(new) > CACHE_ENTRIES:  # what came first is the most frequent
+                self.known = dict(islice(self.known.items(), CACHE_ENTRIES // 2))
+            self.known.update(zip(new, ids))
+            for c in [c for c in new if len(c) > CACHE_CHARS]:
+                del self.known[c]
+        return got
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers; a null text is empty."""
+        column = pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string())
+        column = pc.fill_null(column, "")
         if not self.by_chunk:
-            return self._one_by_one(texts)
-        cut = [self._chunk.findall(t) for t in texts]
-        got = [list(map(self.known.get, c)) for c in cut]
-        gaps = [[i for i, v in enumerate(g) if v is None] if None in g else () for g in got]
-        missing = {c[i] for c, gap in zip(cut, gaps) for i in gap}
-        if missing:
-            found: dict[str, bytes] = {}
-            self._learn(missing, found)
-            for c, g, gap in zip(cut, got, gaps):
-                for i in gap:
-                    g[i] = found[c[i]]
-            if len(self.known) + len(found) > CACHE_ENTRIES:
-                self.known = {}
-            self.known.update(found if max(map(len, missing)) <= CACHE_CHARS else
-                              {c: v for c, v in found.items() if len(c) <= CACHE_CHARS})
-        return list(map(b"".join, got))
+            return self._one_by_one(column.to_pylist())
+        with self._lock:
+            try:
+                return self._by_chunk(column)
+            finally:
+                self._used = time.monotonic()
+
+    def _by_chunk(self, column: pa.Array) -> list[bytes]:
+        """Texts whose only white space is single blanks and newlines are cut by Arrow, the others by the
+        pattern; then every different chunk is looked up once."""
+        odd = pc.match_substring_regex(column, _ODD)
+        marked = pc.replace_substring(pc.replace_substring(column, " ", "\0 "), "\n", "\0\n\0")
+        pieces = pc.split_pattern(pc.if_else(odd, "", marked), "\0")
+        coded = pieces.flatten().dictionary_encode()
+        ids = self._ids_of_chunks(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
+        chunk = coded.indices.to_numpy(zero_copy_only=False)
+        each = sizes[chunk]
+        through = np.concatenate(([0], np.cumsum(each)))
+        first = (np.cumsum(sizes) - sizes)[chunk]
+        at = np.int32 if max(through[-1], len(flat)) < 1 << 31 else np.int64
+        data = flat[np.repeat((first - through[:-1]).astype(at), each) + np.arange(through[-1], dtype=at)].tobytes()
+        ends = (4 * through[pieces.offsets.to_numpy()]).tolist()
+        out = [data[a:b] for a, b in zip(ends, ends[1:])]
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            cut = self._chunk.findall(column[i].as_py())
+            different = list(set(cut))
+            out[i] = b"".join(map(dict(zip(different, self._ids_of_chunks(different))).__getitem__, cut))
+        return out
 
 
 def encoder(path: str) -> Encoder:
