@@ -86,7 +86,7 @@ def parse_record(data: bytes) -> dict:
     try:
         kind, length = fields["warc-type"], int(fields["content-length"])
         size, digest = int(fields["x-payload-length"]), fields["warc-payload-digest"].removeprefix("sha256:")
-        page, refers = fields["x-page-id"], fields.get("x-refers-to-page-id")
+        page, refers = (int(x) if x else None for x in (fields["x-page-id"], fields.get("x-refers-to-page-id")))
         fields["warc-record-id"], fields["warc-target-uri"]
     except (KeyError, ValueError) as e:
         raise BadArchive(f"header {e} is missing or no number") from e
@@ -98,8 +98,8 @@ def parse_record(data: bytes) -> dict:
             raise BadArchive("a response whose payload isn't what its header says")
     elif kind != "revisit" or refers is None or length:
         raise BadArchive(f"a record of type {kind} that is neither response nor revisit")
-    return {"page_id": int(page) if page else None, "payload_bytes": size, "payload_digest": digest, "record_type": kind,
-            "refers_to": int(refers) if refers else None, "payload": block}
+    return {"page_id": page, "payload_bytes": size, "payload_digest": digest, "record_type": kind,
+            "refers_to": refers, "payload": block}
 
 
 def write_archive(out, records: list[bytes]) -> None:

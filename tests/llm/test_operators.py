@@ -1,5 +1,6 @@
 """The operators against brute force, exact round trips, and rows with every awkward value."""
 
+import functools
 import hashlib
 import io
 import math
@@ -7,24 +8,29 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
-import llm_brute as brute
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from llm import llm_brute as brute
 from tessera.llm import components as cc
 from tessera.llm import (lm, mixing, neighbours, packing, quality, sanitise, sharding, simhash, tokenfile, tokens, warc)
 
 EDGE_ROWS = 11
 
 
-def ids_of(tokenizer, text, end):
+@functools.cache
+def library(tokenizer):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(tokenizer)
     t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids + [end]
+    return t
+
+
+def ids_of(tokenizer, text, end):
+    return library(tokenizer).encode(text or "", add_special_tokens=False).ids + [end]
 
 
 # 1 --------------------------------------------------------------------------------------------------------------------

@@ -39,7 +39,7 @@ def test_entry_module_registers_them(spark):
 
 def test_pipeline_stages(spark, doc_rows):
     """Every stage against plain Python on what the stage before kept."""
-    import llm_brute as brute
+    from llm import llm_brute as brute
     docs = corpus_pipeline.documents(spark, SMALL)
     kept = {r["doc_id"]: r["text"] for r in doc_rows}
     cols = docs.columns
