@@ -119,8 +119,9 @@ def disclosures(docs: DataFrame, found: DataFrame, near: DataFrame, generalise:
                 .select("row", F.concat("kind", F.lit(":"), F.lower("value")).alias("entity")).distinct()
                 .groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity")))
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
+    # an inner join stays above the counting; a semi join would be pushed below it, onto every word of every document
     terms = (docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
-             .join(pairs.select("term").distinct(), "term", "left_semi"))
+             .join(pairs.select("term").distinct(), "term"))
     total = found.agg(F.count(F.lit(1)).alias("n"))
     ratio = F.try_divide(F.log2(F.col("n") * F.col("both") / (F.col("with_entity") * F.col("with_term"))),
                          F.log2(F.col("n") / F.col("with_entity")))
