@@ -1,4 +1,4 @@
-"""Scan the physical plan of every registered query.
+"""Scan the physical plan of every registered access query.
 
 Reports shuffles (Exchange), broadcasts, and any cartesian / nested-loop join,
 Python evaluation or single-partition window. usage:
@@ -27,11 +27,12 @@ def plan_text(df) -> str:
 def main():
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     pats = sys.argv[2:]
-    import __spark_entry__ as E
+    from tessera.plans.registry import QUERIES, load_all
+    load_all()
     spark = get_session(master="local[8]", shuffle_partitions=8)
     spark.sparkContext.setLogLevel("ERROR")
     md = ["| query | shuffles | of which single-partition | broadcasts | notes |", "|---|---|---|---|---|"]
-    for name, fn in sorted(E.queries().items()):
+    for name, fn in sorted(QUERIES.items()):
         if pats and not any(p in name for p in pats):
             continue
         if name.startswith("t") and name[1].isdigit():
