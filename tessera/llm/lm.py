@@ -13,13 +13,14 @@ probability of its unseen words, so unknown words have a probability as well.
 from __future__ import annotations
 
 import math
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,8 +120,18 @@ class Vocabulary:
 def vocabulary(counts: DataFrame, head_words: int = HEAD_WORDS) -> Vocabulary:
     """The vocabulary of a table of counts; what comes to the driver is bounded by the parameters."""
     tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    short = counts.where(F.octet_length("word") <= HEAD_BYTES)
-    head = [(r[0], r[1]) for r in short.orderBy(F.desc("n"), "word").limit(head_words).collect()]
+    # the frequent words are those of the fullest octaves' sixteenths that hold at most head_words words:
+    # a sort with a limit would bring that many rows of every partition to the driver
+    grade = F.floor(F.log2("n") * 16).cast("int")
+    short = counts.where(F.octet_length("word") <= HEAD_BYTES).withColumn("grade", grade)
+    least, held = None, 0
+    for r in sorted(short.groupBy("grade").agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r["grade"]):
+        held += r["words"]
+        if held > head_words:
+            break
+        least = r["grade"]
+    head = [] if least is None else [(r[0], r[1]) for r in short.where(F.col("grade") >= least).select("word", "n").collect()]
+    head.sort(key=lambda x: (-x[1], x[0]))
     if all(w != "" for w, _ in head):
         head += [(r[0], r[1]) for r in counts.where("word = ''").collect()]
     own = [w for w, _ in head if w != ""][:OWN_CLASSES]
@@ -236,11 +247,11 @@ def trained(docs: DataFrame, words: Vocabulary, seed: int = 11) -> LogBilinear:
     """
     spark = docs.sparkSession
     model = LogBilinear(words.classes, words.class_tokens, seed)
-    shared = spark.sparkContext.broadcast((words, model))
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(words))
     schema = pa.schema([("tokens", pa.int64()), ("parameters", pa.binary())])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, start = shared.value
+        known = pickle.loads(shared.value)
         own = LogBilinear(known.classes, known.class_tokens, seed)
         rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
         grown, seen = [np.zeros_like(p) for p in own.parameters()], 0
@@ -275,13 +286,13 @@ def score(docs: DataFrame, counts: DataFrame, words: Vocabulary, model: LogBilin
     the table of counts in a join by word, of which none is frequent. A document's own sums ride
     along under a word no text can hold, so its row needs no second pass.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((words, model))
+    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps((words, model)))
     schema = pa.schema([("row", pa.int64()), ("word", pa.string()), ("times", pa.int64()), ("class", pa.int32()),
                         ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()),
                         ("base", pa.float64()), ("own", pa.float64())])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, lm = shared.value
+        known, lm = pickle.loads(shared.value)
         at = TaskContext.get().partitionId() << 40
         base_of = np.append(known.word_base, 0.0)  # place -1 is a word that isn't here
         within_of = np.append(known.word_within, 0.0)
