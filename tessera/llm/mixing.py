@@ -23,7 +23,7 @@ from tessera.llm.common import table_of, text_bytes, text_slices
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 EPOCHS = 2
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 4096
 
 
 def sized(docs: DataFrame) -> DataFrame:
