@@ -1,15 +1,17 @@
 """Personal data and the terms that give it away, in DataFrame operations only.
 
 Base spans (e-mail, IP address, payment card, phone) are found by pattern. Each value found is a
-protected entity. The corpus then says how strongly a word near an entity reveals it:
+protected entity. The corpus then says how strongly a word reveals an entity:
 
     PMI(e; t) = log2(N * df(e, t) / (df(e) * df(t))),   IC(e) = log2(N / df(e))
 
-with N documents, df(t) those with the word t, df(e) those with the entity and df(e, t) those with t
-near e. PMI(e; t) / IC(e) is 1 where t occurs with e only, so that t discloses all of e. Words near e
-whose ratio reaches ``remove`` are removed, those reaching ``generalise`` are replaced by their
-class. A pair needs ``support`` different contexts: copies of one passage are one piece of
-evidence, and a word seen once beside an entity proves nothing.
+with N documents, df(t) those with the word t, df(e) those with the entity and df(e, t) those with the
+entity and, anywhere outside base spans, t. PMI(e; t) / IC(e) is 1 where t occurs with e only, so that
+t discloses all of e. Words whose ratio with any entity reaches ``remove`` are removed, those reaching
+``generalise`` are replaced by their class, wherever they stand: beside the entity, further on, or
+in documents without it. A pair needs ``support`` different pieces of evidence, as copies of one passage
+are one and a word seen once proves nothing: documents with both whose words around t differ, or
+different contexts of the entity with t among the closest words.
 """
 
 from __future__ import annotations
@@ -28,11 +30,13 @@ KINDS: list[tuple[str, str]] = [
     ("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
 ]
-TERM = r"\p{L}{3,}"
+TERM = r"[\p{L}\p{M}\p{N}]++"
+APART = (r"(?<![\p{L}\p{M}\p{N}])(?:", r")(?![\p{L}\p{M}\p{N}])")  # around words to be found whole
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 NEAR_CHARS = 100
 BLOCK = 256
 NEAR_WORDS = 5
+PASSAGE_WORDS = 16
 REMOVE, GENERALISE, SUPPORT = 0.9, 0.8, 2
 
 _DIGITS = "regexp_replace(x.value, '[^0-9]', '')"
@@ -86,8 +90,22 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return df.select("doc_id", "text_hash", F.expr(f"array_sort(concat({', '.join(valid)}), (a, b) -> {order})").alias("spans"))
 
 
+def _words(text: str) -> str:
+    """SQL for the lower-case words of a text, in order."""
+    return f"transform(regexp_extract_all({text}, '{TERM}', 0), w -> lower(w))".replace("\\", "\\\\")
+
+
+def _replaced(text: str, spans: str, label: str) -> str:
+    """SQL for a text with its ``spans``, sorted by start, replaced by ``label`` of the span s; overlapping ones become one."""
+    # positions count code points from 0, substring() from 1
+    return (f"aggregate({spans}, struct('' as done, 0L as at), (acc, s) -> case when s.start >= acc.at then "
+            f"struct(concat(acc.done, substring({text}, cast(acc.at + 1 as int), cast(s.start - acc.at as int)), {label}) as done, "
+            f"s.stop as at) else struct(acc.done as done, greatest(acc.at, s.stop) as at) end, "
+            f"acc -> concat(acc.done, substring({text}, cast(acc.at + 1 as int))))")
+
+
 def _contexts(found: DataFrame) -> DataFrame:
-    """(row, entity, context, term, start, stop, capital): words near each span.
+    """(row, entity, context, term): words near each span.
 
     Near means among the closest NEAR_WORDS whole words within NEAR_CHARS characters on either side,
     up to the next span of the same kind.
@@ -105,24 +123,50 @@ def _contexts(found: DataFrame) -> DataFrame:
         f"concat(slice(reverse(filter({before}, x -> x.start > origin or length(before) < {NEAR_CHARS})), 1, {NEAR_WORDS}), "
         f"slice(filter({after}, x -> x.stop < stop + {NEAR_CHARS}), 1, {NEAR_WORDS}))"))
     near = spans.select("row", "entity", "context", F.explode("terms").alias("t"))
-    return near.select("row", "entity", "context", F.lower("t.value").alias("term"), "t.start", "t.stop",
-                       F.col("t.value").rlike(r"^\p{Lu}").alias("capital"))
+    return near.select("row", "entity", "context", F.lower("t.value").alias("term"))
 
 
-def disclosures(docs: DataFrame, found: DataFrame, near: DataFrame, generalise: float = GENERALISE,
-                support: int = SUPPORT) -> DataFrame:
+def _outside(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """(row, term, passage): the different words outside base spans of every document that has such spans.
+
+    ``passage`` stands for the PASSAGE_WORDS words on either side, the least where a word repeats.
+    """
+    # equal texts of one doc_id have equal spans, so each row of ``found`` needs but one of them
+    one = texts.join(found.where(F.size("spans") > 0).select("id", "text_hash").distinct(), ["id", "text_hash"], "left_semi")
+    held = found.where(F.size("spans") > 0).select("row", "id", "text_hash", F.expr(
+        "transform(spans, s -> struct(s.start as start, s.stop as stop))").alias("spans"))
+    words = held.join(one.dropDuplicates(["id", "text_hash"]), ["id", "text_hash"]).select(
+        "row", F.expr(_words(_replaced("text", "spans", "' '"))).alias("words"))
+    around = (f"transform(words, (w, i) -> struct(w as term, xxhash64(slice(words, greatest(i - {PASSAGE_WORDS}, 0) + 1, "
+              f"least(i, {PASSAGE_WORDS}) + 1 + {PASSAGE_WORDS})) as passage))")
+    return words.select("row", F.explode(F.expr(around)).alias("w")).groupBy("row", "w.term").agg(F.min("w.passage").alias("passage"))
+
+
+def disclosures(texts: DataFrame, found: DataFrame, generalise: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
     """(entity, term, ratio): pairs at or over the lower threshold. Counts are over all documents."""
-    pairs = near.groupBy("entity", "term").agg(F.countDistinct("row").alias("both"),
-                                               F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= support)
-    pairs = table_of(pairs, "pairs")
-    entities = (found.where(F.size("spans") > 0).select("row", F.inline("spans"))
-                .select("row", F.concat("kind", F.lit(":"), F.lower("value")).alias("entity")).distinct()
-                .groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity")))
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    # an inner join stays above the counting; a semi join would be pushed below it, onto every word of every document
-    terms = (docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
-             .join(pairs.select("term").distinct(), "term"))
+    outside = table_of(_outside(texts, found), "outside")
+    held = (found.where(F.size("spans") > 0).select("row", F.inline("spans"))
+            .select("row", F.concat("kind", F.lit(":"), F.lower("value")).alias("entity")).distinct())
+    entities = table_of(held.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity")), "entities")
     total = found.agg(F.count(F.lit(1)).alias("n"))
+    # an inner join stays above the counting; a semi join would be pushed below it, onto every word of every document
+    terms = table_of(texts.select(F.explode(F.array_distinct(F.expr(_words("text")))).alias("term"))
+                     .groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+                     .join(outside.select("term").distinct(), "term"), "terms")
+    near = (_contexts(found).join(outside.select("row", "term"), ["row", "term"])
+            .groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= support))
+    # both are in at most df(e) documents, so a word over this bound can't reach the threshold with e
+    most = F.pow("n", F.lit(1.0 - generalise)) * F.pow("with_entity", F.lit(float(generalise))) * 1.000001
+    repeated = entities.where(F.col("with_entity") >= support).crossJoin(total).select("entity", most.alias("most"))
+    widest = repeated.agg(F.max("most").alias("widest"))
+    rare = (outside.join(terms.where(F.col("with_term") >= support).crossJoin(widest).where(F.col("with_term") <= F.col("widest")), "term")
+            .select("row", "term", "passage", "with_term"))
+    together = (rare.join(held.join(repeated, "entity"), "row").where(F.col("with_term") <= F.col("most"))
+                .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.countDistinct("passage").alias("passages")))
+    # a pair that is not among these is in one document, or its word is over the bound
+    pairs = (together.join(near, ["entity", "term"], "full")
+             .where((F.col("passages") >= support) | F.col("contexts").isNotNull())
+             .select("entity", "term", F.coalesce("both", F.lit(1)).alias("both")))
     ratio = F.try_divide(F.log2(F.col("n") * F.col("both") / (F.col("with_entity") * F.col("with_term"))),
                          F.log2(F.col("n") / F.col("with_entity")))
     return (pairs.join(entities, "entity").join(terms, "term").crossJoin(total)
@@ -132,19 +176,28 @@ def disclosures(docs: DataFrame, found: DataFrame, near: DataFrame, generalise:
 def find(docs: DataFrame, remove: float = REMOVE, generalise: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
     """(doc_id, text_hash, base, terms): the spans of every document.
 
-    ``base`` is the array of base spans, ``terms`` that of disclosing words as (start, stop, label),
-    each within NEAR_WORDS of the entity it discloses, in that document, and outside base spans;
-    documents without base spans have no terms. A null text is empty, a null doc_id stays null, repeated rows each keep
+    ``base`` is the array of base spans, ``terms`` that of disclosing words as (start, stop, label):
+    every occurrence outside base spans, in any document, of a word that discloses some entity.
+    A null text is empty, a null doc_id stays null, repeated rows each keep
     their row, an empty table gives no rows. Other columns of ``docs`` are ignored.
     """
-    found = table_of(base_spans(docs).withColumn("row", F.monotonically_increasing_id()), "spans")
-    near = table_of(_contexts(found), "contexts")
-    told = disclosures(docs, found, near, generalise, support)
-    label = F.when(F.col("ratio") >= remove, "[REMOVED]").when(F.col("capital"), "[NAME]").otherwise("[WORD]")
-    spans = (near.join(told, ["entity", "term"]).groupBy("row", "start", "stop").agg(F.max("ratio").alias("ratio"), F.first("capital").alias("capital"))
-             .groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "stop", label.alias("label")))).alias("terms")))
+    ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id")
+    texts = docs.select(ident, F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
+    found = table_of(base_spans(docs).withColumn("row", F.monotonically_increasing_id()), "spans").withColumn("id", ident)
+    verdicts = table_of(disclosures(texts, found, generalise, support).groupBy("term").agg(F.max("ratio").alias("ratio")), "verdicts")
+    key = ["id", "text_hash"]
+    # each document's disclosing words, as it writes them; they are letters, marks and digits, and so patterns of themselves
+    forms = texts.select(*key, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))).alias("word"))
+    label = F.when(F.col("ratio") >= remove, "[REMOVED]").when(F.col("word").rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
+    hits = table_of(forms.withColumn("term", F.lower("word")).join(verdicts, "term").select(*key, "word", label.alias("label")).distinct()
+                    .groupBy(*key).agg(F.collect_list("word").alias("told"), F.map_from_entries(F.collect_list(F.struct("word", "label")))
+                                       .alias("labels")), "hits")
+    words = texts.join(hits, key).withColumn("pattern", F.concat(F.lit(APART[0]), F.array_join("told", "|"), F.lit(APART[1])))
+    words = words.withColumn("words", F.expr("regexp_extract_all(text, pattern, 0)")).withColumn("rest", F.expr("split(text, pattern, -1)"))
+    spans = words.select(*key, F.expr(f"transform({_spans(0, 'term', 'words', 'rest')}, x -> struct(x.start as start, x.stop as stop, "
+                                      "labels[x.value] as label))").alias("terms")).dropDuplicates(key)
     apart = F.expr("filter(terms, t -> not exists(spans, s -> s.start < t.stop and t.start < s.stop))")
-    return found.join(spans, "row", "left").select("doc_id", "text_hash", F.col("spans").alias("base"), F.coalesce(
+    return found.join(spans, key, "left").select("doc_id", "text_hash", F.col("spans").alias("base"), F.coalesce(
         apart, F.expr("cast(array() as array<struct<start:bigint,stop:bigint,label:string>>)")).alias("terms"))
 
 
@@ -172,11 +225,7 @@ def sanitised(docs: DataFrame, **thresholds) -> DataFrame:
     spans = spans.dropDuplicates(["id", "text_hash"])
     keyed = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
                         F.xxhash64("text").alias("text_hash"))
-    # positions count code points from 0, substring() from 1
-    rewritten = ("aggregate(spans, struct('' as done, 0L as at), (acc, s) -> case when s.start >= acc.at then "
-                 "struct(concat(acc.done, substring(doc.text, cast(acc.at + 1 as int), cast(s.start - acc.at as int)), s.label) as done, "
-                 "s.stop as at) else struct(acc.done as done, greatest(acc.at, s.stop) as at) end, "
-                 "acc -> concat(acc.done, substring(doc.text, cast(acc.at + 1 as int))))")
+    rewritten = _replaced("doc.text", "spans", "s.label")
     changed = F.col("doc").withField("text", F.expr(rewritten))
     if "n_chars" in docs.columns:
         changed = changed.withField("n_chars", F.length(F.expr(rewritten)).cast(docs.schema["n_chars"].dataType))

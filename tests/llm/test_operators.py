@@ -5,6 +5,7 @@ import hashlib
 import io
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -460,6 +461,23 @@ def test_terms_that_disclose_an_entity(spark):
     assert clean[0] == "we met [REMOVED] the agent at [EMAIL] yesterday" and clean[2] == texts[2]
 
 
+def test_disclosing_terms_are_found_wherever_they_stand(spark):
+    """Two-letter `Qx` is far from the address it goes with, stands twice, and once in a document without it."""
+    far = [" ".join(f"{'abcdefgh'[i]}{'word'}{k % 7}" for k in range(60)) for i in range(3)]
+    texts = [f"{far[0]} Qx went. {far[1]} mail z@corp.example or Zorblatt. {far[0]}", f"{far[1]} saw qx. {far[2]} to z@corp.example, {far[1]} QX",
+             f"{far[2]} write to z@corp.example and Zorblatt. {far[0]} then Zorblatt {far[1]} on"]
+    texts += [f"only Qx {far[0]}"] + [f"{far[i % 3]} number {i} to c{i}@mail.example" for i in range(60)]
+    texts += [f"{far[0]} Unseen {far[1]} k@mail.example" for _ in range(5)]
+    texts += [f"{far[2]} Solo {far[0]} s@mail.example"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("term")] for r in sanitise.report(sanitise.find(df)).collect()}
+    want = {i: [f"term:{m.start()}:{m.end()}" for m in re.finditer(r"(?i)\b(qx|zorblatt)\b", t)] for i, t in enumerate(texts)}
+    assert found == want and [len(want[i]) for i in range(5)] == [2, 2, 2, 1, 0]
+    clean = {r.doc_id: r.text for r in sanitise.sanitised(df).collect()}
+    assert clean[2].count("[REMOVED]") == 2 and clean[4] == f"{far[0]} number 0 to [EMAIL]"
+    assert "Unseen" in clean[64] and "Solo" in clean[69]
+
+
 def test_sanitise_edges(edge, none):
     rows = sanitise.report(sanitise.find(edge)).collect()
     assert len(rows) == EDGE_ROWS and {r.spans for r in rows} == {""}
