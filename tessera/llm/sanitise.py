@@ -80,14 +80,18 @@ def _located(df: DataFrame, text: str, pattern: str, found: str, gaps: str) -> D
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, spans): one row per document, valid spans of all kinds by start, then kind."""
+    """(doc_id, text_hash, spans, held): one row per document, valid spans of all kinds by start, then kind.
+
+    ``held`` is the text where there are spans, so that it needn't be looked up again.
+    """
     df = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"),
                      F.coalesce("text", F.lit("")).alias("text"))
     for i, (_, pattern) in enumerate(KINDS):
         df = _located(df, "text", pattern, f"found{i}", f"gaps{i}")
     valid = [f"filter({_spans(i, kind, f'found{i}', f'gaps{i}')}, x -> {_VALID[kind]})" for i, (kind, _) in enumerate(KINDS)]
     order = "case when a.start < b.start then -1 when a.start > b.start then 1 else a.place - b.place end"
-    return df.select("doc_id", "text_hash", F.expr(f"array_sort(concat({', '.join(valid)}), (a, b) -> {order})").alias("spans"))
+    return (df.select("doc_id", "text_hash", F.expr(f"array_sort(concat({', '.join(valid)}), (a, b) -> {order})").alias("spans"), "text")
+            .select("doc_id", "text_hash", "spans", F.when(F.size("spans") > 0, F.col("text")).alias("held")))
 
 
 def _words(text: str) -> str:
@@ -126,17 +130,12 @@ def _contexts(found: DataFrame) -> DataFrame:
     return near.select("row", "entity", "context", F.lower("t.value").alias("term"))
 
 
-def _outside(texts: DataFrame, found: DataFrame) -> DataFrame:
+def _outside(found: DataFrame) -> DataFrame:
     """(row, term, passage): the different words outside base spans of every document that has such spans.
 
     ``passage`` stands for the PASSAGE_WORDS words on either side, the least where a word repeats.
     """
-    # equal texts of one doc_id have equal spans, so each row of ``found`` needs but one of them
-    one = texts.join(found.where(F.size("spans") > 0).select("id", "text_hash").distinct(), ["id", "text_hash"], "left_semi")
-    held = found.where(F.size("spans") > 0).select("row", "id", "text_hash", F.expr(
-        "transform(spans, s -> struct(s.start as start, s.stop as stop))").alias("spans"))
-    words = held.join(one.dropDuplicates(["id", "text_hash"]), ["id", "text_hash"]).select(
-        "row", F.expr(_words(_replaced("text", "spans", "' '"))).alias("words"))
+    words = found.where(F.size("spans") > 0).select("row", F.expr(_words(_replaced("held", "spans", "' '"))).alias("words"))
     around = (f"transform(words, (w, i) -> struct(w as term, xxhash64(slice(words, greatest(i - {PASSAGE_WORDS}, 0) + 1, "
               f"least(i, {PASSAGE_WORDS}) + 1 + {PASSAGE_WORDS})) as passage))")
     return words.select("row", F.explode(F.expr(around)).alias("w")).groupBy("row", "w.term").agg(F.min("w.passage").alias("passage"))
@@ -144,7 +143,7 @@ def _outside(texts: DataFrame, found: DataFrame) -> DataFrame:
 
 def disclosures(texts: DataFrame, found: DataFrame, generalise: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
     """(entity, term, ratio): pairs at or over the lower threshold. Counts are over all documents."""
-    outside = table_of(_outside(texts, found), "outside")
+    outside = table_of(_outside(found), "outside")
     held = (found.where(F.size("spans") > 0).select("row", F.inline("spans"))
             .select("row", F.concat("kind", F.lit(":"), F.lower("value")).alias("entity")).distinct())
     entities = table_of(held.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity")), "entities")
