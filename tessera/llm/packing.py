@@ -128,15 +128,16 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     packed = table_of(texts.mapInArrow(_tokenise_and_pack(tokenizer, capacity, end_id), SCHEMA), "pieces")
     nearly = int(capacity * NEARLY)
     done = []
-    bins = None
+    bins, level = None, 0
     while True:
         done.append(packed.where(F.col("fill") >= nearly))
         rest = packed.where(F.col("fill") < nearly)
         before, bins = bins, rest.where("offset = 0").count()
         fewer = max(-(-nodes // FAN_IN), -(-bins // NODE_ITEMS))
-        if bins < 2 or nodes == 1 or (before is not None and fewer >= nodes and bins >= before):
+        # a node packs more often than once, so even a lone one is packed again after the first level
+        if bins < 2 or (level and nodes == 1) or (before is not None and fewer >= nodes and bins >= before):
             break
-        nodes = fewer
+        nodes, level = fewer, level + 1
         packed = table_of(rest.repartition(nodes, "sequence_id").mapInArrow(_repack(capacity), SCHEMA), "repacked")
     for d in done:
         rest = rest.unionByName(d)

@@ -5,8 +5,6 @@ from __future__ import annotations
 import json
 import re
 import sys
-import threading
-import time
 from itertools import islice
 
 import numpy as np
@@ -18,52 +16,61 @@ _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # white space that isn't a lone blank or newline, or the mark that chunks are cut by
 _BLANK = "\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 _ODD = f"[{_BLANK}][{_BLANK}]|[^\\n \\PZ]|[\\t\\x0b-\\r\\x{{85}}\\x{{0}}]"
-CACHE_ENTRIES = 1_200_000  # about 200 bytes each
-CACHE_CHARS = 64
-ENCODE_BYTES = 8 << 20  # of text encoded at once: equal chunks are looked up once
-IDLE_SECONDS = 3  # after which a worker that encodes nothing gives its memory back
+CACHE_BYTES = 64 << 20  # what a Python worker may hold of chunks it has encoded
+ENTRY_BYTES = 190  # of one of them: two objects and their place in the dictionary
+CACHE_CHARS = 64  # longer chunks are not remembered
+ENCODE_BYTES = 4 << 20  # of text encoded at once: equal chunks are looked up once
 
 
 class Encoder:
-    """Encodes texts with a tokenizer file of the `tokenizers` library, without special tokens.
+    """Encodes texts with a tokenizer file of the `tokenizers` library, adding no special tokens.
 
     The byte-level pattern never joins characters across the start of a chunk as ``_chunk`` cuts
     them: a run of non-space characters with at most one space before it, or white space. So
     where the file has that pattern, a text's ids are its chunks' ids one after the other, and each
-    different chunk is encoded once per worker (up to a bound, beyond which the newest are
-    forgotten). Files with another pattern are encoded text by text.
+    different chunk is encoded once per worker (up to a bound in bytes, beyond which the newest are
+    forgotten). Files with another pattern are encoded text by text, and so are texts that hold the
+    string of one of the file's added tokens, which the library cuts out before the pattern applies;
+    ``plain`` makes those strings ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         from tokenizers import Tokenizer
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = plain
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # a chunk holds no added token but in plain texts
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.by_chunk = (pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
                          and not spec.get("normalizer"))
+        self.added = [t["content"] for t in spec.get("added_tokens", []) if not (plain and t["special"])]
         self._chunk = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
         newline = self._ids("\n")
         self.newline = int(newline[0]) if len(newline) == 1 else None
         self.known: dict[str, bytes] = {}
-        self._lock, self._used = threading.Lock(), time.monotonic()
-        threading.Thread(target=self._forget, daemon=True).start()
-
-    def _forget(self) -> None:
-        """Workers outlive their tasks: those of later stages must not hold what this one learned."""
-        while True:
-            time.sleep(1)
-            with self._lock:
-                if len(self.known) > 1 and time.monotonic() - self._used > IDLE_SECONDS:
-                    self.known = {}
+        self.held = 0
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def _one_by_one(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes()
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _remember(self, chunks: list[str], ids: list[bytes]) -> None:
+        """Keep short chunks while there is room for them; what came first is the most frequent."""
+        short = [(c, v) for c, v in zip(chunks, ids) if len(c) <= CACHE_CHARS]
+        size = sum(ENTRY_BYTES + len(c) + len(v) for c, v in short)
+        if self.held + size > CACHE_BYTES:
+            self.known = dict(islice(self.known.items(), len(self.known) // 2))
+            self.held = sum(ENTRY_BYTES + len(c) + len(v) for c, v in self.known.items())
+        room = CACHE_BYTES - self.held
+        if size > room:
+            short = short[:len(short) * room // size]
+            size = room
+        self.known.update(short)
+        self.held += size
 
     def _learn(self, chunks: list[str], step: int = 4000) -> list[bytes]:
         """Encode different chunks joined by newlines, which the pattern keeps as tokens of their own."""
@@ -101,11 +108,7 @@ class Encoder:
             ids = self._learn(new)
             for i, v in zip(gap, ids):
                 got[i] = v
-            if len(self.known) + len(new) > CACHE_ENTRIES:  # what came first is the most frequent
-                self.known = dict(islice(self.known.items(), CACHE_ENTRIES // 2))
-            self.known.update(zip(new, ids))
-            for c in [c for c in new if len(c) > CACHE_CHARS]:
-                del self.known[c]
+            self._remember(new, ids)
         return got
 
     def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
@@ -114,11 +117,16 @@ class Encoder:
         column = pc.fill_null(column, "")
         if not self.by_chunk:
             return self._one_by_one(column.to_pylist())
-        with self._lock:
-            try:
-                return self._by_chunk(column)
-            finally:
-                self._used = time.monotonic()
+        cut = np.zeros(len(column), dtype=bool)
+        for token in self.added:
+            cut |= pc.match_substring(column, token).to_numpy(zero_copy_only=False)
+        if not cut.any():
+            return self._by_chunk(column)
+        out = self._by_chunk(pc.if_else(pa.array(cut), "", column))
+        at = np.flatnonzero(cut)
+        for i, ids in zip(at.tolist(), self._one_by_one(column.take(pa.array(at)).to_pylist())):
+            out[i] = ids
+        return out
 
     def _by_chunk(self, column: pa.Array) -> list[bytes]:
         """Texts whose only white space is single blanks and newlines are cut by Arrow, the others by the
@@ -145,9 +153,9 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, plain: bool = False) -> Encoder:
     """This Python worker's encoder for a tokenizer file."""
     held = sys.__dict__.setdefault("_tessera_encoders", {})  # outlives the task, as the worker does
-    if path not in held:
-        held[path] = Encoder(path)
-    return held[path]
+    if (path, plain) not in held:
+        held[path, plain] = Encoder(path, plain)
+    return held[path, plain]

@@ -10,6 +10,7 @@ EDGE = [(1, "a b c d e f g h", "en", "s1", 15), (1, "a b c d e f g h", "en", "s1
         (3, "", "en", "s1", 0), (4, " \n\t\x0b\x0c\r ", "en", "s2", 7), (None, "null id words here", "en", "s2", 18),
         (None, None, None, None, None), (5, "x" * 300_000, "en", "s2", 300_000),
         (6, " ".join(f"w{i}" for i in range(40_000)), "en", "s1", None), (1, "another text with that id", "fr", None, 25),
+        (8, "one<|endoftext|>two <|endoftext|>", "en", "s3", 33),
         (7, "Été \U0001d4b3 café\nline\nline\n\nline", "fr", "s3", 20)]
 
 

@@ -19,15 +19,13 @@ from llm import llm_brute as brute
 from tessera.llm import components as cc
 from tessera.llm import (lm, mixing, neighbours, packing, quality, sanitise, sharding, simhash, tokenfile, tokens, warc)
 
-EDGE_ROWS = 11
+EDGE_ROWS = 12
 
 
 @functools.cache
 def library(tokenizer):
     from tokenizers import Tokenizer
-    t = Tokenizer.from_file(tokenizer)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer)  # untouched: ids are compared with the library's own
 
 
 def ids_of(tokenizer, text, end):
@@ -220,7 +218,7 @@ def test_encoder_on_any_white_space(texts):
     import public_tokenizers
     path = public_tokenizers.path("byte_bpe_50k.json")
     got = [np.frombuffer(b, dtype="<u4").tolist() for b in tokens.encoder(path).encode(texts)]
-    assert got == [x.ids for x in tokens.encoder(path).tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert got == [x.ids for x in library(path).encode_batch(texts, add_special_tokens=False)]
 
 
 def test_encoder_with_another_pattern():
@@ -228,7 +226,27 @@ def test_encoder_with_another_pattern():
     e = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
     assert not e.by_chunk
     assert [np.frombuffer(b, dtype="<u4").tolist() for b in e.encode(TEXTS)] == [
-        x.ids for x in e.tokenizer.encode_batch(TEXTS, add_special_tokens=False)]
+        x.ids for x in library(public_tokenizers.path("word_bpe_49k.json")).encode_batch(TEXTS, add_special_tokens=False)]
+
+
+def test_encoder_with_added_tokens_as_plain_text(tokenizer):
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(tokenizer)
+    t.encode_special_tokens = True
+    got = [np.frombuffer(b, dtype="<u4").tolist() for b in tokens.Encoder(tokenizer, plain=True).encode(TEXTS)]
+    assert got == [t.encode(x, add_special_tokens=False).ids for x in TEXTS]
+    assert 50256 not in sum(got, [])
+
+
+def test_encoder_memory_is_bounded_in_bytes(tokenizer, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 20_000)
+    e = tokens.Encoder(tokenizer)
+    rng = random.Random(2)
+    for _ in range(5):
+        texts = [" ".join("".join(rng.choices("abcdefg", k=6)) for _ in range(60)) for _ in range(10)]
+        assert [np.frombuffer(b, dtype="<u4").tolist() for b in e.encode(texts)] == [
+            ids_of(tokenizer, t, 0)[:-1] for t in texts]
+        assert 0 < sum(tokens.ENTRY_BYTES + len(c) + len(v) for c, v in e.known.items()) <= 20_400
 
 
 def check_packing(rows, texts, tokenizer, capacity):
@@ -256,6 +274,16 @@ def test_packing(docs, doc_rows, tokenizer):
     assert used <= least * 1.02 + 1
 
 
+def test_one_partition_of_several_flushes_is_merged(spark, tokenizer, monkeypatch):
+    """Bins that were closed by different flushes of one task meet: half-full ones, then small ones."""
+    monkeypatch.setattr(packing, "NODE_ITEMS", 400)
+    texts = ["a " * 1100] * 400 + ["b " * 700] * 400
+    rows = list(enumerate(texts))
+    one = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), tokenizer).collect()
+    assert len({r.sequence_id for r in one}) == 400
+    check_packing(one, rows, tokenizer, 2048)
+
+
 def test_packing_edges(edge, none, tokenizer):
     rows = packing.pack(edge, tokenizer).collect()
     check_packing(rows, [(r.doc_id, r.text) for r in edge.collect()], tokenizer, 2048)
