@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import lm, mixing, neighbours, packing, quality, sanitise, sharding, simhash, tokenfile, warc
+from tessera.llm import (alignment, lexical, lm, mixing, neighbours, oneperm, packing, quality, sanitise, sharding, simhash,
+                         tokenfile, warc)
 from tessera.llm.common import documents
 
 TOKENIZER = "byte_bpe_50k.json"
+SECOND_TOKENIZER = "piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -171,3 +173,40 @@ from f
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a record of an archive, read back from the archives."""
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@query("op11_document_fingerprints")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likeness: 5-word shingles, 512 bins of 4 bits."""
+    return oneperm.compared(documents(spark, sf_dir), oneperm.OnePermutation(bins=512, bits=4, shingle=5))
+
+
+OP12_SQL = r"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents),
+g as (select count(*) filter (len(terms) > 0) as docs, sum(len(terms))::bigint as words from d),
+i as (select item_id, unnest(list_distinct(regexp_extract_all(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) as term from benchmark),
+e as (select doc_id, len(terms) as n, unnest(terms) as term from d),
+p as (select doc_id, n, term, count(*) as tf from e where term in (select term from i) group by doc_id, n, term),
+w as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)))::bigint as w
+      from (select term, count(*) as df from p group by term), g),
+x as (select p.doc_id, p.term, w.w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words))) as impact
+      from p join w on w.term = p.term, g),
+s as (select item_id, doc_id, sum(impact)::bigint as score from i join x on x.term = i.term group by item_id, doc_id),
+r as (select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from s where score > 0)
+select item_id, rank, doc_id, score from r where rank <= 50
+"""
+
+
+@query("op12_ranked_search", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for every benchmark item."""
+    return lexical.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=50)
+
+
+@query("op13_tokenizer_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens by two tokenizers, in groups that end together, and how common their links are."""
+    return alignment.aligned(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), public_tokenizers.path(SECOND_TOKENIZER))
