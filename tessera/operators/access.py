@@ -73,6 +73,43 @@ def governed(df: DataFrame, grants: DataFrame, shape: str, app: str, caller,
                              | (F.col(owner_col) == _caller(caller))))
 
 
+def resolve_role(grants: DataFrame, caller, app: str) -> str | None:
+    """The caller's role in ``app`` as a value, null without a grant: the first of two planning steps.
+
+    Reads the one grant row now. A key held twice is an error, as it is for the scalar subquery.
+    """
+    if caller is None:
+        return None
+    found = grant_of(grants, caller, app).select("role").take(2)
+    if len(found) > 1:
+        raise ValueError(f"grants hold ({caller}, {app}) more than once")
+    return found[0]["role"] if found else None
+
+
+# F4, F5 planned in two steps
+def governed_now(df: DataFrame, grants: DataFrame, shape: str, app: str, caller, owner_col: str = "user_id",
+                 app_col: str | None = None) -> DataFrame:
+    """The rows of ``governed``, with the decision taken first and the filter built from literals.
+
+    A condition over a subquery stays above the scan. Here the caller's grant is read while the query is
+    planned, so what is left for a member is ``owner = <caller>``: it is pushed into the scan and
+    skips files and row groups by their statistics and Bloom filters (see
+    ``tessera.sources.governed_store``). Someone without access gets an empty relation and nothing is scanned. With
+    ``app_col``, ``df`` holds several apps' rows and those of ``app`` are read, by partition where it is one.
+
+    The decision holds for the returned DataFrame: build one per query and a revocation shows in the next.
+    """
+    if shape not in SHAPES:
+        raise ValueError(f"unknown policy shape {shape!r}; use one of {SHAPES}")
+    role = resolve_role(grants, caller, app)
+    if role is None:
+        return df.filter(F.lit(False))
+    rows = df if app_col is None else df.filter(F.col(app_col) == F.lit(app))
+    if shape == "shared" or role == ADMIN:
+        return rows
+    return rows.filter(F.col(owner_col) == F.lit(caller))
+
+
 # F4 (write side), F6
 def writable(df: DataFrame, grants: DataFrame, shape: str, app: str, caller,
              owner_col: str = "user_id") -> DataFrame:

@@ -402,6 +402,12 @@ def _may_write(grants: DataFrame, shape: str, app: str, caller, owner: Column) -
     return gate if shape == "shared" else gate & owner.eqNullSafe(F.lit(caller))
 
 
+def may_change(grants: DataFrame, shape: str, app: str, caller, owner: Column, policies: DataFrame, table: str,
+               verb: str) -> Column:
+    """Whether ``caller`` may write a row of ``owner`` and ``table`` has a policy for ``verb``."""
+    return _may_write(grants, shape, app, caller, owner) & _verb_exists(policies, table, verb)
+
+
 WRITE_REFUSED = "new row violates row-level security policy"
 
 
@@ -423,7 +429,7 @@ def governed_insert_violations(rows: DataFrame, grants: DataFrame, shape: str, a
 def _updated(df: DataFrame, grants: DataFrame, shape: str, app: str, caller, where: Column, set_values: dict,
              policies: DataFrame, table: str, owner_col: str) -> tuple[DataFrame, Column]:
     """Rows as they would be after the update, with ``_hit`` on the changed ones, and the new-row check."""
-    ok = _may_write(grants, shape, app, caller, F.col(owner_col)) & _verb_exists(policies, table, "UPDATE")
+    ok = may_change(grants, shape, app, caller, F.col(owner_col), policies, table, "UPDATE")
     flagged = df.withColumn("_hit", F.coalesce(where & ok, F.lit(False)))
     new = flagged.select(*[F.when(F.col("_hit"), set_values[c]).otherwise(F.col(c)).cast(df.schema[c].dataType)
                            .alias(c) if c in set_values else F.col(c) for c in df.columns], "_hit")
@@ -453,7 +459,7 @@ def governed_delete(df: DataFrame, grants: DataFrame, shape: str, app: str, call
                     policies: DataFrame, table: str, owner_col: str = "user_id"):
     """DELETE ... WHERE under the policy; without a DELETE policy nothing goes.
     Returns (new_df, affected_count_df)."""
-    ok = _may_write(grants, shape, app, caller, F.col(owner_col)) & _verb_exists(policies, table, "DELETE")
+    ok = may_change(grants, shape, app, caller, F.col(owner_col), policies, table, "DELETE")
     flagged = df.withColumn("_hit", F.coalesce(where & ok, F.lit(False)))
     return (flagged.filter(~F.col("_hit")).drop("_hit"),
             flagged.agg(F.count(F.when(F.col("_hit"), 1)).alias("affected")))

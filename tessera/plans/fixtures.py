@@ -56,6 +56,22 @@ from {events} where event_type = 'view'""",
 select user_id, event_type as app, max(ts) as revoked_at
 from {events} where event_type in ('click', 'purchase') and user_id % 5 = 1
 group by user_id, event_type""",
+    # accounts invited by one another: a chain of references within one table, and one account that references itself
+    "fx_people": """
+select c_custkey as user_id,
+       case when c_custkey % 6 = 5 then null when c_custkey = 3 then 3
+            else cast(floor(c_custkey / 4) as bigint) end as invited_by, c_mktsegment as segment
+from {customer}""",
+    "fx_people_orders": """
+select o_orderkey as order_id, o_custkey as user_id, o_totalprice as price from {orders}""",
+    "fx_people_lines": """
+select l_orderkey as order_id, l_linenumber as line, l_quantity as quantity from {lineitem}""",
+    "fx_people_events": """
+select event_id, user_id, event_type, value from {events}""",
+    # open disputes hold orders back
+    "fx_people_disputes": """
+select o_orderkey as dispute_id, case when o_orderkey % 40 = 7 then null else o_orderkey end as order_id
+from {orders} where o_orderkey % 211 = 5 or o_orderkey % 40 = 7""",
     "fx_claims": """
 select cast(o_orderkey as string) as id, cast(o_custkey as string) as person,
        o_orderpriority as service, cast(o_orderdate as date) as service_date,

@@ -8,6 +8,8 @@ from tessera.functions import scalar as sx
 from tessera.operators import access as acc
 from tessera.plans.fixtures import Workspace, duckdb_ctes
 from tessera.plans.registry import register
+from tessera.sources import governed_store as store
+from tessera.sources import publish as pub
 
 APP = "view"          # the app whose tables are probed
 ADMIN_CALLER = 6      # app_admin of `view`
@@ -108,6 +110,32 @@ def f5_governed_personal_ungranted(spark, sf_dir):
     return acc.governed(_personal(ws), ws.fx_grants, "personal", APP, UNGRANTED_CALLER, "owner_id")
 
 
+def _pruned(spark, sf_dir, caller):
+    ws = Workspace(spark, sf_dir)
+    path = pub.scratch_path(spark, "governed")
+    store.write_governed(ws.fx_personal, path)
+    return store.read_governed(spark, path, ws.fx_grants, "personal", APP, caller, columns=["row_id", "app", "owner_id", "value"])
+
+
+@register("f5_pruned_member",
+          duckdb_ctes("fx_grants", "fx_personal") + _PERSONAL_SQL.format(caller=MEMBER_CALLER, app=APP))
+def f5_pruned_member(spark, sf_dir):
+    """The table stored by app and owner; the member's filter reaches the scan."""
+    return _pruned(spark, sf_dir, MEMBER_CALLER)
+
+
+@register("f5_pruned_admin",
+          duckdb_ctes("fx_grants", "fx_personal") + _PERSONAL_SQL.format(caller=ADMIN_CALLER, app=APP))
+def f5_pruned_admin(spark, sf_dir):
+    return _pruned(spark, sf_dir, ADMIN_CALLER)
+
+
+@register("f5_pruned_ungranted",
+          duckdb_ctes("fx_grants", "fx_personal") + _PERSONAL_SQL.format(caller=UNGRANTED_CALLER, app=APP))
+def f5_pruned_ungranted(spark, sf_dir):
+    return _pruned(spark, sf_dir, UNGRANTED_CALLER)
+
+
 @register("f6_writable_personal", duckdb_ctes("fx_grants", "fx_personal") + f"""
 select p.* from fx_personal p
 where p.app = '{APP}'

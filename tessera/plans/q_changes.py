@@ -6,9 +6,13 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalar as sx
 from tessera.operators import access as acc
+from tessera.operators import cascade as cas
 from tessera.operators import changes as ch
+from tessera.operators import filechanges as fc
 from tessera.plans.fixtures import Workspace, duckdb_ctes
 from tessera.plans.registry import register
+from tessera.sources import filetable as ft
+from tessera.sources import publish as pub
 
 NOW = "2024-01-15 00:00:00"
 CALLER = 0            # platform admin
@@ -280,6 +284,72 @@ def m8_blocking_targets(spark, sf_dir):
     return ch.blocking_targets(ws.fx_grants, "granted_by", t)
 
 
+# deletions along the whole foreign-key graph: people invited by one another, their orders, those orders' lines
+_PEOPLE_FKS = [cas.ForeignKey("people", "invited_by", "people", "c"), cas.ForeignKey("orders", "user_id", "people", "c"),
+               cas.ForeignKey("lines", "order_id", "orders", "c"), cas.ForeignKey("events", "user_id", "people", "n"),
+               cas.ForeignKey("disputes", "order_id", "orders", "r")]
+_CASCADE_SQL = duckdb_ctes("fx_people", "fx_people_orders", "fx_people_lines", "fx_people_events",
+                           "fx_people_disputes").replace("WITH ", "WITH RECURSIVE ", 1) + """
+, asked as (select user_id as root from fx_people where user_id % 9 in (3, 7)),
+  walk as (select root, root as user_id from asked
+           union select w.root, p.user_id from walk w join fx_people p on p.invited_by = w.user_id),
+  refused as (select distinct w.root from walk w join fx_people_orders o on o.user_id = w.user_id
+              join fx_people_disputes d on d.order_id = o.order_id),
+  gone as (select distinct user_id from walk where root not in (select root from refused)),
+  gone_orders as (select order_id from fx_people_orders where user_id in (select user_id from gone))"""
+
+
+def _cascade(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    tables = {"people": (ws.fx_people, "user_id"), "orders": (ws.fx_people_orders, "order_id"), "lines": (ws.fx_people_lines, None),
+              "events": (ws.fx_people_events, None), "disputes": (ws.fx_people_disputes, None)}
+    targets = ws.fx_people.filter("user_id % 9 in (3, 7)").select(F.col("user_id").alias("target_id"))
+    return cas.cascade_delete(tables, _PEOPLE_FKS, targets, "people")
+
+
+@register("m8_transitive_decisions", _CASCADE_SQL + """
+select root as target_id, root not in (select root from refused) as accepted from asked""")
+def m8_transitive_decisions(spark, sf_dir):
+    """Targets that a restricting key two levels below refuses, and the others."""
+    done = _cascade(spark, sf_dir)
+    return (done.accepted.select(F.col("key").alias("target_id"), F.lit(True).alias("accepted"))
+            .unionByName(done.refused.select(F.col("key").alias("target_id"), F.lit(False).alias("accepted"))))
+
+
+@register("m8_transitive_impact", _CASCADE_SQL + """
+select 'people' as tbl, 'invited_by' as "column", 'c' as action, 'deleted' as effect,
+       (select count(*) from fx_people where invited_by in (select user_id from gone) and invited_by <> user_id) as "rows"
+union all select 'orders', 'user_id', 'c', 'deleted', (select count(*) from gone_orders)
+union all select 'lines', 'order_id', 'c', 'deleted',
+       (select count(*) from fx_people_lines where order_id in (select order_id from gone_orders))
+union all select 'events', 'user_id', 'n', 'nulled', (select count(*) from fx_people_events where user_id in (select user_id from gone))
+union all select 'disputes', 'order_id', 'r', 'blocks', 0""")
+def m8_transitive_impact(spark, sf_dir):
+    """Rows each key deletes or clears, at any level, for the accepted targets."""
+    return _cascade(spark, sf_dir).impact
+
+
+@register("m8_transitive_people", _CASCADE_SQL + """
+select * from fx_people where user_id not in (select user_id from gone)""")
+def m8_transitive_people(spark, sf_dir):
+    return _cascade(spark, sf_dir).tables["people"]
+
+
+@register("m8_transitive_lines", _CASCADE_SQL + """
+select * from fx_people_lines where order_id not in (select order_id from gone_orders)""")
+def m8_transitive_lines(spark, sf_dir):
+    """Three levels below the deleted accounts."""
+    return _cascade(spark, sf_dir).tables["lines"]
+
+
+@register("m8_transitive_events", _CASCADE_SQL + """
+select event_id, case when user_id in (select user_id from gone) then null else user_id end as user_id, event_type, value
+from fx_people_events""")
+def m8_transitive_events(spark, sf_dir):
+    """Set null stops the cascade: the rows stay without their owner."""
+    return _cascade(spark, sf_dir).tables["events"]
+
+
 _SIGN_OUT_SQL = duckdb_ctes("fx_sessions", "fx_revocations", "fx_grants") + """
 , admin as (select exists (select 1 from fx_grants where user_id = {caller} and app = 'platform'
                            and role = 'app_admin') as ok),
@@ -460,6 +530,21 @@ def m12_update_no_policy(spark, sf_dir):
     return out
 
 
+@register("m12_update_files", duckdb_ctes("fx_personal", "fx_grants") + f"""
+select row_id, app, owner_id,
+       case when value > 10 and exists (select 1 from fx_grants where user_id = {MEMBER} and app = '{APP}')
+                 and owner_id is not distinct from {MEMBER} then value * 2 else value end as value
+from fx_personal where app = '{APP}'""")
+def m12_update_files(spark, sf_dir):
+    """The governed update on a table of files in order of row_id: only files with a changed row are rewritten."""
+    ws = Workspace(spark, sf_dir)
+    root = pub.scratch_path(spark, "files")
+    ft.create(ws.fx_personal.filter(F.col("app") == APP), root, "row_id", files=16)
+    fc.governed_update(spark, root, ws.fx_grants, "personal", APP, MEMBER, F.expr(_UPD_WHERE),
+                       {"value": F.col("value") * 2}, ws.fx_policies, "rel_1", "owner_id")
+    return ft.read(spark, root)
+
+
 _DEL_SQL = duckdb_ctes("fx_personal", "fx_grants", "fx_policies") + f"""
 select count(*) as affected from fx_personal
 where app = '{APP}' and value > 10
@@ -498,6 +583,19 @@ def m14_mark_instead_of_delete(spark, sf_dir):
     return ch.mark_instead_of_delete(c, c.filter(F.col("flag_status") == "suspected"), "id", "duplicate")
 
 
+@register("m14_mark_files", duckdb_ctes("fx_claims") + """
+select id, person, service, service_date, tax_year, amount_submitted, amount_paid, insurer,
+       case when flag_status = 'suspected' then 'duplicate' else status end as status,
+       flag_status, note, created_at
+from fx_claims""")
+def m14_mark_files(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    root = pub.scratch_path(spark, "files")
+    ft.create(ws.fx_claims, root, "id", files=16)
+    fc.mark(spark, root, ws.fx_claims.filter(F.col("flag_status") == "suspected"), "duplicate")
+    return ft.read(spark, root)
+
+
 @register("m15_backfill_owner", duckdb_ctes("fx_personal") + f"""
 select row_id, app, coalesce(owner_id, {CALLER}) as owner_id, value from fx_personal""")
 def m15_backfill_owner(spark, sf_dir):
@@ -526,6 +624,21 @@ def m16_upsert_verdicts(spark, sf_dir):
     return ch.upsert(ws.fx_matches, _new_verdicts(ws), ("posting_id", "user_id"), ["score"], what="verdict")
 
 
+@register("m16_upsert_files", duckdb_ctes("fx_matches") + """
+, nv as (select posting_id, user_id, (score + 7) % 101 as score from fx_matches where user_id = 1
+         union all select doc_id, 2, doc_id % 101 from documents where doc_id % 3 = 0)
+select coalesce(m.posting_id, n.posting_id) as posting_id, coalesce(m.user_id, n.user_id) as user_id,
+       case when n.posting_id is null then m.score else n.score end as score
+from fx_matches m full outer join nv n on m.posting_id = n.posting_id and m.user_id = n.user_id""")
+def m16_upsert_files(spark, sf_dir):
+    """The same upsert on a table of files in order of (user_id, posting_id)."""
+    ws = Workspace(spark, sf_dir)
+    root = pub.scratch_path(spark, "files")
+    ft.create(ws.fx_matches, root, ("user_id", "posting_id"), files=16)
+    fc.upsert(spark, root, _new_verdicts(ws), ["score"])
+    return ft.read(spark, root)
+
+
 @register("m17_dismiss", duckdb_ctes("fx_dismissed", "fx_matches") + """
 select distinct posting_id, user_id from (
   select posting_id, user_id from fx_dismissed

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalar as sx
 from tessera.operators import changes as ch
+from tessera.operators import hashtree as ht
 from tessera.operators import integrity as ig
 from tessera.plans.fixtures import BASE_TABLES, Workspace, duckdb_ctes
 from tessera.plans.registry import register
@@ -185,6 +186,17 @@ def a4_compare_checksums(spark, sf_dir):
     return ig.compare_checksums(ws.fx_claims, _copy(ws), CLAIM_COLS, "id", CLAIM_TS)
 
 
+@register("a4_differing_keys", duckdb_ctes("fx_claims") + _COPY_SQL + f"""
+, a as (select id, {_line_sql()} as line from fx_claims), b as (select id, {_line_sql()} as line from copy)
+select coalesce(a.id, b.id) as key, case when b.id is null then 'lost' when a.id is null then 'added' else 'changed' end as state,
+       (a.id is not null)::bigint as rows_a, (b.id is not null)::bigint as rows_b
+from a full outer join b on a.id = b.id where a.line is distinct from b.line""")
+def a4_differing_keys(spark, sf_dir):
+    """The keys behind differing digests, through two hash trees."""
+    ws = Workspace(spark, sf_dir)
+    return ht.compare(ws.fx_claims, _copy(ws), CLAIM_COLS, "id", CLAIM_TS, digits=3)
+
+
 @register("a5_duplicate_groups", duckdb_ctes("fx_claim_lines") + """
 select person, amount_submitted, service_date, count(*) as n from fx_claim_lines
 group by person, amount_submitted, service_date having count(*) > 1""")

@@ -111,16 +111,21 @@ def stream_rate_cap(requests: DataFrame, key: str = "inviter", ts_col: str = "at
 # T3
 def stream_stale_token(access: DataFrame, revocations: DataFrame, ttl_seconds: int = hi.HOUR_SECONDS,
                        ts_col: str = "ts", revoked_col: str = "revoked_at") -> DataFrame:
-    """J13 continuously: a stream-stream interval join, watermarks on both
-    sides bound the state to the token lifetime. Event times are derived
-    from the NTZ wall clocks without the session zone; output keeps them."""
-    a = access.withColumn("_ats", hi.event_time(access, ts_col)).withWatermark("_ats", f"{ttl_seconds} seconds")
+    """J13 continuously: a stream-stream interval join, watermarks on both sides bound the state to
+    the token lifetime. As in the batch form, the join key is (user, time bucket of the token lifetime's width),
+    with each revocation listed in both buckets its interval touches: a busy user's waiting rows are spread over
+    as many state partitions as they have buckets, and an access meets a revocation in its own bucket only. Event
+    times are derived from the NTZ wall clocks without the session zone; output keeps them."""
+    width = ttl_seconds * 1_000_000
+    a = (access.withColumn("_ats", hi.event_time(access, ts_col))
+         .withColumn("_b", F.floor(hi.epoch_micros(access, ts_col) / width).cast("long")).withWatermark("_ats", f"{ttl_seconds} seconds"))
+    first = F.floor(hi.epoch_micros(revocations, revoked_col) / width).cast("long")
     r = (revocations.select(F.col("user_id").alias("_ru"), F.col("app").alias("revoked_app"), revoked_col,
-                            hi.event_time(revocations, revoked_col).alias("_rts"))
+                            hi.event_time(revocations, revoked_col).alias("_rts"), F.explode(F.sequence(first, first + 1)).alias("_rb"))
          .withWatermark("_rts", f"{ttl_seconds} seconds"))
-    cond = ((a["user_id"] == r["_ru"]) & (a["_ats"] > r["_rts"])
+    cond = ((a["user_id"] == r["_ru"]) & (a["_b"] == r["_rb"]) & (a["_ats"] > r["_rts"])
             & (a["_ats"] <= r["_rts"] + F.expr(f"INTERVAL {ttl_seconds} SECONDS")))
-    return a.join(r, cond, "inner").drop("_ats", "_rts", "_ru")
+    return a.join(r, cond, "inner").drop("_ats", "_rts", "_ru", "_b", "_rb")
 
 
 # T4

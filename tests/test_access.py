@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import sql as fsql
 from tessera.operators import access as acc
+from tessera.sources import governed_store as store
 
 T0 = dt.datetime(2024, 1, 1)
 GRANTS = [  # user 1 admin of platform and member of crm; user 2 app_admin of crm; user 3 member of shop
@@ -113,3 +114,51 @@ def test_sql_functions_follow_the_session_caller(spark, grants, rows):
     fsql.set_caller(spark, None)
     assert spark.sql(q).count() == 0
     assert spark.sql("SELECT * FROM list_app_users()").count() == 0
+
+
+def test_governed_now_equals_governed(grants, rows):
+    for shape in ("shared", "personal"):
+        for caller in (None, 1, 2, 3, 99):
+            assert ids(acc.governed_now(rows, grants, shape, "crm", caller)) == ids(acc.governed(rows, grants, shape, "crm", caller))
+    with pytest.raises(ValueError):
+        acc.governed_now(rows, grants, "private", "crm", 1)
+    with pytest.raises(ValueError):
+        acc.resolve_role(grants.unionByName(grants), 2, "crm")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_a_members_filter_reaches_the_files(spark, tmp_path, grants):
+    """Rows of 400 owners and two apps; the owner is pushed down, other files and row groups are skipped."""
+    path = str(tmp_path / "store")
+    rows = spark.range(40_000).select("id", (F.col("id") % 400).alias("owner_id"),
+                                      F.when(F.col("id") % 3 == 0, "shop").otherwise("crm").alias("app"))
+    rows = rows.unionByName(spark.range(10).select(F.lit(-1).cast("long").alias("id"), F.lit(None).cast("long").alias("owner_id"), F.lit("crm").alias("app")))
+    store.write_governed(rows, path, ranges=16)
+
+    def read(caller, app="crm"):
+        return store.read_governed(spark, path, grants, "personal", app, caller)
+    own = read(1)
+    plan = plan_of(own)
+    assert "EqualTo(owner_id,1)" in plan.split("PushedFilters:")[1].splitlines()[0]
+    assert "(app" in plan.split("PartitionFilters:")[1].splitlines()[0] and "Exchange" not in plan and "Subquery" not in plan
+    assert ids(own, "id") == sorted(i for i in range(40_000) if i % 400 == 1 and i % 3)
+    assert own.select(F.input_file_name()).distinct().count() == 1  # the owner's rows lie together
+    assert read(2).count() == rows.where("app = 'crm'").count()  # app_admin: null owners too
+    nobody = read(3)
+    assert nobody.count() == 0 and "Scan parquet" not in plan_of(nobody)
+    # a hot owner is several files: no range holds all of one key
+    hot = spark.range(20_000).select("id", F.lit(1).cast("long").alias("owner_id"), F.lit("crm").alias("app"))
+    store.write_governed(hot, str(tmp_path / "hot"), ranges=8)
+    assert spark.read.parquet(str(tmp_path / "hot")).select(F.input_file_name()).distinct().count() >= 6
+
+
+def test_a_revoked_grant_shows_in_the_next_read(spark, tmp_path, grants):
+    path, held = str(tmp_path / "store"), str(tmp_path / "grants")
+    store.write_governed(spark.range(20).select("id", (F.col("id") % 4).alias("owner_id"), F.lit("crm").alias("app")), path)
+    grants.write.parquet(held)
+    assert store.read_governed(spark, path, spark.read.parquet(held), "personal", "crm", 1).count() == 5
+    grants.where("user_id <> 1").write.mode("overwrite").parquet(held)
+    assert store.read_governed(spark, path, spark.read.parquet(held), "personal", "crm", 1).count() == 0
