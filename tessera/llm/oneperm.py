@@ -163,7 +163,7 @@ def fingerprinted(docs: DataFrame, scheme: OnePermutation | None = None) -> Data
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fingerprint binary")
 
 
-REPORT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+REPORT = ("doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, "
           "near_edited double, near_next double")
 
 
@@ -178,13 +178,13 @@ def _report(scheme: OnePermutation, ids: list[int | None], texts: list[str], pri
     changed = [edited(t, f).encode() for t, f in zip(texts, texts[1:])]
     new = scheme.packed(changed)
     own = prints[:-1]
-    return [ids[:-1], [len(t) for t in texts[:-1]], [hashlib.sha256(t).hexdigest() for t in changed],
-            [p.hex() for p in own], [p.hex() for p in new], scheme.likeness(own, new).tolist(),
-            scheme.likeness(own, prints[1:]).tolist()]
+    return [ids[:-1], [len(t) for t in texts[:-1]], [hashlib.sha256(t).digest() for t in changed], own, new,
+            scheme.likeness(own, new).tolist(), scheme.likeness(own, prints[1:]).tolist()]
 
 
 def compared(docs: DataFrame, scheme: OnePermutation | None = None) -> DataFrame:
-    """REPORT's columns: every document against its edited text and the next document.
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next): every document against
+    its edited text and the next document, digests in hexadecimal.
 
     Documents stand by descending doc_id, null last; rows of one doc_id stand in the order of their texts'
     hashes; after the last comes the first. A null text is empty. An empty text's edited text is empty, and its
@@ -198,8 +198,8 @@ def compared(docs: DataFrame, scheme: OnePermutation | None = None) -> DataFrame
         "*", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("nth"))
     order = [F.desc_nulls_last("doc_id"), "hash", "nth"]
     ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    arrow = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()),
-                       ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()),
+    arrow = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()),
+                       ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()),
                        ("near_next", pa.float64()), ("part", pa.int32()), ("first", pa.string()), ("last", pa.string())])
 
     def batch(columns: list[list], part: int | None = None, first: str | None = None, last: str | None = None) -> pa.RecordBatch:
@@ -238,4 +238,5 @@ def compared(docs: DataFrame, scheme: OnePermutation | None = None) -> DataFrame
             for doc_id, text, following in zip(*(b.column(c).to_pylist() for c in ("doc_id", "last", "following"))):
                 two = [text, following]
                 yield batch(_report(scheme, [doc_id, None], two, scheme.packed([t.encode() for t in two]))).select(arrow.names[:7])
-    return done.where("part is null").select(*arrow.names[:7]).unionByName(edges.mapInArrow(join_edges, REPORT))
+    every = done.where("part is null").select(*arrow.names[:7]).unionByName(edges.mapInArrow(join_edges, REPORT))
+    return every.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
