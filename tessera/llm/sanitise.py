@@ -35,6 +35,8 @@ APART = (r"(?<![\p{L}\p{M}\p{N}])(?:", r")(?![\p{L}\p{M}\p{N}])")  # around word
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 NEAR_CHARS = 100
 BLOCK = 256
+PART = 1024  # code points of a text that a position is looked for in
+TERM_PART = 4096  # code points in which words are looked for at once
 NEAR_WORDS = 5
 PASSAGE_WORDS = 16
 REMOVE, GENERALISE, SUPPORT = 0.9, 0.8, 2
@@ -99,13 +101,31 @@ def _words(text: str) -> str:
     return f"transform(regexp_extract_all({text}, '{TERM}', 0), w -> lower(w))".replace("\\", "\\\\")
 
 
-def _replaced(text: str, spans: str, label: str) -> str:
-    """SQL for a text with its ``spans``, sorted by start, replaced by ``label`` of the span s; overlapping ones become one."""
-    # positions count code points from 0, substring() from 1
-    return (f"aggregate({spans}, struct('' as done, 0L as at), (acc, s) -> case when s.start >= acc.at then "
-            f"struct(concat(acc.done, substring({text}, cast(acc.at + 1 as int), cast(s.start - acc.at as int)), {label}) as done, "
-            f"s.stop as at) else struct(acc.done as done, greatest(acc.at, s.stop) as at) end, "
-            f"acc -> concat(acc.done, substring({text}, cast(acc.at + 1 as int))))")
+def _with_replaced(df: DataFrame, out: str, text: str, spans: str, label: str) -> DataFrame:
+    """``df`` with ``out``: the text with its ``spans``, sorted by start, replaced by ``label`` of the span s; overlapping ones become one.
+
+    The text is cut into parts of PART code points, so that no piece between two spans is looked for from the
+    start of the text, and the pieces are joined once: time and memory grow with the text, however many spans it has.
+    """
+    cut = "struct<since:bigint,until:bigint,label:string>"
+    # within BLOCK spans: the text before each one that starts after all that end before it
+    block = (f"aggregate(slice({spans}, b * {BLOCK} + 1, {BLOCK}), struct(acc.at as at, cast(array() as array<{cut}>) as cuts), (x, s) -> "
+             f"struct(greatest(x.at, s.stop) as at, case when s.start >= x.at then concat(x.cuts, array(struct(x.at as since, s.start as until, "
+             f"{label} as label))) else x.cuts end as cuts))")
+    cuts = (f"aggregate(sequence(0, cast((size({spans}) - 1) div {BLOCK} as int)), struct(0L as at, cast(array() as array<array<{cut}>>) as parts), "
+            f"(acc, b) -> element_at(transform(array({block}), r -> struct(r.at as at, concat(acc.parts, array(r.cuts)) as parts)), 1))")
+
+    def piece(since: str, until: str) -> str:
+        first, last = f"cast({since} div {PART} as int)", f"cast(({until} - 1) div {PART} as int)"
+        return (f"case when {since} >= {until} then '' "
+                f"when {first} = {last} then substring(_parts[{first}], cast({since} % {PART} + 1 as int), cast({until} - {since} as int)) "
+                f"else concat(substring(_parts[{first}], cast({since} % {PART} + 1 as int)), "
+                f"array_join(slice(_parts, {first} + 2, {last} - {first} - 1), ''), "
+                f"substring(_parts[{last}], 1, cast({until} - {PART} * {last} as int))) end")
+    df = df.withColumns({"_parts": F.expr(f"regexp_extract_all({text}, '(?s).{{1,{PART}}}', 0)"), "_cuts": F.expr(cuts)})
+    return df.withColumn(out, F.expr(
+        f"array_join(concat(flatten(transform(flatten(_cuts.parts), c -> array({piece('c.since', 'c.until')}, c.label))), "
+        f"array({piece('_cuts.at', f'cast(length({text}) as bigint)')})), '')")).drop("_parts", "_cuts")
 
 
 def _contexts(found: DataFrame) -> DataFrame:
@@ -135,7 +155,8 @@ def _outside(found: DataFrame) -> DataFrame:
 
     ``passage`` stands for the PASSAGE_WORDS words on either side, the least where a word repeats.
     """
-    words = found.where(F.size("spans") > 0).select("row", F.expr(_words(_replaced("held", "spans", "' '"))).alias("words"))
+    rest = _with_replaced(found.where(F.size("spans") > 0).select("row", "spans", "held"), "rest", "held", "spans", "' '")
+    words = rest.select("row", F.expr(_words("rest")).alias("words"))
     around = (f"transform(words, (w, i) -> struct(w as term, xxhash64(slice(words, greatest(i - {PASSAGE_WORDS}, 0) + 1, "
               f"least(i, {PASSAGE_WORDS}) + 1 + {PASSAGE_WORDS})) as passage))")
     return words.select("row", F.explode(F.expr(around)).alias("w")).groupBy("row", "w.term").agg(F.min("w.passage").alias("passage"))
@@ -185,19 +206,32 @@ def find(docs: DataFrame, remove: float = REMOVE, generalise: float = GENERALISE
     found = table_of(base_spans(docs).withColumn("row", F.monotonically_increasing_id()), "spans").withColumn("id", ident)
     verdicts = table_of(disclosures(texts, found, generalise, support).groupBy("term").agg(F.max("ratio").alias("ratio")), "verdicts")
     key = ["id", "text_hash"]
-    # each document's disclosing words, as it writes them; they are letters, marks and digits, and so patterns of themselves
-    forms = texts.select(*key, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))).alias("word"))
+    # texts in parts that end where a word does: a word is looked for in its part only
+    cut = f"regexp_extract_all(text, '(?s).{{1,{TERM_PART}}}{TERM[:-2]}*+', 0)".replace("\\", "\\\\")
+    starts = _spans(0, "part", "parts", "none")
+    parts = texts.withColumn("parts", F.expr(cut)).withColumn("none", F.expr("transform(sequence(0, size(parts)), i -> '')"))
+    parts = parts.select(*key, F.posexplode(F.expr(f"transform({starts}, x -> struct(x.start as origin, x.value as part))"))).select(
+        *key, F.col("pos").alias("nth"), "col.origin", "col.part")
+    # each part's disclosing words, as it writes them; they are letters, marks and digits, and so patterns of themselves
+    forms = parts.select(*key, "nth", F.explode(F.array_distinct(F.regexp_extract_all("part", F.lit(TERM), F.lit(0)))).alias("word"))
     label = F.when(F.col("ratio") >= remove, "[REMOVED]").when(F.col("word").rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
-    hits = table_of(forms.withColumn("term", F.lower("word")).join(verdicts, "term").select(*key, "word", label.alias("label")).distinct()
-                    .groupBy(*key).agg(F.collect_list("word").alias("told"), F.map_from_entries(F.collect_list(F.struct("word", "label")))
-                                       .alias("labels")), "hits")
-    words = texts.join(hits, key).withColumn("pattern", F.concat(F.lit(APART[0]), F.array_join("told", "|"), F.lit(APART[1])))
-    words = words.withColumn("words", F.expr("regexp_extract_all(text, pattern, 0)")).withColumn("rest", F.expr("split(text, pattern, -1)"))
-    spans = words.select(*key, F.expr(f"transform({_spans(0, 'term', 'words', 'rest')}, x -> struct(x.start as start, x.stop as stop, "
-                                      "labels[x.value] as label))").alias("terms")).dropDuplicates(key)
-    apart = F.expr("filter(terms, t -> not exists(spans, s -> s.start < t.stop and t.start < s.stop))")
+    hits = table_of(forms.withColumn("term", F.lower("word")).join(verdicts, "term").select(*key, "nth", "word", label.alias("label")).distinct()
+                    .groupBy(*key, "nth").agg(F.collect_list("word").alias("told"), F.map_from_entries(F.collect_list(F.struct("word", "label")))
+                                              .alias("labels")), "hits")
+    words = parts.join(hits, [*key, "nth"]).withColumn("pattern", F.concat(F.lit(APART[0]), F.array_join("told", "|"), F.lit(APART[1])))
+    words = words.withColumn("words", F.expr("regexp_extract_all(part, pattern, 0)")).withColumn("rest", F.expr("split(part, pattern, -1)"))
+    terms = words.select(*key, F.explode(F.expr(f"transform({_spans(0, 'term', 'words', 'rest', 'origin')}, x -> struct(x.start as start, "
+                                                "x.stop as stop, labels[x.value] as label))")).alias("t")).select(*key, "t.*")
+    # base spans by the stretches of text that they touch, so that terms and spans of a long text meet in theirs only
+    held = found.where(F.size("spans") > 0).select(*key, F.inline(F.expr("transform(spans, s -> struct(s.start as since, s.stop as until))")))
+    held = held.select("*", F.explode(F.expr(f"sequence(since div {PART}, (until - 1) div {PART})")).alias("stretch")).distinct()
+    apart = (terms.select("*", F.explode(F.expr(f"sequence(start div {PART}, (stop - 1) div {PART})")).alias("stretch"))
+             .join(held, [*key, "stretch"], "left")
+             .groupBy(*key, "start", "stop", "label").agg(F.count(F.when((F.col("since") < F.col("stop")) & (F.col("start") < F.col("until")), 1))
+                                                         .alias("within")).where("within = 0"))
+    spans = apart.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start", "stop", "label"))).alias("terms"))
     return found.join(spans, key, "left").select("doc_id", "text_hash", F.col("spans").alias("base"), F.coalesce(
-        apart, F.expr("cast(array() as array<struct<start:bigint,stop:bigint,label:string>>)")).alias("terms"))
+        "terms", F.expr("cast(array() as array<struct<start:bigint,stop:bigint,label:string>>)")).alias("terms"))
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -224,9 +258,9 @@ def sanitised(docs: DataFrame, **thresholds) -> DataFrame:
     spans = spans.dropDuplicates(["id", "text_hash"])
     keyed = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
                         F.xxhash64("text").alias("text_hash"))
-    rewritten = _replaced("doc.text", "spans", "s.label")
-    changed = F.col("doc").withField("text", F.expr(rewritten))
+    both = _with_replaced(keyed.join(spans, ["id", "text_hash"], "left").withColumn("_text", F.when(F.col("spans").isNotNull(), F.col("doc.text"))),
+                          "_new", "_text", "spans", "s.label")
+    changed = F.col("doc").withField("text", F.col("_new"))
     if "n_chars" in docs.columns:
-        changed = changed.withField("n_chars", F.length(F.expr(rewritten)).cast(docs.schema["n_chars"].dataType))
-    return (keyed.join(spans, ["id", "text_hash"], "left")
-            .select(F.when(F.col("spans").isNull(), F.col("doc")).otherwise(changed).alias("doc")).select("doc.*"))
+        changed = changed.withField("n_chars", F.length("_new").cast(docs.schema["n_chars"].dataType))
+    return both.select(F.when(F.col("spans").isNull(), F.col("doc")).otherwise(changed).alias("doc")).select("doc.*")

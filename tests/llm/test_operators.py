@@ -202,7 +202,8 @@ def test_neighbours_edges(spark):
 
 # 4, 7 -----------------------------------------------------------------------------------------------------------------
 TEXTS = ["", " ", "  two  spaces ", "tabs\tand\n\nlines \n", "x y z\x85q", "it's don't 123 4.5!?", "a\x1cb\x1d c", "\n", "\n\n x",
-         "<|endoftext|> is text", "é\U0001f600 中文", "trailing \r\n", "word" * 50 + " " + "word" * 50]
+         "<|endoftext|> is one id", "a b<|endoftext|>c d", "x <|endoftext|>", "<|endoftext|><|endoftext|> <|endoftext|>",
+         "not <|endoftext| one", "é\U0001f600 中文", "trailing \r\n", "word" * 50 + " " + "word" * 50]
 
 
 def test_encoder_gives_the_library_ids(tokenizer):
@@ -506,6 +507,47 @@ def test_disclosing_terms_are_found_wherever_they_stand(spark):
     assert "Unseen" in clean[64] and "Solo" in clean[69]
 
 
+def plainly(text, spans):
+    """``text`` with (start, stop, label) replaced, overlapping ones as one."""
+    out, at = [], 0
+    for start, stop, label in sorted(spans):
+        if start >= at:
+            out += [text[at:start], label]
+        at = max(at, stop)
+    return "".join(out + [text[at:]])
+
+
+def test_spans_are_replaced_anywhere(spark):
+    """Spans at the edges of parts and of blocks of spans, overlapping ones, none, and characters of any width."""
+    rng = random.Random(8)
+    rows = []
+    for n, k in [(0, 0), (5, 1), (sanitise.PART, 3), (4 * sanitise.PART + 7, 40), (9000, 700), (300, 0)]:
+        text = "".join(rng.choice("ab\n é\U0001d4b3") for _ in range(n))
+        starts = sorted({0, n - 1, sanitise.PART - 1, sanitise.PART, *rng.sample(range(n), min(n, k))} & set(range(n))) if k else []
+        rows.append((text, [(s, min(n, s + rng.choice([1, 2, 9, 1500 if rng.random() < .02 else 3])), f"[{s}]") for s in starts]))
+    df = spark.createDataFrame(rows, "text string, spans array<struct<start:bigint,stop:bigint,label:string>>")
+    got = sanitise._with_replaced(df, "out", "text", "spans", "s.label").collect()
+    assert [r.out for r in got] == [plainly(*r) for r in rows]
+
+
+def test_many_spans_in_one_text(spark):
+    """Time grows with the text: lists of 5,000 and 40,000 addresses and names, and a long text with few."""
+    import time
+
+    def contacts(n):
+        return " ".join(f"write to Person{i} at p{i}@mail{i % 97}.example or é," for i in range(n))
+    took = []
+    for n in (5_000, 5_000, 40_000):
+        texts = [contacts(n), f"once more Person7 and p7@mail7.example, then {n}"]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        begin = time.perf_counter()
+        rows = {r.doc_id: r for r in sanitise.sanitised(df).collect()}
+        took.append(time.perf_counter() - begin)
+        assert rows[0].text.count("[EMAIL]") == n and rows[1].text.count("[EMAIL]") == 1
+        assert not brute.base_spans(rows[0].text[:20_000]) and rows[0].text.endswith("or é,")
+    assert took[2] < 8 * 2.5 * took[1] + 10
+
+
 def test_sanitise_edges(edge, none):
     rows = sanitise.report(sanitise.find(edge)).collect()
     assert len(rows) == EDGE_ROWS and {r.spans for r in rows} == {""}
