@@ -5,13 +5,12 @@ A document's virtual finish time is the source's words through it divided by the
 target, so all queues reach time 1 at their targets; the documents of all sources, sorted by
 finish time, are served until the total budget is used up. A document that straddles its
 source's target is split there into two packets, so that one long document neither holds its
-source back nor runs over.
+source back nor runs over; ``mix`` tells the words taken, ``mixed_documents`` gives whole documents.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -134,49 +133,21 @@ def _serve(packets: DataFrame, share) -> DataFrame:
     return whole.unionByName(last)
 
 
-def first_words(text: str, n: int) -> str:
-    """The text up to the end of its n-th word."""
-    end = 0
-    for i, m in enumerate(re.finditer(r"[^ \t-\r]+", text)):
-        if i == n:
-            break
-        end = m.end()
-    return text[:end]
-
-
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE,
                     epochs: int = EPOCHS) -> DataFrame:
     """The rows of the mix with the columns of ``docs``: a document is repeated as often as it is taken.
 
-    A document taken in part ends with a copy cut after its last word taken (and ``n_chars``, where
-    there is such a column, is that copy's). Wholly equal rows are taken together.
+    Texts are never cut. A document taken in part, where its source's target or the budget ends, is there once more if
+    at least half of that copy was taken and not if less, which is what brings its source nearer to the target. Wholly
+    equal rows are taken together.
     """
     keys = ["id", "row_hash"]
+    copies = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
     taken = (mix(docs, weights, share, epochs).where("taken > 0")
              .groupBy(F.coalesce("doc_id", F.lit(0)).alias("id"), "row_hash")
-             .agg(F.first("size").alias("size"), F.sum("taken").alias("taken")))
+             .agg(F.first("size").alias("size"), F.sum("taken").alias("taken"))
+             .select(*keys, copies.alias("copies")).where("copies > 0"))
     keyed = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
                         F.xxhash64(*docs.columns).alias("row_hash")).dropDuplicates(keys)
-    copies = keyed.join(taken, keys).withColumn("copy", F.explode(F.sequence(
-        F.lit(0), (F.ceil(F.col("taken") / F.col("size")) - 1).cast("int"))))
-    copies = copies.select("doc", F.col("doc.text").alias("text"), "size",
-                           F.least("size", F.col("taken") - F.col("copy") * F.col("size")).alias("words"))
-    names, at = docs.columns, docs.columns.index("text")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches):
-            cols = b.column("doc").flatten()
-            part = [i for i, (w, n) in enumerate(zip(b.column("words").to_pylist(), b.column("size").to_pylist())) if w < n]
-            if part:
-                texts = cols[at].to_pylist()
-                for i in part:
-                    texts[i] = first_words(texts[i], b.column("words")[i].as_py())
-                cols[at] = pa.array(texts, cols[at].type)
-                if "n_chars" in names:
-                    j = names.index("n_chars")
-                    chars = cols[j].to_pylist()
-                    for i in part:
-                        chars[i] = len(texts[i])
-                    cols[j] = pa.array(chars, cols[j].type)
-            yield pa.RecordBatch.from_arrays(cols, names)
-    return copies.mapInArrow(cut, docs.schema)
+    repeated = keyed.join(taken, keys).select("doc", F.explode(F.sequence(F.lit(1), "copies")))
+    return repeated.select("doc.*")

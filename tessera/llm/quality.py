@@ -7,6 +7,7 @@ counts of the distinct bit patterns, so no text is read again for a new policy o
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -16,27 +17,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tessera.llm.common import text_bytes, text_slices
+from tessera.llm.common import table_of, text_bytes, text_slices
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "longest_word")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "unspaced_chars", "giant_chars")
+GIANT = 1000  # code points; longer words are no words of a language
+# fixed values: scripts written without blanks (Thai, Lao, Tibetan, Myanmar, Khmer, CJK with kana, full-width forms)
+UNSPACED = [(0x0E00, 0x0EFF), (0x0F00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x9FFF), (0xF900, 0xFAFF),
+            (0xFF00, 0xFFEF), (0x20000, 0x3FFFF)]
 
 # name, condition under which the document fails; a rule's place is its bit
 RULES: list[tuple[str, str]] = [
     ("few_words", "n_words < 20"),
     ("repeated_windows", "100 * n_repeat_words > 30 * n_words"),
     ("short_words", "word_chars < 2 * n_words"),
-    ("long_words", "word_chars > 30 * n_words"),
-    ("giant_word", "longest_word > 2000"),
+    ("long_words", "word_chars - unspaced_chars - giant_chars > 30 * n_words"),
+    ("giant_words", "5 * giant_chars > 4 * word_chars"),
     ("mostly_symbols", "2 * n_symbols > word_chars"),
     ("duplicate_lines", "n_lines >= 5 and 10 * n_dup_lines > 7 * n_lines"),
 ]
 BASE = ("few_words", "repeated_windows")
 POLICIES: dict[str, tuple[str, ...]] = {
     "base": BASE,
-    "v1": BASE + ("short_words", "long_words", "giant_word"),
+    "v1": BASE + ("short_words", "long_words", "giant_words"),
     "v2": tuple(name for name, _ in RULES),
 }
 PRODUCTION = "v2"
@@ -58,8 +63,24 @@ def _repeat_words(codes: list[int], window: int) -> int:
     return int((np.cumsum(edge) > 0).sum())
 
 
+_UNSPACED = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in UNSPACED) + "]")
+_LEADS = bytes(range(0xE0, 0x100))
+
+
+def _unspaced(text: bytes) -> int:
+    """Code points of scripts written without blanks."""
+    if len(text) == len(text.translate(None, _LEADS)):  # no character of three bytes or more
+        return 0
+    return len(_UNSPACED.findall(text.decode("utf-8", "replace")))
+
+
+def _code_points(text: bytes) -> int:
+    return len(text.translate(None, bytes(range(0x80, 0xC0))))
+
+
 def measure(texts: list[bytes], window: int = WINDOW) -> dict[str, np.ndarray]:
-    """The measurements of each text.
+    """The measurements of each text. ``giant_chars`` are the code points of words longer than GIANT, those of
+    ``unspaced_chars`` aside, so that neither a data address in a long text nor a sentence without blanks counts against it.
 
     Repeated windows are looked for over the whole slice at once by a 64-bit sum per window; only
     texts in which two windows share a sum are counted, and those by the words themselves.
@@ -79,7 +100,9 @@ def measure(texts: list[bytes], window: int = WINDOW) -> dict[str, np.ndarray]:
         lines = [x for x in t.split(b"\n") if x.strip()] if b"\n" in t else ([t] if words else [])
         out["n_lines"][i] = len(lines)
         out["n_dup_lines"][i] = len(lines) - len(set(lines))
-        out["longest_word"][i] = max(map(len, words), default=0)
+        out["unspaced_chars"][i] = _unspaced(t)
+        giants = [w for w in words if len(w) > GIANT and _code_points(w) > GIANT]
+        out["giant_chars"][i] = sum(_code_points(w) - _unspaced(w) for w in giants)
     out["n_words"] = np.diff(starts)
     total = len(codes)
     if total >= window:
@@ -143,19 +166,27 @@ def ablations(book: DataFrame, policy: str = PRODUCTION) -> DataFrame:
         F.sum(F.when(F.col("bits") == F.col("bit"), F.col("n")).otherwise(0)).alias("only_this")))
 
 
+def stored(docs: DataFrame, policy: str = PRODUCTION) -> tuple[DataFrame, DataFrame]:
+    """(ledger, ablations) of ``docs``, both written to the shared folder; policies are applied to what is stored."""
+    book = table_of(ledger(docs), "ledger")
+    return book, table_of(ablations(book, policy), "ablations")
+
+
+def verdicts(book: DataFrame) -> DataFrame:
+    """The ledger with one column ``kept_<version>`` for every policy: each is a mask over the stored bits."""
+    return book.withColumns({f"kept_{name}": kept_under(name) for name in POLICIES})
+
+
 def keep_passing(docs: DataFrame, policy: str = PRODUCTION) -> DataFrame:
     """The documents that pass the policy, with all their columns.
 
-    Rows are measured, judged and passed on in one scan; the rules are those of the ledger, as
-    the same conditions over the same measurements.
+    Rows are measured, given their failure bits and passed on in one scan; the policy's mask says which stay.
     """
-    chosen = [cond for name, cond in RULES if name in POLICIES[policy]]
-    failed = F.expr(" or ".join(f"({c})" for c in chosen))
-
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
             m = measure(text_bytes(b))
             doc = pa.StructArray.from_arrays(b.columns, fields=list(b.schema))
             yield pa.RecordBatch.from_arrays([doc, *[pa.array(m[k]) for k in MEASURES]], ["doc", *MEASURES])
     schema = StructType([StructField("doc", docs.schema), *[StructField(k, LongType()) for k in MEASURES]])
-    return docs.mapInArrow(fill, schema).where(~failed).select("doc.*")
+    judged = docs.mapInArrow(fill, schema).withColumn("failure_bits", _failure_bits())
+    return judged.where(kept_under(policy)).select("doc.*")

@@ -125,6 +125,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sanitise.report(sanitise.find(documents(spark, sf_dir)))
 
 
+_UNSPACED = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in quality.UNSPACED)
 OP9_SQL = r"""
 with d as (select doc_id, coalesce(text, '') as text from documents),
 w as (select doc_id, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as words,
@@ -136,26 +137,28 @@ rep as (select doc_id, count(distinct pos + k) as n from twice, (select unnest(r
 m as (select w.doc_id, len(words) as n_words,
              length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) as word_chars,
              length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
-             len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words,
-             len(lines) as n_lines, coalesce(list_max(list_transform(words, lambda x: octet_length(encode(x)))), 0) as longest
+             len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words, len(lines) as n_lines,
+             length(text) - length(regexp_replace(text, '[UNSPACED]', '', 'g')) as unspaced_chars,
+             coalesce(list_sum(list_transform(list_filter(words, lambda x: length(x) > 1000),
+                                              lambda x: length(regexp_replace(x, '[UNSPACED]', '', 'g')))), 0) as giant_chars
       from w left join rep on rep.doc_id = w.doc_id),
 b as (select *, (n_words < 20)::int + 2 * (100 * n_repeat_words > 30 * n_words)::int
-             + 4 * (word_chars < 2 * n_words)::int + 8 * (word_chars > 30 * n_words)::int + 16 * (longest > 2000)::int
-             + 32 * (2 * n_symbols > word_chars)::int
+             + 4 * (word_chars < 2 * n_words)::int + 8 * (word_chars - unspaced_chars - giant_chars > 30 * n_words)::int
+             + 16 * (5 * giant_chars > 4 * word_chars)::int + 32 * (2 * n_symbols > word_chars)::int
              + 64 * (n_lines >= 5 and 10 * n_dup_lines > 7 * n_lines)::int as failure_bits from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       (failure_bits & 3) <> 0 as base_failed, failure_bits = 0 as kept, failure_bits from b
-"""
+       (failure_bits & 3) <> 0 as base_failed, failure_bits = 0 as kept, failure_bits,
+       (failure_bits & 3) = 0 as kept_base, (failure_bits & 31) = 0 as kept_v1, failure_bits = 0 as kept_v2 from b
+""".replace("UNSPACED", _UNSPACED)
 
 
 @query("op9_quality_rules", OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rule ledger of every document, with the verdict of the production policy."""
-    book = quality.ledger(documents(spark, sf_dir))
-    return book.select("doc_id", *quality.MEASURES[:5],
-                       F.col("failure_bits").bitwiseAND(F.lit(quality.mask_of(quality.BASE))).alias("base_bits"),
-                       quality.kept_under().alias("kept"), "failure_bits").select(
-        "doc_id", *quality.MEASURES[:5], (F.col("base_bits") != 0).alias("base_failed"), "kept", "failure_bits")
+    """The rule ledger of every document, written to the shared folder; every version of the policy is judged by its bits."""
+    book, _ = quality.stored(documents(spark, sf_dir))
+    judged = quality.verdicts(book)
+    return judged.select("doc_id", *quality.MEASURES[:5], (~F.col("kept_base")).alias("base_failed"),
+                         F.col(f"kept_{quality.PRODUCTION}").alias("kept"), "failure_bits", *[f"kept_{p}" for p in quality.POLICIES])
 
 
 OP10_SQL = """

@@ -406,15 +406,25 @@ def test_mix_edges(edge, none, spark):
     check_mix(rows)
     out = mixing.mixed_documents(edge)
     assert out.columns == edge.columns
-    assert sum(len(brute.words(r.text)) for r in out.collect()) == sum(r.taken for r in rows)
+    assert Counter(r.text for r in out.collect()) <= Counter({r.text: 2 for r in edge.collect()} | {"a b c d e f g h": 4})
     assert mixing.mix(none).collect() == [] and mixing.mixed_documents(none).collect() == []
     blank = edge.where("doc_id in (2, 3, 4)")
     assert {(r.taken, r.target) for r in mixing.mix(blank).collect()} == {(0, 0.0)}
     assert mixing.mixed_documents(blank).collect() == []
 
 
-def test_first_words():
-    assert [mixing.first_words(" a\tb\n c ", n) for n in range(5)] == ["", " a", " a\tb", " a\tb\n c", " a\tb\n c"]
+def test_mixed_documents_are_whole(docs, doc_rows):
+    """Each as often as it was taken, to the nearest whole; the sources' words stay near their targets."""
+    rows, texts = mixing.mix(docs).collect(), {r["doc_id"]: r["text"] or "" for r in doc_rows}
+    got = mixing.mixed_documents(docs).collect()
+    assert all(r.text == texts[r.doc_id] for r in got)
+    times = Counter(r.doc_id for r in got)
+    assert times == Counter({r.doc_id: math.floor(r.taken / r.size + 0.5) for r in rows if r.size and 2 * r.taken >= r.size})
+    words, target = Counter(), {r.source: r.target for r in rows}
+    for r in got:
+        words[r.source] += len(brute.words(r.text))
+    longest = max(r.size for r in rows)
+    assert all(abs(words[s] - t) <= longest for s, t in target.items())
 
 
 # 6 --------------------------------------------------------------------------------------------------------------------
@@ -574,6 +584,15 @@ def test_quality_edges(edge, none):
     line = rows[7, 6]
     assert (line.n_dup_lines, line.n_lines, line.word_chars) == (2, 4, 20)
     assert rows[6, 40_000].failure_bits == 0 and rows[2, 0].failure_bits & 1
+    data = "data:" + "x" * 5000
+    chinese = "中文的句子没有空格" * 120 + "。"
+    plain = " ".join(f"word{i}" for i in range(400))
+    planted = [(1, plain + " " + data), (2, (chinese + " ") * 25), (3, "ภาษาไทยไม่เว้นวรรค" * 100 + " " + "คำ " * 30), (4, data + " " + " ".join("abcdefghijklmnopqrstuvwxyz")),
+               (5, " ".join(f"{'long' * 9}{i}" for i in range(40)))]
+    found = {r.doc_id: r.failure_bits for r in quality.ledger(edge.sparkSession.createDataFrame(planted, "doc_id long, text string")).collect()}
+    bit = {name: 1 << i for i, (name, _) in enumerate(quality.RULES)}
+    assert not found[1] and found[4] == bit["giant_words"] and found[5] == bit["long_words"]
+    assert not (found[2] | found[3]) & (bit["giant_words"] | bit["long_words"])
     kept = quality.keep_passing(edge)
     assert kept.columns == edge.columns and [r.doc_id for r in kept.collect()] == [6]
     assert quality.ledger(none).collect() == [] and quality.keep_passing(none).collect() == []
@@ -586,7 +605,9 @@ def test_policies_and_ablations(docs):
     rows = [(r.doc_id, r.failure_bits) for r in book.collect()]
     for policy, mask in masks.items():
         assert book.where(quality.kept_under(policy)).count() == sum(not b & mask for _, b in rows)
-    table = {r.rule: (r.failed, r.only_this) for r in quality.ablations(book).collect()}
+    table = {r.rule: (r.failed, r.only_this) for r in quality.stored(docs)[1].collect()}
+    judged = {r.doc_id: r for r in quality.verdicts(quality.stored(docs)[0]).collect()}
+    assert all(judged[d][f"kept_{p}"] == (not b & mask) for d, b in rows for p, mask in masks.items())
     for i, (rule, _) in enumerate(quality.RULES):
         want = (sum(b >> i & 1 for _, b in rows), sum(b == 1 << i for _, b in rows))
         assert table.get(rule, (0, 0)) == want

@@ -64,9 +64,10 @@ def test_pipeline_stages(spark, doc_rows):
         elif i == 3:
             sizes = {k: len(t.encode().split()) for k, t in kept.items()}
             words = sum(len(r.text.encode().split()) for r in rows)
-            assert abs(words - 1.5 * sum(sizes.values())) <= 20
+            # whole documents: each source may miss its target by half a document, and so may the budget
+            assert abs(words - 1.5 * sum(sizes.values())) <= (len({r["source"] for r in doc_rows}) + 1) * max(sizes.values()) / 2
             for r in rows:
-                assert kept[r.doc_id].startswith(r.text)
+                assert kept[r.doc_id] == r.text
             assert max(sum(len(r.text.encode().split()) for r in rows if r.doc_id == k) / n
                        for k, n in sizes.items() if n) <= 2
             copies = len(rows)
@@ -85,3 +86,13 @@ def test_pipeline_stages(spark, doc_rows):
             kept = {r.doc_id: r.text for r in rows}
             if i == 2:
                 kept = {r.doc_id: r.text for r in rows}
+
+
+@pytest.mark.parametrize("rows", ["edge", "none"])
+def test_pipeline_on_awkward_tables(spark, rows, request, tmp_path):
+    """The whole pipeline on rows with every awkward value and clashing columns, and on no rows."""
+    docs = request.getfixturevalue(rows)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert {r.doc_id for r in out.collect()} == ({6} if rows == "edge" else set())
