@@ -30,7 +30,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix: repeated where taken more than once, cut where taken in part."""
+    """The documents of the mix, whole, each as often as it is taken."""
     return mixing.mixed_documents(docs)
 
 
