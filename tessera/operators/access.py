@@ -18,7 +18,7 @@ user predicate before the access filter, so a hostile UDF could observe rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values of the access model.
@@ -212,20 +212,16 @@ def platform_admin_flags(callers: DataFrame, grants: DataFrame) -> DataFrame:
 
 # A10
 def visibility(df: DataFrame, grants: DataFrame, callers: DataFrame, app: str,
-               owner_col: str = "user_id", shape: str = "personal", few_callers: bool = False) -> DataFrame:
+               owner_col: str = "user_id", shape: str = "personal") -> DataFrame:
     """Rows of ``df`` each caller would read, set-based.
 
     Totals and per-owner counts are aggregated first (partial aggregation on
     the map side), then joined to the callers' grants: the cost is one pass
     over ``df`` however many callers there are, and nothing pairs callers with
-    rows. With ``few_callers`` (a probe), rows are first semi-joined to the
-    callers (a broadcastable small side) so only their owners are counted.
+    rows.
     """
     total = df.select(F.count(F.lit(1))).scalar()
-    owned = df
-    if few_callers:
-        owned = df.join(callers.select(F.col("user_id").alias(owner_col)).distinct(), owner_col, "left_semi")
-    own = (owned.filter(F.col(owner_col).isNotNull())
+    own = (df.filter(F.col(owner_col).isNotNull())
            .groupBy(F.col(owner_col).alias("user_id"))
            .agg(F.count(F.lit(1)).alias("own_rows")))
     acc = access_by_caller(callers, grants, app)
@@ -253,9 +249,21 @@ def probe(df: DataFrame, grants: DataFrame, probes: DataFrame, app: str,
     is ``inconclusive`` too.
     """
     p = probes.withColumnRenamed("caller", "user_id")
-    vis = visibility(df, grants, p.select("user_id").filter(F.col("user_id").isNotNull()).distinct(),
-                     app, owner_col, shape, few_callers=True)
-    j = p.join(vis, "user_id", "left").withColumn("t_all", df.select(F.count(F.lit(1))).scalar())
+    callers = p.select("user_id").filter(F.col("user_id").isNotNull()).distinct()
+    # one scan: rows by the caller that owns them, all others together; their sum is the table's count
+    known = callers.select(F.col("user_id").alias(owner_col), F.col("user_id").alias("_caller"))
+    counts = df.select(owner_col).join(known, owner_col, "left").groupBy("_caller").agg(F.count(F.lit(1)).alias("n"))
+    every = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # as many rows as callers, and one that is there for an empty table, too
+    both = (callers.select(F.col("user_id").alias("_caller")).unionByName(callers.sparkSession.range(1).select(F.lit(None).cast(
+        callers.schema["user_id"].dataType).alias("_caller"))).withColumn("n", F.lit(0).cast("long")).unionByName(counts)
+            .groupBy("_caller").agg(F.sum("n").alias("own_rows")).withColumn("t_all", F.sum("own_rows").over(every)))
+    j = (p.join(access_by_caller(callers, grants, app), "user_id", "left")
+         .join(both, F.col("user_id").eqNullSafe(F.col("_caller")), "left")
+         .withColumn("own_rows", F.when(F.col("user_id").isNotNull(), F.col("own_rows"))))
+    seen = F.when(F.col("has_access"), F.col("t_all") if shape == "shared" else
+                  F.when(F.col("role") == ADMIN, F.col("t_all")).otherwise(F.col("own_rows")))
+    j = j.withColumn("visible_rows", seen)
     got = F.coalesce("visible_rows", F.lit(0)).cast("bigint")
     want = (F.when(F.col("expect") == "all", F.col("t_all"))
             .when(F.col("expect") == "own", F.coalesce("own_rows", F.lit(0)))

@@ -19,6 +19,7 @@ the end; the combined audit doesn't sort.
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException, UnknownException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -194,7 +195,9 @@ def run_audit(relations: DataFrame, policies: DataFrame, functions: DataFrame,
     for name, build in builders:
         try:
             part = build().select(F.lit(name).alias("check"), "object", "reason").checkpoint(eager=True)
-        except Exception as e:  # a broken check must not hide the others
+        except PySparkException as e:  # a broken check must not hide the others; a lost cluster is no broken check
+            if isinstance(e, UnknownException):
+                raise
             part = spark.range(1).select(F.lit(name).alias("check"), F.lit(None).cast("string").alias("object"),
                                          F.lit(f"check failed: {type(e).__name__}").alias("reason"))
         out = part if out is None else out.unionByName(part)

@@ -97,9 +97,20 @@ class CascadeGraph:
                 raise ValueError(f"a key would clear {name}.{tables[name][1]}, which is itself referenced")
         self.spark = next(iter(tables.values()))[0].sparkSession
 
-    def _edges(self, fk: ForeignKey) -> DataFrame:
+    def _staying(self, name: str, reached: Keys) -> DataFrame:
+        """The rows of a table that don't go."""
+        df, key = self.tables[name]
+        rest = df.join(reached[name].withColumnRenamed("key", key), key, "left_anti") if name in reached else df
+        for fk in self.fks:
+            # reached rows of this table have gone already; rows without a key of their own go by their reference
+            if fk.child == name and fk.action == "c" and fk.parent in reached:
+                rest = rest.join(reached[fk.parent].withColumnRenamed("key", fk.column), fk.column, "left_anti")
+        return rest if rest is df else rest.select(*df.columns)
+
+    def _edges(self, fk: ForeignKey, rows: DataFrame | None = None) -> DataFrame:
         """(below, above): the referencing rows' own keys and the keys they reference, a row's own aside."""
         df, key = self.tables[fk.child]
+        df = df if rows is None else rows
         own = F.col(key) if key else F.lit(None)
         rows = df.select(own.alias("below"), F.col(fk.column).alias("above")).where("above is not null")
         return rows.where("not below <=> above") if fk.child == fk.parent else rows
@@ -132,7 +143,8 @@ class CascadeGraph:
             found[name] = keys if name not in found else found[name].unionByName(keys)
         for fk in self.fks:
             if fk.action in "ra" and fk.parent in reached:
-                add(fk.parent, reached[fk.parent].join(self._edges(fk).select(F.col("above").alias("key")), "key", "left_semi"))
+                rows = self._edges(fk, self._staying(fk.child, reached) if fk.action == "a" else None)
+                add(fk.parent, reached[fk.parent].join(rows.select(F.col("above").alias("key")), "key", "left_semi"))
         while found:
             new = {name: blocked.add(name, keys) for name, keys in found.items()}
             found.clear()
@@ -167,21 +179,13 @@ class CascadeGraph:
     def remaining(self, reached: Keys) -> dict[str, DataFrame]:
         """The tables without the rows that go, and with the references to them cleared or set."""
         out: dict[str, DataFrame] = {}
-        for name, (df, key) in self.tables.items():
-            rest = df
-            if name in reached:
-                rest = rest.join(reached[name].withColumnRenamed("key", key), key, "left_anti").select(*df.columns)
+        for name, (df, _) in self.tables.items():
+            rest = self._staying(name, reached)
             for fk in self.fks:
-                if fk.child != name or fk.parent not in reached or fk.action in "ra":
-                    continue
-                gone = reached[fk.parent].withColumnRenamed("key", fk.column)
-                if fk.action == "c":
-                    # a row that references itself or a reached row goes; reached rows of this table have gone above
-                    rest = rest.join(gone, fk.column, "left_anti").select(*df.columns)
-                    continue
-                j = rest.join(gone.withColumn("_gone", F.lit(True)), fk.column, "left")
-                value = F.when(F.col("_gone"), F.lit(fk.default)).otherwise(F.col(fk.column)).cast(df.schema[fk.column].dataType)
-                rest = j.select(*[value.alias(c) if c == fk.column else F.col(c) for c in df.columns])
+                if fk.child == name and fk.parent in reached and fk.action in "nd":
+                    gone = reached[fk.parent].withColumnRenamed("key", fk.column).withColumn("_gone", F.lit(True))
+                    value = F.when(F.col("_gone"), F.lit(fk.default)).otherwise(F.col(fk.column)).cast(df.schema[fk.column].dataType)
+                    rest = rest.join(gone, fk.column, "left").select(*[value.alias(c) if c == fk.column else F.col(c) for c in df.columns])
             if rest is not df:
                 out[name] = rest
         return out
@@ -191,23 +195,26 @@ def cascade_delete(tables: dict[str, tuple[DataFrame, str | None]], fks: list[Fo
                    target_col: str = "target_id") -> Cascade:
     """Delete the ``targets`` (keys of ``root``) and all that their keys say must go or change with them.
 
-    Each target is judged alone, against the state before: one that a restrict or no-action key stands against at any
-    level is refused and nothing of it goes, unless another target takes it along. A null target is ignored; one
-    that is no key of ``root`` deletes nothing and is accepted.
+    A target that a restricting key stands against at any level is refused and nothing of it goes, unless another
+    target takes it along. A restrict key counts the rows before the deletion, a no-action key those that are left
+    after it, so a row that goes itself holds nothing back by the latter. A null target is ignored; one that is no key
+    of ``root`` deletes nothing and is accepted. Targets are refused until what the others reach can go, round by round.
     """
     graph = CascadeGraph(tables, fks)
     if tables[root][1] is None:
         raise ValueError(f"{root} needs a key column")
     kind = tables[root][0].schema[tables[root][1]].dataType
-    targets = targets.select(F.col(target_col).cast(kind).alias("key")).where("key is not null").distinct()
-    reached = graph.reach(root, targets)
-    if root not in reached:
-        return Cascade(targets, targets, reached, {}, graph.impact(reached))
-    asked = reached[root].join(targets, "key", "left_semi")
-    blocked = graph.blocked(reached)
-    if root not in blocked:
-        return Cascade(asked, asked.where(F.lit(False)), reached, graph.remaining(reached), graph.impact(reached))
-    refused = asked.join(blocked[root], "key", "left_semi")
-    accepted = asked.join(blocked[root], "key", "left_anti")
-    reached = graph.reach(root, accepted)
-    return Cascade(accepted, refused, reached, graph.remaining(reached), graph.impact(reached))
+    accepted = targets.select(F.col(target_col).cast(kind).alias("key")).where("key is not null").distinct()
+    empty = accepted.where(F.lit(False))
+    refused = Keys(graph.spark)
+    while True:
+        reached = graph.reach(root, accepted)
+        blocked = graph.blocked(reached)
+        if root not in blocked:
+            break
+        asked = Keys(graph.spark)
+        held = reached[root].join(accepted, "key", "left_semi")
+        refused.add(root, held.join(blocked[root], "key", "left_semi"))
+        asked.add(root, held.join(blocked[root], "key", "left_anti"))
+        accepted = asked[root] if root in asked else empty
+    return Cascade(accepted, refused[root] if root in refused else empty, reached, graph.remaining(reached), graph.impact(reached))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import access as acc
+from tessera.operators import cascade as cas
 from tessera.operators import changes as ch
 from tessera.sources import publish as pub
 
@@ -103,3 +104,40 @@ def commit_deletions(targets: DataFrame, accounts: DataFrame, grants: DataFrame,
                                                                       grants=grants, caller=caller)
     pub.publish(tables, root, base_version)
     return decisions
+
+
+# account erasure along the whole foreign-key graph: M6 -> M8 (transitive) -> M7 -> M9 -> publish
+def commit_cascading_deletions(targets: DataFrame, tables: dict[str, tuple[DataFrame, str | None]], fks: list[cas.ForeignKey],
+                               caller, root: str, accounts: str = "accounts", grants: str = "grants",
+                               sessions: str | None = None, tokens: str | None = None, target_col: str = "target_id",
+                               base_version: int | None = None) -> DataFrame:
+    """Delete the accounts M6 accepts and all that the foreign keys ``fks`` of ``tables`` (name -> (df, key column)) say goes or
+    changes with them, at any depth; returns the decisions.
+
+    A target that a restricting key stands against at any level is refused, and nothing of it goes. Attribution on
+    grants is cleared first (M7), so who granted a right doesn't hold its giver back. Every table that changes is
+    published in one version, with ``impact`` and the number of refused targets in its notes.
+    """
+    rights = tables[grants][0]
+    decisions = ch.delete_decisions(targets, tables[accounts][0], rights, caller, target_col)
+    asked = decisions.filter("accepted").select(target_col).distinct()
+
+    def delete(some: DataFrame) -> cas.Cascade:
+        cleared = ch.clear_attribution(rights, some, target_col)
+        return cas.cascade_delete(tables | {grants: (cleared, tables[grants][1])}, fks, some, accounts, target_col)
+    done = delete(asked)
+    refused = done.refused.select(F.col("key").alias(target_col), F.lit(True).alias("_blocked"))
+    if not refused.isEmpty():  # the attribution of refused targets stays: once more for the others alone
+        done = delete(done.accepted.select(F.col("key").alias(target_col)))
+    gone = done.accepted.select(F.col("key").alias(target_col))
+    decisions = (decisions.join(refused, target_col, "left")
+                 .withColumn("reason_code", F.when(F.col("_blocked"), F.lit("blocked")).otherwise(F.col("reason_code")))
+                 .withColumn("reason", F.when(F.col("_blocked"), F.concat("email", F.lit(BLOCKED_REASON))).otherwise(F.col("reason")))
+                 .withColumn("accepted", F.col("accepted") & F.col("_blocked").isNull()).drop("_blocked"))
+    left = {grants: ch.clear_attribution(rights, gone, target_col)} | done.tables
+    if sessions and tokens:
+        _, left[sessions], left[tokens] = ch.end_sessions(left.get(sessions, tables[sessions][0]), left.get(tokens, tables[tokens][0]),
+                                                          gone, target_col, grants=rights, caller=caller)
+    impact = [r.asDict() for r in done.impact.collect()]  # one row per foreign key
+    pub.publish(left, root, base_version, notes={"impact": impact, "refused": refused.count()})
+    return decisions

@@ -8,6 +8,7 @@ from tessera.functions import scalar as sx
 from tessera.operators import changes as ch
 from tessera.operators import hashtree as ht
 from tessera.operators import integrity as ig
+from tessera.operators import reconcile as rec
 from tessera.plans.fixtures import BASE_TABLES, Workspace, duckdb_ctes
 from tessera.plans.registry import register
 
@@ -84,14 +85,16 @@ def s10_check_request_grants(spark, sf_dir):
 
 
 @register("s10_duplicate_line_keys", duckdb_ctes("fx_claim_lines") + """
-select 'duplicate_key' as "constraint", cast(l_orderkey as varchar) || '|' || cast(l_linenumber as varchar) as key,
+select 'duplicate_key' as "constraint", coalesce(cast(l_orderkey as varchar), '~NULL~') || '|' || coalesce(cast(l_linenumber as varchar), '~NULL~') as key,
        'l_orderkey,l_linenumber' as "column", cast(count(*) as varchar) as value
-from fx_claim_lines group by l_orderkey, l_linenumber having count(*) > 1""")
+from fx_claim_lines group by l_orderkey, l_linenumber having count(*) > 1
+union all
+select 'not_null', coalesce(cast(l_orderkey as varchar), '~NULL~') || '|' || coalesce(cast(l_linenumber as varchar), '~NULL~'), c, null
+from fx_claim_lines, (values ('l_orderkey'), ('l_linenumber')) t(c)
+where (c = 'l_orderkey' and l_orderkey is null) or (c = 'l_linenumber' and l_linenumber is null)""")
 def s10_duplicate_line_keys(spark, sf_dir):
-    ws = Workspace(spark, sf_dir)
-    return ig.check_constraints(ws.fx_claim_lines.filter(F.col("l_orderkey").isNotNull()
-                                                         & F.col("l_linenumber").isNotNull()),
-                                pk=("l_orderkey", "l_linenumber")).filter(F.col("constraint") == "duplicate_key")
+    """Every violation of the lines' key."""
+    return ig.check_constraints(Workspace(spark, sf_dir).fx_claim_lines, pk=("l_orderkey", "l_linenumber"))
 
 
 @register("s11_vocabulary_profile", duckdb_ctes("fx_claims") + f"""
@@ -302,6 +305,16 @@ def u3_row_diff(spark, sf_dir):
     return ig.row_diff(ws.fx_claims, _copy(ws))
 
 
+@register("u3_reconciled", duckdb_ctes("fx_claims") + _COPY_SQL + """
+select *, 'lost' as side, count(*) as n from (select * from fx_claims except all select * from copy) group by all
+union all
+select *, 'added' as side, count(*) as n from (select * from copy except all select * from fx_claims) group by all""")
+def u3_reconciled(spark, sf_dir):
+    """The same differences through invertible Bloom lookup tables: only sums and differing rows are shuffled."""
+    ws = Workspace(spark, sf_dir)
+    return rec.reconcile(ws.fx_claims, _copy(ws))
+
+
 def _with_probes(ws: Workspace):
     c = ws.fx_claims
     probes = (c.filter(F.col("tax_year") == 1995)

@@ -154,13 +154,17 @@ _TYPE_MAP = {"BIGINT": "bigint", "VARCHAR": "string", "DOUBLE": "double", "INTEG
 
 
 @register("s8_schema_inventory", f"""
+with n as ({" union all ".join(f"select '{t}' as tbl, count(*) as rows from {t}" for t in sorted(BASE_TABLES))}),
+     f as ({" union all ".join(f"select '{t}' as tbl, name, filled from (unpivot (select count(columns(*)) as '\\0' from {t}) on columns(*) into name name value filled)" for t in sorted(BASE_TABLES))})
 select table_name as tbl, cast(ordinal_position as integer) as position, column_name as "column",
        case data_type {" ".join(f"when '{k}' then '{v}'" for k, v in _TYPE_MAP.items())} else lower(data_type) end
        as type, is_nullable = 'YES' as nullable
-from information_schema.columns where table_name in {tuple(sorted(BASE_TABLES))!r}""")
+       , n.rows, f.filled
+from information_schema.columns c join n on n.tbl = c.table_name
+join f on f.tbl = c.table_name and f.name = c.column_name""")
 def s8_schema_inventory(spark, sf_dir):
     ws = Workspace(spark, sf_dir)
-    return ex.schema_inventory(spark, {t: ws.table(t) for t in BASE_TABLES})
+    return ex.schema_inventory({t: ws.table(t) for t in BASE_TABLES})
 
 
 @register("s8_export_counts", "\nunion all\n".join(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Schemas that belong to the hosting platform, never copied,
@@ -42,11 +42,18 @@ def export_counts(counts: DataFrame, path: str) -> None:
     counts.orderBy(F.col("tbl").asc_nulls_last()).write.mode("errorifexists").option("header", True).csv(path)
 
 
-def schema_inventory(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
-    """(tbl, position, column, type, nullable) for every table: metadata only,
-    read from the DataFrame schemas (no data is scanned)."""
-    rows = []
+def schema_inventory(tables: dict[str, DataFrame]) -> DataFrame:
+    """(tbl, position, column, type, nullable, rows, filled) for every column of every table.
+
+    ``filled`` counts the rows whose value isn't null, in one aggregate per table, so that the inventories of two copies
+    tell a column that arrived empty from one that arrived.
+    """
+    out = None
     for name, df in sorted(tables.items()):
-        for i, f in enumerate(df.schema.fields, start=1):
-            rows.append((name, i, f.name, f.dataType.simpleString(), f.nullable))
-    return spark.createDataFrame(rows, "tbl string, position int, column string, type string, nullable boolean")
+        held = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(F.col(f"`{c}`")).alias(f"_n{i}") for i, c in enumerate(df.columns)])
+        each = [F.struct(F.lit(i + 1).alias("position"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"),
+                         F.lit(f.nullable).alias("nullable"), F.col("rows"), F.col(f"_n{i}").alias("filled"))
+                for i, f in enumerate(df.schema.fields)]
+        part = held.select(F.lit(name).alias("tbl"), F.inline(F.array(*each)))
+        out = part if out is None else out.unionByName(part)
+    return out

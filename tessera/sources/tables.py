@@ -110,24 +110,21 @@ def page_sizes(spark: SparkSession, path: str) -> DataFrame:
                                         F.json_array_length(F.get_json_object("value", "$.rows")).alias("rows"))
 
 
-def read_paged_json(spark: SparkSession, path: str, schema: StructType | str, check: bool = True) -> DataFrame:
-    """Union of page files that each hold one JSON array (as a paging REST
-    client saves them), with a ``_page_file`` column.
+def read_paged_json(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """Union of page files that each hold one JSON array (as a paging REST client saves them), with
+    a ``_page_file`` column.
 
-    A page that is not a JSON array is an error (a lone object would parse
-    as one row, so the first non-blank character of every file is checked
-    first). Rows come back in file order; order by the key for stable output.
+    Each page is read once, as a whole (a response is at most a page of rows): a page that is not a JSON array,
+    or not JSON, fails the whole read and so whatever would be written from it. A lone object would parse as one row, so the
+    first character is looked at beside the parsing, by a filter that no pruning of columns removes.
     """
-    if check:
-        bad = (spark.read.text(path, wholetext=True)
-               .select(F.input_file_name().alias("f"), F.ltrim(F.col("value")).alias("v"))
-               .filter(~F.col("v").startswith("["))
-               .select("f").limit(1).collect())
-        if bad:
-            raise ValueError(f"unexpected response page (not a JSON array): {bad[0]['f']}")
-    return (spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST")
-            .option("recursiveFileLookup", True).json(path)
-            .withColumn("_page_file", F.col("_metadata.file_path")))
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    pages = (spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+             .select(F.col("_metadata.file_path").alias("_page_file"), "value"))
+    refused = F.raise_error(F.concat(F.lit("unexpected response page (not a JSON array): "), "_page_file")).cast("boolean")
+    arrays = pages.filter(F.when(F.col("value").rlike(r"\A\s*\["), F.lit(True)).otherwise(refused))
+    rows = arrays.select("_page_file", F.explode(F.from_json("value", ArrayType(kind), {"mode": "FAILFAST"})).alias("_row"))
+    return rows.select("_row.*", "_page_file")
 
 
 def page_report(pages: DataFrame) -> DataFrame:

@@ -26,20 +26,24 @@ def plain(tables, fks, targets, root):
                      for j, r in enumerate(tables[fk.child][0]) if r[fk.column] == tables[name][0][i][key]]
         return gone
 
-    def stopped(gone):
+    def stopped(gone, together):
         for fk in fks:
             if fk.action in "ra":
                 rows, (parents, key) = tables[fk.child], tables[fk.parent]
                 keys = {parents[i][key] for i in gone[fk.parent]}
-                for r in rows[0]:
+                for i, r in enumerate(rows[0]):
                     own = fk.child == fk.parent and r[rows[1]] == r[fk.column]
-                    if r[fk.column] is not None and r[fk.column] in keys and not own:
+                    if r[fk.column] is not None and r[fk.column] in keys and not own and not (
+                            fk.action == "a" and i in together[fk.child]):
                         return True
         return False
-    known = {r[tables[root][1]] for r in tables[root][0]}
-    refused = {t for t in targets if t is not None and t in known and stopped(reach({t}))}
-    accepted = {t for t in targets if t is not None} - refused
-    gone = reach(accepted)
+    accepted, refused = {t for t in targets if t is not None}, set()
+    while True:
+        gone = reach(accepted)
+        new = {t for t in accepted if stopped(reach({t}), gone)}
+        if not new:
+            break
+        accepted, refused = accepted - new, refused | new
     left = {}
     for name, (rows, _) in tables.items():
         left[name] = []
@@ -106,6 +110,18 @@ def test_a_restricting_key_refuses_the_targets_above_only(spark):
     assert impact == {("users", "boss"): 0, ("teams", "owner"): 1, ("holds", "team"): 0}
 
 
+def test_no_action_counts_the_rows_that_are_left(spark):
+    """Member rows go with their team, so their no-action key on the user holds nothing back; one of another team does."""
+    tables = {"users": ([{"id": i, "boss": None} for i in (1, 2, 3)], "id"), "teams": ([{"team": 7, "owner": 1}, {"team": 8, "owner": None}], "team"),
+              "members": ([{"team": 7, "user": 1, "note": "a"}, {"team": 8, "user": 2, "note": "b"}, {"team": 7, "user": 3, "note": "c"}], None)}
+    fks = [FK("teams", "owner", "users", "c"), FK("members", "team", "teams", "c"), FK("members", "user", "users", "a")]
+    done = check(spark, tables, SCHEMAS, fks, [1, 2, 3], "users")
+    assert {r.key for r in done.refused.collect()} == {2}
+    assert {r.key for r in check(spark, tables, SCHEMAS, fks, [3], "users").refused.collect()} == {3}
+    fks[2] = FK("members", "user", "users", "r")
+    assert {r.key for r in check(spark, tables, SCHEMAS, fks, [1, 2, 3], "users").refused.collect()} == {1, 2, 3}
+
+
 def test_nothing_to_delete(spark):
     tables = {"users": ([{"id": 1, "boss": None}], "id"), "logs": ([{"user": 1}], None)}
     check(spark, tables, SCHEMAS, [FK("logs", "user", "users", "r")], [], "users")

@@ -156,9 +156,21 @@ def test_paged_json_round_trip_and_refusal(spark, ws, tmp_path):
     assert sorted(r.id for r in got.collect()) == ["1", "2", "3"]
     assert sorted(r.rows for r in tb.page_report(got).collect()) == [1, 2]
     assert tb.columns_seen(spark, str(files)) == ["id", "person"]
-    (files / "p2.json").write_text('{"id": "4"}')
-    with pytest.raises(ValueError):
-        tb.read_paged_json(spark, str(files), schema)
+    for bad in ('{"id": "4"}', '[{"id": "4"', ""):
+        (files / "p2.json").write_text(bad)
+        # whatever is read of the pages, even no column, one bad page refuses them all
+        for use in (lambda df: df.collect(), lambda df: df.count(), lambda df: df.select("person").collect()):
+            with pytest.raises(Exception, match="not a JSON array|MALFORMED"):
+                use(tb.read_paged_json(spark, str(files), schema))
+
+
+def test_each_page_is_read_once(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"p{i}.json").write_text(f' \n[{{"id": "{i}", "other": 1}}]')
+    df = tb.read_paged_json(spark, str(tmp_path), "id string")
+    plan = df._jdf.queryExecution().toString()
+    assert plan.split("== Physical Plan ==")[1].count("FileScan") == 1
+    assert sorted(r.id for r in df.collect()) == ["0", "1", "2"] and df.columns == ["id", "_page_file"]
 
 
 def test_publish_is_all_or_nothing_and_import_refuses_twice(spark, ws, tmp_path):

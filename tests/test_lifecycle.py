@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from tessera.operators import cascade as cas
 from tessera.operators import lifecycle as lc
 from tessera.sources import publish as pub
 
@@ -85,3 +86,33 @@ def test_deletions_cascade_clear_attribution_and_respect_blocking_keys(spark, tm
     assert sorted(r.row_id for r in read("personal").collect()) == [2, 3]
     assert read("audit").count() == 1
     assert sorted(r.user_id for r in read("sessions").collect()) == [1, 2]
+
+
+def test_deletions_along_the_whole_graph(spark, tmp_path):
+    """Folders of an account and their files go with it, comments lose their author; a held file two levels below refuses."""
+    accounts, grants, sessions = base(spark)
+    folders = spark.createDataFrame([(10, 3), (11, 4), (12, 2)], "folder int, owner bigint")
+    files = spark.createDataFrame([(100, 10), (101, 11), (102, 12)], "file int, folder int")
+    holds = spark.createDataFrame([(101,)], "file int")
+    comments = spark.createDataFrame([("a", 3), ("b", 4), ("c", None)], "body string, author bigint")
+    tables = {"accounts": (accounts, "user_id"), "grants": (grants, None), "folders": (folders, "folder"), "files": (files, "file"),
+              "holds": (holds, None), "comments": (comments, None), "sessions": (sessions, None),
+              "tokens": (sessions.select("session_id", "user_id_text"), None)}
+    fks = [cas.ForeignKey("grants", "user_id", "accounts", "c"), cas.ForeignKey("grants", "granted_by", "accounts", "a"),
+           cas.ForeignKey("folders", "owner", "accounts", "c"), cas.ForeignKey("files", "folder", "folders", "c"),
+           cas.ForeignKey("holds", "file", "files", "r"), cas.ForeignKey("comments", "author", "accounts", "n")]
+    targets = spark.createDataFrame([(3,), (4,), (1,)], "target_id bigint")
+    root = str(tmp_path)
+    dec = {r.target_id: r.reason_code for r in lc.commit_cascading_deletions(
+        targets, tables, fks, 1, root, sessions="sessions", tokens="tokens").collect()}
+    assert dec == {3: None, 4: "blocked", 1: "self"}
+    read = lambda n: pub.read_published(spark, root, n)
+    assert sorted(r.user_id for r in read("accounts").collect()) == [1, 2, 4]
+    g = {(r.user_id, r.app): r.granted_by for r in read("grants").collect()}
+    before = {(r.user_id, r.app): r.granted_by for r in grants.collect()}
+    assert g == {k: None if by == 3 else by for k, by in before.items() if k[0] != 3}
+    assert sorted(r.file for r in read("files").collect()) == [101, 102]
+    assert sorted((r.body, r.author) for r in read("comments").collect() if r.author) == [("b", 4)]
+    assert 3 not in {r.user_id for r in read("sessions").collect()}
+    notes = pub.current_manifest(spark, root)["notes"]
+    assert notes["refused"] == 1 and {(i["tbl"], i["column"]): i["rows"] for i in notes["impact"]}["files", "folder"] == 1
