@@ -24,66 +24,89 @@ from tessera.llm.tokens import ENCODE_BYTES, encoder
 
 MAGIC = b"TRP1"
 FILE_IDS = 4 << 20
-ROUNDS = 4
 MIN_PAIRS = 12
-RULES_A_ROUND = 7600
-LEAST_RULES = 512
-TABLE_BITS = 19
+TABLE_BITS = 20
+WIDE = 1 << 24  # symbols take two bytes, or three where a file needs more of them
 
 
-def repair(ids: np.ndarray, last: np.ndarray, base: int, max_rules: int, rounds: int = ROUNDS,
-           min_pairs: int = MIN_PAIRS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, last, rules): ``ids`` with frequent pairs replaced by symbols from ``base`` on.
+def _frequent(seq: np.ndarray, last: np.ndarray, min_pairs: int, turn: int, exact: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(at, name, count): places whose pair is frequent, a small number for each pair, and how often it was counted.
 
-    ``last`` marks the last id of each document. A round counts all pairs in a table of hash cells,
-    gives the pair found in each of the fullest cells a rule if it occurs ``min_pairs`` times, and
-    replaces it from left to right where it doesn't overlap a pair replaced before it. Symbols of
-    earlier rounds pair up in later ones. Rounds end when one gains too little.
+    Pairs are counted in a table of hash cells first; one that is frequent lies in a full cell. Then ``exact`` counts every
+    pair of the full cells, else one pair of each cell is counted and the others are left for another turn, which
+    hashes otherwise.
     """
-    seq = ids.astype(np.uint32)
-    rules = np.zeros((0, 2), dtype=np.uint32)
-    for _ in range(rounds):
-        room = min(RULES_A_ROUND, max_rules - len(rules))
-        if len(seq) < 2 or room < LEAST_RULES:  # a round reads all symbols: not for a few rules more
-            break
-        cell = ((seq[:-1] * np.uint32(2654435761)) ^ (seq[1:] * np.uint32(2246822519) + np.uint32(374761393)))
-        cell = ((cell ^ (cell >> np.uint32(15))) >> np.uint32(32 - TABLE_BITS - 4) & np.uint32((1 << TABLE_BITS) - 1)).astype(np.int64)
-        cell[last[:-1]] = 1 << TABLE_BITS  # pairs across documents share a cell that is never full
-        count = np.bincount(cell, minlength=(1 << TABLE_BITS) + 1)
-        count[-1] = 0
-        order = np.bincount(np.minimum(count, 1 << 16))
-        fuller = np.cumsum(order[::-1])[::-1]  # cells with at least so many pairs
-        least = max(min_pairs, int(np.searchsorted(-fuller, -room)))
-        at = np.flatnonzero((count >= least)[cell])
-        if not len(at):
-            break
-        pair = seq[at].astype(np.int64) << 32 | seq[at + 1]
-        named = np.full(1 << TABLE_BITS, -1, dtype=np.int64)
-        named[cell[at]] = pair
-        at = at[named[cell[at]] == pair]
-        # of pairs that overlap in a run, every other one is replaced
-        fresh = np.concatenate(([True], np.diff(at) != 1))
-        start = at[fresh][np.cumsum(fresh) - 1]
-        at = at[(at - start) % 2 == 0]
-        times = np.bincount(cell[at], minlength=1 << TABLE_BITS)
+    one, two, add = (np.uint32(m * (2 * turn + 1) & 0xFFFFFFFF) for m in (2654435761, 2246822519, 374761393))
+    cell = (seq[:-1] * one) ^ (seq[1:] * two + add)
+    cell = ((cell ^ (cell >> np.uint32(15))) * np.uint32(2654435761) >> np.uint32(32 - TABLE_BITS)).astype(np.int32)
+    cell[last[:-1]] = 1 << TABLE_BITS  # pairs across documents share a cell that is never full
+    full = np.bincount(cell, minlength=(1 << TABLE_BITS) + 1) >= min_pairs
+    full[-1] = False
+    at = np.flatnonzero(full[cell])
+    pair = seq[at].astype(np.int64) << 32 | seq[at + 1]
+    if exact:
+        _, name, counts = np.unique(pair, return_inverse=True, return_counts=True)
+    else:
+        name = cell[at]
+        named = np.zeros(1 << TABLE_BITS, dtype=np.int64)
+        named[name] = pair
+        same = named[name] == pair
+        at, name = at[same], name[same]
+        counts = np.bincount(name, minlength=1 << TABLE_BITS)
+    often = (counts >= min_pairs)[name]
+    at, name = at[often], name[often]
+    return at, name, counts[name]
+
+
+def repair(ids: np.ndarray, last: np.ndarray, base: int, min_pairs: int = MIN_PAIRS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, last, rules): ``ids`` with frequent pairs replaced by symbols from ``base`` on, until none is left.
+
+    ``last`` marks the last id of each document. A round gives a rule to every pair that it can replace
+    ``min_pairs`` times, where of overlapping pairs the more frequent one is replaced (of equal ones, as in a run of one symbol,
+    every other one from the left). Symbols of earlier rounds pair up in later ones. Rounds that find few pairs are followed by one
+    that counts all of them exactly; when that one finds none, no pair occurs ``min_pairs`` times (runs of one symbol counted by halves).
+    """
+    seq, last = ids.astype(np.uint32), last.copy()
+    rules: list[np.ndarray] = []
+    made, turn, exact = 0, 0, False
+    while len(seq) > 1 and base + made < WIDE:
+        at, name, count = _frequent(seq, last, min_pairs, turn, exact)
+        turn += 1
+        # every other pair of a run of one symbol
+        run = np.flatnonzero(seq[at] == seq[at + 1])
+        if len(run):
+            place = at[run]
+            fresh = np.concatenate(([True], np.diff(place) != 1))
+            start = place[fresh][np.cumsum(fresh) - 1]
+            drop = run[(place - start) % 2 == 1]
+            at, name, count = np.delete(at, drop), np.delete(name, drop), np.delete(count, drop)
+        # of neighbours that overlap, the more frequent pair stays, of equally frequent ones the one with the larger number
+        weight = np.zeros(len(seq) + 2, dtype=np.int64)
+        weight[at + 1] = own = count << 24 | name
+        keep = (own > weight[at]) & (own > weight[at + 2])
+        at, name = at[keep], name[keep]
+        times = np.bincount(name)
         used = np.flatnonzero(times >= min_pairs)
-        used = used[np.argsort(-times[used], kind="stable")][:room]
         if not len(used):
-            break
-        symbol = np.full(1 << TABLE_BITS, -1, dtype=np.int64)
-        symbol[used] = base + len(rules) + np.arange(len(used))
-        at = at[symbol[cell[at]] >= 0]
-        rules = np.concatenate((rules, np.stack((named[used] >> 32, named[used] & 0xFFFFFFFF), axis=1).astype(np.uint32)))
-        gone = len(at)
-        seq[at] = symbol[cell[at]]
+            if exact:
+                break
+            exact = True
+            continue
+        symbol = np.full(len(times), -1, dtype=np.int64)
+        symbol[used] = base + made + np.arange(len(used))
+        new = symbol[name]
+        at, new = at[new >= 0], new[new >= 0]
+        rule = np.empty((len(used), 2), dtype=np.uint32)
+        rule[new - base - made] = np.stack((seq[at], seq[at + 1]), axis=1)
+        rules.append(rule)
+        made += len(used)
+        seq[at] = new
+        last[at] = last[at + 1]
         keep = np.ones(len(seq), dtype=bool)
         keep[at + 1] = False
-        last = last.copy()
-        last[at] = last[at + 1]
+        exact = len(at) < 0.01 * len(seq)
         seq, last = seq[keep], last[keep]
-        if gone < 0.01 * len(seq):
-            break
-    return seq, last, rules
+    return seq, last, np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32)
 
 
 def expansions(base: int, rules: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,15 +127,16 @@ def write_file(out, doc_ids: list[int | None], encoded: list[bytes]) -> None:
     last = np.zeros(len(ids), dtype=bool)
     last[np.cumsum(sizes).astype(np.int64) - 1] = True
     base = int(ids.max()) + 1
-    narrow = base <= 1 << 16
-    symbols, last, rules = repair(ids, last, base, (1 << 16) - base if narrow else 1 << 16)
+    symbols, last, rules = repair(ids, last, base)
+    narrow = base + len(rules) <= 1 << 16
     length = expansions(base, rules)[2][base:]
     ends = np.flatnonzero(last).astype("<u8") + 1
     known = np.array([d is not None for d in doc_ids], dtype=np.uint8)
     numbers = np.array([d or 0 for d in doc_ids], dtype="<i8")
-    body = b"".join([np.array([2 if narrow else 4, base, len(rules), len(doc_ids), len(symbols), len(ids)], dtype="<u8").tobytes(),
+    body = b"".join([np.array([2 if narrow else 3, base, len(rules), len(doc_ids), len(symbols), len(ids)], dtype="<u8").tobytes(),
                      rules.astype("<u4").tobytes(), length.astype("<u4").tobytes(), known.tobytes(), numbers.tobytes(),
-                     sizes.tobytes(), ends.tobytes(), symbols.astype("<u2" if narrow else "<u4").tobytes()])
+                     sizes.tobytes(), ends.tobytes(), (symbols & 0xFFFF).astype("<u2").tobytes(),
+                     b"" if narrow else (symbols >> 16).astype("u1").tobytes()])
     out.write(MAGIC + body + zlib.crc32(body).to_bytes(4, "little"))
 
 
@@ -135,7 +159,9 @@ class TokenFile:
         self.doc_ids = [d if k else None for k, d in zip(known.tolist(), numbers.tolist())]
         self.sizes = take("<u8", n_docs).astype(np.int64)
         self.ends = take("<u8", n_docs).astype(np.int64)
-        self.symbols = take(f"<u{width}", n_symbols)
+        self.symbols = take("<u2", n_symbols)
+        if width == 3:
+            self.symbols = self.symbols | take("u1", n_symbols).astype(np.uint32) << 16
         self._flat, self._start, self._length = expansions(base, rules)
         if not np.array_equal(self._length[base:], length):
             raise ValueError("the expansion lengths aren't those of the rules")

@@ -342,6 +342,45 @@ def test_repair_round_trip(documents, top):
     assert f.ids(a, b).tolist() == flat[a:b]
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 4), min_size=1, max_size=60), min_size=1, max_size=6), st.integers(2, 5), st.integers(0, 3))
+def test_repair_leaves_no_frequent_pair(documents, least, bits):
+    """Also where many pairs share a hash cell: rules expand to the ids, and no pair within a document is left often enough."""
+    held, tokenfile.TABLE_BITS = tokenfile.TABLE_BITS, bits + 1
+    try:
+        ids = np.array(sum(documents, []), dtype="<u4")
+        last = np.zeros(len(ids), dtype=bool)
+        last[np.cumsum([len(d) for d in documents]) - 1] = True
+        seq, ends, rules = tokenfile.repair(ids, last, 5, least)
+    finally:
+        tokenfile.TABLE_BITS = held
+    flat, start, length = tokenfile.expansions(5, rules)
+    assert np.concatenate([flat[start[s]:start[s] + length[s]] for s in seq]).tolist() == ids.tolist()
+    assert ends.sum() == len(documents) and len(rules) == len({tuple(r) for r in rules.tolist()})
+    left = Counter()
+    for d in np.split(seq, np.flatnonzero(ends) + 1):
+        before, skip = None, False
+        for pair in zip(d.tolist(), d.tolist()[1:]):
+            skip = pair == before and pair[0] == pair[1] and not skip  # every other one of a run
+            left[pair] += not skip
+            before = pair
+    assert max(left.values(), default=0) < least
+
+
+def test_repair_of_a_long_passage():
+    """A passage of 1,000 ids in 30 documents becomes a few symbols; a file may need wide symbols."""
+    rng = np.random.default_rng(4)
+    passage = rng.integers(0, 60_000, 1000)
+    docs = [np.concatenate((rng.integers(0, 60_000, 20), passage)).astype("<u4") for _ in range(30)]
+    docs += [np.repeat(rng.integers(0, 60_000, 400), 2).astype("<u4")] * 12 + [np.array([60_000 - 1], dtype="<u4")]
+    docs += [np.arange(i, 60_000, 7, dtype="<u4") for i in range(7)] * 12
+    out = io.BytesIO()
+    tokenfile.write_file(out, list(range(len(docs))), [d.tobytes() for d in docs])
+    f = tokenfile.TokenFile(out.getvalue())
+    assert max(f._length) >= 500 and len(f.symbols) < 5000
+    assert all(np.array_equal(f.document(i), d) for i, d in enumerate(docs))
+
+
 def test_repair_compresses_and_notices_damage():
     rng = np.random.default_rng(0)
     phrase = rng.integers(0, 500, 20)
