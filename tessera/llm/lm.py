@@ -1,7 +1,8 @@
 """Scoring texts with a log-bilinear language model trained by noise-contrastive estimation.
 
-A token's probability is P(class | the classes before it) * P(token | class). Frequent words are classes
-of their own; the others share the class of their last two characters, or one for rare endings.
+A token's probability is P(class | the classes before it) * P(token | class). Words that make up a stated share of
+all training tokens are classes of their own; the others share the class of their last two characters, where that makes
+up such a share, or one for rare endings. So the classes follow the corpus, and are never more than the share allows.
 The first factor is the neural model: the vectors of the preceding classes, each through the matrix
 of its position, add up to a predicted vector, whose products with the classes' output vectors
 plus their biases are the scores, normalised over all classes. It is trained in numpy on every
@@ -28,9 +29,9 @@ from tessera.llm.common import table_of, text_bytes, text_slices
 
 HEAD_WORDS = 1 << 17
 HEAD_BYTES = 64
-OWN_CLASSES = 255
-SUFFIX_CLASSES = 255
+CLASS_SHARE = 1 / 4096  # of all training tokens: words and endings with as much are classes of their own
 SUFFIX = 2
+ROUNDS = 3  # of training and averaging, each on its part of the documents
 CONTEXT = 2
 DIMENSIONS = 16
 NOISE = 64
@@ -72,7 +73,7 @@ class Vocabulary:
                  tokens: int, types: int):
         """head: (word, n), most frequent first; suffixes: (ending, tokens, types) of the shared classes."""
         self.tokens, self.types = tokens, types
-        own = [(w, n) for w, n in head if w != ""][:OWN_CLASSES]
+        own = [(w, n) for w, n in head if w != "" and n >= CLASS_SHARE * tokens]
         ends = sum(n for w, n in head if w == "")
         self.suffix_class = {s: 1 + len(own) + i for i, (s, _, _) in enumerate(suffixes)}
         self.rest_class = 1 + len(own) + len(suffixes)
@@ -134,11 +135,11 @@ def vocabulary(counts: DataFrame, head_words: int = HEAD_WORDS) -> Vocabulary:
     head.sort(key=lambda x: (-x[1], x[0]))
     if all(w != "" for w, _ in head):
         head += [(r[0], r[1]) for r in counts.where("word = ''").collect()]
-    own = [w for w, _ in head if w != ""][:OWN_CLASSES]
+    own = [w for w, n in head if w != "" and n >= CLASS_SHARE * tokens]
     shared = counts.where(~F.col("word").isin(["", *own]))
     ending = F.substring("word", -SUFFIX, SUFFIX)
     groups = shared.groupBy(ending.alias("ending")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"))
-    suffixes = [tuple(r) for r in groups.orderBy(F.desc("n"), "ending").limit(SUFFIX_CLASSES).collect()]
+    suffixes = [tuple(r) for r in groups.where(F.col("n") >= CLASS_SHARE * tokens).orderBy(F.desc("n"), "ending").collect()]
     all_n, all_v = shared.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     rest = (all_n - sum(s[1] for s in suffixes), all_v - sum(s[2] for s in suffixes))
     return Vocabulary(head, suffixes, rest, tokens, types)
@@ -213,9 +214,10 @@ class LogBilinear:
             for p, total, g in zip(self.parameters(), grown, (d_into, d_out, d_mix, d_bias.astype(np.float32))):
                 step(p, total, g)
 
-    def log10_probabilities(self, contexts: np.ndarray, targets: np.ndarray, step: int = 4096) -> np.ndarray:
+    def log10_probabilities(self, contexts: np.ndarray, targets: np.ndarray, cells: int = 1 << 21) -> np.ndarray:
         """Normalised log-probabilities of classes; each different context is normalised once."""
         k = len(self.bias)
+        step = max(1, cells // k)
         key = contexts[0].astype(np.int64)
         for c in contexts[1:]:
             key = key * k + c
@@ -238,29 +240,37 @@ class LogBilinear:
         return (own - norm[inverse]) / math.log(10)
 
 
-def trained(docs: DataFrame, words: Vocabulary, seed: int = 11) -> LogBilinear:
-    """The model after one pass over ``docs``.
+def trained(docs: DataFrame, words: Vocabulary, seed: int = 11, rounds: int = ROUNDS) -> LogBilinear:
+    """The model after one pass over ``docs``, in ``rounds`` parts.
 
-    Each task trains a model of its own on its texts from the same start; the models are averaged, each
-    weighing as many tokens as it saw, first in a fixed number of tasks and then those few on
-    the driver. A model is a few ten thousand numbers, whatever the corpus.
+    In each round every task trains on its texts of that part from the model of the round before, with the step sizes reached
+    there; models and step sizes are averaged, each weighing as many tokens as it saw, first in a fixed number of
+    tasks and then those few on the driver. The number of rounds doesn't follow the number of tasks. A model is as large as its
+    classes, whatever the corpus.
     """
     spark = docs.sparkSession
     model = LogBilinear(words.classes, words.class_tokens, seed)
     shared = spark.sparkContext.broadcast(cloudpickle.dumps(words))
+    start, size = np.concatenate((model.vector(), np.zeros_like(model.vector()))), len(model.vector())
     schema = pa.schema([("tokens", pa.int64()), ("parameters", pa.binary())])
-
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pickle.loads(shared.value)
-        own = LogBilinear(known.classes, known.class_tokens, seed)
-        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
-        grown, seen = [np.zeros_like(p) for p in own.parameters()], 0
-        for b in text_slices(batches):
-            _, sizes, _, classes = known.encode(text_bytes(b))
-            own.train(own.contexts(classes, sizes), classes, rng, grown)
-            seen += len(classes)
-        if seen:
-            yield pa.RecordBatch.from_pylist([{"tokens": seen, "parameters": own.vector().tobytes()}], schema)
+    part = F.pmod(F.xxhash64("text"), F.lit(rounds))
+
+    def fitting(turn: int, begin):
+        def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = pickle.loads(shared.value)
+            own = LogBilinear(known.classes, known.class_tokens, seed)
+            own.load(begin.value[:size])
+            rng = np.random.default_rng([seed, turn, TaskContext.get().partitionId()])
+            held, seen = LogBilinear(known.classes, known.class_tokens, seed), 0
+            held.load(begin.value[size:])
+            for b in text_slices(batches):
+                _, sizes, _, classes = known.encode(text_bytes(b))
+                own.train(own.contexts(classes, sizes), classes, rng, held.parameters())
+                seen += len(classes)
+            if seen:
+                yield pa.RecordBatch.from_pylist([{"tokens": seen, "parameters": np.concatenate((own.vector(), held.vector())).tobytes()}],
+                                                 schema)
+        return fit
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, mean = 0, None
@@ -271,11 +281,15 @@ def trained(docs: DataFrame, words: Vocabulary, seed: int = 11) -> LogBilinear:
                 mean = v if mean is None else mean + (v - mean) * (row["tokens"] / total)
         if mean is not None:
             yield pa.RecordBatch.from_pylist([{"tokens": total, "parameters": mean.astype(np.float32).tobytes()}], schema)
-    models = table_of(docs.select("text").mapInArrow(fit, "tokens long, parameters binary"), "models")
-    few = models.repartition(AVERAGERS).mapInArrow(average, "tokens long, parameters binary").collect()
-    if few:
-        total = sum(r["tokens"] for r in few)
-        model.load(sum(np.frombuffer(r["parameters"], dtype=np.float32).astype(np.float64) * (r["tokens"] / total) for r in few))
+    for turn in range(rounds):
+        fit = fitting(turn, spark.sparkContext.broadcast(start))
+        models = table_of(docs.where(part == turn).select("text").mapInArrow(fit, "tokens long, parameters binary"), "models")
+        few = models.repartition(AVERAGERS).mapInArrow(average, "tokens long, parameters binary").collect()
+        if few:
+            total = sum(r["tokens"] for r in few)
+            start = sum(np.frombuffer(r["parameters"], dtype=np.float32).astype(np.float64) * (r["tokens"] / total)
+                        for r in few).astype(np.float32)
+    model.load(start[:size])
     return model
 
 

@@ -201,8 +201,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, fi
 
     Returns the manifest (path, part, nth, docs, ids), made as files are written; files in order of
     (part, nth) hold the documents in order. Each document is its ids and ``end_id``; a null text is
-    empty; rows of one doc_id are in order of their texts. Documents move once, by range of
-    doc_id; a file is closed at about ``file_ids`` ids and named only when it is whole.
+    empty; rows of one doc_id (or of none) are in order of a hash of their texts, and so spread over ranges, equal ones by
+    their place in the input. Documents move once, by range of that order; a file is closed at about ``file_ids`` ids and named only when it is whole.
     """
     where = qualified(docs.sparkSession, path).rstrip("/")
 
@@ -232,7 +232,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, fi
                     names, held, size, nth = [], [], 0, nth + 1
         if names:
             yield flush()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").select(
+        "*", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), F.monotonically_increasing_id().alias("nth"))
+    order = [F.asc_nulls_first("doc_id"), F.col("hash"), F.col("nth")]
+    texts = texts.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     return texts.mapInArrow(write, "path string, part long, nth long, docs long, ids long")
 
 

@@ -147,7 +147,8 @@ def test_simhash_edges(edge, none):
     assert kept.columns == edge.columns
     keys = sorted((r.doc_id is None, r.doc_id or 0, (r.text or "")[:12]) for r in kept.collect())
     assert keys == [(False, 1, "a b c d e f "), (False, 1, "another text"), (False, 2, ""), (False, 5, "x" * 12),
-                    (False, 6, "w0 w1 w2 w3 "), (False, 7, "Été \U0001d4b3 café\nl"), (True, 0, "null id word")]
+                    (False, 6, "w0 w1 w2 w3 "), (False, 7, "Été \U0001d4b3 café\nl"), (False, 8, "one<|endofte"),
+                    (True, 0, "null id word")]
     assert simhash.near_duplicates(none).collect() == [] and simhash.keep_one(none).collect() == []
 
 
@@ -307,9 +308,10 @@ def test_best_fit_fills_bins(sizes):
     assert sum(f <= 10 for f in fill) <= 1  # two bins no fuller than half would have been one
 
 
-def check_token_rows(rows, texts, tokenizer):
+def check_token_rows(rows, docs, tokenizer):
     at, want = 0, []
-    for i, t in sorted(texts, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
+    texts = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit("")))).collect()
+    for i, t, _ in sorted(map(tuple, texts), key=lambda r: (r[0] is not None, r[0] or 0, r[2])):
         ids = ids_of(tokenizer, t, 2)
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
         at += len(ids)
@@ -320,11 +322,20 @@ def test_token_files(docs, doc_rows, tokenizer, spark, tmp_path):
     manifest = tokenfile.write_tokens(docs, tokenizer, str(tmp_path / "t"), file_ids=20_000).cache()
     assert manifest.count() > 3
     rows = tokenfile.read_tokens(manifest).collect()
-    check_token_rows(rows, [(r["doc_id"], r["text"]) for r in doc_rows], tokenizer)
+    check_token_rows(rows, docs, tokenizer)
+
+
+def test_rows_of_one_id_are_spread_over_files(spark, tokenizer, tmp_path):
+    """A third of all rows without an id, another third equal: several tasks write them, in the stated order."""
+    rows = [(None, f"text {i}") for i in range(300)] + [(4, "the same text")] * 300 + [(i, f"t{i}") for i in range(10, 310)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    manifest = tokenfile.write_tokens(df, tokenizer, str(tmp_path / "t")).cache()
+    assert manifest.select("part").distinct().count() >= 6
+    check_token_rows(tokenfile.read_tokens(manifest).collect(), df, tokenizer)
 
 
 def test_token_file_edges(edge, none, tokenizer):
-    check_token_rows(tokenfile.round_trip(edge, tokenizer).collect(), [(r.doc_id, r.text) for r in edge.collect()], tokenizer)
+    check_token_rows(tokenfile.round_trip(edge, tokenizer).collect(), edge, tokenizer)
     assert tokenfile.round_trip(none, tokenizer).collect() == []
 
 
