@@ -168,13 +168,13 @@ def change(spark: SparkSession, root: str, keys: Callable[[DataFrame], DataFrame
             _write_files(rewrite(_rows_of(spark, now, touched)).select(*v.schema.names), v, max(1, len(touched))).collect(), v.listing_type())
         gone = spark.createDataFrame([(p,) for p in touched], "path string")
         while True:
-            listing = now.files(spark).join(F.broadcast(gone), "path", "left_anti").unionByName(added)
+            listing = now.files(spark).join(gone, "path", "left_anti").unionByName(added)
             if _commit(spark, v, now.number + 1, listing, kept_keys):
                 return Change(now.number + 1, len(touched), before - len(touched), added.count())
             # another writer was first: its keys must be others than these
             later = current(spark, root)
             _refuse_shared_keys(spark, v, later, own)
-            still = later.files(spark).join(F.broadcast(gone), "path", "left_semi").count() == len(touched)
+            still = later.files(spark).join(gone, "path", "left_semi").count() == len(touched)
             now, before = later, later.files(spark).count()
             if not still:
                 break  # it rewrote a file that was read here: compute the change from its version
