@@ -218,7 +218,8 @@ def find(docs: DataFrame, remove: float = REMOVE, generalise: float = GENERALISE
     hits = table_of(forms.withColumn("term", F.lower("word")).join(verdicts, "term").select(*key, "nth", "word", label.alias("label")).distinct()
                     .groupBy(*key, "nth").agg(F.collect_list("word").alias("told"), F.map_from_entries(F.collect_list(F.struct("word", "label")))
                                               .alias("labels")), "hits")
-    words = parts.join(hits, [*key, "nth"]).withColumn("pattern", F.concat(F.lit(APART[0]), F.array_join("told", "|"), F.lit(APART[1])))
+    # by merging at every size: with a small table of hits the plan would be another one than at scale
+    words = parts.join(hits.hint("merge"), [*key, "nth"]).withColumn("pattern", F.concat(F.lit(APART[0]), F.array_join("told", "|"), F.lit(APART[1])))
     words = words.withColumn("words", F.expr("regexp_extract_all(part, pattern, 0)")).withColumn("rest", F.expr("split(part, pattern, -1)"))
     terms = words.select(*key, F.explode(F.expr(f"transform({_spans(0, 'term', 'words', 'rest', 'origin')}, x -> struct(x.start as start, "
                                                 "x.stop as stop, labels[x.value] as label))")).alias("t")).select(*key, "t.*")
