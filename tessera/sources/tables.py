@@ -115,14 +115,15 @@ def read_paged_json(spark: SparkSession, path: str, schema: StructType | str) ->
     a ``_page_file`` column.
 
     Each page is read once, as a whole (a response is at most a page of rows): a page that is not a JSON array,
-    or not JSON, fails the whole read and so whatever would be written from it. A lone object would parse as one row, so the
-    first character is looked at beside the parsing, by a filter that no pruning of columns removes.
+    or not JSON, fails the whole read and so whatever would be written from it. A lone object would parse as one row, and
+    columns that aren't asked for aren't parsed, so a filter that no pruning removes looks at every page as an array.
+    A file without a byte is no page and is left out, as Spark does with empty files.
     """
     kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     pages = (spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
              .select(F.col("_metadata.file_path").alias("_page_file"), "value"))
     refused = F.raise_error(F.concat(F.lit("unexpected response page (not a JSON array): "), "_page_file")).cast("boolean")
-    arrays = pages.filter(F.when(F.col("value").rlike(r"\A\s*\["), F.lit(True)).otherwise(refused))
+    arrays = pages.filter(F.when(F.json_array_length("value").isNotNull(), F.lit(True)).otherwise(refused))
     rows = arrays.select("_page_file", F.explode(F.from_json("value", ArrayType(kind), {"mode": "FAILFAST"})).alias("_row"))
     return rows.select("_row.*", "_page_file")
 
