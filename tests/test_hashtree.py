@@ -91,3 +91,23 @@ def test_unscored_pairs_from_bitmaps(spark, monkeypatch):
     assert {u: sorted(p) for u, p in by.items()} == {u: sorted(p) for u, p in want.items() if p}
     none, where = mt.unscored_bitmaps(postings.limit(0), users, matches)
     assert none.count() == 0 and mt.expand_unscored(none, where, users).count() == 0
+
+
+def test_unscored_pairs_are_not_shuffled(spark):
+    """Without broadcasts, pairs are written out above the last exchange; bits at the edges of octets, words, blocks and buckets."""
+    postings = spark.range(40_000).select(F.concat(F.lit("p"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("posting_id"))
+    edges = [0, 7, 8, 31, 32, 63, 4095, 4096, 32_767, 32_768, 39_999]
+    matches = spark.createDataFrame([(u, f"p{e:06d}") for u in (1, 2) for e in edges[u - 1:]], "user_id long, posting_id string")
+    users = spark.createDataFrame([(1,), (2,), (3,)], "user_id long")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = mt.expand_unscored(*mt.unscored_bitmaps(postings, users, matches), users)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" in plan and "Exchange" not in plan[:plan.index("Generate")]
+        left = {u: set() for u in (1, 2, 3)}
+        for r in got.collect():
+            left[r.user_id].add(int(r.posting_id[1:]))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert left == {u: set(range(40_000)) - set(edges[u - 1:] if u < 3 else ()) for u in (1, 2, 3)}
