@@ -29,42 +29,48 @@ from tessera.llm.components import components
 
 BITS = 64
 PAIR_BUCKET = 32
+STEP = 1 << 15  # hashes whose bits are counted at once
 
 
 def fingerprints(texts: list[bytes], shingle: int = 3, seed: int = 42) -> np.ndarray:
     """The fingerprint of each text; a text without words has fingerprint zero.
 
     Words are lower-cased (A-Z) and joined by one space; a text of fewer words than
-    ``shingle`` is one shingle. A bit is set where it is set in over half of the hashes.
+    ``shingle`` is one shingle. A bit is set where it is set in over half of the hashes. Hashes are counted
+    in steps, so memory is bounded by the texts and not by the bits of their shingles.
     """
     hashes: list[int] = []
+    owners: list[int] = []
+    firsts: list[int] = []
     counts = np.zeros(len(texts), dtype=np.int64)
+    ones = np.zeros((len(texts), BITS), dtype=np.int32)
     digest = xxhash.xxh64_intdigest
+
+    def count():
+        if hashes:
+            bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[owners] += np.add.reduceat(bits, firsts, axis=0, dtype=np.int32)
+            for held in (hashes, owners, firsts):
+                held.clear()
     for i, text in enumerate(texts):
         words = text.lower().split()
         n = len(words)
         if not n:
             continue
         line = b" ".join(words)
-        if n <= shingle:
-            hashes.append(digest(line, seed))
-            counts[i] = 1
-            continue
+        counts[i] = k = max(n - shingle + 1, 1)
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=n)
+        del words
         after = np.cumsum(sizes + 1)
-        k = n - shingle + 1
-        starts, ends = (after[:k] - sizes[:k] - 1).tolist(), (after[shingle - 1:] - 1).tolist()
-        hashes.extend([digest(line[s:e], seed) for s, e in zip(starts, ends)])
-        counts[i] = k
-    out = np.zeros(len(texts), dtype="<u8")
-    full = np.flatnonzero(counts)
-    if len(full):
-        bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        first = np.concatenate(([0], np.cumsum(counts[full])[:-1]))
-        ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
-        major = (2 * ones > counts[full][:, None]).astype(np.uint8)
-        out[full] = np.packbits(major, axis=1, bitorder="little").view("<u8").ravel()
-    return out
+        starts, ends = after[:k] - sizes[:k] - 1, after[min(n, shingle) - 1:] - 1
+        for a in range(0, k, STEP):
+            owners.append(i)
+            firsts.append(len(hashes))
+            hashes.extend([digest(line[s:e], seed) for s, e in zip(starts[a:a + STEP].tolist(), ends[a:a + STEP].tolist())])
+            if len(hashes) >= STEP:
+                count()
+    count()
+    return np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
 def fingerprint_rows(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:

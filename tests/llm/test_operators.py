@@ -6,6 +6,7 @@ import io
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -101,6 +102,24 @@ def test_fingerprints_by_definition():
     assert got == [brute.fingerprint(t) for t in texts]
 
 
+def test_fingerprints_are_counted_in_steps(monkeypatch):
+    """Texts that fill several steps alone and together; the memory taken is a few times that of the texts."""
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(999)}" for _ in range(n)) for n in (0, 1, 4, 19, 20, 21, 60, 1, 7, 0, 2, 3)]
+    want = [brute.fingerprint(t) for t in texts]
+    for step in (1, 7, 19):
+        monkeypatch.setattr(simhash, "STEP", step, raising=False)
+        assert simhash.fingerprints([t.encode() for t in texts]).tolist() == want
+    monkeypatch.undo()
+    long = [" ".join(map(str, range(i, i + 2000))).encode() for i in range(100)] + [b"a b " * 50_000]
+    tracemalloc.start()
+    try:
+        simhash.fingerprints(long)
+        assert tracemalloc.get_traced_memory()[1] < 40 * sum(map(len, long))
+    finally:
+        tracemalloc.stop()
+
+
 def test_near_duplicates_match_brute_force(docs, doc_rows):
     fps = {r["doc_id"]: brute.fingerprint(r["text"]) for r in doc_rows}
     comp = brute.components(fps)
