@@ -29,12 +29,11 @@ TABLE_BITS = 20
 WIDE = 1 << 24  # symbols take two bytes, or three where a file needs more of them
 
 
-def _frequent(seq: np.ndarray, last: np.ndarray, min_pairs: int, turn: int, exact: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _frequent(seq: np.ndarray, last: np.ndarray, min_pairs: int, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(at, name, count): places whose pair is frequent, a small number for each pair, and how often it was counted.
 
-    Pairs are counted in a table of hash cells first; one that is frequent lies in a full cell. Then ``exact`` counts every
-    pair of the full cells, else one pair of each cell is counted and the others are left for another turn, which
-    hashes otherwise.
+    Pairs are counted in a table of hash cells first; one that is frequent lies in a full cell. Then one pair
+    of each full cell is counted and the others are left for another turn, which hashes otherwise.
     """
     one, two, add = (np.uint32(m * (2 * turn + 1) & 0xFFFFFFFF) for m in (2654435761, 2246822519, 374761393))
     cell = (seq[:-1] * one) ^ (seq[1:] * two + add)
@@ -44,20 +43,112 @@ def _frequent(seq: np.ndarray, last: np.ndarray, min_pairs: int, turn: int, exac
     full[-1] = False
     at = np.flatnonzero(full[cell])
     pair = seq[at].astype(np.int64) << 32 | seq[at + 1]
-    if exact:
-        _, name, counts = np.unique(pair, return_inverse=True, return_counts=True)
-    else:
-        name = cell[at]
-        named = np.zeros(1 << TABLE_BITS, dtype=np.int64)
-        named[name] = pair
-        same = named[name] == pair
-        at, name = at[same], name[same]
-        counts = np.bincount(name, minlength=1 << TABLE_BITS)
+    name = cell[at]
+    named = np.zeros(1 << TABLE_BITS, dtype=np.int64)
+    named[name] = pair
+    same = named[name] == pair
+    at, name = at[same], name[same]
+    counts = np.bincount(name, minlength=1 << TABLE_BITS)
     often = (counts >= min_pairs)[name]
     at, name = at[often], name[often]
     return at, name, counts[name]
 
 
+def _open(first: np.ndarray, second: np.ndarray, at: np.ndarray, min_pairs: int, turn: int,
+          exact: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(open, place, name, count): of the places ``at`` of pairs, those whose pair may still be frequent; the places whose pair
+    is, a small number for each pair, and how often it was counted.
+
+    Counted as by ``_frequent``. What is counted as rare is done with; the other pairs of its cell are not.
+    """
+    one, two, add = (np.uint32(m * (2 * turn + 1) & 0xFFFFFFFF) for m in (2654435761, 2246822519, 374761393))
+    cell = (first * one) ^ (second * two + add)
+    cell = ((cell ^ (cell >> np.uint32(15))) * np.uint32(2654435761) >> np.uint32(32 - TABLE_BITS)).astype(np.int32)
+    full = (np.bincount(cell, minlength=1 << TABLE_BITS) >= min_pairs)[cell]
+    at, first, second, name = at[full], first[full], second[full], cell[full]
+    pair = first.astype(np.int64) << 32 | second
+    if exact:
+        _, name, counts = np.unique(pair, return_inverse=True, return_counts=True)
+        often = (counts >= min_pairs)[name]
+        at, name = at[often], name[often]
+        return at, at, name, counts[name]
+    named = np.zeros(1 << TABLE_BITS, dtype=np.int64)
+    named[name] = pair
+    same = np.flatnonzero(named[name] == pair)
+    counts = np.bincount(name[same], minlength=1 << TABLE_BITS)
+    place, name = at[same], name[same]
+    count = counts[name]
+    often = count >= min_pairs
+    still = np.ones(len(at), dtype=bool)
+    still[same[~often]] = False
+    return at[still], place[often], name[often], count[often]
+
+
+def _sparse_rounds(seq: np.ndarray, last: np.ndarray, base: int, min_pairs: int, turn: int,
+                   rules: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, last) after the rounds of ``repair`` that replace little; their rules are added to ``rules``.
+
+    A pair can only become frequent while one of its symbols is new, as replacing takes pairs of older symbols away. So a round
+    looks only at the pairs not yet found rare and at those beside the symbols just made; ``after`` and ``before`` lead over
+    the gaps that replaced symbols leave.
+    """
+    made, exact, live = sum(map(len, rules)), False, len(seq)
+    after, before = np.arange(1, live + 1, dtype=np.int32), np.arange(-1, live, dtype=np.int32)
+    gone, open_ = np.zeros(live, dtype=bool), ~last
+    at = np.flatnonzero(open_)
+    while len(at) and base + made < WIDE:
+        at, place, name, count = _open(seq[at], seq[after[at]], at, min_pairs, turn, exact)
+        turn += 1
+        follow = after[place]
+        # every other pair of a run of one symbol
+        run = np.flatnonzero(seq[place] == seq[follow])
+        if len(run):
+            first = np.flatnonzero(np.concatenate(([True], place[run[1:]] != follow[run[:-1]])))
+            nth = np.arange(len(run)) - np.repeat(first, np.diff(first, append=len(run)))
+            keep = np.ones(len(place), dtype=bool)
+            keep[run[nth % 2 == 1]] = False
+            place, follow, name, count = place[keep], follow[keep], name[keep], count[keep]
+            if exact:  # the pairs left are those that can be replaced
+                count = np.bincount(name)[name]
+                keep = count >= min_pairs
+                place, follow, name, count = place[keep], follow[keep], name[keep], count[keep]
+        # of neighbours that overlap, the more frequent pair stays, of equally frequent ones the one with the larger number
+        touch = np.flatnonzero(follow[:-1] == place[1:])
+        more = count[touch + 1] - count[touch]
+        less = (more > 0) | (more == 0) & (name[touch] < name[touch + 1])
+        keep = np.ones(len(place), dtype=bool)
+        keep[touch[less]] = False
+        keep[touch[~less] + 1] = False
+        place, follow, name = place[keep], follow[keep], name[keep]
+        often = np.bincount(name) >= min_pairs
+        used = np.flatnonzero(often)
+        if not len(used):
+            if exact:
+                break
+            exact = True
+            continue
+        symbol = np.zeros(len(often), dtype=np.uint32)
+        symbol[used] = np.arange(len(used))
+        keep = often[name]
+        place, follow, new = place[keep], follow[keep], symbol[name[keep]]
+        rule = np.empty((len(used), 2), dtype=np.uint32)
+        rule[new] = np.stack((seq[place], seq[follow]), axis=1)
+        rules.append(rule)
+        seq[place] = new + np.uint32(base + made)
+        made += len(used)
+        exact = len(place) < 0.01 * live
+        live -= len(place)
+        last[place] = last[follow]
+        gone[follow] = True
+        past = after[follow]
+        after[place], before[past] = past, place
+        open_[:] = False
+        open_[at] = open_[place] = open_[before[place]] = True
+        open_ &= ~(gone | last)
+        at = np.flatnonzero(open_)
+    return seq[~gone], last[~gone]
+
+
 def repair(ids: np.ndarray, last: np.ndarray, base: int, min_pairs: int = MIN_PAIRS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, last, rules): ``ids`` with frequent pairs replaced by symbols from ``base`` on, until none is left.
 
@@ -65,12 +156,13 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int, min_pairs: int = MIN_PA
     ``min_pairs`` times, where of overlapping pairs the more frequent one is replaced (of equal ones, as in a run of one symbol,
     every other one from the left). Symbols of earlier rounds pair up in later ones. Rounds that find few pairs are followed by one
     that counts all of them exactly; when that one finds none, no pair occurs ``min_pairs`` times (runs of one symbol counted by halves).
+    Rounds that replace less than a tenth look at the places of changes only.
     """
     seq, last = ids.astype(np.uint32), last.copy()
     rules: list[np.ndarray] = []
-    made, turn, exact = 0, 0, False
-    while len(seq) > 1 and base + made < WIDE:
-        at, name, count = _frequent(seq, last, min_pairs, turn, exact)
+    made, turn, share = 0, 0, 1.0
+    while share >= 0.1 and len(seq) > 1 and base + made < WIDE:
+        at, name, count = _frequent(seq, last, min_pairs, turn)
         turn += 1
         # every other pair of a run of one symbol
         run = np.flatnonzero(seq[at] == seq[at + 1])
@@ -88,10 +180,7 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int, min_pairs: int = MIN_PA
         times = np.bincount(name)
         used = np.flatnonzero(times >= min_pairs)
         if not len(used):
-            if exact:
-                break
-            exact = True
-            continue
+            break
         symbol = np.full(len(times), -1, dtype=np.int64)
         symbol[used] = base + made + np.arange(len(used))
         new = symbol[name]
@@ -104,20 +193,22 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int, min_pairs: int = MIN_PA
         last[at] = last[at + 1]
         keep = np.ones(len(seq), dtype=bool)
         keep[at + 1] = False
-        exact = len(at) < 0.01 * len(seq)
+        share = len(at) / len(seq)
         seq, last = seq[keep], last[keep]
+    seq, last = _sparse_rounds(seq, last, base, min_pairs, turn, rules)
     return seq, last, np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32)
 
 
 def expansions(base: int, rules: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(flat, start, length): the ids of every symbol, those below ``base`` standing for themselves."""
-    parts = [np.arange(base, dtype=np.uint32)]
-    own: list[np.ndarray] = []
-    one = parts[0]
+    every = np.arange(base, dtype="<u4")
+    one = every.tobytes()
+    own: list[bytes] = []
     for left, right in rules.tolist():
-        own.append(np.concatenate([one[s:s + 1] if s < base else own[s - base] for s in (left, right)]))
-    length = np.concatenate((np.ones(base, dtype=np.int64), np.array([len(x) for x in own], dtype=np.int64)))
-    return np.concatenate(parts + own), np.cumsum(length) - length, length
+        own.append((one[4 * left:4 * left + 4] if left < base else own[left - base])
+                   + (one[4 * right:4 * right + 4] if right < base else own[right - base]))
+    length = np.concatenate((np.ones(base, dtype=np.int64), np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // 4))
+    return np.frombuffer(b"".join([one, *own]), dtype="<u4"), np.cumsum(length) - length, length
 
 
 def write_file(out, doc_ids: list[int | None], encoded: list[bytes]) -> None:

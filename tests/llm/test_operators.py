@@ -397,6 +397,30 @@ def test_repair_leaves_no_frequent_pair(documents, least, bits):
     assert max(left.values(), default=0) < least
 
 
+def test_repair_looks_at_changes_only(monkeypatch):
+    """Many rounds over phrases of phrases: rounds that replace little look at few places, and still leave no frequent pair."""
+    rng = np.random.default_rng(9)
+    phrases = [rng.integers(0, 3000, 2) for _ in range(300)]
+    for _ in range(1200):
+        phrases.append(np.concatenate([phrases[i] for i in rng.integers(max(0, len(phrases) - 900), len(phrases), 2)])[:200])
+    docs = [np.concatenate([phrases[i] for i in (1500 * rng.random(60) ** 2).astype(int)]) for _ in range(60)]
+    docs += [np.repeat(rng.integers(0, 3000, 4), rng.integers(1, 9, 4)) for _ in range(500)]
+    ids = np.concatenate(docs).astype("<u4")
+    last = np.zeros(len(ids), dtype=bool)
+    last[np.cumsum(list(map(len, docs))) - 1] = True
+    looked: list[int] = []
+    rounds = tokenfile._open
+    monkeypatch.setattr(tokenfile, "_open", lambda *a: looked.append(len(a[2])) or rounds(*a))
+    seq, ends, rules = tokenfile.repair(ids, last, 3000)
+    assert len(looked) > 3 and sum(looked[1:]) < 2 * len(ids)
+    flat, start, length = tokenfile.expansions(3000, rules)
+    assert np.concatenate([flat[start[s]:start[s] + length[s]] for s in seq]).tolist() == ids.tolist()
+    assert (np.cumsum(length[seq])[ends] - 1).tolist() == np.flatnonzero(last).tolist()
+    pairs = np.stack((seq[:-1], seq[1:]))[:, ~ends[:-1]]
+    pairs = pairs[:, pairs[0] != pairs[1]]
+    assert np.unique(pairs, axis=1, return_counts=True)[1].max() < tokenfile.MIN_PAIRS
+
+
 def test_repair_of_a_long_passage():
     """A passage of 1,000 ids in 30 documents becomes a few symbols; a file may need wide symbols."""
     rng = np.random.default_rng(4)
