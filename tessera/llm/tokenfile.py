@@ -29,15 +29,25 @@ TABLE_BITS = 20
 WIDE = 1 << 24  # symbols take two bytes, or three where a file needs more of them
 
 
+def _cells(first: np.ndarray, second: np.ndarray, turn: int, step: int = 1 << 16) -> np.ndarray:
+    """The hash cell of each pair, a step that fits the processor's cache at a time."""
+    one, two, add = (np.uint32(m * (2 * turn + 1) & 0xFFFFFFFF) for m in (2654435761, 2246822519, 374761393))
+    out = np.empty(len(first), dtype=np.int32)
+    for i in range(0, len(first), step):
+        cell = (first[i:i + step] * one) ^ (second[i:i + step] * two + add)
+        cell ^= cell >> np.uint32(15)
+        cell *= np.uint32(2654435761)
+        out[i:i + step] = cell >> np.uint32(32 - TABLE_BITS)
+    return out
+
+
 def _frequent(seq: np.ndarray, last: np.ndarray, min_pairs: int, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(at, name, count): places whose pair is frequent, a small number for each pair, and how often it was counted.
 
     Pairs are counted in a table of hash cells first; one that is frequent lies in a full cell. Then one pair
     of each full cell is counted and the others are left for another turn, which hashes otherwise.
     """
-    one, two, add = (np.uint32(m * (2 * turn + 1) & 0xFFFFFFFF) for m in (2654435761, 2246822519, 374761393))
-    cell = (seq[:-1] * one) ^ (seq[1:] * two + add)
-    cell = ((cell ^ (cell >> np.uint32(15))) * np.uint32(2654435761) >> np.uint32(32 - TABLE_BITS)).astype(np.int32)
+    cell = _cells(seq[:-1], seq[1:], turn)
     cell[last[:-1]] = 1 << TABLE_BITS  # pairs across documents share a cell that is never full
     full = np.bincount(cell, minlength=(1 << TABLE_BITS) + 1) >= min_pairs
     full[-1] = False
@@ -47,6 +57,7 @@ def _frequent(seq: np.ndarray, last: np.ndarray, min_pairs: int, turn: int) -> t
     named = np.zeros(1 << TABLE_BITS, dtype=np.int64)
     named[name] = pair
     same = named[name] == pair
+    del cell, pair  # a worker's memory peaks here
     at, name = at[same], name[same]
     counts = np.bincount(name, minlength=1 << TABLE_BITS)
     often = (counts >= min_pairs)[name]
@@ -61,9 +72,7 @@ def _open(first: np.ndarray, second: np.ndarray, at: np.ndarray, min_pairs: int,
 
     Counted as by ``_frequent``. What is counted as rare is done with; the other pairs of its cell are not.
     """
-    one, two, add = (np.uint32(m * (2 * turn + 1) & 0xFFFFFFFF) for m in (2654435761, 2246822519, 374761393))
-    cell = (first * one) ^ (second * two + add)
-    cell = ((cell ^ (cell >> np.uint32(15))) * np.uint32(2654435761) >> np.uint32(32 - TABLE_BITS)).astype(np.int32)
+    cell = _cells(first, second, turn)
     full = (np.bincount(cell, minlength=1 << TABLE_BITS) >= min_pairs)[cell]
     at, first, second, name = at[full], first[full], second[full], cell[full]
     pair = first.astype(np.int64) << 32 | second
@@ -173,9 +182,11 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int, min_pairs: int = MIN_PA
             drop = run[(place - start) % 2 == 1]
             at, name, count = np.delete(at, drop), np.delete(name, drop), np.delete(count, drop)
         # of neighbours that overlap, the more frequent pair stays, of equally frequent ones the one with the larger number
-        weight = np.zeros(len(seq) + 2, dtype=np.int64)
-        weight[at + 1] = own = count << 24 | name
-        keep = (own > weight[at]) & (own > weight[at + 2])
+        own, apart = count << 24 | name, np.diff(at) != 1
+        keep = np.ones(len(at), dtype=bool)
+        keep[1:] &= apart | (own[1:] > own[:-1])
+        keep[:-1] &= apart | (own[:-1] > own[1:])
+        del count, own
         at, name = at[keep], name[keep]
         times = np.bincount(name)
         used = np.flatnonzero(times >= min_pairs)
@@ -184,10 +195,11 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int, min_pairs: int = MIN_PA
         symbol = np.full(len(times), -1, dtype=np.int64)
         symbol[used] = base + made + np.arange(len(used))
         new = symbol[name]
-        at, new = at[new >= 0], new[new >= 0]
-        rule = np.empty((len(used), 2), dtype=np.uint32)
-        rule[new - base - made] = np.stack((seq[at], seq[at + 1]), axis=1)
-        rules.append(rule)
+        replaced = new >= 0
+        at, new, name = at[replaced], new[replaced], name[replaced]
+        one = np.empty(len(times), dtype=np.int64)
+        one[name] = at  # any of a pair's places
+        rules.append(np.stack((seq[one[used]], seq[one[used] + 1]), axis=1))
         made += len(used)
         seq[at] = new
         last[at] = last[at + 1]

@@ -270,6 +270,38 @@ def test_encoder_memory_is_bounded_in_bytes(tokenizer, monkeypatch):
         assert 0 < sum(tokens.ENTRY_BYTES + len(c) + len(v) for c, v in e.known.items()) <= 20_400
 
 
+def test_encoder_gives_a_word_to_the_model_once(tokenizer):
+    """Marks after a word are a piece of their own; every letter that is cut by is one for the library, too."""
+    import re
+    e = tokens.Encoder(tokenizer)
+    texts = ["a zxqword, a zxqword. a zxqword!? (zxqword) zxqword's", "a zxqword; Привет, 中文... 12, 3.5 ² Ⅷ. x\u0301y, \u1e9f. ' 's, 're."]
+    for _ in range(2):
+        assert [np.frombuffer(b, dtype="<u4").tolist() for b in e.encode(texts)] == [ids_of(tokenizer, t, 0)[:-1] for t in texts]
+    assert {" zxqword", ",", "."} <= set(e.known) and not {" zxqword,", " zxqword.", " zxqword;"} & set(e.known)
+    letters = re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), tokens._LETTERS)
+    every = "".join(chr(c) for a, b in re.findall("(.)-(.)", letters) for c in range(ord(a), ord(b) + 1)) + re.sub(".-.", "", letters)
+    assert len(every) > 40_000 and len(library(tokenizer).pre_tokenizer.pre_tokenize_str(every)) == 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="aé中1²Ⅷ\u0301\u02b0'.,-_~| \n", max_size=20), max_size=4))
+def test_encoder_on_any_marks(texts):
+    import public_tokenizers
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    got = [np.frombuffer(b, dtype="<u4").tolist() for b in tokens.encoder(path).encode(texts)]
+    assert got == [x.ids for x in library(path).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_encoder_forgets_what_it_meets_least(tokenizer, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 20_000)
+    e = tokens.Encoder(tokenizer)
+    for i in range(12):
+        late = " often seldom" if i > 1 else ""
+        texts = [" ".join(f"{a}{b}{'abcdefghijkl'[i]}" for a in "qwertz" for b in "yxcvb") + late]
+        assert [np.frombuffer(b, dtype="<u4").tolist() for b in e.encode(texts)] == [ids_of(tokenizer, t, 0)[:-1] for t in texts]
+    assert {" often", " seldom"} <= set(e.known) and " qya" not in e.known
+
+
 def check_packing(rows, texts, tokenizer, capacity):
     want = Counter()
     for i, t in texts:
