@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table_of, text_bytes, text_slices
+from tessera.llm.common import map_texts, table_of, text_bytes, text_slices
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -32,9 +32,9 @@ def sized(docs: DataFrame) -> DataFrame:
             n = pa.array([len(t.split()) for t in text_bytes(b)], pa.int64())
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("doc_id", "source", "row_hash")], n],
                                              ["doc_id", "source", "row_hash", "size"])
-    return (docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"),
-                        F.xxhash64(*docs.columns).alias("row_hash"), "text")
-            .mapInArrow(fill, "doc_id long, source string, row_hash long, size long"))
+    return map_texts(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"),
+                                 F.xxhash64(*docs.columns).alias("row_hash"), "text"), fill,
+                     "doc_id long, source string, row_hash long, size long")
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE,

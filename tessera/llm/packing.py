@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table_of, text_slices
+from tessera.llm.common import map_texts, table_of, text_slices
 from tessera.llm.tokens import ENCODE_BYTES, encoder
 
 CAPACITY = 2048
@@ -125,7 +125,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     """
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     nodes = max(1, texts.rdd.getNumPartitions())
-    packed = table_of(texts.mapInArrow(_tokenise_and_pack(tokenizer, capacity, end_id), SCHEMA), "pieces")
+    packed = table_of(map_texts(texts, _tokenise_and_pack(tokenizer, capacity, end_id), SCHEMA), "pieces")
     nearly = int(capacity * NEARLY)
     done = []
     bins, level = None, 0

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table_of, text_bytes, text_slices
+from tessera.llm.common import map_texts, table_of, text_bytes, text_slices
 from tessera.llm.components import components
 
 BITS = 64
@@ -80,8 +80,8 @@ def fingerprint_rows(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataF
             fp = fingerprints(text_bytes(b), shingle, seed)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"),
                                               pa.array(fp.view(np.int64))], ["doc_id", "text_hash", "fp"])
-    return (docs.select(F.col("doc_id").cast("long"), text_hash().alias("text_hash"), "text")
-            .mapInArrow(fill, "doc_id long, text_hash long, fp long"))
+    return map_texts(docs.select(F.col("doc_id").cast("long"), text_hash().alias("text_hash"), "text"), fill,
+                     "doc_id long, text_hash long, fp long")
 
 
 def text_hash() -> Column:

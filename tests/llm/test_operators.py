@@ -11,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from llm import llm_brute as brute
 from tessera.llm import components as cc
-from tessera.llm import (lm, mixing, neighbours, packing, quality, sanitise, sharding, simhash, tokenfile, tokens, warc)
+from tessera.llm import (common, lm, mixing, neighbours, packing, quality, sanitise, sharding, simhash, tokenfile, tokens, warc)
 
 EDGE_ROWS = 12
 
@@ -102,6 +103,42 @@ def test_fingerprints_by_definition():
     assert got == [brute.fingerprint(t) for t in texts]
 
 
+def test_texts_reach_the_pipelines_operators_in_batches_bounded_in_bytes(spark, tokenizer):
+    """Ten thousand long rows would be one batch of 40 MB, held by the JVM and by the Python worker."""
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id as doc_id", "repeat(concat('word', id, ' '), 500) as text", "'s' as source")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]})
+    operators = (quality.ledger, quality.keep_passing, simhash.fingerprint_rows, mixing.sized,
+                 lambda d: packing.pack(d.limit(10), tokenizer))
+    before = spark.conf.get(common.BATCH_CONF, None)
+    try:
+        for operator in operators:
+            spark.conf.unset(common.BATCH_CONF)
+            operator(docs)
+            seen = docs.mapInArrow(sizes, "n long, size long").collect()
+            assert sum(r.n for r in seen) == 3000 and max(r.size for r in seen) < common.SLICE_BYTES
+        spark.conf.set(common.BATCH_CONF, "1m")
+        seen = common.map_texts(docs, sizes, "n long, size long").collect()
+        assert sum(r.n for r in seen) == 3000 and max(r.size for r in seen) < 1 << 21
+    finally:
+        spark.conf.unset(common.BATCH_CONF) if before is None else spark.conf.set(common.BATCH_CONF, before)
+
+
+def test_a_task_gives_back_what_its_slices_held(monkeypatch):
+    class Pool:
+        released = 0
+
+        def release_unused(self):
+            self.released += 1
+    pool = Pool()
+    monkeypatch.setattr(common.pa, "default_memory_pool", lambda: pool)
+    batches = [pa.RecordBatch.from_pydict({"text": ["a" * 10, None, "b" * 30]}), pa.RecordBatch.from_pydict({"text": ["c"]})]
+    assert [b["text"].to_pylist() for b in common.text_slices(iter(batches), limit=20)] == [["a" * 10, None], ["b" * 30], ["c"]]
+    assert pool.released == 1
+
+
 def test_fingerprints_are_counted_in_steps(monkeypatch):
     """Texts that fill several steps alone and together; the memory taken is a few times that of the texts."""
     rng = random.Random(6)
