@@ -245,6 +245,54 @@ def test_neighbours_of_different_lengths_and_ties():
             assert list(ids[places]) == sorted(ids[100:140])[:10]
 
 
+def test_neighbours_verify_few():
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(4000, 64))  # without structure
+    v /= np.sqrt((v * v).sum(axis=1))[:, None]
+    ids = np.arange(4000)
+    seen, hit = [], []
+    for qi, places, _, verified in neighbours.search_block(ids, v, ids[:40], v[:40], 1.0 + 1e-9, 20):
+        s = v @ v[qi]
+        s[qi] = -9
+        seen.append(verified / 4000)
+        hit.append(len(set(np.lexsort((ids, -s))[:20]) & set(places)) / 20)
+    assert np.mean(hit) >= 0.95 and np.mean(seen) <= 0.25
+
+
+def test_neighbours_queries_meet_few_cells(spark):
+    rng = np.random.default_rng(5)
+
+    def clustered(n):
+        v = rng.normal(size=(n // 50, 16))[rng.integers(0, n // 50, n)] + 0.1 * rng.normal(size=(n, 16))
+        v /= np.sqrt((v * v).sum(axis=1))[:, None]
+        return v, spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>").cache()
+    met = []
+    for n in (1000, 4000):
+        v, df = clustered(n)
+        queries = df.where("vec_id % 20 = 0")
+        index, cells = neighbours._indexed(df, neighbours.usable(queries), 20)
+        assert index.count() == n == cells.sizes[16].sum()  # every row is in a cell
+        met.append(np.mean([cells.sizes[16][c].sum() for c in cells.visited(v[::20])]))
+    assert met[1] < 2.5 * met[0] and met[1] < 4000 / 5, met  # four times the rows
+    got = defaultdict(set)
+    for r in neighbours.nearest(df, queries, k=20).collect():
+        got[r.query_id].add(r.vec_id)
+    s = v[::20] @ v.T
+    s[np.arange(200), np.arange(0, 4000, 20)] = -np.inf
+    assert np.mean([len(got[20 * i] & set(np.argsort(-x)[:20].tolist())) / 20 for i, x in enumerate(s)]) >= 0.9
+
+
+def test_neighbours_far_cells_fill_up(spark):
+    """Small cells, and a query whose own vec_id fills its cell, are followed by others until k are found."""
+    rng = np.random.default_rng(6)
+    v = np.repeat(np.eye(8) * 5, 40, axis=0) + 0.01 * rng.normal(size=(320, 8))
+    rows = [(0 if i < 40 else i, x) for i, x in enumerate(v.tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    counts = {r.query_id: r["count"] for r in neighbours.nearest(df, df.where("vec_id = 0"), k=60).where(
+        "vec_id <> 0").groupBy("query_id", "score").count().groupBy("query_id").count().collect()}
+    assert counts[0] >= 60
+
+
 def test_neighbours_edges(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [float("inf"), 1.0]), (6, [None, 1.0]),
