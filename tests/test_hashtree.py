@@ -3,9 +3,11 @@
 import random
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as E
 from tessera.operators import hashtree as ht
 from tessera.operators import matching as mt
 
@@ -111,3 +113,19 @@ def test_unscored_pairs_are_not_shuffled(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     assert left == {u: set(range(40_000)) - set(edges[u - 1:] if u < 3 else ()) for u in (1, 2, 3)}
+
+
+def test_unscored_pairs_query_covers_every_user(spark, tmp_path):
+    """The registered query and its twin: all postings of every user with a verdict, not of a part of the users."""
+    n, users = 70, [*range(1, 24), 33]
+    at = {(u, (u * 7 + i * 3) % n) for u in users for i in range(u % 5 + 1)} | {(90, 4)}
+    spark.createDataFrame([(u,) for u in users], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(p + n * u, u) for u, p in at], "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(n).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("web").alias("source")).write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted((p, u) for u in users for p in range(n) if (u, p) not in at)
+    got = E.queries()["j12_unscored_pairs"](spark, str(tmp_path))
+    assert sorted((r.posting_id, r.user_id) for r in got.collect()) == want
+    con = duckdb.connect()
+    for t in ("customer", "events", "documents"):
+        con.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    assert sorted(con.execute(E.oracle_sql()["j12_unscored_pairs"]).fetchall()) == want
