@@ -1,6 +1,7 @@
 """Hash trees and bitmaps of unscored pairs against plain Python."""
 
 import random
+import re
 from collections import Counter
 
 import duckdb
@@ -129,3 +130,20 @@ def test_unscored_pairs_query_covers_every_user(spark, tmp_path):
     for t in ("customer", "events", "documents"):
         con.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
     assert sorted(con.execute(E.oracle_sql()["j12_unscored_pairs"]).fetchall()) == want
+
+
+def test_tasks_that_write_pairs_grow_with_them(spark, monkeypatch):
+    """More users, more groups and tasks; a block's words are made once a row, below the explosion, and blocks come in order."""
+    postings = spark.range(9_000).select(F.col("id").alias("posting_id"))
+    matches = spark.createDataFrame([(u, p) for u in range(50) for p in (u, 4095 + u, 8_999)], "user_id long, posting_id long")
+    many = spark.range(400_000).select(F.col("id").alias("user_id"))
+    plan = mt.expand_unscored(*mt.unscored_bitmaps(postings, many, matches), many)._jdf.queryExecution().executedPlan().toString()
+    tasks = {int(x) for x in re.findall(r"hashpartitioning\(_block#\w+, _group#\w+, (\d+)\)", plan)}
+    assert tasks == {3 * 391 // mt.TASK_CELLS}
+    assert "conv(" not in plan[:plan.index("Generate")] and plan.index("SortMergeJoin [_block") > plan.index("Generate")
+    monkeypatch.setattr(mt, "GROUP_USERS", 2)
+    few = many.where("user_id < 50")
+    got = mt.expand_unscored(*mt.unscored_bitmaps(postings, few, matches), few).groupBy("user_id").agg(
+        F.count("*").alias("n"), F.countDistinct("posting_id").alias("d"), F.sum("posting_id").alias("s")).collect()
+    left = {u: 9_000 - len({u, 4095 + u, 8_999}) for u in range(50)}
+    assert {r.user_id: (r.n, r.d, r.s) for r in got} == {u: (n, n, 8_999 * 4_500 - sum({u, 4095 + u, 8_999})) for u, n in left.items()}
